@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import common, decontam, tokencount
+from loomgraph.llm import binrecords, common, decontam, mixing, sharding, tokencount
 
 
 def vocabulary_file(name: str) -> str:
@@ -26,7 +26,20 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("starts") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination)}
+def op4_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binrecords.round_trip(spark, common.table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), end_id=0)
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(common.table(spark, sf_dir, "documents").select("doc_id"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.copies(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op4_binary_records, op5_sharding, op6_mixing)}
 
 ORACLE_SQL = {
     "op2_decontamination": r"""
@@ -40,4 +53,19 @@ words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hits) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op5_sharding": f"""
+WITH t AS (SELECT string_split('{",".join(map(str, sharding.lookup(sharding.names(sharding.SHARDS))))}', ',') AS cells)
+SELECT doc_id, slot, cells[slot + 1]::INTEGER AS shard
+FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {sharding.SLOTS} AS slot FROM documents), t""",
+    "op6_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM d GROUP BY source),
+o AS (SELECT *, source_size * 2.0::DOUBLE AS cap, row_number() OVER (ORDER BY source_size * 2.0::DOUBLE / weight, source NULLS LAST) AS pos FROM s),
+l AS (SELECT *, ((SELECT sum(source_size)::DOUBLE * 1.5::DOUBLE FROM s) - (SELECT coalesce(sum(cap), 0) FROM o p WHERE p.pos < o.pos)) / ((SELECT sum(weight) FROM s) - (SELECT coalesce(sum(weight), 0) FROM o p WHERE p.pos < o.pos)) AS level FROM o),
+w AS (SELECT min(pos) AS open_at, arg_min(level, pos) AS water FROM l WHERE cap > weight * level),
+g AS (SELECT source, source_size, CASE WHEN l.pos < coalesce(w.open_at, 1000000000) THEN cap ELSE weight * w.water END AS target,
+      ('0x' || substr(md5('loomgraph:' || coalesce('s' || source, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM l, w),
+r AS (SELECT d.*, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+      row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) - 1 AS k FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, size * (floor((k + 1) * rate + u) - floor(k * rate + u))::BIGINT AS taken FROM r""",
 }
