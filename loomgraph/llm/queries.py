@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import binrecords, common, decontam, minhash, mixing, sharding, tokencount
+from loomgraph.llm import binrecords, common, decontam, langid, minhash, mixing, rpforest, sharding, tokencount
 
 
 def vocabulary_file(name: str) -> str:
@@ -43,7 +43,17 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_minhash, op4_binary_records, op5_sharding, op6_mixing)}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.profiles(docs.where(~langid.held_out())))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op10_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rpforest.near_duplicates(common.table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_minhash, op4_binary_records, op5_sharding, op6_mixing, op8_language_id, op10_vector_forest)}
 
 ORACLE_SQL = {
     "op2_decontamination": r"""
@@ -81,4 +91,11 @@ g AS (SELECT source, source_size, CASE WHEN l.pos < coalesce(w.open_at, 10000000
 r AS (SELECT d.*, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
       row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) - 1 AS k FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target, size * (floor((k + 1) * rate + u) - floor(k * rate + u))::BIGINT AS taken FROM r""",
+    "op10_vector_forest": r"""
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM e WHERE len(v) > 0 AND list_sum(list_transform(v, lambda y: y * y)) > 0),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id AND list_dot_product(x.v, y.v) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT e.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, c.m AS component_id, e.vec_id = c.m AS kept
+FROM e LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) k ON k.a = e.vec_id JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) c ON c.a = e.vec_id""",
 }
