@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import binrecords, common, decontam, langid, minhash, mixing, rpforest, sharding, tokencount
+from loomgraph.llm import binrecords, common, crf, decontam, langid, minhash, mixing, pii, rpforest, sharding, tokencount
 
 
 def vocabulary_file(name: str) -> str:
@@ -43,17 +43,30 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = common.table(spark, sf_dir, "documents"), langid.held_out(parts=3, part=1)
+    model = crf.train(docs, common.table(spark, sf_dir, "labels").where(~held))
+    return crf.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.profiles(docs.where(~langid.held_out())))
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(common.table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op10_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpforest.near_duplicates(common.table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_minhash, op4_binary_records, op5_sharding, op6_mixing, op8_language_id, op10_vector_forest)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_minhash, op4_binary_records, op5_sharding, op6_mixing, op7_quality_crf, op8_language_id, op9_personal_data, op10_vector_forest)}
 
 ORACLE_SQL = {
     "op2_decontamination": r"""
