@@ -28,20 +28,20 @@ def flat(found):
     return found
 
 
-def _ask(name: str, question: str, sql: str | None, **params):
+def _ask(registered_as: str, question: str, sql: str | None, /, **params):
     def run(spark, sf_dir):
         nodes, edges = standin.delivery(spark, sf_dir)
         return flat(DELIVERY.ask(question, nodes, edges, standin.NS, **params))
 
-    registered(name, sql)(run)
+    registered(registered_as, sql)(run)
 
 
-def _fact(name: str, f, sql: str):
+def _fact(registered_as: str, f, sql: str):
     def run(spark, sf_dir):
         nodes, edges = standin.delivery(spark, sf_dir)
         return f(nodes, edges)
 
-    registered(name, sql)(run)
+    registered(registered_as, sql)(run)
 
 
 NS = standin.NS

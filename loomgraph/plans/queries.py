@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import delivery_queries  # noqa: F401
+from loomgraph.plans import code_queries, delivery_queries  # noqa: F401
 from loomgraph.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -39,7 +39,7 @@ class Question:
     requires_one_of: tuple[str, ...] = ()
     clamps: Mapping[str, tuple[int, int]] = field(default_factory=dict)
 
-    def __call__(self, nodes: DataFrame, edges: DataFrame, ns: str, **params: Any) -> DataFrame:
+    def __call__(self, nodes: DataFrame, edges: DataFrame, ns: str, /, **params: Any) -> DataFrame:
         unknown = set(params) - set(self.defaults)
         if unknown:
             raise TypeError(f"{self.name} has no parameter {', '.join(sorted(unknown))}")
@@ -60,7 +60,7 @@ class Catalogue:
     def __init__(self) -> None:
         self.questions: dict[str, Question] = {}
 
-    def question(self, name: str, *, requires_one_of: tuple[str, ...] = (), clamps: Mapping[str, tuple[int, int]] | None = None, **defaults: Any):
+    def question(self, name: str, /, *, requires_one_of: tuple[str, ...] = (), clamps: Mapping[str, tuple[int, int]] | None = None, **defaults: Any):
         def add(f):
             self.questions[name] = Question(name, f, defaults, requires_one_of, clamps or {})
             return f
@@ -72,7 +72,7 @@ class Catalogue:
             raise KeyError(f"unknown question {name!r}; known: {', '.join(sorted(self.questions))}")
         return self.questions[name]
 
-    def ask(self, name: str, nodes: DataFrame, edges: DataFrame, ns: str, **params: Any) -> DataFrame:
+    def ask(self, name: str, nodes: DataFrame, edges: DataFrame, ns: str, /, **params: Any) -> DataFrame:
         return self[name](nodes, edges, ns, **params)
 
     def describe(self) -> list[dict[str, Any]]:

@@ -190,7 +190,7 @@ def with_base(sql: str) -> str:
             needed.append(name)
 
     for name in BASE:
-        if re.search(rf"\b(FROM|JOIN|,)\s+{name}\b", sql):
+        if re.search(rf"(\b(FROM|JOIN)\s+\(?|,\s*|\(\s*){name}\b", sql):
             need(name)
     if not needed:
         return sql
