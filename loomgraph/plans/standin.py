@@ -103,6 +103,13 @@ BASE: dict[str, str] = {
     "failed": "SELECT r.k AS run, r.orderkey FROM {run} r JOIN {req} q ON q.k = r.orderkey WHERE r.status = 'FAIL' AND q.label = 'Bug'",
     "in_sprint": "SELECT q.k, q.custkey, s.month, s.is_current, s.position FROM {req} q JOIN {sprint} s ON s.custkey = q.custkey AND s.month = substr(q.day, 1, 7)",
     "tagged": "SELECT q.k, c.c_mktsegment AS segment FROM {req} q JOIN {customer} c ON c.c_custkey = q.custkey",
+    "gen_prev": f"""SELECT 'orders' AS source, o_orderkey AS k, concat('ORD-', o_orderkey) AS key, concat('Order ', o_orderkey) AS title, o_orderstatus AS status, 'Story' AS type, concat('user ', o_custkey % 50) AS assignee,
+        o_orderpriority AS priority, concat('CUS-', o_custkey) AS parent, substr({_DATE.format('o_orderdate')}, 1, 7) AS sprint, CASE WHEN o_orderkey % 4 = 0 THEN 'tests' ELSE 'user_stories' END AS bucket, {_DATE.format('o_orderdate')} AS updated_at,
+        o_orderpriority AS test_type, CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR(20)) AS effort FROM {{orders}} WHERE o_orderkey % 13 <> 0""",
+    "gen_cur": f"""SELECT 'orders' AS source, o_orderkey AS k, concat('ORD-', o_orderkey) AS key, concat('Order ', o_orderkey) AS title, CASE WHEN o_orderkey % 7 = 0 THEN 'F' ELSE o_orderstatus END AS status, 'Story' AS type, concat('user ', o_custkey % 50) AS assignee,
+        CASE WHEN o_orderkey % 5 = 0 THEN '9-CHANGED' ELSE o_orderpriority END AS priority, concat('CUS-', o_custkey) AS parent, substr({_DATE.format('o_orderdate')}, 1, 7) AS sprint, CASE WHEN o_orderkey % 4 = 0 THEN 'tests' ELSE 'user_stories' END AS bucket,
+        CASE WHEN o_orderkey % 3 = 0 THEN '2030-01-01' ELSE {_DATE.format('o_orderdate')} END AS updated_at, CASE WHEN o_orderkey % 5 = 0 THEN '9-CHANGED' ELSE o_orderpriority END AS test_type,
+        CASE WHEN o_orderkey % 17 <> 0 THEN CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR(20)) END AS effort FROM {{orders}} WHERE o_orderkey % 11 <> 0""",
     # code
     "calls": """SELECT a.l_partkey AS caller, b.l_partkey AS callee, max(a.l_linenumber % 3) AS in_loop_depth, 1 - max(a.l_discount) AS confidence FROM {lineitem} a JOIN {lineitem} b
         ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_quantity >= 44 AND b.l_quantity >= 25 AND a.l_partkey <> b.l_partkey GROUP BY a.l_partkey, b.l_partkey""",
