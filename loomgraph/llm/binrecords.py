@@ -12,18 +12,23 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import common
+from loomgraph.llm.tokencount import byte_symbols
 
 INDEX = "doc_id long, shard int, file string, offset long, length long, local_start long, n_tokens long"
-CACHE_PIECES = 400_000
+CACHE_PIECES, CACHE_WORDS = 400_000, 1_000_000
+#: The byte-level pre-tokenizer's pattern: a fixed value.
+PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 READ_BYTES = 16 << 20
 
 
@@ -49,36 +54,65 @@ def unframe(data: memoryview | bytes, offset: int) -> bytes:
     return payload
 
 
+class Words(dict):
+    """Pre-tokenizer piece -> its ids as bytes, by the library's model."""
+
+    def __init__(self, tokenizer, dtype: str):
+        super().__init__()
+        self.tokenize, self.dtype = tokenizer.model.tokenize, np.dtype(dtype)
+        self.symbols = dict(enumerate(byte_symbols()))
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        found = self.tokenize(piece.encode().decode("latin-1").translate(self.symbols))
+        ids = self[piece] = array(self.dtype.char, [t.id for t in found]).tobytes()
+        return ids
+
+
+class Pieces(dict):
+    """What stands between two single spaces -> the ids of it with the space before."""
+
+    def __init__(self, words: Words):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, x: str) -> bytes:
+        if len(self) >= CACHE_PIECES:
+            self.clear()
+        ids = self[x] = b"".join(map(self.words.__getitem__, PATTERN.findall(" " + x)))
+        return ids
+
+
 class Encoder:
-    """Ids of whole texts by the library, as bytes. Where no two white-space characters meet, the pre-tokenizer never looks across
-    a space, so each space-led piece is encoded by the library once and remembered; other texts go to the library whole."""
+    """Ids of whole texts by the library, as bytes; each distinct piece is encoded once and remembered while there is room.
 
-    WHOLE = re.compile("\\s\\s|[^\\x00-\\x1b\\x20-\\u024f]|<\\|")
+    Where no two white-space characters meet, the pre-tokenizer never looks across a space, so what stands between spaces is a
+    unit; other texts are cut by the pre-tokenizer's pattern. Texts with characters beyond U+024F, whose classes may depend on
+    the Unicode version, or with a special token's start go to the library whole.
+    """
+
+    LIBRARY = re.compile("[^\\x00-\\x1b\\x20-\\u024f]|<\\|")
+    DOUBLE = re.compile("\\s\\s")
 
     def __init__(self, file: str, dtype: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.dtype = Tokenizer.from_file(file), np.dtype(dtype)
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [None if not t or self.WHOLE.search(t) else t.split(" ") for t in texts]
-        if len(self.later) > CACHE_PIECES:
-            self.later.clear()
-        self.first = {}
-        later = self.later
-        new = {x for p in parts if p for x in p[1:] if x not in later}
-        firsts = {p[0] for p in parts if p}
-        new, firsts = list(new), list(firsts)
-        later.update(zip(new, self._library([" " + x for x in new])))
-        self.first.update(zip(firsts, self._library(firsts)))
-        get = later.__getitem__
-        return [(self._library([t])[0] if t else b"") if p is None else self.first[p[0]] + b"".join(map(get, p[1:])) for t, p in zip(texts, parts)]
+        self.words = Words(self.tokenizer, dtype)
+        self.pieces = Pieces(self.words)
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if self.LIBRARY.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        if text[0] != " " and not self.DOUBLE.search(text):
+            first, _, rest = text.partition(" ")
+            head = b"".join(map(self.words.__getitem__, PATTERN.findall(first)))
+            return head + b"".join(map(self.pieces.__getitem__, rest.split(" "))) if _ else head
+        return b"".join(map(self.words.__getitem__, PATTERN.findall(text)))
 
 
 @lru_cache(maxsize=2)
@@ -113,13 +147,13 @@ def write_records(docs: DataFrame, tokenizer_file: str, path: str, *, end_id: in
         tail = np.array([end_id], dtype=dtype).tobytes()
         width = len(tail)
         for whole in batches:
-            for b in common.slices(whole):
+            for b in common.slices(whole, most=4 << 20):
                 if out is None:
                     store, place = _open(name)
                     store.create_dir(place.rpartition("/")[0], recursive=True)
                     out = store.open_output_stream(place)
                 rows = []
-                for i, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
+                for i, ids in zip(b.column(0).to_pylist(), map(enc.encode, b.column(1).to_pylist())):
                     record = frame(ids + tail)
                     out.write(record)
                     n = len(ids) // width + 1
