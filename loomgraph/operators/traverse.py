@@ -66,6 +66,29 @@ def ancestor_paths(edges: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     return reduce(DataFrame.unionByName, out).select("start", "path")
 
 
+#: Steps of a fixpoint that are planned together before their result is stored and checked.
+STEPS = 2
+
+
+def _repeat(df: DataFrame, step) -> DataFrame:
+    for _ in range(STEPS):
+        df = step(df)
+    return df
+
+
+def _trimmed(e: DataFrame) -> DataFrame:
+    """Edges between nodes that have a way in and a way out."""
+    out, into = e.select(F.col("src").alias("dst")).distinct(), e.select(F.col("dst").alias("src")).distinct()
+    return e.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst")
+
+
+def _coloured(colour: DataFrame, e: DataFrame) -> DataFrame:
+    """One step of the largest colour along the edges; ``moved`` tells whether a node's colour grew in it."""
+    into = e.join(colour.select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("seen"))
+    seen = F.coalesce("seen", "colour")
+    return colour.join(into, "node", "left").select("node", F.greatest("colour", seen).alias("colour"), (seen > F.col("colour")).alias("moved"))
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """I4: ``(node, component)`` for every node of ``(src, dst)``: components by mutual reachability, named by a member.
 
@@ -75,35 +98,30 @@ def strong_components(edges: DataFrame) -> DataFrame:
     e = stored(edges.select("src", "dst").where("src <> dst").distinct(), "scc-edges")
     nodes = stored(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "scc-nodes")
     found: list[DataFrame] = []
-    while not e.isEmpty():
-        while True:  # trim
-            inner = e.select(F.col("src").alias("node")).intersect(e.select("dst"))
-            kept = stored(e.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"), "scc-edges")
-            done = kept.count() == e.count()
-            e = kept
-            if done:
+    n = e.count()
+    while n:
+        while n:  # trim
+            kept = stored(_repeat(e, _trimmed), "scc-edges")
+            before, n, e = n, kept.count(), kept
+            if n == before:
                 break
-        if e.isEmpty():
+        if not n:
             break
-        colour = stored(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("colour", F.col("node")), "scc-colours")
+        colour = stored(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().select("node", F.col("node").alias("colour"), F.lit(True).alias("moved")), "scc-colours")
         while True:  # the largest node that reaches each
-            into = e.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("seen"))
-            nxt = stored(colour.join(into, "node", "left").select("node", F.greatest("colour", F.coalesce("seen", "colour")).alias("colour"), (F.coalesce("seen", "colour") > F.col("colour")).alias("moved")), "scc-colours")
-            colour = nxt.select("node", "colour")
-            if nxt.where("moved").isEmpty():
-                break
-        same = e.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").where("c1 = c2").select("src", "dst", F.col("c1").alias("colour"))
-        same = stored(same, "scc-inner")
-        back = stored(colour.where("node = colour"), "scc-back")
-        while True:  # who reaches its colour's node
-            more = same.join(back.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct().join(back, ["node", "colour"], "left_anti")
-            more = stored(more, "scc-back")
-            if more.isEmpty():
+            colour = stored(_repeat(colour, lambda c: _coloured(c, e)), "scc-colours")  # noqa: B023
+            if colour.where("moved").isEmpty():
                 break
-            back = stored(back.unionByName(more), "scc-back")
+        ends = lambda c, x: colour.select(F.col("node").alias(c), F.col("colour").alias(x))  # noqa: B023, E731
+        same = stored(e.join(ends("src", "c1"), "src").join(ends("dst", "c2"), "dst").where("c1 = c2").select("src", "dst", F.col("c1").alias("colour")), "scc-inner")
+        back, m = stored(colour.where("node = colour").select("node", "colour"), "scc-back"), 0
+        while (k := back.count()) != m:  # who reaches its colour's node
+            m = k
+            back = stored(_repeat(back, lambda b: b.union(same.join(b.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select("src", "colour")).distinct()), "scc-back")  # noqa: B023
         found.append(back.select("node", F.col("colour").alias("component")))
         gone = back.select("node")
         e = stored(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "scc-edges")
+        n = e.count()
     if not found:
         return nodes.select("node", F.col("node").alias("component"))
     named = reduce(DataFrame.unionByName, found).withColumnRenamed("node", "n")
@@ -125,10 +143,13 @@ def transitive_loop_depth(loop_depth: DataFrame, calls: DataFrame, *, cap: int =
     state = own.join(fixed, "uid", "left").select("uid", F.least(F.greatest("own", F.coalesce("f", F.lit(0))), F.lit(cap)).alias("tld"))
     state = stored(state, "tld")
     outer = c.where("not inner").select("caller", "callee", "d")
+
+    def step(v: DataFrame) -> DataFrame:
+        through = outer.join(v.select(F.col("uid").alias("callee"), "tld"), "callee").groupBy(F.col("caller").alias("uid")).agg(F.max(F.least(F.col("d") + F.col("tld"), F.lit(cap))).alias("t"))
+        t = F.coalesce("t", F.lit(0))
+        return v.join(through, "uid", "left").select("uid", F.greatest("tld", t).alias("tld"), (t > F.col("tld")).alias("moved"))
+
     while True:
-        through = outer.join(state.withColumnRenamed("uid", "callee"), "callee").groupBy(F.col("caller").alias("uid")).agg(F.max(F.least(F.col("d") + F.col("tld"), F.lit(cap))).alias("t"))
-        nxt = state.join(through, "uid", "left").select("uid", F.greatest("tld", F.coalesce("t", F.lit(0))).alias("tld"), (F.coalesce("t", F.lit(0)) > F.col("tld")).alias("moved"))
-        nxt = stored(nxt, "tld")
-        state = nxt.select("uid", "tld")
-        if nxt.where("moved").isEmpty():
-            return state
+        state = stored(_repeat(state, step), "tld")
+        if state.where("moved").isEmpty():
+            return state.select("uid", "tld")
