@@ -10,6 +10,7 @@ a fixed number of rows per language, reaches the driver.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,9 @@ PROFILE, DOCUMENT = 400, 400
 UNKNOWN = "und"
 #: n-grams of a task counted at a time
 _BYTES = 1 << 20
-_LETTERS = re.compile(r"[^\W\d_]+")
-_NOT_LETTER = re.compile(r"[\W\d_]+")
+#: ``\w`` also has numbers such as superscripts and fractions, which are neither decimal digits nor letters.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_NOT_LETTER = re.compile(rf"[\W\d_{_NUMBERS}]+")
 
 
 def letters(text: str | None) -> str:
