@@ -4,10 +4,13 @@
    of the shingle set and one key per band. Documents with equal sets form a class, and only its first goes on.
 2. Representatives that share a band key are candidates. Buckets are stars around their smallest id, not pairs; what they
    connect is a cluster, within which all links between different texts lie but for what banding misses (README).
-3. Large clusters are dealt to blocks, and each pair of blocks is a task of bounded size. There the low ``BITS`` of the minima,
-   packed into bytes, are compared by counting equal bits: the collision-corrected estimate says which pairs to confirm on
-   their full sets. Pairs already connected inside the task are not compared again, so a task returns a forest, not all pairs.
-4. Components over the confirmed links give each document its group.
+3. Clusters are dealt to blocks, and each block is a task of bounded size. There the low ``BITS`` of the minima, packed into
+   bytes, are compared by counting equal bits: the collision-corrected estimate says which pairs to confirm on their full
+   sets. Pairs already connected are not compared again, so a task returns a forest, not all pairs.
+4. Of a cluster of several blocks, every block also holds the cluster's first member, and then meets the member with most links:
+   two linear passes that connect a group of copies of one text. Only where a cluster still has several parts are blocks of
+   different parts compared, pair by pair, so that no link between parts is lost.
+5. Components over the confirmed links give each document its group.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ PERCENT = 85
 #: Estimates run below the truth by this much at most (4.5 standard deviations at the threshold); pairs below are not confirmed.
 MARGIN = 0.13
 BLOCK = 128
+#: Parts that a large cluster's members are joined in.
+SALTS = 32
 #: Shingles hashed at a time, so that they stay in the CPU's cache.
 CHUNK = 1 << 15
 
@@ -113,10 +118,10 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def links_of_task(ids: list[int], sides: list[int], sets: list[np.ndarray], signatures: np.ndarray, same: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """A forest of confirmed links: within one block, or between two blocks (sides 0 and 1)."""
+def links_of_task(ids: list[int], sides: list[int], known: list[int], sets: list[np.ndarray], signatures: np.ndarray, same: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """A forest of confirmed links between parts that are ``known``: within one block, or between two blocks (sides 0 and 1)."""
     n = len(ids)
-    root = np.arange(n)
+    root = np.unique(np.array(known), return_inverse=True)[1]
     size = np.array([len(s) for s in sets], dtype=np.int64)
     side = np.array(sides)
     out = []
@@ -175,8 +180,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirmed(percent: int):
     def task(rows: list[tuple]) -> list[tuple[int, int]]:
         same = rows[0][1] == rows[0][2]
-        return links_of_task([r[3] for r in rows], [r[4] for r in rows], [np.frombuffer(r[5], np.uint64) for r in rows],
-                             np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1), same, percent)
+        return links_of_task([r[3] for r in rows], [r[4] for r in rows], [r[5] for r in rows], [np.frombuffer(r[6], np.uint64) for r in rows],
+                             np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1), same, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by task; a task's rows may span batches."""
@@ -196,6 +201,69 @@ def _confirmed(percent: int):
     return run
 
 
+TASK = ["cluster", "x", "y", "doc_id", "side", "known", "hashes", "signature"]
+
+
+def _links(tasks: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links ``(a, b)`` of all tasks, rows of ``TASK``, stored."""
+    rows = tasks.select(*TASK).repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "doc_id")
+    return common.stored(rows.mapInArrow(_confirmed(percent), "a long, b long"), "links")
+
+
+def _open_parts(where: DataFrame, links: DataFrame) -> DataFrame:
+    """``(node, cluster, known, pivot, pivot_known)`` of the members of clusters that links leave in several parts.
+
+    ``known`` is the part that a member belongs to, the pivot the cluster's member with most links.
+    """
+    parts = common.components(links).select(F.col("node").alias("part_node"), F.col("component").alias("part"))
+    ends = links.select(F.col("a").alias("end")).union(links.select("b")).groupBy("end").agg(F.count("*").alias("degree"))
+    rows = where.join(parts, F.col("node") == F.col("part_node"), "left").join(ends, F.col("node") == F.col("end"), "left")
+    rows = common.stored(rows.select("node", "cluster", F.coalesce("part", "node").alias("known"), F.coalesce("degree", F.lit(0)).alias("degree")), "parts")
+    best = F.max(F.struct("degree", (-F.col("node")).alias("node"), "known")).alias("best")
+    still = rows.groupBy(F.col("cluster").alias("of")).agg(F.min("known").alias("low"), F.max("known").alias("high"), best).where("low < high")
+    return rows.join(still, F.col("cluster") == F.col("of")).select("node", "cluster", "known", (-F.col("best.node")).alias("pivot"), F.col("best.known").alias("pivot_known"))
+
+
+def _between_parts(sets: DataFrame, parts: DataFrame, block: int) -> DataFrame:
+    """Tasks that compare all members of different parts of a cluster.
+
+    Parts of at least a block have blocks of their own, which need not meet each other; smaller parts share mixed blocks.
+    """
+    kinds = parts.groupBy("cluster", "known").agg(F.count("*").alias("n")).withColumn("pure", F.when(F.col("n") >= block, F.col("known")).otherwise(F.lit(None)))
+    room = kinds.groupBy("cluster", "pure").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
+    kinds = kinds.select(F.col("cluster").alias("kc"), F.col("known").alias("kk"), F.col("pure").alias("kp"))
+    kinds = kinds.join(room, (F.col("kc") == F.col("cluster")) & F.col("kp").eqNullSafe(F.col("pure"))).select("kc", "kk", "pure", "blocks")
+    own = parts.join(kinds, (F.col("cluster") == F.col("kc")) & (F.col("known") == F.col("kk")))
+    own = own.select("node", "known", "pure", F.xxhash64("pure", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("own"))
+    rows = sets.join(own, F.col("doc_id") == F.col("node")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    room = room.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    other = room.select(F.col("cluster").alias("oc"), F.col("pure").alias("op"), F.xxhash64("pure", F.col("b").cast("long")).alias("other"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("os"))
+    met = rows.join(other, (F.col("cluster") == F.col("oc")) & (F.col("salt") == F.col("os"))).where(~F.coalesce(F.col("pure") == F.col("op"), F.lit(False)))
+    return met.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).withColumn("side", (F.col("own") > F.col("other")).cast("int"))
+
+
+def _confirmed_links(sets: DataFrame, dealt: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links that connect the members of each cluster as all confirmed pairs would."""
+    zero = F.lit(0).cast("long")
+    first = sets.withColumns({"x": F.col("block").cast("long"), "y": F.col("block").cast("long"), "side": F.lit(0), "known": F.col("doc_id")})
+    hubs = sets.where("blocks > 1 and doc_id = cluster").withColumn("x", F.explode(F.sequence(zero, F.col("blocks").cast("long") - 1))).where("x <> block")
+    first = first.select(*TASK).union(hubs.withColumns({"y": F.col("x"), "side": F.lit(0), "known": F.col("doc_id")}).select(*TASK))
+    links = _links(first, percent)
+    where = common.stored(dealt.where("blocks > 1").select("node", "cluster"), "large-clusters")
+    if where.isEmpty():
+        return links
+    large = sets.where("blocks > 1")
+    parts = common.stored(_open_parts(where, links), "open-parts")
+    if parts.isEmpty():
+        return links
+    rows = large.join(parts.drop("cluster"), F.col("doc_id") == F.col("node"))
+    others = rows.where("known <> pivot_known").withColumns({"x": F.col("block").cast("long"), "side": F.lit(1)})
+    pivots = rows.where("doc_id = pivot").withColumns({"x": F.explode(F.sequence(zero, F.col("blocks").cast("long") - 1)), "side": F.lit(0)})
+    links = links.union(_links(others.withColumn("y", F.col("x") + F.col("blocks")).select(*TASK).union(pivots.withColumn("y", F.col("x") + F.col("blocks")).select(*TASK)), percent))
+    parts = common.stored(_open_parts(where, links), "open-parts")
+    return links if parts.isEmpty() else links.union(_links(_between_parts(large, parts.drop("pivot", "pivot_known"), block), percent))
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Groups of near-duplicates: ``(doc_id, n_shingles, component_id, kept)``, one row per input row.
 
@@ -220,12 +288,10 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     size = common.stored(size, "cluster-sizes")
     dealt = clusters.join(size, clusters["component"] == size["of"]).select(
         "node", F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    dealt = common.stored(dealt, "dealt-clusters")
     members = narrow.join(dealt, narrow["doc_id"] == dealt["node"]).select("doc_id", "text", "cluster", "blocks", "block")
-    sets = members.mapInArrow(_sets, "doc_id long, cluster long, blocks int, block int, hashes binary, signature binary")
-    other = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = other.select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc_id", (F.col("block") > F.col("other")).cast("int").alias("side"), "hashes", "signature")
-    tasks = tasks.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "doc_id")
-    confirmed = tasks.mapInArrow(_confirmed(percent), "a long, b long")
+    sets = common.stored(members.mapInArrow(_sets, "doc_id long, cluster long, blocks int, block int, hashes binary, signature binary"), "sets")
+    confirmed = _confirmed_links(sets, dealt, percent, block)
     groups = common.stored(common.components(confirmed), "groups")
     named = classes.join(groups, classes["rep"] == groups["node"], "left").select(*[F.col(c).alias(f"c_{c}") for c in same], F.coalesce("component", "rep").alias("component"))
     named = common.stored(named, "named-classes")
