@@ -150,6 +150,39 @@ def test_near_duplicates(spark, rows, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_links_within_one_large_cluster(spark):
+    """All members in one cluster: two star groups whose leaves are far from each other, a group of close copies, chains and singles."""
+    r = random.Random(11)
+    pool, own = [f"w{k}" for k in range(4000)], []
+
+    def varied(words, n):
+        words = list(words)
+        for at in r.sample(range(0, len(words) - 5, 12), n):
+            words[at] = r.choice(pool)
+        return words
+
+    for size, edits, many in ((240, 2, 45), (240, 2, 30), (200, 1, 25)):
+        base = [r.choice(pool) for _ in range(size)]
+        own += [varied(base, edits) for _ in range(many)] + [base]
+    chain = [r.choice(pool) for _ in range(150)]
+    for k in range(12):
+        chain = chain[8:] + [r.choice(pool) for _ in range(8)]
+        own.append(chain)
+    own += [[r.choice(pool) for _ in range(120)] for _ in range(20)]
+    r.shuffle(own)
+    own = [(i, " ".join(w)) for i, w in enumerate(own)]
+    want = {i: c for i, _, c in brute_near(own)}
+    assert 4 < len(set(want.values())) < 60
+    for block in (8, 16):
+        blocks = -(-len(own) // block)
+        dealt = spark.createDataFrame([(i, 0, blocks, i % blocks) for i, _ in own], "node long, cluster long, blocks int, block int")
+        texts = spark.createDataFrame([(i, t, 0, blocks, i % blocks) for i, t in own], "doc_id long, text string, cluster long, blocks int, block int")
+        sets = texts.mapInArrow(minhash._sets, "doc_id long, cluster long, blocks int, block int, hashes binary, signature binary")
+        found = common.components(minhash._confirmed_links(sets, dealt, 85, block))
+        have = {i: i for i, _ in own} | {x.node: x.component for x in found.collect()}
+        assert have == want
+
+
 def test_signature_estimates():
     r = np.random.default_rng(1)
     for overlap in (0, 300, 500, 900):
@@ -279,6 +312,12 @@ def test_language_id(spark, rows, empty):
     assert {r.lang_pred for r in langid.identify(docs, {}).collect()} == {"und"}
 
 
+def test_numbers_are_not_letters():
+    for t in ("½ ² 123 ⅷ ٣", "\u2460", "_ _"):
+        assert langid.letters(t) == "", t
+    assert langid.letters("a²b ª") == " a b ª " and langid.letters("日本 X") == " 日本 x "
+
+
 def test_profile_distance_by_hand():
     p = {"x": np.array([1, 2, 3], np.uint64), "y": np.array([3, 2, 1], np.uint64)}
     name, score = langid.Nearest(p, most=3)(np.array([1, 2, 9], np.uint64))
@@ -353,6 +392,22 @@ def test_disclosing_terms(spark):
     assert all(not found[10 + k] for k in range(80))
 
 
+def test_sanitised_texts(spark):
+    rows = [(i, f"Zanthor: write a{i % 2}@b.org now, or +49 30 1234567 ü 10.0.0.1", "en", "s") for i in range(6)]
+    rows += [(10 + i, "filler words of no harm at all " * 40, "en", "s") for i in range(25)] + [(50 + i, "other words stand here too " * 400, "en", "s") for i in range(10)] + [(40, None, None, None), (41, "", "en", "s"), (42, "plain write now", "en", "s")]
+    found = {r.doc_id: r for r in pii.personal_data(frame(spark, rows), with_text=True).collect()}
+    texts = {r.doc_id: r.text for r in pii.sanitised(frame(spark, rows)).collect()}
+    assert len(texts) == len(rows) and texts[40] == texts[41] == "" and texts[42] == "plain write now" and texts[10] == rows[6][1]
+    for i, t, _, _ in rows:
+        want, at = "", 0
+        for s in found[i].spans:
+            if s.end > at:
+                want += t[at : max(s.start, at)] + pii.STANDS_FOR[s.kind]
+                at = s.end
+        assert texts[i] == want + (t or "")[at:]
+    assert "@" not in texts[0] and "[EMAIL]" in texts[0] and "[IP]" in texts[0] and "[PHONE]" in texts[0] and "Zanthor" not in texts[0]
+
+
 def test_vectors(spark):
     r = np.random.default_rng(3)
     centres = r.normal(size=(30, 16))
