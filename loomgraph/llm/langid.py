@@ -10,7 +10,6 @@ a fixed number of rows per language, reaches the driver.
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +24,14 @@ PROFILE, DOCUMENT = 400, 400
 UNKNOWN = "und"
 #: n-grams of a task counted at a time
 _BYTES = 1 << 20
-#: ``\w`` also has numbers such as superscripts and fractions, which are neither decimal digits nor letters.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_NOT_LETTER = re.compile(rf"[\W\d_{_NUMBERS}]+")
+_NOT_LETTER = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str | None) -> str:
     """Lower-cased words of letters, each with a space before and the text with one after; empty without a letter."""
     words = _NOT_LETTER.sub(" ", text.lower()).strip() if text else ""
+    if words and not words.replace(" ", "").isalpha():  # ``\w`` also has numbers such as superscripts and fractions
+        words = " ".join("".join(c if c.isalpha() else " " for c in words).split())
     return f" {words} " if words else ""
 
 
