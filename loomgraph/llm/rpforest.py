@@ -1,9 +1,12 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
 Each tree splits the space again and again at the median of a random direction; vectors close to a cut go to both sides (spill).
-Splits are fitted on a bounded sample, but every distinct vector is routed through every tree. Vectors that share a leaf are
-compared, in double precision; what reaches the threshold is a link. Equal vectors are one class with a multiplicity, so a
-group of copies is one row here. Leaves larger than a block are dealt to pairs of blocks, so no task holds an unbounded group.
+Close is measured by the distance that two vectors at the threshold have along a direction, so a dense group is not parted as a
+wide one is; a node that lies mostly in its own spill zone is a leaf. Splits are fitted on a bounded sample, but every distinct
+vector is routed through every tree. Vectors that share a leaf are compared, in double precision; what reaches the threshold is
+a link, which counts in the first leaf that both share. Tasks return each vector's number of links and a forest of links, not
+all pairs. Equal vectors are one class with a multiplicity, so a group of copies is one row here. Leaves larger than a block are
+dealt to pairs of blocks, so no task holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ from loomgraph.llm import common
 
 COSINE = 0.95
 TREES, LEAF = 12, 256
-#: Sample that the splits are fitted on, in vectors, and the part of a node's vectors around the cut that goes to both sides.
-SAMPLE, SPILL = 16_384, 0.12
+#: Sample that the splits are fitted on, in vectors, and the width of the zone around a cut that goes to both sides, in standard
+#: deviations of the projected distance of two vectors at the threshold. A node with more than CROWDED in its zone is a leaf.
+SAMPLE, SPILL, CROWDED = 16_384, 1.0, 0.5
 BLOCK = 512
 SEED = 7
 
@@ -33,29 +37,29 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 class Tree:
     """Inner nodes as arrays: direction, the two bounds of the spill zone, children. A child below 0 is leaf -child - 1."""
 
-    def __init__(self, sample: np.ndarray, depth: int, leaf: int, spill: float, rng: np.random.Generator):
+    def __init__(self, sample: np.ndarray, depth: int, zone: float, rng: np.random.Generator):
         self.directions, self.low, self.high, self.children = [], [], [], []
         self.leaves = 0
-        self.root = self._grow(sample, np.arange(len(sample)), depth, leaf, spill, rng)
+        self.root = self._grow(sample, np.arange(len(sample)), depth, zone, rng)
         self.directions = np.array(self.directions)
 
     def _leaf(self) -> int:
         self.leaves += 1
         return -self.leaves
 
-    def _grow(self, sample, rows, depth, leaf, spill, rng) -> int:
+    def _grow(self, sample, rows, depth, zone, rng) -> int:
         if depth == 0 or len(rows) < 4:
             return self._leaf()
         d = rng.standard_normal(sample.shape[1])
         d /= np.linalg.norm(d)
         x = sample[rows] @ d
-        cut = np.quantile(x, [0.5 - spill / 2, 0.5 + spill / 2])
-        if cut[0] <= x.min() and cut[1] >= x.max():
+        cut = np.median(x) + np.array([-zone / 2, zone / 2])
+        if ((x >= cut[0]) & (x <= cut[1])).mean() > CROWDED:
             return self._leaf()
         n = len(self.directions)
         self.directions.append(d), self.low.append(cut[0]), self.high.append(cut[1]), self.children.append(None)
-        left = self._grow(sample, rows[x <= cut[1]], depth - 1, leaf, spill, rng)
-        right = self._grow(sample, rows[x >= cut[0]], depth - 1, leaf, spill, rng)
+        left = self._grow(sample, rows[x <= cut[1]], depth - 1, zone, rng)
+        right = self._grow(sample, rows[x >= cut[0]], depth - 1, zone, rng)
         self.children[n] = (left, right)
         return n
 
@@ -75,10 +79,11 @@ class Tree:
         return np.concatenate(rows), np.concatenate(leaves)
 
 
-def forest(sample: np.ndarray, total: int, *, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = SEED) -> list[Tree]:
-    """Trees deep enough that ``total`` vectors leave about ``leaf`` in each leaf, as far as the sample can place cuts."""
+def forest(sample: np.ndarray, total: int, *, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = SEED) -> list[Tree]:
+    """Trees deep enough that ``total`` vectors leave about ``leaf`` in each leaf, as far as the sample can place cuts and groups are not denser than the zone."""
     depth = max(0, int(np.ceil(np.log2(max(1, total) / leaf))))
-    return [Tree(sample, depth, leaf, spill, np.random.default_rng([seed, t])) for t in range(trees)]
+    zone = spill * np.sqrt(max(0.0, 2 - 2 * cosine) / sample.shape[1])
+    return [Tree(sample, depth, zone, np.random.default_rng([seed, t])) for t in range(trees)]
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -86,43 +91,85 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def spanning(linked: np.ndarray) -> tuple[list[int], list[int]]:
+    """A spanning forest of a symmetric matrix of links, as the ends of its edges."""
+    left, a, b = np.ones(len(linked), bool), [], []
+    for root in range(len(linked)):
+        todo = [root] if left[root] else []
+        left[root] = False
+        while todo:
+            at = todo.pop()
+            new = np.nonzero(linked[at] & left)[0].tolist()
+            left[new] = False
+            a += [at] * len(new)
+            b += new
+            todo += new
+    return a, b
+
+
 def links(vectors: DataFrame, *, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
-    """Links ``(a, b)``, a < b, between distinct vectors ``(rep long, v array<double>)`` of one length found by the forest."""
+    """What the forest finds between distinct vectors ``(rep long, copies long, v array<double>)`` of one length, as ``(a, b, n)``.
+
+    Rows with a < b are links that connect what all links do; rows with a = b add ``n``, copies counted, to the vector's links.
+    """
     spark = vectors.sparkSession
     common.ship(spark)
     total = vectors.count()
     fit = vectors.orderBy(F.xxhash64("rep")).limit(sample).select("v").collect() if total > sample else vectors.select("v").collect()  # at most `sample` vectors
     if len(fit) < 2:
-        return spark.createDataFrame([], "a long, b long")
-    grown = spark.sparkContext.broadcast(forest(unit(np.array([r["v"] for r in fit])), total, trees=trees, leaf=leaf, spill=spill))
+        return spark.createDataFrame([], "a long, b long, n long")
+    grown = spark.sparkContext.broadcast(forest(unit(np.array([r["v"] for r in fit])), total, cosine=cosine, trees=trees, leaf=leaf, spill=spill))
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v = unit(_vectors(b.column(1)))
-            for t, tree in enumerate(grown.value):
-                rows, leaves = tree.route(v)
+        first = common.ragged([tree.leaves for tree in grown.value])
+        for whole in batches:
+            for b in (whole.slice(at, 1024) for at in range(0, whole.num_rows, 1024)):
+                v = unit(_vectors(b.column(2)))
+                rows, leaves = (np.concatenate(x) for x in zip(*((rows, leaves + first[t]) for t, tree in enumerate(grown.value) for rows, leaves in [tree.route(v)])))
+                order = np.lexsort((leaves, rows))
+                rows, leaves = rows[order], leaves[order].astype(np.int32)
+                start = np.searchsorted(rows, rows)
+                at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(rows)), pa.array(leaves.astype(np.int64) | t << 48), pa.array([x.tobytes() for x in v[rows]], pa.binary())], names=["rep", "leaf", "v"])
+                    [b.column(0).take(at), b.column(1).take(at), pa.array(leaves.astype(np.int64)), pa.array([leaves[s:k].tobytes() for k, s in enumerate(start)], pa.binary()), pa.array([x.tobytes() for x in v], pa.binary()).take(at)],
+                    names=["rep", "copies", "leaf", "earlier", "v"])
 
-    placed = common.stored(vectors.select("rep", "v").mapInArrow(routed, "rep long, leaf long, v binary"), "leaf-members")
+    placed = common.stored(vectors.select("rep", "copies", "v").mapInArrow(routed, "rep long, copies long, leaf long, earlier binary, v binary"), "leaf-members")
     size = placed.groupBy(F.col("leaf").alias("of")).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     size = common.stored(size, "leaf-sizes")
     dealt = placed.join(size, placed["leaf"] == size["of"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = dealt.select("leaf", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rep", (F.col("block") > F.col("other")).cast("int").alias("side"), "v")
+    tasks = dealt.select("leaf", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rep", (F.col("block") > F.col("other")).cast("int").alias("side"), "v", "copies", "earlier")
     tasks = tasks.repartition("leaf", "x", "y").sortWithinPartitions("leaf", "x", "y", "rep")
 
     def compare(rows: list[tuple]) -> pa.RecordBatch | None:
-        ids = np.array([r[3] for r in rows])
         v = np.frombuffer(b"".join(r[5] for r in rows), np.float64).reshape(len(rows), -1)
         i, j = np.nonzero(np.triu(v @ v.T >= cosine - 1e-9, 1))
         if rows[0][1] != rows[0][2]:
             side = np.array([r[4] for r in rows])
-            i, j = i[side[i] != side[j]], j[side[i] != side[j]]
-        i, j = (x[np.einsum("ij,ij->i", v[i], v[j]) >= cosine] for x in (i, j)) if len(i) else (i, j)
-        if not len(i):
+            i, j = (x[side[i] != side[j]] for x in (i, j))
+        fine = np.concatenate([np.einsum("ij,ij->i", v[i[k : k + 65_536]], v[j[k : k + 65_536]]) >= cosine for k in range(0, len(i), 65_536)]) if len(i) else np.empty(0, bool)
+        if not fine.any():
+            return None
+        met, at = np.unique(np.concatenate([i[fine], j[fine]]), return_inverse=True)
+        i, j = at[: len(at) // 2], at[len(at) // 2 :]
+        earlier = [np.frombuffer(rows[k][7], np.int32) for k in met]
+        seen, place, times = np.unique(np.concatenate(earlier), return_inverse=True, return_counts=True)
+        holds = np.zeros((len(met), len(seen)), np.float32)
+        holds[np.repeat(np.arange(len(met)), [len(x) for x in earlier]), place] = 1
+        holds = holds[:, times > 1]
+        new = (holds @ holds.T == 0)[i, j]
+        if not new.any():
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], names=["a", "b"])
+        i, j = i[new], j[new]
+        ids, copies = (np.array([rows[k][c] for k in met], np.int64) for c in (3, 6))
+        linked = np.zeros((len(met), len(met)), bool)
+        linked[i, j] = linked[j, i] = True
+        n = linked @ copies
+        a, b = (ids[x] for x in map(np.array, spanning(linked)))
+        own = ids[n > 0]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([np.minimum(a, b), own])), pa.array(np.concatenate([np.maximum(a, b), own])), pa.array(np.concatenate([np.zeros(len(a), np.int64), n[n > 0]]))], names=["a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -136,7 +183,7 @@ def links(vectors: DataFrame, *, cosine: float = COSINE, trees: int = TREES, lea
         if rows and (out := compare(rows)) is not None:
             yield out
 
-    return tasks.mapInArrow(run, "a long, b long").distinct()
+    return tasks.mapInArrow(run, "a long, b long, n long")
 
 
 def near_duplicates(table: DataFrame, *, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, **options) -> DataFrame:
@@ -157,13 +204,11 @@ def near_duplicates(table: DataFrame, *, key: str = "vec_id", vector: str = "emb
     classes = common.stored(rows.where("fine").groupBy("class").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"), F.max(F.size("v")).alias("length")), "vector-classes")
     found = None
     for r in classes.select("length").distinct().collect():  # one row per length of vector
-        part = links(classes.where(F.col("length") == r["length"]).select("rep", "v"), cosine=cosine, **options)
+        part = links(classes.where(F.col("length") == r["length"]).select("rep", "copies", "v"), cosine=cosine, **options)
         found = part if found is None else found.unionByName(part)
-    found = common.stored(found if found is not None else spark.createDataFrame([], "a long, b long"), "vector-links")
-    copies = classes.select(F.col("rep").alias("b"), "copies")
-    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(copies, "b").groupBy(F.col("a").alias("linked_rep")).agg(F.sum("copies").alias("others"))
-    groups = common.components(found)
+    found = common.stored(found if found is not None else spark.createDataFrame([], "a long, b long, n long"), "vector-links")
+    degree = found.where("a = b").groupBy(F.col("a").alias("linked_rep")).agg(F.sum("n").alias("others"))
+    groups = common.components(found.where("a <> b"))
     named = classes.join(degree, classes["rep"] == degree["linked_rep"], "left").join(groups, classes["rep"] == groups["node"], "left")
     named = common.stored(named.select(F.col("class").alias("of"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")), "vector-groups")
     out = rows.select("vec_id", "class").join(named, F.col("class") == F.col("of"), "left")

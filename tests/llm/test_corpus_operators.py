@@ -426,6 +426,19 @@ def test_vectors(spark):
     assert rpforest.near_duplicates(table.where("false")).count() == 0
 
 
+def test_vectors_in_one_dense_group(spark):
+    # a third of the vectors, all different, at a cosine of about 0.96 with each other; each cut parts many of them
+    r = np.random.default_rng(5)
+    noise = rpforest.unit(r.normal(size=(800, 64)))
+    v = rpforest.unit(np.concatenate([np.sqrt(0.96) * rpforest.unit(r.normal(size=(1, 64))) + np.sqrt(0.04) * noise, r.normal(size=(1600, 64))]))
+    want = (v @ v.T >= 0.95).sum(axis=1) - 1
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = {x.vec_id: x for x in rpforest.near_duplicates(table, leaf=8, block=64).collect()}
+    have = np.array([found[i].n_links for i in range(len(v))])
+    assert (have <= want).all() and have.sum() >= 0.99 * want.sum() > 500_000
+    assert {found[i].component_id for i in range(800)} == {0}
+
+
 def duck(sf):
     import duckdb
 
