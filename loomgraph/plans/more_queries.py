@@ -63,7 +63,7 @@ _sql_text("n24_uid", "SELECT k, 'jira:site-1:P-Q:issue:' || key || ' x' AS uid F
 _sql_text("n25_scrubbed", "SELECT k, 'a=' || status || CASE WHEN k % 2 = 0 THEN ';c=x' ELSE '' END AS props FROM gen_cur", "gen_cur", k="k", props=lambda: F.array_join(F.transform(F.array_sort(F.map_entries(text.scrubbed(F.create_map(F.lit("a"), F.concat(F.lit("  "), "status"), F.lit("b"), F.lit("  "), F.lit("c"), F.when(F.col("k") % 2 == 0, "x"))))), lambda e: F.concat_ws("=", e["key"], e["value"])), ";"))
 KEYS = "list_filter(regexp_split_to_array({0}, '[^A-Za-z0-9_-]+'), lambda x: regexp_full_match(x, '[A-Z][A-Z0-9]{{1,9}}-[0-9]{{1,7}}'))"
 SEE = "'see DEM-' || (doc_id % 50) || ', api-2 and X-1 ' || substr(text, 1, 200)"
-_sql_text("n26_issue_keys", f"SELECT doc_id, array_to_string(list_distinct({KEYS.format(SEE)}), ',') AS keys FROM documents", "documents", doc_id="doc_id", keys=lambda: F.array_join(text.issue_keys(F.concat(F.lit("see DEM-"), (F.col("doc_id") % 50).cast("string"), F.lit(", api-2 and X-1 "), F.substring("text", 1, 200))), ","))
+_sql_text("n26_issue_keys", f"SELECT doc_id, array_to_string(list_distinct({KEYS.format(SEE)}), ',') AS keys FROM documents", "documents", doc_id="doc_id", keys=lambda: F.array_join(text.issue_keys(F.concat(F.lit("see DEM-"), (F.col("doc_id") % 50).cast("string"), F.lit(", api-2 and X-1 "), F.col("text"))), ","))
 _sql_text("n27_gherkin_steps", "SELECT k, '2:Given ' || key || '|3:Then ok' AS steps FROM gen_cur", "gen_cur", k="k", steps=lambda: F.array_join(F.transform(text.gherkin_steps(F.concat(F.lit("Scenario: x\nGiven "), "key", F.lit(" @a @b\nThen ok\nprose"))), lambda s: F.concat_ws(":", s["position"].cast("string"), s["text"])), "|"))
 _sql_text("n28_preconditions", "SELECT k, 'user ' || key || ' logged in|second' AS pre FROM gen_cur", "gen_cur", k="k", pre=lambda: F.array_join(text.preconditions(F.concat(F.lit("x\nPreconditions:\nuser "), "key", F.lit("\n  logged in\n\nsecond\nGiven y\nz"))), "|"))
 _sql_text("n29_n30_labels", "SELECT k, CASE WHEN k % 2 = 0 THEN status END AS state, CASE WHEN k % 3 = 0 THEN 'plans' WHEN k % 3 = 1 THEN 'sets' END AS collection FROM gen_cur", "gen_cur", k="k",
@@ -285,7 +285,7 @@ def g28(spark, sf_dir):
 
 @registered("g30_g31_mentions", f"SELECT 'w:page:' || doc_id AS start, 't:issue:' || unnest(list_distinct({KEYS.format(SEE)})) AS end_uid FROM documents")
 def g30(spark, sf_dir):
-    d = T(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("see DEM-"), (F.col("doc_id") % 50).cast("string"), F.lit(", api-2 and X-1 ")).alias("title"), F.substring("text", 1, 200).alias("body"))
+    d = T(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("see DEM-"), (F.col("doc_id") % 50).cast("string"), F.lit(", api-2 and X-1 ")).alias("title"), F.col("text").alias("body"))
     return extract.mentions(d, "doc_id", ["title", "body"], "w", "page", "t").select("start", "end_uid")
 
 

@@ -1,6 +1,7 @@
 """Operators on small fixtures and against simple sequential versions."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from loomgraph.functions import text, vocabulary
 from loomgraph.operators import diff, extract, graph, metrics, similar, state, traverse
 from loomgraph.operators.code import CODE
 from loomgraph.operators.delivery import DELIVERY
+from loomgraph.plans.queries import QUERIES
 from loomgraph.plans.registry import Catalogue, parameter
 from loomgraph.sources import io
 from loomgraph.streaming import observe
@@ -107,6 +109,18 @@ def test_text_functions(spark):
     assert one(spark, [], text.steps_text, "v array<struct<action:string,data:string,result:string>>") is None
 
 
+def test_issue_keys_of_whole_documents(spark, sf, tmp_path):
+    texts = ["x " * 150 + "LATE-7 and " + "y " * 5_000 + "END-42", "a" * 195 + " CUT-1234567 z", "none " * 100, "", None]
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: list(dict.fromkeys([f"DEM-{i}", *re.findall(r"(?<![\w-])[A-Z][A-Z0-9]{1,9}-\d{1,7}(?![\w-])", t or "")])) for i, t in enumerate(texts)}
+    assert want[0] == ["DEM-0", "LATE-7", "END-42"] and want[1] == ["DEM-1", "CUT-1234567"]
+    keys = {r.doc_id: r["keys"] for r in QUERIES["n26_issue_keys"](spark, str(tmp_path)).collect()}
+    assert keys == {i: None if t is None else ",".join(want[i]) for i, t in enumerate(texts)}
+    edges = sorted((r.start, r.end_uid) for r in QUERIES["g30_g31_mentions"](spark, str(tmp_path)).collect())
+    assert edges == sorted((f"w:page:{i}", f"t:issue:{k}") for i in want for k in want[i])
+
+
 def test_vocabulary(spark):
     assert one(spark, " Story ", vocabulary.labels_of_type) == ["Issue", "Story"]
     assert one(spark, None, vocabulary.labels_of_type) == ["Issue"]
