@@ -1,7 +1,7 @@
 """Near-duplicates by b-bit MinHash.
 
-1. One narrow pass hashes every document's word shingles, takes the minima of ``BANDS * ROWS`` hash functions, and keeps a digest
-   of the shingle set and one key per band. Documents with equal sets form a class, and only its first goes on.
+1. One narrow pass hashes every document's word shingles, takes the minima of the hash functions that the threshold needs
+   (``banding``), and keeps a digest of the shingle set and one key per band. Documents with equal sets form a class, and only its first goes on.
 2. Representatives that share a band key are candidates. Buckets are stars around their smallest id, not pairs; what they
    connect is a cluster, within which all links between different texts lie but for what banding misses (README).
 3. Clusters are dealt to blocks, and each block is a task of bounded size. There the low ``BITS`` of the minima, packed into
@@ -15,8 +15,10 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,10 +29,13 @@ from pyspark.sql import functions as F
 from loomgraph.llm import common
 
 SHINGLE = 5
-BANDS, ROWS, BITS = 24, 7, 4
+BITS = 4
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Estimates run below the truth by this much at most (4.5 standard deviations at the threshold); pairs below are not confirmed.
+#: Part of the pairs at the threshold that may miss all bands, and hash functions that bands and rows should not go beyond.
+MISS, HASHES = 1e-4, 192
+#: Estimates run below the truth by this much at most (4.5 standard deviations at ``PERCENT``; ``banding`` widens it for others); pairs
+#: below are not confirmed.
 MARGIN = 0.13
 BLOCK = 128
 #: Parts that a large cluster's members are joined in.
@@ -38,11 +43,47 @@ SALTS = 32
 #: Shingles hashed at a time, so that they stay in the CPU's cache.
 CHUNK = 1 << 15
 
-_rng = np.random.default_rng(20240229)
-_MULTIPLY = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-_ADD = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
-_PLACE = _rng.integers(0, 1 << 63, SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+class Banding(NamedTuple):
+    """Bands of rows for a threshold, what their hash functions multiply by and add, keys of the bands, and margin of estimates."""
+
+    bands: int
+    rows: int
+    multiply: np.ndarray
+    add: np.ndarray
+    place: np.ndarray
+    band: np.ndarray
+    margin: float
+
+
+@functools.cache
+def banding(percent: int) -> Banding:
+    """The most rows for which bands that miss at most ``MISS`` of the pairs at the threshold need no more than ``HASHES``."""
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent is {percent}, not 1 to 100")
+    like = min(percent, 99) / 100
+
+    def bands(rows: int) -> int:
+        n = int(np.ceil(np.log(MISS) / np.log1p(-(like**rows))))
+        return n + n * rows % 2  # signatures hold two values a byte
+
+    rows = 1
+    while bands(rows + 1) * (rows + 1) <= HASHES:
+        rows += 1
+    shape = bands(rows), rows
+    rng, n = np.random.default_rng(20240229), shape[0] * rows
+    multiply = (rng.integers(0, 1 << 32, n, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+    add = rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
+    place = rng.integers(0, 1 << 63, SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    band = rng.integers(0, 1 << 63, shape, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    chance = 1 / (1 << BITS)
+    equal = like + (1 - like) * chance
+    return Banding(*shape, multiply, add, place, band, max(MARGIN, 4.5 * np.sqrt(equal * (1 - equal) / n) / (1 - chance)))
+
+
+BANDS, ROWS = banding(PERCENT)[:2]
+#: Shingles hash alike for every threshold.
+_PLACE = banding(PERCENT).place
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -75,9 +116,10 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
+def minima(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """Minima of all hash functions for each set, as rows; sets must not be empty."""
-    out = np.empty((len(sets), BANDS * ROWS), dtype=np.uint32)
+    of = banding(percent)
+    out = np.empty((len(sets), of.bands * of.rows), dtype=np.uint32)
     i = 0
     while i < len(sets):
         j, size = i, 0
@@ -86,8 +128,8 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
             j += 1
         x = (np.concatenate(sets[i:j]) >> np.uint64(32)).astype(np.uint32)
         starts = common.ragged([len(s) for s in sets[i:j]])[:-1]
-        for p in range(BANDS * ROWS):
-            out[i:j, p] = np.minimum.reduceat(x * _MULTIPLY[p] + _ADD[p], starts)
+        for p in range(of.bands * of.rows):
+            out[i:j, p] = np.minimum.reduceat(x * of.multiply[p] + of.add[p], starts)
         i = j
     return out
 
@@ -105,7 +147,7 @@ def estimated(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     x |= x >> 2
     differ = np.bitwise_count(x & 0x11).sum(axis=1)
     chance = 1 / (1 << BITS)
-    return ((1 - differ / (BANDS * ROWS)) - chance) / (1 - chance)
+    return ((1 - differ / (2 * len(one))) - chance) / (1 - chance)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -133,7 +175,7 @@ def links_of_task(ids: list[int], sides: list[int], known: list[int], sets: list
         if not len(j):
             continue
         e = estimated(signatures[i], signatures[j])
-        for k in j[np.argsort(-e, kind="stable")][: int((e >= percent / 100 - MARGIN).sum())]:
+        for k in j[np.argsort(-e, kind="stable")][: int((e >= percent / 100 - banding(percent).margin).sum())]:
             if root[k] != root[i] and linked(sets[i], sets[k], percent):
                 out.append((ids[i], ids[k]))
                 root[root == root[k]] = root[i]
@@ -143,16 +185,17 @@ def links_of_task(ids: list[int], sides: list[int], known: list[int], sets: list
 SIGNATURES = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Set size, set digest and band keys of every ``(doc_id, text)``; no bands for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = banding(percent)
         for whole in batches:
             for b in common.slices(whole, most=4 << 20):
                 sets = shingle_sets(common.texts_of(b.column(1)))
                 full = [i for i, s in enumerate(sets) if len(s)]
-                m = minima([sets[i] for i in full]).astype(np.uint64).reshape(len(full), BANDS, ROWS)
-                keys = _mixed((m * _BAND).sum(axis=2, dtype=np.uint64)).view(np.int64)
+                m = minima([sets[i] for i in full], percent).astype(np.uint64).reshape(len(full), of.bands, of.rows)
+                keys = _mixed((m * of.band).sum(axis=2, dtype=np.uint64)).view(np.int64)
                 bands: list = [[]] * len(sets)
                 for row, i in enumerate(full):
                     bands[i] = keys[row]
@@ -164,13 +207,13 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, SIGNATURES)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, cluster, blocks, block) to the same with set and packed signature instead of the text."""
     for whole in batches:
         for b in common.slices(whole, most=4 << 20):
             sets = shingle_sets(common.texts_of(b.column(1)))
             full = [i for i, s in enumerate(sets) if len(s)]
-            sig = packed(minima([sets[i] for i in full]))
+            sig = packed(minima([sets[i] for i in full], percent))
             b = b.take(pa.array(full, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), b.column(3), b.column(4), pa.array([sets[i].tobytes() for i in full], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())],
@@ -275,7 +318,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     common.ship(spark)
     narrow = common.with_columns_kept(docs, key, text)
-    sig = common.stored(signatures(narrow), "signatures")
+    sig = common.stored(signatures(narrow, percent), "signatures")
     same = ["d1", "d2", "n_shingles"]
     classes = common.stored(sig.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select("rep").distinct()
@@ -290,7 +333,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         "node", F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     dealt = common.stored(dealt, "dealt-clusters")
     members = narrow.join(dealt, narrow["doc_id"] == dealt["node"]).select("doc_id", "text", "cluster", "blocks", "block")
-    sets = common.stored(members.mapInArrow(_sets, "doc_id long, cluster long, blocks int, block int, hashes binary, signature binary"), "sets")
+    sets = common.stored(members.mapInArrow(lambda batches: _sets(batches, percent), "doc_id long, cluster long, blocks int, block int, hashes binary, signature binary"), "sets")
     confirmed = _confirmed_links(sets, dealt, percent, block)
     groups = common.stored(common.components(confirmed), "groups")
     named = classes.join(groups, classes["rep"] == groups["node"], "left").select(*[F.col(c).alias(f"c_{c}") for c in same], F.coalesce("component", "rep").alias("component"))

@@ -194,6 +194,29 @@ def test_signature_estimates():
     assert band > 0.9999
 
 
+def test_bands_follow_the_threshold():
+    assert minhash.banding(85)[:2] == (24, 7)
+    for percent in range(1, 101):
+        of = minhash.banding(percent)
+        assert (1 - (percent / 100) ** of.rows) ** of.bands <= minhash.MISS and of.bands * of.rows % 2 == 0 and of.margin >= minhash.MARGIN
+    with pytest.raises(ValueError):
+        minhash.banding(0)
+
+
+@pytest.mark.parametrize("percent", [50, 80])
+def test_pairs_near_a_lower_threshold(spark, percent):
+    # pairs of texts of 296 shingles each whose similarity is a little above the threshold, and five pairs below
+    least = -(-2 * 296 * percent // (100 + percent))
+    rows = []
+    for k in range(45):
+        same = least + k % 8 if k < 40 else least - 1
+        one = [f"w{k}x{i}" for i in range(300)]
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(one[: same + 4] + [f"v{k}x{i}" for i in range(296 - same)]))]
+    found = minhash.near_duplicates(frame(spark, [(i, t, "en", "s") for i, t in rows]), percent=percent)
+    have = sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect())
+    assert have == brute_near(rows, percent) and sum(i != c for i, _, c in have) == 40
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1200)] + [(5000, k) for k in range(5001, 5100)]
