@@ -4,7 +4,7 @@ Base spans are found by patterns, as ``regexp_extract_all`` for the matches and
 give the positions. The patterns are written so that they need no backtracking over long runs, with the same matches.
 
 Information-theoretic sanitisation then looks at the words beside each base span. Over the whole corpus it counts how often a
-term stands beside an entity (a kind with its value) and how often the term occurs at all. ``n(term, entity) / n(term)`` estimates
+term stands beside an entity (a kind with its value) and how often the term occurs at all outside base spans. ``n(term, entity) / n(term)`` estimates
 the probability that the term, seen alone, points to the entity; its ratio to the entity's own share is the pointwise mutual
 information. A term that points to an entity with at least ``GENERALISE`` (``REMOVE``), gains at least ``BITS`` and was seen
 beside it more than once is generalised (removed) where it stands beside the entity; elsewhere it then has nothing to point to.
@@ -129,9 +129,9 @@ def disclosing(contexts: DataFrame, terms: DataFrame) -> DataFrame:
         "entity", "term", F.when(share >= REMOVE, "remove").otherwise("generalise").alias("action"))
 
 
-def replaced(text: Column, spans: Column) -> Column:
+def replaced(text: Column, spans: Column, stands_for: dict[str, str] = STANDS_FOR) -> Column:
     """The text with each ordered span replaced by what stands for its kind; of overlapping spans the later ones give what is left of them."""
-    stand = F.create_map(*[F.lit(x) for pair in STANDS_FOR.items() for x in pair])
+    stand = F.create_map(*[F.lit(x) for pair in stands_for.items() for x in pair])
     step = lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
         s["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), stand[s["kind"]])).alias("out")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -154,8 +154,9 @@ def personal_data(docs: DataFrame, *, key: str = "doc_id", text: str = "text", w
     own = ["text"] if with_text else []
     rows = common.stored(base.select("row_id", "doc_id", "spans", *own, beside(F.col("text"), F.col("spans")).alias("words")), "spans")
     near = rows.select("row_id", F.explode("words").alias("w")).select("row_id", "w.*")
-    words = F.explode(F.split(F.lower(F.col(text).cast("string")), r"[^\p{L}]+"))
-    terms = docs.select(words.alias("term")).where(F.length("term") >= 3).groupBy("term").agg(F.count("*").alias("n"))
+    outside = F.when(F.size("spans") > 0, replaced(F.col("text"), ordered(F.col("spans"), KINDS), dict.fromkeys(KINDS, " "))).otherwise(F.col("text"))
+    words = F.explode(F.split(F.lower(outside), r"[^\p{L}]+"))
+    terms = base.select(words.alias("term")).where(F.length("term") >= 3).groupBy("term").agg(F.count("*").alias("n"))
     told = common.stored(disclosing(near, terms), "disclosing").withColumnsRenamed({"entity": "told_entity", "term": "told_term"})
     added = near.join(told, (F.col("entity") == F.col("told_entity")) & (F.col("term") == F.col("told_term")))
     added = added.groupBy(F.col("row_id").alias("added_row")).agg(

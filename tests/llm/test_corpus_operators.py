@@ -415,6 +415,15 @@ def test_disclosing_terms(spark):
     assert all(not found[10 + k] for k in range(80))
 
 
+def test_terms_count_outside_base_spans(spark):
+    # the name is part of the address too; what stands inside a base span is no occurrence of the term
+    told = ["common Smithson <smithson@x.org> common", "common Okonkwo <j.okonkwo@okonkwo.org> common"]
+    docs = frame(spark, [(k, told[k % 2], "en", "s") for k in range(6)] + [(10 + k, "common words " * 40, "en", "s") for k in range(80)])
+    found = {r.doc_id: {(s.kind, s.start, s.end) for s in r.spans} for r in pii.personal_data(docs).collect()}
+    assert found[0] == {("email", 17, 31), ("remove", 7, 15)} and found[1] == {("email", 16, 37), ("remove", 7, 14)}
+    assert all("mithson" not in r.text and "konkwo" not in r.text for r in pii.sanitised(docs).collect())
+
+
 def test_sanitised_texts(spark):
     rows = [(i, f"Zanthor: write a{i % 2}@b.org now, or +49 30 1234567 ü 10.0.0.1", "en", "s") for i in range(6)]
     rows += [(10 + i, "filler words of no harm at all " * 40, "en", "s") for i in range(25)] + [(50 + i, "other words stand here too " * 400, "en", "s") for i in range(10)] + [(40, None, None, None), (41, "", "en", "s"), (42, "plain write now", "en", "s")]
