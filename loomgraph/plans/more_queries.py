@@ -433,13 +433,13 @@ def _stream_paths(spark):
 
 @registered("w1_observed_events", f"SELECT kind, key, field_name, before, after FROM ({EVENTS}) e")
 def w1(spark, sf_dir):
-    """Two generations landed one after the other, observed as a stream with one file per micro-batch: the second batch raises the diff."""
+    """Two generations landed one after the other, observed as a stream that takes all files of a generation as one micro-batch: the second batch raises the diff."""
     at = _stream_paths(spark)
     schema = None
     for name in ("gen_prev", "gen_cur"):
         g = generation(spark, sf_dir, name)
         schema = g.schema
-        g.coalesce(1).write.mode("append").parquet(f"{at}/landing")
+        g.write.mode("append").parquet(f"{at}/landing")
         stream = spark.readStream.schema(schema).parquet(f"{at}/landing")
         observe.run(observe.observe(stream, snapshots=f"{at}/snapshots", events=f"{at}/events", detected_at=AT), f"{at}/checkpoint")
     return spark.read.parquet(f"{at}/events").where("batch = 1").select("kind", "key", "field_name", "before", "after")

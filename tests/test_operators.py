@@ -220,6 +220,17 @@ def test_upsert_stream(spark, tmp_path):
     assert got["a"] == ({"k": "2"}, 1) and got["b"][1] == 0
 
 
+def test_generations_land_in_their_partitions(spark, sf, tmp_path, monkeypatch):
+    from loomgraph.plans import more_queries
+
+    want = sorted(map(str, QUERIES["w1_observed_events"](spark, sf).collect()))
+    own = more_queries.generation
+    monkeypatch.setattr(more_queries, "generation", lambda *a: own(*a).repartition(3))
+    monkeypatch.setattr(more_queries, "_stream_paths", lambda _: str(tmp_path))
+    assert sorted(map(str, QUERIES["w1_observed_events"](spark, sf).collect())) == want
+    assert len(list((tmp_path / "landing").glob("*.parquet"))) == 6
+
+
 def test_reconcile(spark, tmp_path):
     c = spark.createDataFrame([item("1")], ITEM)
     events, gone = observe.reconcile(spark, c, snapshots=f"{tmp_path}/none", generation=0, detected_at="now")
