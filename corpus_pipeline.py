@@ -13,26 +13,43 @@ from loomgraph.llm import common, decontam, langid, minhash, mixing, sharding
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is recognised: those without a letter, or close to no profile at all, go.
+    """Keeps documents in any language that is recognised: those without a letter, or close to no profile at all, go.
 
-    Profiles are learned from the documents whose ids are not held out, as in the language query.
+    The corpus is multilingual on purpose, so no language is turned away; the stage rejects what is in none. Profiles are learned
+    from the documents whose ids are not held out, as in the language query.
     """
     found = langid.identify(docs, langid.profiles(docs.where(~langid.held_out())), keep=docs.columns)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > 0)).select("row.*")
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a number for each row, stored so that it stays the same, and the number's name, which no column of theirs has."""
+    number = "row_number"
+    while number in docs.columns:
+        number += "_"
+    return common.stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered"), number
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, the one with the smallest id."""
-    found = minhash.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """Keeps one row of each group of near-duplicates (similarity of at least 0.8), the one with the smallest id, a null id last.
+
+    Rows are told apart by number, so of repeated rows one stays, and rows with one id and different texts are documents of their own.
+    """
+    rows, number = numbered(docs)
+    found = minhash.near_duplicates(rows, key=number, percent=80).select(F.col("doc_id").alias("found_row"), F.col("component_id").alias("group"))
+    least = F.struct(F.col("doc_id").isNull(), "doc_id", number)
+    groups = found.join(rows.select(number, "doc_id"), F.col("found_row") == F.col(number)).groupBy("group").agg(F.min(least).alias("least"), F.count("*").alias("n")).where("n > 1")
+    stays = common.stored(groups.select("group", F.col(f"least.{number}").alias("stays")), "kept-of-groups")
+    gone = found.join(stays, "group").where("found_row <> stays").select("found_row")
+    return rows.join(gone, rows[number] == gone["found_row"], "left_anti").drop(number)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with any word inside an occurrence of a benchmark window."""
-    found = decontam.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
-    gone = found.where(F.size("starts") > 0).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """Drops rows with any word inside an occurrence of a benchmark window."""
+    rows, number = numbered(docs)
+    found = decontam.decontaminate(rows, common.table(spark, sf_dir, "benchmark"), key=number)
+    gone = found.where(F.size("starts") > 0).select(F.col("doc_id").alias("found_row"))
+    return rows.join(gone, rows[number] == gone["found_row"], "left_anti").drop(number)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

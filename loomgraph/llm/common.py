@@ -38,10 +38,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder of our own where it is unset and Spark runs locally."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="spark-loomgraph-")
@@ -58,13 +60,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_stored_at"] = path
+    return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a table of ours that nothing reads any more."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes tables of ``stored`` that nothing reads any more; others are left alone."""
+    for t in tables:
+        path = t.__dict__.get("_stored_at") if t is not None else None
+        if path:
+            spark = t.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -138,14 +146,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         p = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("p")), "pointers")
         while True:
             r = p.select(F.col("node").alias("p"), F.col("p").alias("up"))
-            q = stored(p.join(r, "p").select("node", F.col("up").alias("p"), (F.col("up") != F.col("p")).alias("moved")), "pointers")
-            p = q.select("node", "p")
+            q = stored(p.select("node", "p").join(r, "p").select("node", F.col("up").alias("p"), (F.col("up") != F.col("p")).alias("moved")), "pointers")
+            drop(p)
+            p = q
             if q.where("moved").isEmpty():
                 break
+        p_, old = p.select("node", "p"), (e, total)
         total = p if total is None else stored(
-            total.withColumnRenamed("p", "q").join(p.select(F.col("node").alias("q"), "p"), "q", "left").select("node", F.coalesce("p", "q").alias("p")), "components")
-        pa_, pb_ = p.select(F.col("node").alias("a"), F.col("p").alias("ra")), p.select(F.col("node").alias("b"), F.col("p").alias("rb"))
-        e = stored(e.join(pa_, "a").join(pb_, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+            total.select("node", F.col("p").alias("q")).join(p_.select(F.col("node").alias("q"), "p"), "q", "left").select("node", F.coalesce("p", "q").alias("p")), "components")
+        ends = [p_.select(F.col("node").alias(x), F.col("p").alias(f"r{x}")) for x in "ab"]
+        e = stored(e.join(ends[0], "a").join(ends[1], "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        drop(*old, *([p] if p is not total else []))
+    drop(e)
     if total is None:
         return spark.createDataFrame([], "node long, component long")
     return total.select("node", F.col("p").alias("component"))

@@ -1,15 +1,16 @@
 """Near-duplicates by b-bit MinHash.
 
-1. One narrow pass hashes every document's word shingles, takes the minima of the hash functions that the threshold needs
-   (``banding``), and keeps a digest of the shingle set and one key per band. Documents with equal sets form a class, and only its first goes on.
-2. Representatives that share a band key are candidates. Buckets are stars around their smallest id, not pairs; what they
-   connect is a cluster, within which all links between different texts lie but for what banding misses (README).
-3. Clusters are dealt to blocks, and each block is a task of bounded size. There the low ``BITS`` of the minima, packed into
-   bytes, are compared by counting equal bits: the collision-corrected estimate says which pairs to confirm on their full
-   sets. Pairs already connected are not compared again, so a task returns a forest, not all pairs.
-4. Of a cluster of several blocks, every block also holds the cluster's first member, and then meets the member with most links:
-   two linear passes that connect a group of copies of one text. Only where a cluster still has several parts are blocks of
-   different parts compared, pair by pair, so that no link between parts is lost.
+1. One narrow pass hashes every document's word shingles and takes the minima of the hash functions that the threshold needs
+   (``banding``). It keeps a digest of the shingle set, one key per band, and the low ``BITS`` of the minima, packed. Documents
+   with equal sets form a class, and only its first goes on.
+2. Only documents that share a band key, a bucket, are ever compared. Every member of a bucket is paired with the bucket's first.
+   Counting equal bits of the packed minima gives a collision-corrected estimate; pairs whose estimate is near the threshold or
+   above are confirmed on their full sets. This is linear in the number of band keys and joins groups of close copies.
+3. A bucket that still holds several parts, and more members than a block, is joined around its member with most links: linear too, and
+   enough for copies of one text that are far from each other.
+4. Members of different parts of a bucket are compared by their packed minima, in blocks of bounded size that are spread over the
+   tasks. What the estimate leaves is confirmed on full sets, so no link between parts is lost. Parts that are already
+   connected are not compared, so the cost follows what is still open within buckets, never what buckets connect.
 5. Components over the confirmed links give each document its group.
 """
 
@@ -23,7 +24,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import common
@@ -37,9 +38,8 @@ MISS, HASHES = 1e-4, 192
 #: Estimates run below the truth by this much at most (4.5 standard deviations at ``PERCENT``; ``banding`` widens it for others); pairs
 #: below are not confirmed.
 MARGIN = 0.13
+#: Members of a block, and pairs that are confirmed around one document in a task.
 BLOCK = 128
-#: Parts that a large cluster's members are joined in.
-SALTS = 32
 #: Shingles hashed at a time, so that they stay in the CPU's cache.
 CHUNK = 1 << 15
 
@@ -135,19 +135,33 @@ def minima(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
 
 
 def packed(m: np.ndarray) -> np.ndarray:
-    """The low four bits of the minima, two to a byte."""
+    """The low four bits of the minima, two to a byte, filled up to whole 64-bit words."""
     low = (m & 15).astype(np.uint8)
+    low = np.pad(low, ((0, 0), (0, -low.shape[1] % 16)))
     return low[:, 0::2] << 4 | low[:, 1::2]
 
 
-def estimated(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Similarity of one packed signature to many: share of equal values by bit count, corrected for those equal by chance."""
+def estimated(one: np.ndarray, many: np.ndarray, n: int) -> np.ndarray:
+    """Similarity of one packed signature of ``n`` values to many: share of equal values by bit count, corrected for those equal by chance."""
     x = one ^ many
     x |= x >> 1
     x |= x >> 2
     differ = np.bitwise_count(x & 0x11).sum(axis=1)
     chance = 1 / (1 << BITS)
-    return ((1 - differ / (2 * len(one))) - chance) / (1 - chance)
+    return ((1 - differ / n) - chance) / (1 - chance)
+
+
+def estimate(one: Column, other: Column, n: int) -> Column:
+    """The same of two columns of packed signatures as arrays of 64-bit words."""
+    low = F.lit(0x1111111111111111)
+
+    def differing(x: Column) -> Column:
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(low)).cast("int")
+
+    differ = F.aggregate(F.zip_with(one, other, lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda total, x: total + differing(x))
+    chance = 1 / (1 << BITS)
+    return ((1 - differ / n) - chance) / (1 - chance)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -160,33 +174,29 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def links_of_task(ids: list[int], sides: list[int], known: list[int], sets: list[np.ndarray], signatures: np.ndarray, same: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """A forest of confirmed links between parts that are ``known``: within one block, or between two blocks (sides 0 and 1)."""
-    n = len(ids)
-    root = np.unique(np.array(known), return_inverse=True)[1]
-    size = np.array([len(s) for s in sets], dtype=np.int64)
-    side = np.array(sides)
-    out = []
-    for i in range(n - 1):
-        j = np.arange(i + 1, n)
-        j = j[(root[j] != root[i]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))]
-        if not same:
-            j = j[side[j] != side[i]]
-        if not len(j):
-            continue
-        e = estimated(signatures[i], signatures[j])
-        for k in j[np.argsort(-e, kind="stable")][: int((e >= percent / 100 - banding(percent).margin).sum())]:
-            if root[k] != root[i] and linked(sets[i], sets[k], percent):
-                out.append((ids[i], ids[k]))
-                root[root == root[k]] = root[i]
+def candidates_of_task(ids: list[int], parts: list[int], hubs: list[bool], size: np.ndarray, signatures: np.ndarray, bands: np.ndarray, key: int, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Pairs of different parts whose estimates are near the threshold or above, among the members of a bucket.
+
+    Pairs with the bucket's first member were confirmed before, and a pair counts in the first of the bands that it shares only.
+    """
+    of, out = banding(percent), []
+    part, hub, size = np.array(parts), np.array(hubs), np.asarray(size)
+    for i in np.flatnonzero(~hub):
+        j = np.arange(i + 1, len(ids))
+        j = j[(part[j] != part[i]) & ~hub[j] & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))]
+        if len(j):
+            j = j[estimated(signatures[i], signatures[j], of.bands * of.rows) >= percent / 100 - of.margin]
+        if len(j):
+            j = j[bands[i][np.argmax(bands[j] == bands[i], axis=1)] == key]
+            out += [(min(ids[i], ids[k]), max(ids[i], ids[k])) for k in j]
     return out
 
 
-SIGNATURES = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
+SIGNATURES = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, signature array<long>"
 
 
 def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Set size, set digest and band keys of every ``(doc_id, text)``; no bands for an empty set."""
+    """Set size, set digest, band keys and packed minima of every ``(doc_id, text)``; no bands and minima for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = banding(percent)
@@ -194,117 +204,156 @@ def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             for b in common.slices(whole, most=4 << 20):
                 sets = shingle_sets(common.texts_of(b.column(1)))
                 full = [i for i, s in enumerate(sets) if len(s)]
-                m = minima([sets[i] for i in full], percent).astype(np.uint64).reshape(len(full), of.bands, of.rows)
-                keys = _mixed((m * of.band).sum(axis=2, dtype=np.uint64)).view(np.int64)
+                m = minima([sets[i] for i in full], percent)
+                low = packed(m).view(np.int64)
+                keys = _mixed((m.astype(np.uint64).reshape(len(full), of.bands, of.rows) * of.band).sum(axis=2, dtype=np.uint64)).view(np.int64)
                 bands: list = [[]] * len(sets)
+                own: list = [[]] * len(sets)
                 for row, i in enumerate(full):
-                    bands[i] = keys[row]
+                    bands[i], own[i] = keys[row], low[row]
                 digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), dtype=np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "d1", "d2", "bands"])
+                    [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(bands, pa.list_(pa.int64())), pa.array(own, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "d1", "d2", "bands", "signature"])
 
     return docs.mapInArrow(run, SIGNATURES)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, cluster, blocks, block) to the same with set and packed signature instead of the text."""
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to (doc_id, hashes); empty sets go, and rows that repeat within a task."""
+    seen: set[tuple] = set()
     for whole in batches:
         for b in common.slices(whole, most=4 << 20):
-            sets = shingle_sets(common.texts_of(b.column(1)))
-            full = [i for i, s in enumerate(sets) if len(s)]
-            sig = packed(minima([sets[i] for i in full], percent))
-            b = b.take(pa.array(full, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), b.column(3), b.column(4), pa.array([sets[i].tobytes() for i in full], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())],
-                names=["doc_id", "cluster", "blocks", "block", "hashes", "signature"])
+            sets = [s.tobytes() for s in shingle_sets(common.texts_of(b.column(1)))]
+            rows = []
+            for i, s in zip(b.column(0).to_pylist(), sets):
+                if s and (known := (i, hash(s))) not in seen:
+                    seen.add(known)
+                    rows.append((i, s))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary()))], names=["doc_id", "hashes"])
+
+
+def _pairs(rows: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["a", "b"])
 
 
-def _confirmed(percent: int):
-    def task(rows: list[tuple]) -> list[tuple[int, int]]:
-        same = rows[0][1] == rows[0][2]
-        return links_of_task([r[3] for r in rows], [r[4] for r in rows], [r[5] for r in rows], [np.frombuffer(r[6], np.uint64) for r in rows],
-                             np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1), same, percent)
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """The distinct pairs ``(a, b)`` whose full sets are similar enough, stored.
+
+    Pairs are dealt to tasks of one ``a`` and about ``block`` partners, so the set of an ``a`` with many partners travels once per block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by task; a task's rows may span batches."""
-        rows: list[tuple] = []
+        task, ours = None, []
         for b in batches:
             out = []
-            for r in zip(*(c.to_pylist() for c in b.columns)):
-                if rows and r[:3] != rows[0][:3]:
-                    out += task(rows)
-                    rows = []
-                rows.append(r)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
-        if rows and (out := task(rows)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
-
-    return run
+            for k in range(b.num_rows):
+                a, x, side, node = (b.column(c)[k].as_py() for c in range(4))
+                if (a, x) != task:
+                    task, ours = (a, x), []
+                s = np.frombuffer(b.column(4)[k].as_py(), np.uint64)
+                if not side:
+                    ours.append(s)
+                elif any(linked(o, s, percent) for o in ours):
+                    out.append((a, node))
+            yield from _pairs(out)
+
+    dealt = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("tasks"))
+    partners = pairs.join(dealt, "a").select("a", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int").alias("x"), F.lit(1).alias("side"), F.col("b").alias("node"))
+    own = dealt.select("a", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("x"), F.lit(0).alias("side"), F.col("a").alias("node"))
+    rows = own.union(partners).join(sets, F.col("node") == F.col("doc_id")).select("a", "x", "side", "node", "hashes")
+    return common.stored(rows.repartition("a", "x").sortWithinPartitions("a", "x", "side", "node").mapInArrow(run, "a long, b long"), "links")
+
+
+def _likely(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs ``(a, b)`` whose sizes and packed minima allow a link, stored."""
+    of = banding(percent)
+    side = lambda x: info.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"))
+    met = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
+    return common.stored(met.where(estimate(F.col("s_a"), F.col("s_b"), of.bands * of.rows) >= percent / 100 - of.margin).select("a", "b").distinct(), "likely-pairs")
 
 
-TASK = ["cluster", "x", "y", "doc_id", "side", "known", "hashes", "signature"]
+def _open_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``(band, rep, hub, part, size, degree)`` of the members of buckets that links leave in several parts; two members were compared before."""
+    groups = common.components(links)
+    part = groups.select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    ends = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("degree"))
+    rows = members.join(part, "rep", "left").join(ends, "rep", "left").select("band", "rep", "hub", F.coalesce("part", "rep").alias("part"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    rows = common.stored(rows, "bucket-parts")
+    still = rows.groupBy("band").agg(F.count("*").alias("size"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high and size > 2").select("band", "size")
+    found = common.stored(rows.join(still, "band"), "open-buckets")
+    common.drop(rows, groups)
+    return found
 
 
-def _links(tasks: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links ``(a, b)`` of all tasks, rows of ``TASK``, stored."""
-    rows = tasks.select(*TASK).repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "doc_id")
-    return common.stored(rows.mapInArrow(_confirmed(percent), "a long, b long"), "links")
+def _across_parts(buckets: DataFrame, info: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs ``(a, b)`` of members of different parts of a bucket whose estimates allow a link.
 
+    Parts of at least a block have blocks of their own, which need not meet each other; smaller parts share mixed blocks.
+    """
+    kinds = buckets.groupBy("band", "part").agg(F.count("*").alias("n")).withColumn("pure", F.when(F.col("n") >= block, F.col("part")))
+    room = kinds.groupBy(F.col("band").alias("rb"), F.col("pure").alias("rp")).agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
+    kinds = kinds.join(room, (F.col("band") == F.col("rb")) & F.col("pure").eqNullSafe(F.col("rp"))).select("band", "part", "pure", "blocks")
+    own = buckets.join(kinds, ["band", "part"]).withColumn("own", F.xxhash64("pure", F.pmod(F.xxhash64("rep"), F.col("blocks"))))
+    other = room.select(F.col("rb").alias("band"), "rp", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64("rp", k.cast("long")))).alias("other"))
+    met = own.join(other, "band").where(~F.coalesce(F.col("pure") == F.col("rp"), F.lit(False)))
+    met = met.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "part", (F.col("rep") == F.col("hub")).alias("first"))
+    rows = met.join(info, "rep").select("band", "x", "y", "side", "rep", "part", "first", "n_shingles", "signature", "bands")
+
+    def task(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
+        rows = [r for r in rows if r[3] == 0] + [r for r in rows if r[3]]
+        found = candidates_of_task([r[4] for r in rows], [r[5] for r in rows], [r[6] for r in rows], np.array([r[7] for r in rows]), np.array([r[8] for r in rows], np.int64).view(np.uint8), np.array([r[9] for r in rows], np.int64), key[0], percent)
+        if key[1] == key[2]:
+            return found
+        side = {r[4]: r[3] for r in rows}
+        return [p for p in found if side[p[0]] != side[p[1]]]
 
-def _open_parts(where: DataFrame, links: DataFrame) -> DataFrame:
-    """``(node, cluster, known, pivot, pivot_known)`` of the members of clusters that links leave in several parts.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by task; a task's rows may span batches."""
+        waiting: list[tuple] = []
+        for b in batches:
+            out = []
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                if waiting and r[:3] != waiting[0][:3]:
+                    out += task(waiting[0][:3], waiting)
+                    waiting = []
+                waiting.append(r)
+            yield from _pairs(out)
+        if waiting:
+            yield from _pairs(task(waiting[0][:3], waiting))
 
-    ``known`` is the part that a member belongs to, the pivot the cluster's member with most links.
-    """
-    parts = common.components(links).select(F.col("node").alias("part_node"), F.col("component").alias("part"))
-    ends = links.select(F.col("a").alias("end")).union(links.select("b")).groupBy("end").agg(F.count("*").alias("degree"))
-    rows = where.join(parts, F.col("node") == F.col("part_node"), "left").join(ends, F.col("node") == F.col("end"), "left")
-    rows = common.stored(rows.select("node", "cluster", F.coalesce("part", "node").alias("known"), F.coalesce("degree", F.lit(0)).alias("degree")), "parts")
-    best = F.max(F.struct("degree", (-F.col("node")).alias("node"), "known")).alias("best")
-    still = rows.groupBy(F.col("cluster").alias("of")).agg(F.min("known").alias("low"), F.max("known").alias("high"), best).where("low < high")
-    return rows.join(still, F.col("cluster") == F.col("of")).select("node", "cluster", "known", (-F.col("best.node")).alias("pivot"), F.col("best.known").alias("pivot_known"))
+    rows = rows.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "rep")
+    return common.stored(rows.mapInArrow(run, "a long, b long").distinct(), "pairs-across-parts")
 
 
-def _between_parts(sets: DataFrame, parts: DataFrame, block: int) -> DataFrame:
-    """Tasks that compare all members of different parts of a cluster.
+def confirmed_links(members: DataFrame, info: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links ``(a, b)`` that connect what all links between members of one bucket do.
 
-    Parts of at least a block have blocks of their own, which need not meet each other; smaller parts share mixed blocks.
+    ``members`` are ``(band, rep, hub)`` with the bucket's first member as hub, ``info`` is ``(rep, n_shingles, signature, bands)``, ``sets`` is ``(doc_id, hashes)``.
     """
-    kinds = parts.groupBy("cluster", "known").agg(F.count("*").alias("n")).withColumn("pure", F.when(F.col("n") >= block, F.col("known")).otherwise(F.lit(None)))
-    room = kinds.groupBy("cluster", "pure").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
-    kinds = kinds.select(F.col("cluster").alias("kc"), F.col("known").alias("kk"), F.col("pure").alias("kp"))
-    kinds = kinds.join(room, (F.col("kc") == F.col("cluster")) & F.col("kp").eqNullSafe(F.col("pure"))).select("kc", "kk", "pure", "blocks")
-    own = parts.join(kinds, (F.col("cluster") == F.col("kc")) & (F.col("known") == F.col("kk")))
-    own = own.select("node", "known", "pure", F.xxhash64("pure", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("own"))
-    rows = sets.join(own, F.col("doc_id") == F.col("node")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    room = room.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    other = room.select(F.col("cluster").alias("oc"), F.col("pure").alias("op"), F.xxhash64("pure", F.col("b").cast("long")).alias("other"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("os"))
-    met = rows.join(other, (F.col("cluster") == F.col("oc")) & (F.col("salt") == F.col("os"))).where(~F.coalesce(F.col("pure") == F.col("op"), F.lit(False)))
-    return met.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).withColumn("side", (F.col("own") > F.col("other")).cast("int"))
-
-
-def _confirmed_links(sets: DataFrame, dealt: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links that connect the members of each cluster as all confirmed pairs would."""
-    zero = F.lit(0).cast("long")
-    first = sets.withColumns({"x": F.col("block").cast("long"), "y": F.col("block").cast("long"), "side": F.lit(0), "known": F.col("doc_id")})
-    hubs = sets.where("blocks > 1 and doc_id = cluster").withColumn("x", F.explode(F.sequence(zero, F.col("blocks").cast("long") - 1))).where("x <> block")
-    first = first.select(*TASK).union(hubs.withColumns({"y": F.col("x"), "side": F.lit(0), "known": F.col("doc_id")}).select(*TASK))
-    links = _links(first, percent)
-    where = common.stored(dealt.where("blocks > 1").select("node", "cluster"), "large-clusters")
-    if where.isEmpty():
-        return links
-    large = sets.where("blocks > 1")
-    parts = common.stored(_open_parts(where, links), "open-parts")
-    if parts.isEmpty():
-        return links
-    rows = large.join(parts.drop("cluster"), F.col("doc_id") == F.col("node"))
-    others = rows.where("known <> pivot_known").withColumns({"x": F.col("block").cast("long"), "side": F.lit(1)})
-    pivots = rows.where("doc_id = pivot").withColumns({"x": F.explode(F.sequence(zero, F.col("blocks").cast("long") - 1)), "side": F.lit(0)})
-    links = links.union(_links(others.withColumn("y", F.col("x") + F.col("blocks")).select(*TASK).union(pivots.withColumn("y", F.col("x") + F.col("blocks")).select(*TASK)), percent))
-    parts = common.stored(_open_parts(where, links), "open-parts")
-    return links if parts.isEmpty() else links.union(_links(_between_parts(large, parts.drop("pivot", "pivot_known"), block), percent))
+    likely = _likely(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")), info, percent)
+    links = _confirmed(likely, sets, percent, block)
+    buckets = _open_buckets(members, links)
+    common.drop(likely)
+    large = buckets.where(F.col("size") > block)
+    if not large.isEmpty():
+        best = large.groupBy("band").agg(F.max(F.struct("degree", (-F.col("rep")).alias("rep"), "part")).alias("best"))
+        pivots = large.join(best, "band").where(F.col("part") != F.col("best.part")).select((-F.col("best.rep")).alias("a"), F.col("rep").alias("b"))
+        likely = _likely(pivots, info, percent)
+        more, old = _confirmed(likely, sets, percent, block), buckets
+        if not more.isEmpty():
+            links = links.union(more)
+            buckets = _open_buckets(members, links)
+            common.drop(old)
+        common.drop(likely)
+    if not buckets.isEmpty():
+        across = _across_parts(buckets, info, percent, block)
+        links = links.union(_confirmed(across, sets, percent, block))
+        common.drop(across)
+    common.drop(buckets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -324,18 +373,13 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     reps = classes.select("rep").distinct()
     keys = sig.select("doc_id", "bands").join(reps, sig["doc_id"] == reps["rep"]).select(F.explode("bands").alias("band"), F.col("doc_id").alias("rep"))
     keys = common.stored(keys, "band-keys")
-    hubs = common.stored(keys.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("last > hub").select("band", "hub"), "hubs")
-    stars = keys.join(hubs, "band").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    clusters = common.components(stars)
-    size = clusters.groupBy(F.col("component").alias("of")).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    size = common.stored(size, "cluster-sizes")
-    dealt = clusters.join(size, clusters["component"] == size["of"]).select(
-        "node", F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    dealt = common.stored(dealt, "dealt-clusters")
-    members = narrow.join(dealt, narrow["doc_id"] == dealt["node"]).select("doc_id", "text", "cluster", "blocks", "block")
-    sets = common.stored(members.mapInArrow(lambda batches: _sets(batches, percent), "doc_id long, cluster long, blocks int, block int, hashes binary, signature binary"), "sets")
-    confirmed = _confirmed_links(sets, dealt, percent, block)
-    groups = common.stored(common.components(confirmed), "groups")
+    hubs = keys.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("last > hub").select("band", "hub")
+    members = common.stored(keys.join(hubs, "band").distinct(), "bucket-members")
+    met = common.stored(members.select(F.col("rep").alias("met")).distinct(), "met")
+    info = common.stored(sig.join(met, sig["doc_id"] == met["met"]).select(F.col("doc_id").alias("rep"), "n_shingles", "signature", "bands").where("n_shingles > 0").distinct(), "bucket-signatures")
+    sets = common.stored(narrow.join(met, narrow["doc_id"] == met["met"]).select("doc_id", "text").mapInArrow(_sets, "doc_id long, hashes binary"), "sets")
+    groups = common.components(confirmed_links(members, info, sets, percent, block))
+    common.drop(keys, members, met, info, sets)
     named = classes.join(groups, classes["rep"] == groups["node"], "left").select(*[F.col(c).alias(f"c_{c}") for c in same], F.coalesce("component", "rep").alias("component"))
     named = common.stored(named, "named-classes")
     found = sig.select("doc_id", *same).join(named, [sig[c] == named[f"c_{c}"] for c in same], "left")

@@ -174,22 +174,38 @@ def test_links_within_one_large_cluster(spark):
     want = {i: c for i, _, c in brute_near(own)}
     assert 4 < len(set(want.values())) < 60
     for block in (8, 16):
-        blocks = -(-len(own) // block)
-        dealt = spark.createDataFrame([(i, 0, blocks, i % blocks) for i, _ in own], "node long, cluster long, blocks int, block int")
-        texts = spark.createDataFrame([(i, t, 0, blocks, i % blocks) for i, t in own], "doc_id long, text string, cluster long, blocks int, block int")
-        sets = texts.mapInArrow(minhash._sets, "doc_id long, cluster long, blocks int, block int, hashes binary, signature binary")
-        found = common.components(minhash._confirmed_links(sets, dealt, 85, block))
-        have = {i: i for i, _ in own} | {x.node: x.component for x in found.collect()}
-        assert have == want
-
-
-def test_signature_estimates():
+        found = minhash.near_duplicates(frame(spark, [(i, t, "en", "s") for i, t in own]), block=block)
+        assert {x.doc_id: x.component_id for x in found.collect()} == want
+
+
+def test_a_long_chain_of_half_similar_texts_is_never_joined(spark, monkeypatch):
+    """Each text shares half of its words with the next one: they meet in buckets, and no pair that shares none is compared."""
+    words = [f"w{k}" for k in range(24_000)]
+    own = [(i, " ".join(words[i * 60 : i * 60 + 120])) for i in range(390)]
+    seen = []
+    across = minhash._across_parts
+    monkeypatch.setattr(minhash, "_across_parts", lambda *a: seen.append(across(*a)) or seen[-1])
+    drop = common.drop
+    monkeypatch.setattr(common, "drop", lambda *t: None)
+    found = minhash.near_duplicates(frame(spark, [(i, t, "en", "s") for i, t in own]), percent=30, block=4)
+    assert all(x.component_id == 0 for x in found.collect())
+    found = minhash.near_duplicates(frame(spark, [(i, t, "en", "s") for i, t in own]), percent=40, block=4)
+    assert all(x.component_id == x.doc_id for x in found.collect())
+    monkeypatch.setattr(common, "drop", drop)
+    assert sum(x.count() for x in seen) <= 2 * len(own)
+
+
+def test_signature_estimates(spark):
     r = np.random.default_rng(1)
     for overlap in (0, 300, 500, 900):
         pool = r.integers(0, 1 << 63, 2000, dtype=np.uint64)
         a, b = np.sort(pool[:1000]), np.sort(pool[1000 - overlap : 2000 - overlap])
         sig = minhash.packed(minhash.minima([a, b]))
-        assert abs(minhash.estimated(sig[0], sig[1:])[0] - overlap / (2000 - overlap)) < minhash.MARGIN
+        n = minhash.BANDS * minhash.ROWS
+        guess = minhash.estimated(sig[0], sig[1:], n)[0]
+        assert abs(guess - overlap / (2000 - overlap)) < minhash.MARGIN
+        row = spark.createDataFrame([(sig[0].view(np.int64).tolist(), sig[1].view(np.int64).tolist())], "a array<long>, b array<long>")
+        assert row.select(minhash.estimate(F.col("a"), F.col("b"), n)).first()[0] == pytest.approx(guess)
     band = 1 - (1 - 0.85**minhash.ROWS) ** minhash.BANDS
     assert band > 0.9999
 
