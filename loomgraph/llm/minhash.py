@@ -174,22 +174,61 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def candidates_of_task(ids: list[int], parts: list[int], hubs: list[bool], size: np.ndarray, signatures: np.ndarray, bands: np.ndarray, key: int, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Pairs of different parts whose estimates are near the threshold or above, among the members of a bucket.
-
-    Pairs with the bucket's first member were confirmed before, and a pair counts in the first of the bands that it shares only.
-    """
-    of, out = banding(percent), []
-    part, hub, size = np.array(parts), np.array(hubs), np.asarray(size)
-    for i in np.flatnonzero(~hub):
-        j = np.arange(i + 1, len(ids))
-        j = j[(part[j] != part[i]) & ~hub[j] & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))]
-        if len(j):
-            j = j[estimated(signatures[i], signatures[j], of.bands * of.rows) >= percent / 100 - of.margin]
-        if len(j):
-            j = j[bands[i][np.argmax(bands[j] == bands[i], axis=1)] == key]
-            out += [(min(ids[i], ids[k]), max(ids[i], ids[k])) for k in j]
-    return out
+class Task(NamedTuple):
+    """Members of one or two blocks of a bucket: see ``TASK``."""
+
+    key: int
+    same: bool
+    ids: list[int]
+    side: np.ndarray
+    part: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    signatures: np.ndarray
+    bands: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple]) -> "Task":
+        c = list(zip(*rows))
+        return cls(c[0][0], c[1][0] == c[2][0], list(c[3]), np.array(c[4]), np.array(c[5]), np.array(c[6]), np.array(c[7]), np.array(c[8], np.int64).view(np.uint8), np.array(c[9], np.int64))
+
+    def candidates(self, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+        """For each member the later ones of other parts with which it has an estimate near the threshold or above, the highest first.
+
+        Pairs with the bucket's first member were confirmed before, and a pair counts in the first of the bands that it shares only.
+        """
+        of = banding(percent)
+        for i in np.flatnonzero(~self.first):
+            j = np.arange(i + 1, len(self.ids))
+            j = j[(self.part[j] != self.part[i]) & ~self.first[j] & (100 * np.minimum(self.size[i], self.size[j]) >= percent * np.maximum(self.size[i], self.size[j]))]
+            if not self.same:
+                j = j[self.side[j] != self.side[i]]
+            if len(j):
+                e = estimated(self.signatures[i], self.signatures[j], of.bands * of.rows)
+                near = e >= percent / 100 - of.margin
+                j = j[near][np.argsort(-e[near], kind="stable")]
+            if len(j):
+                j = j[self.bands[i][np.argmax(self.bands[j] == self.bands[i], axis=1)] == self.key]
+            if len(j):
+                yield i, j
+
+    def survivors(self, percent: int) -> list[int]:
+        """Members that are in any candidate pair."""
+        found: set[int] = set()
+        for i, j in self.candidates(percent):
+            found.add(int(i))
+            found.update(j.tolist())
+        return sorted(found)
+
+    def links(self, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+        """A forest of confirmed links between the parts."""
+        root, out = np.unique(self.part, return_inverse=True)[1], []
+        for i, js in self.candidates(percent):
+            for j in js:
+                if root[i] != root[j] and linked(sets[i], sets[j], percent):
+                    out.append((self.ids[i], self.ids[j]))
+                    root[root == root[j]] = root[i]
+        return out
 
 
 SIGNATURES = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, signature array<long>"
@@ -288,44 +327,62 @@ def _open_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
     return found
 
 
-def _across_parts(buckets: DataFrame, info: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs ``(a, b)`` of members of different parts of a bucket whose estimates allow a link.
+TASK = ["band", "x", "y", "rep", "side", "part", "first", "n_shingles", "signature", "bands"]
 
-    Parts of at least a block have blocks of their own, which need not meet each other; smaller parts share mixed blocks.
-    """
-    kinds = buckets.groupBy("band", "part").agg(F.count("*").alias("n")).withColumn("pure", F.when(F.col("n") >= block, F.col("part")))
-    room = kinds.groupBy(F.col("band").alias("rb"), F.col("pure").alias("rp")).agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
-    kinds = kinds.join(room, (F.col("band") == F.col("rb")) & F.col("pure").eqNullSafe(F.col("rp"))).select("band", "part", "pure", "blocks")
-    own = buckets.join(kinds, ["band", "part"]).withColumn("own", F.xxhash64("pure", F.pmod(F.xxhash64("rep"), F.col("blocks"))))
-    other = room.select(F.col("rb").alias("band"), "rp", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64("rp", k.cast("long")))).alias("other"))
-    met = own.join(other, "band").where(~F.coalesce(F.col("pure") == F.col("rp"), F.lit(False)))
-    met = met.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "part", (F.col("rep") == F.col("hub")).alias("first"))
-    rows = met.join(info, "rep").select("band", "x", "y", "side", "rep", "part", "first", "n_shingles", "signature", "bands")
 
-    def task(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
-        rows = [r for r in rows if r[3] == 0] + [r for r in rows if r[3]]
-        found = candidates_of_task([r[4] for r in rows], [r[5] for r in rows], [r[6] for r in rows], np.array([r[7] for r in rows]), np.array([r[8] for r in rows], np.int64).view(np.uint8), np.array([r[9] for r in rows], np.int64), key[0], percent)
-        if key[1] == key[2]:
-            return found
-        side = {r[4]: r[3] for r in rows}
-        return [p for p in found if side[p[0]] != side[p[1]]]
+def _by_task(rows: DataFrame, f, schema: str) -> DataFrame:
+    """``f(rows of a task) -> rows`` for all tasks, rows that start with the columns of ``TASK``; stored."""
+    names, types = zip(*(c.split(" ") for c in schema.split(", ")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by task; a task's rows may span batches."""
+
+        def batch(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=list(names))
+
         waiting: list[tuple] = []
         for b in batches:
             out = []
             for r in zip(*(c.to_pylist() for c in b.columns)):
                 if waiting and r[:3] != waiting[0][:3]:
-                    out += task(waiting[0][:3], waiting)
+                    out += f(waiting)
                     waiting = []
                 waiting.append(r)
-            yield from _pairs(out)
+            yield from batch(out)
         if waiting:
-            yield from _pairs(task(waiting[0][:3], waiting))
+            yield from batch(f(waiting))
 
-    rows = rows.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "rep")
-    return common.stored(rows.mapInArrow(run, "a long, b long").distinct(), "pairs-across-parts")
+    assert set(types) == {"long"}
+    return common.stored(rows.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "side", "rep").mapInArrow(run, schema), "bucket-tasks")
+
+
+def _across_parts(buckets: DataFrame, info: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links ``(a, b)`` that connect the parts of buckets as all links between members of different parts do.
+
+    Parts of at least a block have blocks of their own, which need not meet each other; smaller parts share mixed blocks. Tasks see
+    packed minima first; full sets travel to a task only for members that have a candidate in it.
+    """
+    kinds = buckets.groupBy("band", "part").agg(F.count("*").alias("n")).withColumn("pure", F.when(F.col("n") >= block, F.col("part")))
+    room = kinds.groupBy(F.col("band").alias("rb"), F.col("pure").alias("rp")).agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
+    kinds = kinds.join(room, (F.col("band") == F.col("rb")) & F.col("pure").eqNullSafe(F.col("rp"))).select("band", "part", "pure", "blocks")
+    own = buckets.join(kinds, ["band", "part"]).withColumn("own", F.xxhash64("pure", F.pmod(F.xxhash64("rep"), F.col("blocks"))))
+    other = room.select(F.col("rb").alias("band"), "rp", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64("rp", k.cast("long")))).alias("other"))
+    met = own.join(other, "band").where(~F.coalesce(F.col("pure") == F.col("rp"), F.lit(False)))
+    met = met.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "part", (F.col("rep") == F.col("hub")).alias("first"))
+    rows = met.join(info, "rep").select(*TASK)
+
+    def screened(rows: list[tuple]) -> list[tuple]:
+        return [rows[k][:4] for k in Task.of(rows).survivors(percent)]
+
+    def confirmed(rows: list[tuple]) -> list[tuple]:
+        return Task.of([r[:-1] for r in rows]).links([np.frombuffer(r[-1], np.uint64) for r in rows], percent)
+
+    left = _by_task(rows, screened, "band long, x long, y long, rep long")
+    rows = rows.join(left, ["band", "x", "y", "rep"]).join(sets, F.col("rep") == F.col("doc_id")).select(*TASK, "hashes")
+    found = _by_task(rows, confirmed, "a long, b long")
+    common.drop(left)
+    return found
 
 
 def confirmed_links(members: DataFrame, info: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
@@ -349,9 +406,7 @@ def confirmed_links(members: DataFrame, info: DataFrame, sets: DataFrame, percen
             common.drop(old)
         common.drop(likely)
     if not buckets.isEmpty():
-        across = _across_parts(buckets, info, percent, block)
-        links = links.union(_confirmed(across, sets, percent, block))
-        common.drop(across)
+        links = links.union(_across_parts(buckets, info, sets, percent, block))
     common.drop(buckets)
     return links
 

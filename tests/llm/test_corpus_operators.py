@@ -183,8 +183,8 @@ def test_a_long_chain_of_half_similar_texts_is_never_joined(spark, monkeypatch):
     words = [f"w{k}" for k in range(24_000)]
     own = [(i, " ".join(words[i * 60 : i * 60 + 120])) for i in range(390)]
     seen = []
-    across = minhash._across_parts
-    monkeypatch.setattr(minhash, "_across_parts", lambda *a: seen.append(across(*a)) or seen[-1])
+    tasks = minhash._by_task
+    monkeypatch.setattr(minhash, "_by_task", lambda *a: seen.append(tasks(*a)) or seen[-1])
     drop = common.drop
     monkeypatch.setattr(common, "drop", lambda *t: None)
     found = minhash.near_duplicates(frame(spark, [(i, t, "en", "s") for i, t in own]), percent=30, block=4)
