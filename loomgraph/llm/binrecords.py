@@ -1,18 +1,20 @@
 """Token ids as length-delimited binary records, with a separate offset index for shuffled reads.
 
 A shard file is a run of records, each ``length (8 bytes) | masked checksum of those 8 bytes (4) | payload | masked checksum of
-the payload (4)``, all little-endian. The payload is the document's ids, 2 bytes each if the vocabulary fits and 4 otherwise.
+the payload (4)``, all little-endian. The payload is the document's ids, 2 bytes each or 4 if records are ``wide``.
 The checksum is CRC-32 rotated right by 15 bits plus 0xA282EAD8, so that a checksum stored among checked bytes stays useful.
 The index is a Parquet table: document, shard file, offset and length of the record, its ids and the ids before it.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
 from array import array
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +32,8 @@ CACHE_PIECES, CACHE_WORDS = 400_000, 1_000_000
 #: The byte-level pre-tokenizer's pattern: a fixed value.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 READ_BYTES = 16 << 20
+#: Shard files that a reading task keeps open.
+OPEN_FILES = 64
 
 
 def masked(data: bytes) -> int:
@@ -89,11 +93,13 @@ class Encoder:
 
     Where no two white-space characters meet, the pre-tokenizer never looks across a space, so what stands between spaces is a
     unit; other texts are cut by the pre-tokenizer's pattern. Texts with characters beyond U+024F, whose classes may depend on
-    the Unicode version, or with a special token's start go to the library whole.
+    the Unicode version, or with a special token go to the library whole, and so does every text if the file is of another kind.
     """
 
-    LIBRARY = re.compile("[^\\x00-\\x1b\\x20-\\u024f]|<\\|")
     DOUBLE = re.compile("\\s\\s")
+    #: The kind of file for which pieces are units: fixed values.
+    PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "byte_fallback": False, "ignore_merges": False}
 
     def __init__(self, file: str, dtype: str):
         from tokenizers import Tokenizer
@@ -102,11 +108,16 @@ class Encoder:
         self.tokenizer, self.dtype = Tokenizer.from_file(file), np.dtype(dtype)
         self.words = Words(self.tokenizer, dtype)
         self.pieces = Pieces(self.words)
+        with open(file, encoding="utf-8") as f:
+            spec = json.load(f)
+        known = spec["normalizer"] is None and spec["pre_tokenizer"] == self.PRE_TOKENIZER and all(spec["model"].get(k) == v for k, v in self.MODEL.items())
+        whole = ["[^\\x00-\\x1b\\x20-\\u024f]", *(re.escape(t["content"]) for t in spec["added_tokens"])] if known else ["(?s:.)"]
+        self.library = re.compile("|".join(whole))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.LIBRARY.search(text):
+        if self.library.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
         if text[0] != " " and not self.DOUBLE.search(text):
             first, _, rest = text.partition(" ")
@@ -129,7 +140,7 @@ def _open(uri: str):
 def write_records(docs: DataFrame, tokenizer_file: str, path: str, *, end_id: int = 0, key: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
     """Encodes every whole text, appends ``end_id``, writes shards in ascending id order under ``path`` and returns the stored index.
 
-    Null ids come first, null and empty texts are just the end id, repeated ids stay as many records. Range partitioning gives
+    ``wide`` takes 4 bytes an id, for vocabularies beyond 65,536. Null ids come first, null and empty texts are just the end id, repeated ids stay as many records. Range partitioning gives
     each shard a run of ids of like size. A shard's name is unique to the task attempt and only the attempt whose index rows
     Spark commits is read, so lost executors and speculative attempts leave at most unreferenced files.
     """
@@ -185,7 +196,7 @@ def read_records(index: DataFrame, *, wide: bool = False, digest: bool = False)
     columns = "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, file = None, None
+        name, files = None, OrderedDict()  # a shuffled order goes back and forth between files
         for b in batches:
             got, rows = [], b.to_pylist()
             i = 0
@@ -193,8 +204,13 @@ def read_records(index: DataFrame, *, wide: bool = False, digest: bool = False)
                 r = rows[i]
                 if r["file"] != name:
                     name = r["file"]
-                    store, place = _open(name)
-                    file = store.open_input_file(place)
+                    if name not in files:
+                        store, place = _open(name)
+                        files[name] = store.open_input_file(place)
+                        if len(files) > OPEN_FILES:
+                            files.popitem(last=False)[1].close()
+                    files.move_to_end(name)
+                    file = files[name]
                 j, end = i + 1, r["offset"] + r["length"]
                 while j < len(rows) and rows[j]["file"] == name and rows[j]["offset"] == end and end - r["offset"] < READ_BYTES:
                     end += rows[j]["length"]

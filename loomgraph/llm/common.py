@@ -113,19 +113,6 @@ def slices(b: pa.RecordBatch, column: int = 1, most: int = 16 << 20) -> Iterator
         i = j
 
 
-def map_batches(df: DataFrame, f, schema: str) -> DataFrame:
-    """``mapInArrow`` with ``f(RecordBatch) -> RecordBatch | None`` for each batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                out = f(b)
-                if out is not None and out.num_rows:
-                    yield out
-
-    return df.mapInArrow(run, schema)
-
-
 def ragged(lengths: np.ndarray) -> np.ndarray:
     """Offsets of consecutive runs of the given lengths, with the end."""
     return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)

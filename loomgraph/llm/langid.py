@@ -139,11 +139,13 @@ def identify(docs: DataFrame, found: dict[str, np.ndarray], *, key: str = "doc_i
     keep = keep or []
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []))
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = nearest.value
-        got = [of(ranked(codes(p), most)) if (p := letters(t)) else (UNKNOWN, 0.0) for t in b.column(1).to_pylist()]
-        own = [b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
-        return pa.RecordBatch.from_arrays(own + ([b.column(2)] if keep else []), names=["doc_id", "lang_pred", "score"] + (["row"] if keep else []))
+        for whole in batches:
+            for b in common.slices(whole):
+                got = [of(ranked(codes(p), most)) if (p := letters(t.as_py())) else (UNKNOWN, 0.0) for t in b.column(1)]
+                own = [b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
+                yield pa.RecordBatch.from_arrays(own + ([b.column(2)] if keep else []), names=["doc_id", "lang_pred", "score"] + (["row"] if keep else []))
 
     schema = "doc_id long, lang_pred string, score double" + (f", row {rows.schema['row'].dataType.simpleString()}" if keep else "")
-    return common.map_batches(rows, run, schema)
+    return rows.mapInArrow(run, schema)

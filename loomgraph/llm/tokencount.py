@@ -9,18 +9,23 @@ A byte-pair tokenizer file is compiled, state by state as texts need them, into
   start inside the longest suffix that begins some token, the trie node reached, the last token before it and the count
   there relative to now, which is all that any future count depends on; so there are finitely many states.
 
-White space resets the machine from every state. The state map of a chunk is therefore ``(head, count, tail)``: what
-precedes its first reset and depends on the start state, the tokens between its resets, and the pending piece that is its
-end state. Maps compose associatively; texts are cut into chunks and their maps composed by a doubling prefix scan.
+White space resets the machine from every state. A text is cut into chunks, and the state map of a chunk is ``(head, count, state)``:
+the part before its first reset, by reference, which is all that depends on the start state; the tokens between its resets; and the
+machine's state at its end, which no longer does. Maps compose associatively: where the left one ends in a state, the right one's
+head is run from there, so a composed map is no larger than a chunk's. They are composed in a tree, as in the upward half of a
+prefix scan, since only the whole text's map is asked for. A text without any white space is one head, which is run chunk by
+chunk at the end.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +47,10 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(free)) for b in range(256)]
 
 
+#: What the counter's state holds at the start of a word: nothing read, no token before.
+START = ((0, "", 0),)
+
+
 class Counter(dict):
     """Word -> number of tokens. Looking up an unknown word runs the transducer, which compiles the transitions it lacks."""
 
@@ -79,7 +88,6 @@ class Counter(dict):
         self.states: dict[tuple, int] = {}
         self.entries: list[tuple] = []
         self.next: list[dict[str, tuple[int, int]]] = []
-        self.start = self._state(((0, "", 0),))
 
     def _state(self, entries: tuple) -> int:
         n = self.states.get(entries)
@@ -136,19 +144,28 @@ class Counter(dict):
         out = self.next[state][symbol] = (self._state(entries), delta)
         return out
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > CACHE_PIECES:
-            self.clear()
-        symbols = [self.base[b] for b in word.encode()]
-        symbols[-1] += self.end
-        state, n = self.start, 0
+    def run(self, entries: tuple, symbols: list[str]) -> tuple[tuple, int]:
+        """Reads symbols from a state, given by what it holds; returns the state reached and the change of the number of tokens."""
+        if len(self.states) > CACHE_STATES:  # compiled states can be compiled again
+            self.states.clear(), self.entries.clear(), self.next.clear(), self.pairs.clear()
+        state, n = self._state(entries), 0
         for s in symbols:
             t = self.next[state].get(s) or self.step(state, s)
             state = t[0]
             n += t[1]
-        if len(self.states) > CACHE_STATES:  # compiled states can be compiled again
-            self.states.clear(), self.entries.clear(), self.next.clear(), self.pairs.clear()
-            self.start = self._state(((0, "", 0),))
+        return self.entries[state], n
+
+    def symbols(self, text: str, last: bool) -> list[str]:
+        """Symbols of a part of a word, the last of them at the word's end."""
+        out = [self.base[b] for b in text.encode()]
+        if last:
+            out[-1] += self.end
+        return out
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > CACHE_PIECES:
+            self.clear()
+        n = self.run(START, self.symbols(word, True))[1]
         if len(word) < LONG_PIECE:
             self[word] = n
         return n
@@ -191,12 +208,55 @@ class Pieces(dict):
             self[piece] = n
         return n
 
+    def stream(self, state: tuple, text: str, last: bool = False) -> tuple[tuple, int]:
+        """Reads a part of a piece from a state ``(kind of the open word, counter's state, characters not yet read)``; ``last`` ends the piece.
+
+        A character of an open word waits for the next one, as it may be the word's last; an apostrophe at a word's start waits for two.
+        """
+        kind, at, wait = state
+        text, n, i = wait + text, 0, 0
+        while i < len(text):
+            if kind is None:
+                if text[i] == "'":
+                    if len(text) - i < 3 and not last:
+                        break
+                    if tail := next((t for t in self.TAILS if text.startswith(t, i + 1)), None):
+                        n += self.words[text[i : i + 1 + len(tail)]]
+                        i += 1 + len(tail)
+                        continue
+                if (k := self.kind(text[i])) == "N":
+                    n += self.words[text[i]]
+                    i += 1
+                    continue
+                kind, at = k, START
+            j = i
+            while j < len(text) and self.kind(text[j]) == kind:
+                j += 1
+            if j < len(text) or last:
+                n += self.words.run(at, self.words.symbols(text[i:j], True))[1]
+                kind, at, i = None, START, j
+            else:
+                if j - i > 1:
+                    at, more = self.words.run(at, self.words.symbols(text[i : j - 1], False))
+                    n += more
+                i = j - 1
+                break
+        return (kind, at, text[i:]), n
+
 
 class Maps:
     """State maps of chunks and their composition."""
 
     #: Texts with other characters are normalised by the library; up to U+024F lower-casing is all that is left to do.
     UNUSUAL = re.compile("[^\\x00-\\x1b\\x20-\u012f\u0131-\u024f]")
+    #: What the transducers are compiled for, as files give it: fixed values. Other files are refused, not miscounted.
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+    MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+    #: The state between pieces.
+    RESET = (None, START, "")
 
     def __init__(self, file: str, chunk: int = CHUNK_CHARS):
         from tokenizers import Tokenizer
@@ -204,6 +264,9 @@ class Maps:
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        plain = all(not t["normalized"] and not t["single_word"] and not t["lstrip"] and not t["rstrip"] for t in spec["added_tokens"])
+        if spec["normalizer"] != self.NORMALIZER or spec["pre_tokenizer"] != self.PRE_TOKENIZER or any(model.get(k) != v for k, v in self.MODEL.items()) or model.get("continuing_subword_prefix") or not plain:
+            raise ValueError(f"{file} has another normaliser, pre-tokenizer or model than the transducers are compiled for")
         self.tokenizer = Tokenizer.from_file(file)
         self.pieces = Pieces(self.tokenizer, Counter(model["vocab"], [tuple(m) for m in model["merges"]], model["end_of_word_suffix"] or ""))
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
@@ -213,37 +276,43 @@ class Maps:
         return self.tokenizer.normalizer.normalize_str(text) if self.UNUSUAL.search(text) else text.lower()
 
     def of(self, chunk: str, plain: bool) -> tuple:
-        """(head, count, tail), or (chunk, None, None) without a reset. plain: the library has left spaces as the only resets."""
+        """(head, count, state), or ((chunk,), None, None) without a reset. plain: the library has left spaces as the only resets."""
         parts = chunk.split(" ") if plain else chunk.split()
         parts = [x for x in parts if x] if plain else parts
         if len(parts) == 1 and len(parts[0]) == len(chunk):
-            return (chunk, None, None)
+            return ((chunk,), None, None)
         space = str.isspace if not plain else " ".__eq__
-        head = "" if not parts or space(chunk[0]) else parts[0]
+        head = () if not parts or space(chunk[0]) else (parts[0],)
         tail = "" if not parts or space(chunk[-1]) else parts[-1]
         inner = parts[bool(head) : len(parts) - bool(tail)]
-        return (head, sum(map(self.pieces.__getitem__, inner)), tail)
+        state, n = self.pieces.stream(self.RESET, tail) if tail else (self.RESET, 0)
+        return (head, sum(map(self.pieces.__getitem__, inner)) + n, state)
+
+    def follow(self, state: tuple, head: tuple, last: bool) -> tuple[tuple, int]:
+        """Runs the parts of a head from a state."""
+        n = 0
+        for k, x in enumerate(head or ("",)):
+            state, more = self.pieces.stream(state, x, last and k >= len(head) - 1)
+            n += more
+        return state, n
 
     def compose(self, x: tuple, y: tuple) -> tuple:
         """The map of two chunks in a row; associative."""
         if x[1] is None:
             return (x[0] + y[0], y[1], y[2])
-        if y[1] is None:
-            return (x[0], x[1], x[2] + y[0])
-        middle = x[2] + y[0]
-        return (x[0], x[1] + (self.pieces[middle] if middle else 0) + y[1], y[2])
-
-    def scan(self, maps: list[tuple]) -> list[tuple]:
-        """Inclusive prefix scan by doubling: after round k each map covers up to 2**k chunks, all of a round independent of each other."""
-        step = 1
-        while step < len(maps):
-            maps = [self.compose(maps[i - step], m) if i >= step else m for i, m in enumerate(maps)]
-            step *= 2
-        return maps
+        state, n = self.follow(x[2], y[0], y[1] is not None)
+        return (x[0], x[1] + n, state) if y[1] is None else (x[0], x[1] + n + y[1], y[2])
+
+    def reduced(self, maps: list[tuple]) -> tuple:
+        """The map of all chunks, composed in a tree: neighbours first, all of a round independent of each other."""
+        while len(maps) > 1:
+            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0]
 
     def total(self, m: tuple) -> int:
         """Tokens from the start state to the end of the text."""
-        return sum(self.pieces[x] for x in (m[0], m[2]) if x) + (m[1] or 0)
+        n = self.follow(self.RESET, m[0], True)[1] if m[0] else 0
+        return n if m[1] is None else n + m[1] + self.follow(m[2], (), True)[1]
 
     def count(self, text: str) -> int:
         n = at = 0
@@ -255,10 +324,8 @@ class Maps:
                 continue
             plain = bool(self.UNUSUAL.search(part))
             part = self.normal(part)
-            if len(part) <= self.chunk:
-                n += self.total(self.of(part, plain)) if part else 0
-            else:
-                n += self.total(self.scan([self.of(part[i : i + self.chunk], plain) for i in range(0, len(part), self.chunk)])[-1])
+            if part:
+                n += self.total(self.reduced([self.of(part[i : i + self.chunk], plain) for i in range(0, len(part), self.chunk)]))
         return n
 
 
@@ -274,14 +341,17 @@ def token_counts(docs: DataFrame, tokenizer_file: str, *, key: str = "doc_id", t
     ``tokenizer_file`` must exist on every executor. Counts equal those of the library for the file, without added begin or
     end tokens; special strings inside a text count as the one token that they are. Null and empty texts have 0 bytes and 0
     tokens. Repeated rows stay, ids may be null, other columns are ignored. One narrow pass, no shuffle; memory is bounded by
-    the caches and the longest text.
+    the caches and a few times the longest text, time is linear in the text. Files of another kind raise ValueError.
     """
     common.ship(docs.sparkSession)
+    machine(tokenizer_file)  # refuses a file of another kind before any task runs
 
-    def count(b: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(tokenizer_file)
-        texts = b.column(1).to_pylist()
-        sizes = [len(x.encode()) if x else 0 for x in texts]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array([m.count(x) if x else 0 for x in texts], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+        for whole in batches:
+            for b in common.slices(whole):
+                sizes = pc.coalesce(pc.binary_length(b.column(1)), 0).cast(pa.int64())
+                n = [m.count(t) if (t := x.as_py()) else 0 for x in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), sizes, pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
-    return common.map_batches(common.with_columns_kept(docs, key, text), count, SCHEMA).withColumn("over_limit", F.col("n_tokens") > limit)
+    return common.with_columns_kept(docs, key, text).mapInArrow(run, SCHEMA).withColumn("over_limit", F.col("n_tokens") > limit)

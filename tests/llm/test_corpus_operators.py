@@ -82,6 +82,37 @@ def test_map_composition_is_associative():
         assert m.compose(m.compose(a, b), c) == m.compose(a, m.compose(b, c))
 
 
+def test_unbroken_texts_of_any_length():
+    m, t, r = tokencount.Maps(vocabulary_file("word_bpe_49k.json"), 64), library("word_bpe_49k.json"), random.Random(7)
+    for letters in ("ab", "abc'!1", "日本語文字", "'rslv", "x"):
+        s = "".join(r.choice(letters) for _ in range(5000))
+        assert m.count(s) == len(t.encode(s, add_special_tokens=False).ids)
+    assert m.compose(m.of("ab", False), m.of("c d", False))[0] == ("ab", "c")
+
+
+def test_memory_of_a_long_unbroken_text_is_linear():
+    import tracemalloc
+
+    m = tokencount.Maps(vocabulary_file("word_bpe_49k.json"))
+    peak = []
+    for n in (500_000, 2_000_000):
+        text = "xyzzy" * (n // 5)
+        tracemalloc.start()
+        m.count(text)
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peak[1] < 6 * peak[0] and peak[1] < 40_000_000
+
+
+def test_other_vocabularies(spark, docs):
+    with pytest.raises(ValueError):
+        tokencount.token_counts(docs, vocabulary_file("byte_bpe_50k.json"))
+    t = library("word_bpe_49k.json")
+    enc = binrecords.Encoder(vocabulary_file("word_bpe_49k.json"), "<u4")
+    for s in ("Hello World, it's 2024!", "a  b <|endoftext|> c", "日本"):
+        assert np.frombuffer(enc.encode(s), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids
+
+
 def brute_contamination(text, items):
     words = common.alnum_words((text or "").encode())
     hit, found = set(), set()
