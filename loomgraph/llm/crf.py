@@ -4,8 +4,9 @@ Each line is good or bad. Its potential is linear in features of the line and of
 it to the next line. Labels exist per document only, so in training every line bears its document's label. A document's score is
 the mean over its lines, weighted by their length, of the marginal probability of "good" by forward-backward over all lines.
 
-The model is fitted on a bounded sample: at most ``SAMPLE`` labelled documents (the lowest hashes of their ids) and a stretch of
-at most ``STRETCH`` consecutive lines of each. Scoring reads every whole text; it is one narrow pass with the weights broadcast.
+The model is fitted on a bounded sample of rows: at most ``SAMPLE`` labelled documents (the lowest hashes of their ids), each with all
+its lines. In fitting, chains are parted after every ``STRETCH`` lines, so that a very long text is several chains. Scoring reads every
+whole text as one chain; it is one narrow pass with the weights broadcast.
 """
 
 from __future__ import annotations
@@ -141,30 +142,34 @@ def fit(own: list[np.ndarray], labels: list[int], *, rounds: int = ROUNDS, rate:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, stretch: int = STRETCH) -> Model:
-    """Fits the model on a bounded sample of labelled documents. Null labels and texts without a line don't count."""
+    """Fits the model on the whole texts of at most ``sample`` labelled documents; parts of ``stretch`` lines are chains of their own.
+
+    Null labels and texts without a line don't count. An id counts once: with its lowest label, and of several texts with the one
+    whose features sort first, so nothing depends on the order of rows.
+    """
     spark = docs.sparkSession
     common.ship(spark)
-    chosen = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("label_id"), F.col(label).cast("int").alias("label"))
-    chosen = F.broadcast(chosen.orderBy(F.xxhash64("label_id"), "label").limit(sample))
+    chosen = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("label_id")).agg(F.min(F.col(label).cast("int")).alias("label"))
+    chosen = F.broadcast(chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(sample))
     narrow = common.with_columns_kept(docs, key, text)
     rows = narrow.join(chosen, narrow["doc_id"] == chosen["label_id"]).select("doc_id", "text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = []
-            for i, t in zip(b.column(0).to_pylist(), common.texts_of(b.column(1))):
-                f = line_features(lines_of(t))
-                at = (i * 2654435761 % 4294967296) % max(1, len(f) - stretch + 1)
-                got.append(np.ascontiguousarray(f[at : at + stretch], dtype=np.float32).tobytes())
+            got = [line_features(lines_of(t)).astype(np.float32).tobytes() for t in common.texts_of(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(got, pa.binary())], names=["doc_id", "label", "features"])
 
-    got = rows.mapInArrow(run, "doc_id long, label int, features binary").orderBy("doc_id", "label").limit(2 * sample).collect()  # a bounded sample
-    got = [(np.frombuffer(r["features"], np.float32).reshape(-1, len(NAMES)).astype(float), r["label"]) for r in got]
-    got = [x for x in got if len(x[0])]
-    if not got:
+    each = rows.mapInArrow(run, "doc_id long, label int, features binary").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("features").alias("features"))
+    own, known = [], []
+    for r in each.orderBy("doc_id").collect():  # at most `sample` rows
+        f = np.frombuffer(r["features"], np.float32).reshape(-1, len(NAMES)).astype(float)
+        for at in range(0, len(f), stretch):
+            own.append(f[at : at + stretch])
+            known.append(r["label"])
+    if not own:
         width = 3 * len(NAMES) - 2 * NEAR + 1
         return Model(np.zeros(width), np.ones(width), np.zeros(width), np.zeros((2, 2)), 0.5)
-    return fit([x for x, _ in got], [q for _, q in got])
+    return fit(own, known)
 
 
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
