@@ -5,8 +5,9 @@ and what is cut off is shared again by weight. All documents of a source expect
 size. Their expected copies are summed in order of size, one offset per source is added, and a document is emitted once per
 integer boundary that its own stretch crosses; ordered by size, the sample keeps a source's mix of sizes and so its words.
 
-The prefix sum runs over a range partitioning by (source, size, id): rows are numbered inside their partition, and one row per
-partition and source carries what came before. So a source that holds most rows is spread over many tasks.
+Sizes are counted once and stored. The prefix sum runs over a range partitioning by (source, size, id) of ids and sizes alone: rows are
+numbered inside their partition, and one row per partition and source carries what came before. So a source that holds most rows is
+spread over many tasks, and texts travel once at most, to meet their numbers of copies.
 """
 
 from __future__ import annotations
@@ -58,9 +59,10 @@ def copies(docs: DataFrame, *, source: str = "source", text: str = "text", key:
     their own. Kept columns come as one struct ``row``, so their names can't clash.
     """
     kept = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []
-    sized = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(text).alias("size"), *kept)
-    order = ["source", "size", "doc_id"]
-    rows = common.stored(sized.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "sized-documents")
+    sized = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(text).alias("size"), F.monotonically_increasing_id().alias("row_number"), *kept)
+    sized = common.stored(sized, "sized-documents")
+    order = ["source", "size", "doc_id", "row_number"]
+    rows = common.stored(sized.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ranked-documents")
     rows = rows.withColumn("part", F.shiftright("at", 33))
     runs = rows.groupBy("source", "part").agg(F.min("at").alias("first_at"), F.count("*").alias("n"), F.sum("size").alias("words"))
     each = runs.groupBy("source").agg(F.sum("words").alias("source_size"))
@@ -74,7 +76,8 @@ def copies(docs: DataFrame, *, source: str = "source", text: str = "text", key:
     rank = F.col("before") + F.col("at") - F.col("first_at")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     crossed = F.floor((rank + 1) * rate + F.col("u")) - F.floor(rank * rate + F.col("u"))
-    return out.select("doc_id", "source", "size", "source_size", "target", crossed.cast("long").alias("copies"), *(["row"] if keep else []))
+    out = out.select("doc_id", "source", "size", "source_size", "target", crossed.cast("long").alias("copies"), "row_number")
+    return out.join(sized.select("row_number", "row"), "row_number").drop("row_number") if keep else out.drop("row_number")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
