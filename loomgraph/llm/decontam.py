@@ -2,8 +2,8 @@
 
 The corpus is cut into segments of whole documents (Arrow batches). Each segment is one row of the stored index: its term
 dictionary, and per term a posting list of (document, position), packed as sorted integers ``document << 32 | position``.
-Only terms that some test item uses are indexed, as no query can ask for others. Test items are read in blocks of bounded
-size; each block is sent to all segments, which intersect the offset-adjusted lists of a phrase from its rarest term on.
+Only terms that some test item uses are indexed, as no query can ask for others; their distinct words are sent to the tasks. Test
+items are read in blocks of bounded size; each block is sent to all segments, which intersect the offset-adjusted lists of a phrase from its rarest term on.
 Segments are independent, so nothing is shuffled and a hot term, passage or source is just a longer list in its segments.
 """
 
@@ -21,6 +21,9 @@ from loomgraph.llm import common
 #: Words of a window; test text per block in bytes, the bound on what is sent to the tasks at a time.
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
+#: A-Z, and what separates words, as for ``common.alnum_words``.
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 INDEX = "segment long, doc_ids array<long>, n_words array<int>, terms array<binary>, starts array<long>, postings binary"
 MATCHES = "segment long, seq int, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
 
@@ -163,11 +166,11 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[first], end[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(end) - 1]])]
 
 
-def phrase_matches(index: DataFrame, rows: list[tuple[str | None, str]], *, size: int = WINDOW, slack: int | None = None) -> DataFrame:
+def phrase_matches(index: DataFrame, rows: list[tuple[str | None, str]], *, size: int = WINDOW, slack: int | None = None, every: bool = True) -> DataFrame:
     """Matches of a block of items in every document of a stored index.
 
     Exact phrases, or with ``slack`` the windows whose terms all lie near the rarest one. One row per document, without
-    matches too: ``(segment, seq, doc_id, n_words, starts, ends, items)`` with the merged word intervals that matched and the
+    matches too unless ``every`` is false: ``(segment, seq, doc_id, n_words, starts, ends, items)`` with the merged word intervals that matched and the
     items that did.
     """
     block = index.sparkSession.sparkContext.broadcast(Phrases(rows, size))
@@ -197,9 +200,10 @@ def phrase_matches(index: DataFrame, rows: list[tuple[str | None, str]], *, size
                     a, e = _merged(np.concatenate([i for i, _ in x]), np.concatenate([j for _, j in x])) if x else ([], [])
                     starts.append(list(a))
                     ends.append(list(e))
-                yield pa.RecordBatch.from_arrays(
+                out = pa.RecordBatch.from_arrays(
                     [pa.array([row["segment"]] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int32()), pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(starts, pa.list_(pa.int32())),
                      pa.array(ends, pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["segment", "seq", "doc_id", "n_words", "starts", "ends", "items"])
+                yield out if every else out.take(pa.array([k for k, x in enumerate(spans) if x], pa.int64()))
 
     return index.mapInArrow(run, MATCHES)
 
@@ -212,20 +216,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", tex
     listed; equal items under several ids are all listed. Repeated rows stay one row each; other columns are ignored.
     Over one block of items (``BLOCK_BYTES`` of text) the job has no shuffle; the results of several blocks meet per document.
     """
+    words = F.explode(F.split(F.translate(F.col(item_text).cast("string"), _UPPER, _UPPER.lower()), _NO_WORD)).alias("word")
+    terms = {r["word"].encode() for r in items.select(words).distinct().collect() if r["word"]}  # distinct words of the tests
+    index = build_index(docs, terms, key=key, text=text)
     blocks = item_blocks(items, item_key, item_text, block_bytes)
     rows, more = next(blocks, []), next(blocks, None)
-    # An index that serves several blocks holds every term.
-    index = build_index(docs, None if more else {w for _, t in rows for w in common.alnum_words(t.encode())}, key=key, text=text)
     if not more:
         return phrase_matches(index, rows, size=size).drop("segment", "seq")
     found = None
     while rows:
-        part = common.stored(phrase_matches(index, rows, size=size), "phrase-matches")
+        part = common.stored(phrase_matches(index, rows, size=size, every=False), "phrase-matches")
         found = part if found is None else found.unionByName(part)
         rows, more = more, next(blocks, None)
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    met = found.groupBy("segment", "seq", "doc_id", "n_words").agg(flat("starts"), flat("ends"), flat("items"))
-    return met.drop("segment", "seq").mapInArrow(_union, UNION)
+    met = found.groupBy("segment", "seq").agg(flat("starts"), flat("ends"), flat("items"))
+    every = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("seq", "d")).select("segment", "seq", F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").cast("long").alias("n_words"))
+    empty = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
+    met = every.join(met, ["segment", "seq"], "left").select("doc_id", "n_words", empty("starts", "array<int>"), empty("ends", "array<int>"), empty("items", "array<string>"))
+    return met.mapInArrow(_union, UNION)
 
 
 UNION = "doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
