@@ -471,9 +471,34 @@ def test_terms_count_outside_base_spans(spark):
     assert all("mithson" not in r.text and "konkwo" not in r.text for r in pii.sanitised(docs).collect())
 
 
+def test_disclosing_terms_are_marked_wherever_they_stand(spark):
+    # the name stands six words from the address, and twice without it; of a text with several entities each has its own terms
+    told = "Quillfeather wrote in common words again to ann@x.org common"
+    rows = [(k, told, "en", "s") for k in range(8)] + [(8, "common Quillfeather words", "en", "s"), (9, "QUILLFEATHER", "en", "s")]
+    rows += [(20 + k, "common words wrote again " * 60, "en", "s") for k in range(80)]
+    found = {r.doc_id: {(s.kind, s.start, s.end) for s in r.spans} for r in pii.personal_data(frame(spark, rows)).collect()}
+    assert found[0] == {("email", 44, 53), ("remove", 0, 12)} and found[8] == {("remove", 7, 19)} and found[9] == {("remove", 0, 12)}
+    assert not any(found[20 + k] for k in range(80))
+
+
+def test_texts_with_many_matches(spark):
+    import time
+
+    took = []
+    for n in (5_000, 40_000):
+        text = " ".join(f"name{k % 7} 10.{k % 200}.{k // 200 % 200}.7 a{k}@b.org" for k in range(n))
+        t = time.time()
+        r = pii.personal_data(frame(spark, [(1, text, "en", "s"), (2, "plain", "en", "s")])).where("doc_id = 1").collect()[0]
+        took.append(time.time() - t)
+        assert len(r.base) == 2 * n and all(text[s.start : s.end] == s.value for s in r.base[:: n // 50])
+    assert took[1] < 30 * max(took[0], 1)
+    clean = pii.sanitised(frame(spark, [(1, text, "en", "s")])).collect()[0].text
+    assert "@" not in clean and clean.count("[EMAIL]") == n == clean.count("[IP]")
+
+
 def test_sanitised_texts(spark):
     rows = [(i, f"Zanthor: write a{i % 2}@b.org now, or +49 30 1234567 ü 10.0.0.1", "en", "s") for i in range(6)]
-    rows += [(10 + i, "filler words of no harm at all " * 40, "en", "s") for i in range(25)] + [(50 + i, "other words stand here too " * 400, "en", "s") for i in range(10)] + [(40, None, None, None), (41, "", "en", "s"), (42, "plain write now", "en", "s")]
+    rows += [(10 + i, "filler words of no harm at all " * 40, "en", "s") for i in range(25)] + [(50 + i, "other words stand here too, write now " * 400, "en", "s") for i in range(10)] + [(40, None, None, None), (41, "", "en", "s"), (42, "plain write now", "en", "s")]
     found = {r.doc_id: r for r in pii.personal_data(frame(spark, rows), with_text=True).collect()}
     texts = {r.doc_id: r.text for r in pii.sanitised(frame(spark, rows)).collect()}
     assert len(texts) == len(rows) and texts[40] == texts[41] == "" and texts[42] == "plain write now" and texts[10] == rows[6][1]
