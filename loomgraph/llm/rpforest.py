@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from loomgraph.llm import common
 
 COSINE = 0.95
-TREES, LEAF = 12, 256
-#: Sample that the splits are fitted on, in vectors, and the width of the zone around a cut that goes to both sides, in standard
+TREES, LEAF = 6, 256
+#: Sample that the splits are fitted on, in vectors: one of SHARE, within these bounds, as the driver holds it. The width of the zone around a cut that goes to both sides, in standard
 #: deviations of the projected distance of two vectors at the threshold. A node with more than CROWDED in its zone is a leaf.
-SAMPLE, SPILL, CROWDED = 16_384, 1.0, 0.5
+SAMPLE, SHARE, SPILL, CROWDED = (16_384, 65_536), 64, 1.0, 0.5
 BLOCK = 512
 SEED = 7
 
@@ -107,47 +107,81 @@ def spanning(linked: np.ndarray) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def links(vectors: DataFrame, *, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
-    """What the forest finds between distinct vectors ``(rep long, copies long, v array<double>)`` of one length, as ``(a, b, n)``.
+def parts_of(linked: np.ndarray) -> np.ndarray:
+    """Number of the connected part of each row of a symmetric matrix of links."""
+    part, n = np.full(len(linked), -1), 0
+    for root in range(len(linked)):
+        if part[root] < 0:
+            part[root], todo = n, [root]
+            while todo:
+                new = np.flatnonzero(linked[todo].any(axis=0) & (part < 0))
+                part[new] = n
+                todo = new.tolist()
+            n += 1
+    return part
+
+
+def between(part: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of links (i, j) between rows of the given parts, enough to connect what they all connect."""
+    pairs, first = np.unique(np.stack([part[i], part[j]]), axis=1, return_index=True)
+    root, a, b = list(range(int(part.max()) + 1)), [], []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for (p, q), at in zip(pairs.T.tolist(), first):
+        p, q = find(p), find(q)
+        if p != q:
+            root[p] = q
+            a.append(i[at])
+            b.append(j[at])
+    return a, b
+
+
+def links(vectors: DataFrame, *, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, block: int = BLOCK, sample: int | None = None) -> DataFrame:
+    """What the forest finds between distinct vectors ``(rep long, copies long, v array<float or double>)`` of one length, as ``(a, b, n)``.
 
     Rows with a < b are links that connect what all links do; rows with a = b add ``n``, copies counted, to the vector's links.
     """
     spark = vectors.sparkSession
     common.ship(spark)
     total = vectors.count()
+    sample = sample or min(max(total // SHARE, SAMPLE[0]), SAMPLE[1])
     fit = vectors.orderBy(F.xxhash64("rep")).limit(sample).select("v").collect() if total > sample else vectors.select("v").collect()  # at most `sample` vectors
     if len(fit) < 2:
         return spark.createDataFrame([], "a long, b long, n long")
-    grown = spark.sparkContext.broadcast(forest(unit(np.array([r["v"] for r in fit])), total, cosine=cosine, trees=trees, leaf=leaf, spill=spill))
+    grown = spark.sparkContext.broadcast(forest(unit(np.array([r["v"] for r in fit], dtype=np.float64)), total, cosine=cosine, trees=trees, leaf=leaf, spill=spill))
+    kind = np.dtype("f4" if dict(vectors.dtypes)["v"] == "array<float>" else "f8")
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = common.ragged([tree.leaves for tree in grown.value])
         for whole in batches:
             for b in (whole.slice(at, 1024) for at in range(0, whole.num_rows, 1024)):
-                v = unit(_vectors(b.column(2)))
-                rows, leaves = (np.concatenate(x) for x in zip(*((rows, leaves + first[t]) for t, tree in enumerate(grown.value) for rows, leaves in [tree.route(v)])))
+                v = _vectors(b.column(2))
+                u = unit(v)
+                rows, leaves = (np.concatenate(x) for x in zip(*((rows, leaves + first[t]) for t, tree in enumerate(grown.value) for rows, leaves in [tree.route(u)])))
                 order = np.lexsort((leaves, rows))
-                rows, leaves = rows[order], leaves[order].astype(np.int32)
-                start = np.searchsorted(rows, rows)
-                at = pa.array(rows)
+                each = np.split(leaves[order].astype(np.int32), np.cumsum(np.bincount(rows, minlength=len(v)))[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(at), b.column(1).take(at), pa.array(leaves.astype(np.int64)), pa.array([leaves[s:k].tobytes() for k, s in enumerate(start)], pa.binary()), pa.array([x.tobytes() for x in v], pa.binary()).take(at)],
-                    names=["rep", "copies", "leaf", "earlier", "v"])
+                    [b.column(0), b.column(1), pa.array(each, pa.list_(pa.int32())), pa.array([x.tobytes() for x in each], pa.binary()), pa.array([x.tobytes() for x in v.astype(kind)], pa.binary())],
+                    names=["rep", "copies", "leaves", "packed", "v"])
 
-    placed = common.stored(vectors.select("rep", "copies", "v").mapInArrow(routed, "rep long, copies long, leaf long, earlier binary, v binary"), "leaf-members")
-    size = placed.groupBy(F.col("leaf").alias("of")).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    placed = common.stored(vectors.select("rep", "copies", "v").mapInArrow(routed, "rep long, copies long, leaves array<int>, packed binary, v binary"), "routed-vectors")
+    size = placed.select(F.explode("leaves").alias("of")).groupBy("of").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     size = common.stored(size, "leaf-sizes")
-    dealt = placed.join(size, placed["leaf"] == size["of"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = placed.select("rep", "copies", "v", "packed", F.posexplode("leaves").alias("at", "leaf"))
+    dealt = dealt.join(size, dealt["leaf"] == size["of"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = dealt.select("leaf", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rep", (F.col("block") > F.col("other")).cast("int").alias("side"), "v", "copies", "earlier")
+    earlier = F.substring("packed", F.lit(1), F.col("at") * 4)
+    tasks = dealt.select("leaf", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rep", (F.col("block") > F.col("other")).cast("int").alias("side"), "v", "copies", earlier.alias("earlier"))
     tasks = tasks.repartition("leaf", "x", "y").sortWithinPartitions("leaf", "x", "y", "rep")
 
     def compare(rows: list[tuple]) -> pa.RecordBatch | None:
-        v = np.frombuffer(b"".join(r[5] for r in rows), np.float64).reshape(len(rows), -1)
-        i, j = np.nonzero(np.triu(v @ v.T >= cosine - 1e-9, 1))
-        if rows[0][1] != rows[0][2]:
-            side = np.array([r[4] for r in rows])
-            i, j = (x[side[i] != side[j]] for x in (i, j))
+        v = unit(np.frombuffer(b"".join(r[5] for r in rows), kind).reshape(len(rows), -1).astype(np.float64))
+        low = v.astype(np.float32)
+        i, j = np.nonzero(np.triu(low @ low.T >= cosine - 1e-5 - 2e-7 * v.shape[1], 1))
         fine = np.concatenate([np.einsum("ij,ij->i", v[i[k : k + 65_536]], v[j[k : k + 65_536]]) >= cosine for k in range(0, len(i), 65_536)]) if len(i) else np.empty(0, bool)
         if not fine.any():
             return None
@@ -159,6 +193,13 @@ def links(vectors: DataFrame, *, cosine: float = COSINE, trees: int = TREES, lea
         holds[np.repeat(np.arange(len(met)), [len(x) for x in earlier]), place] = 1
         holds = holds[:, times > 1]
         new = (holds @ holds.T == 0)[i, j]
+        side = np.array([rows[k][4] for k in met])
+        two = rows[0][1] != rows[0][2]
+        if two:  # links within a block are returned by the tasks of that block or of an earlier leaf
+            within = np.zeros((len(met), len(met)), bool)
+            same = side[i] == side[j]
+            within[i[same], j[same]] = within[j[same], i[same]] = True
+            new &= ~same
         if not new.any():
             return None
         i, j = i[new], j[new]
@@ -166,7 +207,7 @@ def links(vectors: DataFrame, *, cosine: float = COSINE, trees: int = TREES, lea
         linked = np.zeros((len(met), len(met)), bool)
         linked[i, j] = linked[j, i] = True
         n = linked @ copies
-        a, b = (ids[x] for x in map(np.array, spanning(linked)))
+        a, b = (ids[np.array(x, dtype=np.int64)] for x in (between(parts_of(within), i, j) if two else spanning(linked)))
         own = ids[n > 0]
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([np.minimum(a, b), own])), pa.array(np.concatenate([np.maximum(a, b), own])), pa.array(np.concatenate([np.zeros(len(a), np.int64), n[n > 0]]))], names=["a", "b", "n"])
@@ -183,7 +224,9 @@ def links(vectors: DataFrame, *, cosine: float = COSINE, trees: int = TREES, lea
         if rows and (out := compare(rows)) is not None:
             yield out
 
-    return tasks.mapInArrow(run, "a long, b long, n long")
+    found = common.stored(tasks.mapInArrow(run, "a long, b long, n long"), "vector-links")
+    common.drop(placed, size)
+    return found
 
 
 def near_duplicates(table: DataFrame, *, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, **options) -> DataFrame:
@@ -192,21 +235,23 @@ def near_duplicates(table: DataFrame, *, key: str = "vec_id", vector: str = "emb
     Vectors are linked when their cosine in double precision is at least ``cosine``. Null, empty and zero vectors and those with
     null or non-finite components link with nothing, nor do vectors of different length with each other. Vectors with equal
     components are one class: its members link with each other. Repeated rows stay and link as others do. Other columns are
-    ignored. Links between different vectors are found with high probability, none is below the threshold.
+    ignored. Links between different vectors are found with high probability, none is below the threshold. Different vectors under
+    one id may be one node: where two classes have the same smallest id, what links with either is in one component.
     """
     spark = table.sparkSession
     common.ship(spark)
-    rows = table.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+    number = "float" if dict(table.dtypes)[vector] == "array<float>" else "double"
+    rows = table.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast(f"array<{number}>").alias("v"))
     fine = F.coalesce(F.size("v") > 0, F.lit(False)) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    digest = F.when(F.col("fine"), F.md5(F.concat_ws(",", F.transform("v", lambda x: (x + F.lit(0.0)).cast("string"))).cast("binary")))
+    digest = F.when(F.col("fine"), F.md5(F.concat_ws(",", F.transform("v", lambda x: (x + F.lit(0.0).cast(number)).cast("string"))).cast("binary")))
     rows = common.stored(rows.withColumn("class", digest), "vectors")
     classes = common.stored(rows.where("fine").groupBy("class").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"), F.max(F.size("v")).alias("length")), "vector-classes")
     found = None
     for r in classes.select("length").distinct().collect():  # one row per length of vector
         part = links(classes.where(F.col("length") == r["length"]).select("rep", "copies", "v"), cosine=cosine, **options)
         found = part if found is None else found.unionByName(part)
-    found = common.stored(found if found is not None else spark.createDataFrame([], "a long, b long, n long"), "vector-links")
+    found = found if found is not None else spark.createDataFrame([], "a long, b long, n long")
     degree = found.where("a = b").groupBy(F.col("a").alias("linked_rep")).agg(F.sum("n").alias("others"))
     groups = common.components(found.where("a <> b"))
     named = classes.join(degree, classes["rep"] == degree["linked_rep"], "left").join(groups, classes["rep"] == groups["node"], "left")

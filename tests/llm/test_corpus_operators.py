@@ -530,6 +530,30 @@ def test_vectors(spark):
     assert rpforest.near_duplicates(table.where("false")).count() == 0
 
 
+def test_vectors_under_one_id(spark):
+    table = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.0, 1.0, 0.01]), (3, [1.0, 0.01, 0.0]), (4, [0.0, 0.0, 1.0])], "vec_id long, embedding array<float>")
+    found = sorted((x.vec_id, x.n_links, x.component_id) for x in rpforest.near_duplicates(table).collect())
+    assert [x[:1] + x[2:] for x in found] == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_links_between_parts_of_two_blocks():
+    r = np.random.default_rng(2)
+    for _ in range(50):
+        n = 40
+        m = np.triu(r.random((n, n)) < 0.03, 1)
+        m |= m.T
+        side = np.arange(n) % 2
+        within = m & (side[:, None] == side)
+        i, j = np.nonzero(np.triu(m & ~within))
+        part = rpforest.parts_of(within)
+        if len(i):
+            a, b = rpforest.between(part, i, j)
+            fewer = within.copy()
+            fewer[a, b] = fewer[b, a] = True
+            want = rpforest.parts_of(m)
+            assert (rpforest.parts_of(fewer) == want).all() and len(a) <= len(i)
+
+
 def test_vectors_in_one_dense_group(spark):
     # a third of the vectors, all different, at a cosine of about 0.96 with each other; each cut parts many of them
     r = np.random.default_rng(5)
