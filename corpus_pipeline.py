@@ -22,34 +22,44 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > 0)).select("row.*")
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The documents with a number for each row, stored so that it stays the same, and the number's name, which no column of theirs has."""
+def told_apart(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents and the name of a column that tells their rows apart.
+
+    That is ``doc_id`` where no id is null or repeated. Else the rows are numbered, under a name that no column of theirs has, and stored,
+    so that the numbers stay the same.
+    """
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        return docs, "doc_id"
     number = "row_number"
     while number in docs.columns:
         number += "_"
     return common.stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered"), number
 
 
+def without(rows: DataFrame, number: str, gone: DataFrame, docs: DataFrame) -> DataFrame:
+    """The documents but for the rows that ``gone`` names. It is stored first, so that Spark knows its size: texts stay where they are if it is small."""
+    gone = common.stored(gone.toDF("gone_row"), "gone")
+    return rows.join(gone, rows[number] == gone["gone_row"], "left_anti").select(*[rows[c] for c in docs.columns])
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near-duplicates (similarity of at least 0.8), the one with the smallest id, a null id last.
 
-    Rows are told apart by number, so of repeated rows one stays, and rows with one id and different texts are documents of their own.
+    Rows are told apart, so of repeated rows one stays, and rows with one id and different texts are documents of their own.
     """
-    rows, number = numbered(docs)
+    rows, number = told_apart(docs)
     found = minhash.near_duplicates(rows, key=number, percent=80).select(F.col("doc_id").alias("found_row"), F.col("component_id").alias("group"))
-    least = F.struct(F.col("doc_id").isNull(), "doc_id", number)
-    groups = found.join(rows.select(number, "doc_id"), F.col("found_row") == F.col(number)).groupBy("group").agg(F.min(least).alias("least"), F.count("*").alias("n")).where("n > 1")
-    stays = common.stored(groups.select("group", F.col(f"least.{number}").alias("stays")), "kept-of-groups")
-    gone = found.join(stays, "group").where("found_row <> stays").select("found_row")
-    return rows.join(gone, rows[number] == gone["found_row"], "left_anti").drop(number)
+    own = rows.select(F.col(number).cast("long").alias("number"), F.col("doc_id").alias("id"))
+    groups = found.join(own, F.col("found_row") == F.col("number")).groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "number")).alias("least"), F.count("*").alias("n"))
+    stays = groups.where("n > 1").select("group", F.col("least.number").alias("stays"))
+    return without(rows, number, found.join(stays, "group").where("found_row <> stays").select("found_row"), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows with any word inside an occurrence of a benchmark window."""
-    rows, number = numbered(docs)
+    rows, number = told_apart(docs)
     found = decontam.decontaminate(rows, common.table(spark, sf_dir, "benchmark"), key=number)
-    gone = found.where(F.size("starts") > 0).select(F.col("doc_id").alias("found_row"))
-    return rows.join(gone, rows[number] == gone["found_row"], "left_anti").drop(number)
+    return without(rows, number, found.where(F.size("starts") > 0).select("doc_id"), docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,7 +77,10 @@ def copies(docs: DataFrame, *, source: str = "source", text: str = "text", key:
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     crossed = F.floor((rank + 1) * rate + F.col("u")) - F.floor(rank * rate + F.col("u"))
     out = out.select("doc_id", "source", "size", "source_size", "target", crossed.cast("long").alias("copies"), "row_number")
-    return out.join(sized.select("row_number", "row"), "row_number").drop("row_number") if keep else out.drop("row_number")
+    if not keep:
+        return out.drop("row_number")
+    out = common.stored(out, "copies")  # Spark then knows its size: rows stay where they are if it is small
+    return out.join(sized.select("row_number", "row"), "row_number").drop("row_number")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
