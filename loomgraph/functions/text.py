@@ -5,15 +5,21 @@ Patterns that must equal the vocabulary's are fixed values.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BULLET = r"^(?:[-*•‣●◦]|\(?(?:\d{1,3}|[a-zA-Z])[.)])\s+"
 CRITERIA = r"(?i)^(?:#+\s*)?(?:acceptance criteria|criteria|crit[èe]res? d['’ ]?acceptation|crit[èe]res?)\s*:?\s*$"
 ISSUE_KEY = r"(?<![A-Za-z0-9_-])([A-Z][A-Z0-9]{1,9}-\d{1,7})(?![A-Za-z0-9_-])"
-GHERKIN = r"(?i)^\s*(Feature|Background|Scenario|Scenario Outline|Examples|Rule)\b.*"
-STEP = r"(?i)^\s*(Given|When|Then|And|But)\b.*"
-BLOCK_END = r"(?i)<(?:br\s*/?|/p|/div|/li|/tr|/h[1-6])>"
+GHERKIN = r"(?iU)^\s*(?:Feature|Scenario Outline|Scenario|Example|Examples|Background|Rule)\s*[:@]"
+STEP = r"(?iU)^\s*(?:Given|When|Then|And|But|\*)\b"
+PRECONDITION = r"(?iU)^\s*(?:Preconditions?|Conditions?)\s*:\s*(.*)$"
+STEP_TAG = r"(?U)\s+@[\w\-]+(?:[,\s]|$)"
+PLAN_TAGS, PRECONDITION_TAGS = ("test-plan", "test plan", "testplan"), ("precondition", "précondition", "preconditions")
+TEST_LABELS = (("Test", "tests"), ("Precondition", "preconditions"), ("TestSet", "test_sets"), ("TestPlan", "test_plans"), ("TestExecution", "executions"))
+BLOCK_END = r"(?i)<\s*(?:br\s*/?|/\s*(?:div|p|li|h[1-6]|tr))\s*>"
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
 
 
@@ -21,6 +27,11 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def decoded(c: Column) -> Column:
     """The six entities, in this order, so that ``&amp;lt;`` is decoded twice."""
     for a, b in ENTITIES:
@@ -28,6 +39,18 @@ def decoded(c: Column) -> Column:
     return c
 
 
+def unescaped(c: Column) -> Column:
+    """Every named and numeric character reference decoded once. HTML has over 2,000 names, so this asks the standard library, a batch of texts at a time."""
+
+    @F.pandas_udf("string")
+    def unescape(texts: pd.Series) -> pd.Series:
+        import html
+
+        return texts.map(html.unescape, na_action="ignore")
+
+    return unescape(c)
+
+
 def current_sprint(history: Column) -> Column:
     """Name of the last entry of a history of ``…name=X,…`` texts or plain names."""
     last = F.try_element_at(history, F.lit(-1))
@@ -49,9 +72,10 @@ def flat_bool(c: Column) -> Column:
 
 
 def html_lines(c: Column) -> Column:
-    """Lines of an HTML text: block ends are line ends, other tags go, entities are decoded, blank lines dropped."""
-    text = decoded(F.regexp_replace(F.regexp_replace(c, BLOCK_END, "\n"), r"<[^>]*>", ""))
-    return F.filter(F.transform(F.split(F.translate(text, " ", " "), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    """Lines of an HTML text: block ends are line ends, other tags go, entities are decoded line by line, blank lines dropped."""
+    text = F.regexp_replace(F.regexp_replace(c, BLOCK_END, "\n"), r"<[^>]*>", "")
+    text = unescaped(F.array_join(F.split(text, LINE_END), "\x1e"))
+    return F.filter(F.transform(F.split(text, "\x1e"), lambda x: strip(F.translate(x, "\u00a0", " "))), lambda x: x != "")
 
 
 def wiki_text(c: Column) -> Column:
@@ -59,9 +83,13 @@ def wiki_text(c: Column) -> Column:
     return collapse(decoded(F.regexp_replace(c, r"<[^>]*>", " ")))
 
 
+def untagged(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", " "), r"(?U)\s+", " "))
+
+
 def tracker_text(c: Column) -> Column:
     """Entities are decoded before tags are removed, white space collapsed."""
-    return collapse(F.regexp_replace(decoded(c), r"<[^>]*>", " "))
+    return untagged(unescaped(c))
 
 
 def strip_bullet(c: Column) -> Column:
@@ -71,7 +99,7 @@ def strip_bullet(c: Column) -> Column:
 
 
 def lines(c: Column) -> Column:
-    return F.split(F.coalesce(c, F.lit("")), r"\r\n|\r|\n")
+    return F.split(F.coalesce(c, F.lit("")), LINE_END)
 
 
 def criteria_lines(c: Column) -> Column:
@@ -104,10 +132,10 @@ def link_pairs(links: Column) -> Column:
 
 
 def relative_path(c: Column, root: str) -> Column:
-    """A path below a root, slashes normalised; ``.`` for the root itself, other paths untouched."""
+    """A path below a root; ``.`` for the root itself. Slashes are normalised, in other paths too; empty ones stay."""
     p = F.rtrim(F.replace(c, F.lit("\\"), F.lit("/")), F.lit("/"))
     r = root.replace("\\", "/").rstrip("/")
-    return F.when(F.lower(p) == r.lower(), ".").when(F.startswith(F.lower(p), F.lit(r.lower() + "/")), F.substring(p, F.lit(len(r) + 2), F.length(p))).otherwise(c)
+    return F.when(F.lower(p) == r.lower(), ".").when(F.startswith(F.lower(p), F.lit(r.lower() + "/")), F.substring(p, F.lit(len(r) + 2), F.length(p))).when(c == "", c).otherwise(p)
 
 
 def uid(*parts: Column) -> Column:
@@ -130,47 +158,73 @@ def issue_keys(c: Column) -> Column:
 
 
 def gherkin_steps(c: Column) -> Column:
-    """Step lines of a text as (position, text), trailing tags removed."""
-    numbered = F.transform(lines(c), lambda x, i: F.struct((i + 1).alias("position"), F.trim(F.regexp_replace(x, r"(\s+@\S+)+\s*$", "")).alias("text")))
-    return F.filter(numbered, lambda x: x["text"].rlike(STEP))
+    """Step lines of a text as (position, text): white space collapsed, tags removed (of tags in a row every other one), empty ones dropped."""
+    text = lambda x: strip(F.regexp_replace(strip(F.regexp_replace(x, r"(?U)\s+", " ")), STEP_TAG, " "))
+    numbered = F.filter(F.transform(lines(c), lambda x, i: F.struct((i + 1).alias("position"), x.alias("line"))), lambda x: x["line"].rlike(STEP))
+    return F.filter(F.transform(numbered, lambda x: F.struct(x["position"].alias("position"), text(x["line"]).alias("text"))), lambda x: x["text"] != "")
 
 
 def is_gherkin(c: Column) -> Column:
     return F.exists(lines(c), lambda x: x.rlike(GHERKIN) | x.rlike(STEP))
 
 
-def preconditions(c: Column, heading: str = "Preconditions") -> Column:
-    """Definitions after a heading; an indented line goes on the one before, a Gherkin line ends the section."""
-    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("out"))
-    more = lambda acc, x: F.when((F.substring(x, 1, 1) == " ") & (F.size(acc["out"]) > 0), F.concat(
-        F.slice(acc["out"], F.lit(1), F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(F.concat_ws(" ", F.try_element_at(acc["out"], F.lit(-1)), F.trim(x))))).otherwise(F.array_append(acc["out"], F.trim(x)))
-    step = lambda acc, x: (F.when(F.rtrim(F.trim(x), F.lit(":")) == heading, F.struct(F.lit(True).alias("inside"), acc["out"].alias("out")))
-                           .when(acc["inside"] & (x.rlike(GHERKIN) | x.rlike(STEP)), F.struct(F.lit(False).alias("inside"), acc["out"].alias("out")))
-                           .when(acc["inside"] & (F.trim(x) != ""), F.struct(acc["inside"].alias("inside"), more(acc, x).alias("out"))).otherwise(acc))
+def preconditions(c: Column) -> Column:
+    """Definitions after a heading such as ``Preconditions:``, until a Gherkin line ends the section.
+
+    What stands on the heading's own line is a definition, which the line that follows last continues; lines after a bare heading are
+    definitions of their own.
+    """
+    empty = F.array().cast("array<string>")
+    start = F.struct(F.lit(False).alias("inside"), F.lit(None).cast("string").alias("current"), empty.alias("out"))
+    heading = lambda x: F.nullif(strip(F.regexp_extract(x, PRECONDITION, 1)), F.lit(""))
+    but_last = lambda out: F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))
+
+    def state(inside: Column, current: Column, out: Column) -> Column:
+        return F.struct(inside.alias("inside"), current.alias("current"), out.alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        opened = state(F.lit(True), heading(x), F.when(heading(x).isNull(), acc["out"]).otherwise(F.array_append(acc["out"], heading(x))))
+        more = F.when(acc["current"].isNull(), F.array_append(acc["out"], strip(x))).otherwise(F.array_append(but_last(acc["out"]), F.concat_ws(" ", acc["current"], strip(x))))
+        closed = state(F.lit(False), F.lit(None).cast("string"), acc["out"])
+        return (F.when(x.rlike(PRECONDITION), opened).when(~acc["inside"], acc).when(x.rlike(GHERKIN) | x.rlike(STEP), closed)
+                .when(strip(x) != "", state(acc["inside"], acc["current"], more)).otherwise(acc))
+
     return F.aggregate(lines(c), start, step)["out"]
 
 
-def label_value(tags: Column, prefix: str) -> Column:
-    """Value of the first ``prefix:value`` tag with a value."""
-    values = F.transform(F.filter(tags, lambda t: F.startswith(F.lower(t), F.lit(prefix + ":"))), lambda t: F.trim(F.substring(t, F.lit(len(prefix) + 2), F.length(t))))
-    return F.get(F.filter(values, lambda v: v != ""), F.lit(0))
+def label_value(tags: Column, prefix: str | Column) -> Column:
+    """Value of the first ``prefix:value`` tag with a value, whatever the prefix's case; tags are trimmed."""
+    start = F.lower(F.concat(F.lit(prefix) if isinstance(prefix, str) else prefix, F.lit(":")))
+    trimmed = F.filter(F.transform(tags, strip), lambda t: F.startswith(F.lower(t), start))
+    return F.get(F.filter(F.transform(trimmed, lambda t: strip(F.substring(t, F.length(start) + 1, F.length(t)))), lambda v: v != ""), F.lit(0))
+
+
+def run_label(tags: Column, test: Column) -> Column:
+    """The recorded result of a test's run, from a tag ``run:<key>:<state>`` of the execution."""
+    return label_value(tags, F.concat(F.lit("run:"), test.cast("string")))
 
 
 def test_collection(labels: Column, tags: Column) -> Column:
-    """Collection of a record by its label, else by its tags."""
+    """Collection of a record by its label; without one, a plan or a precondition by its tags."""
     has = lambda c, *xs: F.arrays_overlap(c, F.array(*[F.lit(x) for x in xs]))
-    t = F.transform(tags, lambda x: F.lower(x))
-    return (F.when(has(labels, "TestExecution"), "executions").when(has(labels, "TestPlan"), "plans").when(has(labels, "TestSet"), "sets").when(has(labels, "Precondition"), "preconditions").when(has(labels, "Test"), "tests")
-            .when(has(t, "test-execution"), "executions").when(has(t, "test-plan"), "plans").when(has(t, "test-set"), "sets").when(has(t, "precondition"), "preconditions").when(has(t, "test"), "tests"))
+    t = F.transform(tags, lambda x: F.lower(strip(x)))
+    found = F.when(F.lit(False), F.lit(None).cast("string"))
+    for label, collection in TEST_LABELS:
+        found = found.when(has(labels, label), collection)
+    return found.when(has(t, *PLAN_TAGS), "test_plans").when(has(t, *PRECONDITION_TAGS), "preconditions")
 
 
 def xml_steps(c: Column) -> Column:
-    """Steps of a test-step XML: action and expected result of each; positions count empty ones, which are dropped."""
-    each = F.regexp_extract_all(c, F.lit(r"(?s)<step\b[^>]*>(.*?)</step>"), F.lit(1))
-    text = lambda x: tracker_text(x)
-    part = lambda x, i: text(F.coalesce(F.get(F.regexp_extract_all(x, F.lit(r"(?s)<parameterizedString[^>]*>(.*?)</parameterizedString>"), F.lit(1)), F.lit(i)), F.lit("")))
-    steps = F.transform(each, lambda x, i: F.struct((i + 1).alias("position"), part(x, 0).alias("action"), part(x, 1).alias("expected")))
-    return F.filter(steps, lambda s: (s["action"] != "") | (s["expected"] != ""))
+    """Steps of a test-step XML: id, action and expected result of each; positions count empty ones, which are dropped, and only steps with an id."""
+    step = r'(?is)<step\b[^>]*\bid="(\d+)"[^>]*>(.*?)</step>'
+    ids, bodies = (F.regexp_extract_all(c, F.lit(step), F.lit(k)) for k in (1, 2))
+    parts = lambda x: F.regexp_extract_all(x, F.lit(r"(?is)<parameterizedString[^>]*>(.*?)</parameterizedString>"), F.lit(1))
+    two = F.transform(bodies, lambda x: F.array_join(F.slice(F.concat(parts(x), F.array(F.lit(""), F.lit(""))), 1, 2), "\x1f"))
+    text = F.split(unescaped(F.array_join(two, "\x1e")), "\x1e")
+    part = lambda x, i: untagged(F.get(F.split(x, "\x1f"), F.lit(i)))
+    steps = F.transform(F.zip_with(ids, text, lambda i, x: F.struct(i.alias("id"), x.alias("x"))),
+                        lambda s, i: F.struct((i + 1).alias("position"), s["id"].alias("step_id"), part(s["x"], 0).alias("action"), part(s["x"], 1).alias("expected")))
+    return F.filter(steps, lambda s: s["step_id"].isNotNull() & ((s["action"] != "") | (s["expected"] != "")))
 
 
 def text_steps(c: Column) -> Column:
@@ -187,9 +241,27 @@ def sprint_fields(c: Column) -> Column:
     return F.when(F.map_contains_key(fields, "id"), fields)
 
 
-def project_of(key: Column, url: Column) -> Column:
-    """Project of an item from its key's prefix, else from its URL; null if neither says."""
-    return F.coalesce(F.nullif(F.regexp_extract(key, r"^([A-Z][A-Z0-9_]*)-\d+$", 1), F.lit("")), F.nullif(F.regexp_extract(url, r"^https?://[^/]+/([^/?#]+)", 1), F.lit("")))
+def project_of(system: Column, key: Column, url: Column) -> Column:
+    """Project of an item: a jira key's prefix, the folder before an azuredevops item's ``/_workitems/``, the whole path of a gitlab project; null if undecidable."""
+    none = lambda c: F.nullif(c, F.lit(""))
+    head = F.regexp_replace(F.regexp_extract(strip(url), r"^(.*?)/-/", 1), r"^.*?://", "")
+    path = F.array_join(F.filter(F.slice(F.split(head, "/"), F.lit(2), F.greatest(F.size(F.split(head, "/")), F.lit(1))), lambda x: x != ""), "/")
+    return (F.when(system == "jira", none(F.regexp_extract(strip(key), r"^(.*)-\d+$", 1)))
+            .when(system == "azuredevops", none(F.substring_index(F.regexp_extract(strip(url), r"^(.*?)/_workitems/", 1), "/", -1))).when(system == "gitlab", none(path)))
+
+
+def updated_at(system: Column, payload: Column) -> Column:
+    """When the tracker says an item last changed, verbatim, from its JSON payload; null if it doesn't say."""
+    get = lambda path: F.nullif(F.get_json_object(payload, path), F.lit(""))
+    return F.when(system == "jira", get("$.fields.updated")).when(system == "azuredevops", get("$.fields['System.ChangedDate']")).when(system == "gitlab", get("$.updated_at"))
+
+
+def parent_key(system: Column, payload: Column) -> Column:
+    """The item above, as a key: a jira parent's key, an azuredevops parent's id, a gitlab epic as ``&iid``."""
+    get = lambda path: F.nullif(F.get_json_object(payload, path), F.lit(""))
+    number = lambda c: F.nullif(c, F.lit("0"))
+    return (F.when(system == "jira", get("$.fields.parent.key")).when(system == "azuredevops", number(get("$.fields['System.Parent']")))
+            .when(system == "gitlab", F.concat(F.lit("&"), number(get("$.epic.iid")))))
 
 
 def qualified_name(path: Column, classes: Column, name: Column, package: Column | None = None) -> Column:

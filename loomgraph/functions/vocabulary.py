@@ -95,3 +95,10 @@ def edit_aliases(aliases: DataFrame, *, add: DataFrame | None = None, remove: Da
         new = add.select(key(F.col("name")).alias("name"), "value").where(F.col("value").isin(*sorted(vocabulary)))
         out = out.join(new.select("name"), "name", "left_anti").unionByName(new)
     return out
+
+
+def unmapped(df: DataFrame, column: str, values: dict[str, str]) -> DataFrame:
+    """Names of a column that a vocabulary doesn't have, ``(name, n)``; blank ones don't count. The vocabulary is a literal in the plan."""
+    name = F.col(column).cast("string")
+    known = F.coalesce(key(name).isin(*values), F.lit(False)) if values else F.lit(False)
+    return df.where((F.coalesce(key(name), F.lit("")) != "") & ~known).groupBy(name.alias("name")).agg(F.count("*").alias("n"))

@@ -14,7 +14,7 @@ from loomgraph.plans.registry import Catalogue
 
 DELIVERY = Catalogue()
 ask = DELIVERY.question
-CHANGE_FIELDS = "(accept|crit|descr)"
+CHANGE_FIELDS = ".*(accept|crit|descr).*"
 
 
 @ask("summary")
@@ -44,7 +44,7 @@ def _with_coverage(nodes, edges, ns):
 @ask("uncovered")
 def uncovered(nodes, edges, ns):
     """K4: requirements that no test covers."""
-    return _with_coverage(nodes, edges, ns).where("coverage_status = 'UNCOVERED'").select("key", "type", "status", "title")
+    return _with_coverage(nodes, edges, ns).where("coverage_status = 'UNCOVERED'").select("key", "type", "status", "title").orderBy(asc("key"))
 
 
 @ask("coverage")
@@ -65,7 +65,7 @@ def coverage_gaps(nodes, edges, ns, sample):
 def orphan_tests(nodes, edges, ns):
     """K7: tests that cover nothing."""
     o = derive.test_coverage(nodes, edges, ns).select(F.col("test").alias("uid"), "is_orphan")
-    return tests(nodes, ns).join(o, "uid", "left").where(F.coalesce("is_orphan", F.lit(True))).select("key", "status", "title")
+    return tests(nodes, ns).join(o, "uid", "left").where(F.coalesce("is_orphan", F.lit(True))).select("key", "status", "title").orderBy(asc("key"))
 
 
 @ask("traceability")
@@ -75,17 +75,17 @@ def traceability(nodes, edges, ns):
     t = tests(nodes, ns).select(F.col("uid").alias("test_uid"), F.col("key").alias("test"))
     s = derive.test_status(nodes, edges, ns).select(F.col("test").alias("test_uid"), "run_status")
     pairs = of_type(edges, ns, "COVERS").select(F.col("start").alias("test_uid"), F.col("end_uid").alias("uid")).distinct().join(t, "test_uid").join(s, "test_uid", "left")
-    return r.join(pairs, "uid", "left").select("requirement", "title", "coverage", "test", "run_status")
+    return r.join(pairs, "uid", "left").select("requirement", "title", "coverage", "test", "run_status").orderBy(asc("requirement"), asc("test"))
 
 
 @ask("hierarchy")
 def hierarchy(nodes, edges, ns):
-    """K9: parent and child with the child's depth."""
+    """K9: parent and child with the child's depth, the deepest first."""
     d = derive.hierarchy_depth(nodes, edges, ns)
     n = nodes.select(F.col("uid").alias("parent_uid"), F.col("key").alias("parent"))
     c = scoped(nodes, ns).select("uid", F.col("key").alias("child"), F.col("type").alias("child_type")).join(d, "uid")
     up = of_type(edges, ns, "CHILD_OF").select(F.col("start").alias("uid"), F.col("end_uid").alias("parent_uid"))
-    return up.join(c, "uid").join(n, "parent_uid").select("child", "child_type", "parent", F.col("hierarchy_depth").alias("depth"))
+    return up.join(c, "uid").join(n, "parent_uid").select("child", "child_type", "parent", F.col("hierarchy_depth").alias("depth")).orderBy(desc("depth"), asc("parent"), asc("child"))
 
 
 def _issues(nodes):
@@ -98,7 +98,7 @@ def links(nodes, edges, ns):
     a = scoped(_issues(nodes), ns).select(F.col("uid").alias("start"), F.col("key").alias("from_key"))
     b = _issues(nodes).select(F.col("uid").alias("end_uid"), F.col("key").alias("to_key"))
     e = edges.where(F.col("link_type").isNotNull()).select("start", "end_uid", F.col("type").alias("relationship"), "link_type")
-    return e.join(a, "start").join(b, "end_uid").select("from_key", "relationship", "link_type", "to_key")
+    return e.join(a, "start").join(b, "end_uid").select("from_key", "relationship", "link_type", "to_key").orderBy(asc("from_key"), asc("relationship"), asc("to_key"))
 
 
 @ask("workload")
@@ -135,7 +135,7 @@ def _changes(nodes, edges, ns):
     e = scoped(nodes, ns).where(F.array_contains("labels", "ChangeEvent")).select(F.col("uid").alias("event"), F.col("created").alias("changed_at"))
     on = of_type(edges, ns, "ON").select(F.col("start").alias("event"), F.col("end_uid").alias("issue"))
     changed = of_type(edges, ns, "CHANGED").select(F.col("start").alias("event"), F.col("end_uid").alias("change"))
-    f = nodes.where(F.array_contains("labels", "FieldChange")).select(F.col("uid").alias("change"), "field", "before", "after")
+    f = nodes.where(F.array_contains("labels", "FieldChange")).select(F.col("uid").alias("change"), "field", (F.col("field_id") if "field_id" in nodes.columns else F.lit(None).cast("string")).alias("field_id"), "before", "after")
     by = of_type(edges, ns, "BY").select(F.col("start").alias("event"), F.col("end_uid").alias("user"))
     u = nodes.where(F.array_contains("labels", "User")).select(F.col("uid").alias("user"), F.col("name").alias("who"))
     return e.join(on, "event").join(changed, "event").join(f, "change").join(by.join(u, "user"), "event", "left")
@@ -180,7 +180,8 @@ def story_context(nodes, edges, ns, key, limit):
     One row per item, at most ``limit`` per branch, the newest or smallest keys first.
     """
     null = F.lit(None).cast("string")
-    n = nodes.withColumn("description", F.lit(None).cast("string"))
+    n = nodes
+    newest = [desc("updated")] if "updated" in nodes.columns else []
     s = scoped(n, ns).where(F.col("key") == key)
     sid = F.broadcast(s.select(F.col("uid").alias("story")))  # one key
     up = edges.where("type = 'CHILD_OF'").select(F.col("start").alias("child"), F.col("end_uid").alias("parent"))
@@ -206,13 +207,13 @@ def story_context(nodes, edges, ns, key, limit):
     branches = [
         _item(F.lit("self"), null, s),
         _item(F.lit("ancestor"), null, top(ancestor, limit, asc("uid"))),
-        _item(F.lit("sibling"), F.col("parent_key"), top(sib, limit, asc("key"))),
+        _item(F.lit("sibling"), F.col("parent_key"), top(sib, limit, *newest, asc("key"))),
         _item(F.concat(F.lit("link:"), "rel"), F.col("link_type"), top(link, limit, asc("key"), asc("rel"))),
         _item(F.lit("shared-tag"), F.array_join("tags", ", "), top(peer, limit, F.size("tags").desc(), asc("key"))),
         _item(F.lit("test"), F.col("near"), top(test, limit, asc("key"), asc("near"))),
         _item(F.lit("bug"), F.col("near"), top(bug, limit, asc("key"), asc("near"))),
         _item(F.lit("comment"), F.col("created"), top(comment, limit, desc("created"), asc("uid")), description=F.col("body"), key=null),
-        _item(F.lit("page"), F.col("title"), top(page, limit, asc("uid"))),
+        _item(F.lit("page"), F.col("url" if "url" in nodes.columns else "title"), top(page, limit, asc("uid"))),
     ]
     return reduce(DataFrame.unionByName, branches)
 
@@ -242,11 +243,11 @@ def similar_tests(nodes, edges, ns, q, key, limit):
 
 @ask("story-changes", requires_one_of=("key",), key=None, field_re=CHANGE_FIELDS, field_ids="", limit=50)
 def story_changes(nodes, edges, ns, key, field_re, field_ids, limit):
-    """Edits of a story's fields, newest first, and a row that tells an unedited story from an unloaded changelog."""
+    """Edits of a story's fields, by a pattern for the whole name or by field ids, newest first, and a row that tells an unedited story from an unloaded changelog."""
     s = scoped(nodes, ns).where(F.col("key") == key).select(F.col("uid").alias("issue"))
-    picked = full_match(F.col("field"), f".*{field_re}.*")
+    picked = F.coalesce(full_match(F.col("field"), field_re), F.lit(False))
     if field_ids:
-        picked = picked | F.col("field").isin(*[x.strip() for x in field_ids.split(",")])
+        picked = picked | F.coalesce(F.col("field_id").isin(*field_ids.split(",")), F.lit(False))
     c = top(_changes(nodes, edges, ns).join(F.broadcast(s), "issue").where(picked), limit, desc("changed_at"), asc("change"))
     null = F.lit(None).cast("string")
     loaded = scoped(nodes, ns).where(F.array_contains("labels", "ChangeEvent")).limit(1).agg((F.count("*") > 0).alias("loaded"))
@@ -262,4 +263,4 @@ def test_dates(nodes, edges, ns):
     return n.agg(
         F.count(F.when(is_a("Test"), 1)).alias("tests"), F.count(F.when(is_a("Test"), F.col("created"))).alias("tests_with_created"),
         F.count(F.when(is_a("ChangeEvent"), 1)).alias("change_events"),
-        F.count(F.when(is_a("FieldChange") & full_match(F.col("field"), f".*{CHANGE_FIELDS}.*"), 1)).alias("criteria_or_description_edits"))
+        F.count(F.when(is_a("FieldChange") & full_match(F.col("field"), CHANGE_FIELDS), 1)).alias("criteria_or_description_edits"))

@@ -122,18 +122,21 @@ def diff_sprints(previous: DataFrame, current: DataFrame, *, detected_at: str) -
         F.when(lives & moved, F.col("new")).when(lives, F.col("name")).alias("after"), F.lit(detected_at).alias("detected_at"))
 
 
-def dedupe_key() -> Column:
-    """Identity of an event: all that it says but when it was seen."""
-    return F.substring(F.sha2(F.concat_ws(SEP, *[F.coalesce(c, F.lit("\x00")) for c in ("source", "key", "kind", "field_name", "before", "after", "item_updated_at")]), 256), 1, 16)
+def dedupe_key(columns: list[str]) -> Column:
+    """Identity of an event: all that it says, its system too where the events have one, but when it was seen."""
+    parts = [F.coalesce(c, F.lit("\x00")) for c in ("system", "source", "key", "kind", "field_name", "before", "after", "item_updated_at") if c in columns]
+    return F.substring(F.sha2(F.concat_ws(SEP, *parts), 256), 1, 16)
 
 
 def identified(events: DataFrame) -> DataFrame:
-    return events.withColumn("dedupe_key", dedupe_key()).dropDuplicates(["dedupe_key"])
+    return events.withColumn("dedupe_key", dedupe_key(events.columns)).dropDuplicates(["dedupe_key"])
 
 
 def partition_events(events: DataFrame, watched: tuple[str, ...] = ("tests", "test_plans")) -> DataFrame:
-    """Whether an event's bucket is watched; ``*`` watches all, an empty list none."""
-    return events.withColumn("signalled", F.lit(True) if "*" in watched else F.coalesce(F.col("bucket").isin(*watched), F.lit(False)) if watched else F.lit(False))
+    """Whether an event's bucket is watched, whatever case and blanks; ``*`` watches all, an empty list none."""
+    names = [w.strip().lower() for w in watched if w.strip()]
+    bucket = F.lower(F.trim(F.coalesce("bucket", F.lit(""))))
+    return events.withColumn("signalled", F.lit(True) if "*" in names else bucket.isin(*names) if names else F.lit(False))
 
 
 def merge_generation(previous: DataFrame, current: DataFrame, *, incremental: bool, refreshed: DataFrame | None = None) -> DataFrame:
@@ -175,8 +178,28 @@ def cycle_summary(items: DataFrame, events: DataFrame) -> DataFrame:
     return items.agg(F.count("*").alias("items")).join(F.broadcast(e))  # one row each
 
 
-def change_sentence() -> Column:
+def quoted(c: Column) -> Column:
+    """A text in quotes: single ones unless it has those and no double ones; ``None`` for null."""
+    plain = F.replace(F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
+    double = F.contains(c, F.lit("'")) & ~F.contains(c, F.lit('"'))
+    single = F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(c.isNull(), "None").when(double, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(single)
+
+
+def change_sentence(reason: Column | None = None) -> Column:
     """An event in words."""
-    shown = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("(none)"))
-    return (F.when(F.col("kind") == "CREATED", F.concat(F.col("key"), F.lit(" created"))).when(F.col("kind") == "DELETED", F.concat(F.col("key"), F.lit(" deleted")))
-            .when(F.col("field_name").isNotNull(), F.concat(F.col("key"), F.lit(": "), F.col("field_name"), F.lit(" "), shown("before"), F.lit(" -> "), shown("after"))).otherwise(F.concat(F.col("key"), F.lit(" "), F.lower("kind"))))
+    c, before = F.col, quoted(F.col("before"))
+    who = F.when(F.coalesce("title", F.lit("")) != "", F.concat_ws(" ", "key", quoted(c("title")))).otherwise(c("key"))
+    tail = F.lit("") if reason is None else F.coalesce(F.concat(F.lit(" -- "), F.nullif(reason, F.lit(""))), F.lit(""))
+    return (F.when(c("kind") == "CREATED", F.concat(who, F.lit(" ("), F.coalesce("bucket", F.lit("")), F.lit("): new item")))
+            .when(c("kind") == "DELETED", F.concat(who, F.lit(": deleted (last known status "), before, F.lit(")")))
+            .when(c("kind") == "LEFT_SCOPE", F.concat(who, F.lit(": left the configured scope (was "), before, F.lit(")"), tail))
+            .when(F.coalesce("field_name", F.lit("")) != "", F.concat(who, F.lit(": "), c("field_name"), F.lit(" changed from "), before, F.lit(" to "), quoted(c("after"))))
+            .otherwise(F.concat(who, F.lit(": "), c("kind"))))
+
+
+def change_summary() -> Column:
+    """An event as one line of columns."""
+    wide = lambda name, n: F.when(F.length(name) < n, F.rpad(name, n, " ")).otherwise(F.col(name))
+    change = F.concat(F.col("field_name"), F.lit(": "), quoted(F.col("before")), F.lit(" -> "), quoted(F.col("after")))
+    return F.concat_ws(" ", wide("kind", 18), wide("key", 14), F.when(F.coalesce("field_name", F.lit("")) != "", change).otherwise(F.coalesce("title", F.lit(""))))

@@ -146,7 +146,7 @@ def runs_of_server(executions: DataFrame) -> DataFrame:
 
 def plain_runs(links: DataFrame) -> DataFrame:
     """Runs of tests in executions from links and tags: a tag for the run, else the test's state tag, else none."""
-    status = F.coalesce(text.label_value(F.col("execution_tags"), "run"), text.label_value(F.col("test_tags"), "state"))
+    status = F.coalesce(text.run_label(F.col("execution_tags"), F.col("test")), text.label_value(F.col("test_tags"), "state"))
     return links.select("execution", "test", vocabulary.run_status(status).alias("status"), status.isNotNull().alias("known")).where("known").drop("known")
 
 

@@ -16,17 +16,46 @@ from loomgraph.operators.derive import scoped
 EMPTY = "map<string,string>"
 
 
-def map_bundle_nodes(raw: DataFrame, known: dict[str, str], fallback: str = "CodeSymbol") -> DataFrame:
-    """G1: nodes of an extracted bundle ``(id, label, path, name, line, occurrence)``: kind by label, identity from path, name, line and
-    occurrence. Unknown labels fall back and keep their origin; nodes without an id are dropped."""
-    kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), F.col("label"))
-    suffix = F.when(F.coalesce("occurrence", F.lit(0)) > 0, F.concat(F.lit("~"), F.col("occurrence").cast("string"))).otherwise("")
-    natural = F.concat(F.concat_ws(":", "path", "name", F.col("line").cast("string")), suffix)
-    rows = raw.where(F.col("id").isNotNull())
-    return rows.select("id", F.concat_ws(":", F.coalesce(kind, F.lit("symbol")), natural).alias("uid"), F.when(kind.isNull(), fallback).otherwise(F.col("label")).alias("label"), F.when(kind.isNull(), F.col("label")).alias("origin_label"))
+#: Kinds of labels that are known by a path, or by a name, alone: fixed values.
+PATH_KINDS = {"File": "file", "Directory": "dir"}
+NAME_KINDS = {"Module": "module", "ExternalClass": "extclass", "Datasource": "ds", "GradleModule": "gradle"}
+
+
+def _bundle_identity(raw: DataFrame) -> tuple[Column, Column]:
+    """G1: kind and natural id of a bundle's node by its label; the id is null or empty if the node has none."""
+    get = lambda c: F.col(c).cast("string") if c in raw.columns else F.lit(None).cast("string")
+    text = lambda c: F.coalesce(get(c), F.lit(""))
+    filled = lambda *cs: F.coalesce(*[F.nullif(get(c), F.lit("")) for c in cs])
+    occurrence = F.when(F.coalesce(get("occurrence").cast("int"), F.lit(0)) > 0, F.concat(F.lit("~"), get("occurrence"))).otherwise("")
+    placed = (text("path") != "") | get("line").isNotNull()
+    label, kind, natural = F.col("label"), F.lower("label"), F.when(placed, F.concat(text("path"), F.lit("#"), text("name"), F.lit("@"), text("line"), occurrence)).otherwise(filled("name", "uid"))
+    special = [
+        ("RedisKeyPattern", "redis", F.concat(text("datasource"), F.lit(":"), F.coalesce(filled("pattern"), text("name")))),
+        ("DbColumn", "column", F.concat(F.coalesce(filled("table_fqn"), text("table")), F.lit("."), text("name"))),
+        ("DbTable", "table", F.coalesce(filled("fqn"), text("name"))),
+        *((k, v, filled("full_import_name", "name")) for k, v in NAME_KINDS.items()),
+        *((k, v, F.concat(text("group_id"), F.lit(":"), text("artifact_id"))) for k, v in (("MavenModule", "maven"), ("ExternalLibrary", "lib"))),
+        ("Parameter", "param", F.concat(text("path"), F.lit("#"), text("function_line"), F.lit("#"), text("name"))),
+        *((k, v, text("path")) for k, v in PATH_KINDS.items()),
+        ("Repository", "repo", F.lit(".")),
+    ]
+    for name, its_kind, its_id in special:
+        kind, natural = F.when(label == name, its_kind).otherwise(kind), F.when(label == name, its_id).otherwise(natural)
+    return kind, natural
+
+
+def map_bundle_nodes(raw: DataFrame, known: tuple[str, ...], fallback: str = "CodeSymbol") -> DataFrame:
+    """G1: nodes of an extracted bundle ``(id, label, path, name, line, occurrence, …)``: kind and identity by label (see ``_bundle_identity``).
+
+    Labels that are not ``known`` fall back and keep their origin; nodes without an identity are dropped.
+    """
+    kind, natural = _bundle_identity(raw)
+    strange = ~F.coalesce(F.col("label").isin(*known), F.lit(False))
+    rows = raw.where(F.col("id").isNotNull() & (F.coalesce(natural, F.lit("")) != ""))
+    return rows.select("id", F.concat_ws(":", kind, natural).alias("uid"), F.when(strange, fallback).otherwise(F.col("label")).alias("label"), F.when(strange, F.col("label")).alias("origin_label"))
 
 
-def bundle_report(raw: DataFrame, known: dict[str, str]) -> DataFrame:
+def bundle_report(raw: DataFrame, known: tuple[str, ...]) -> DataFrame:
     """G1: nodes without an id, and with an unknown label."""
     return raw.agg(F.count(F.when(F.col("id").isNull(), 1)).alias("without_id"), F.count(F.when(F.col("id").isNotNull() & ~F.coalesce(F.col("label").isin(*known), F.lit(False)), 1)).alias("unknown_labels"))
 

@@ -54,25 +54,27 @@ def access_depth(ast: DataFrame) -> DataFrame:
 def match_functions(parsed: DataFrame, extracted: DataFrame) -> DataFrame:
     """M9: parsed functions ``(path, pid, name, line, end_line)`` to extracted ones ``(path, uid, name, line, end_line)``, one to one.
 
-    Same line and name, else alone on its line, else the same name within three lines, else the range that contains it. Choices
-    are made in (line, uid) order inside a file, which is why a file's candidates are handled together.
+    Of the parsed functions that are still free: one on the same line with the same name, else the only one on the line, else the nearest of the
+    same name within three lines, else one of the same name whose range contains the line. Choices are made in (line, uid) order
+    inside a file, which is why a file's candidates are handled together.
     """
-    p = parsed.withColumn("alone", F.count("*").over(Window.partitionBy("path", "line")) == 1)
-    e = extracted.select("path", "uid", F.col("name").alias("e_name"), F.col("line").alias("e_line"), F.col("end_line").alias("e_end"))
-    near = p.join(e, "path").where((F.abs(F.col("line") - F.col("e_line")) <= 3) | ((F.col("line") <= F.col("e_line")) & (F.col("e_line") <= F.col("end_line"))))
-    same = F.col("name") == F.col("e_name")
-    gap = F.abs(F.col("line") - F.col("e_line"))
-    rank = F.when((gap == 0) & same, 0).when((gap == 0) & F.col("alone"), 1).when(same & (gap <= 3), 2).when((F.col("line") <= F.col("e_line")) & (F.col("e_line") <= F.col("end_line")), 3)
-    rows = near.withColumn("rank", rank).where("rank is not null").select("path", "pid", "uid", "e_line", "rank", gap.alias("gap"))
+    e = extracted.select("path", "uid", F.col("name").alias("e_name"), F.col("line").alias("e_line"))
+    same, gap = F.coalesce(F.col("name") == F.col("e_name"), F.lit(False)), F.abs(F.col("line") - F.col("e_line"))
+    inside = (F.col("line") <= F.col("e_line")) & (F.col("e_line") <= F.col("end_line"))
+    near = parsed.join(e, "path").where((gap == 0) | (same & ((gap <= 3) | inside)))
+    rows = near.select("path", "pid", "uid", "line", "e_line", same.alias("same"), gap.alias("gap"), inside.alias("inside"))
 
     def choose(pdf):
         taken, out = set(), []
-        for uid, g in sorted(((u, g) for u, g in pdf.groupby("uid")), key=lambda x: (x[1]["e_line"].iloc[0], x[0])):
-            g = g[~g["pid"].isin(taken)].sort_values(["rank", "gap", "pid"])
-            if len(g):
-                r = g.iloc[0]
-                taken.add(r["pid"])
-                out.append((r["path"], r["pid"], uid, int(r["rank"])))
+        for _, uid in sorted(set(zip(pdf["e_line"], pdf["uid"]))):
+            free = pdf[(pdf["uid"] == uid) & ~pdf["pid"].isin(taken)].sort_values(["gap", "line", "pid"])
+            here = free[free["gap"] == 0]
+            steps = (here[here["same"]], here if len(here) == 1 else here[:0], free[free["same"] & (free["gap"] <= 3)], free[free["same"] & free["inside"]].sort_values(["line", "pid"]))
+            for rank, found in enumerate(steps):
+                if len(found):
+                    taken.add(found["pid"].iloc[0])
+                    out.append((found["path"].iloc[0], found["pid"].iloc[0], uid, rank))
+                    break
         import pandas as pd
 
         return pd.DataFrame(out, columns=["path", "pid", "uid", "rank"])

@@ -65,15 +65,16 @@ def numbered(new: DataFrame, entities: DataFrame, prefix: str, order: str = "ext
 def tag_rules(entities: DataFrame, rules: DataFrame, *, creating: bool = False) -> DataFrame:
     """State that the first matching rule ``(at, tag, target, from_states)`` asks of each entity ``(internal_id, state, tags)``.
 
-    ``from_states`` guards existing entities only. A rule that asks for the current state matches and changes nothing.
+    ``from_states`` guards existing entities only; null lets a rule fire from any state, an empty list from none. A rule that asks for the
+    current state matches and changes nothing; one without a target doesn't match.
     """
     tags = entities.select("internal_id", "state", F.explode(F.transform("tags", normal_tag)).alias("tag"))
     r = rules.select("at", normal_tag(F.col("tag")).alias("tag"), "target", "from_states")
-    hit = tags.join(F.broadcast(r), "tag")
+    hit = tags.join(F.broadcast(r.where("coalesce(target, '') <> ''")), "tag")
     if not creating:
-        hit = hit.where(F.col("from_states").isNull() | (F.size("from_states") == 0) | F.array_contains("from_states", F.col("state")))
+        hit = hit.where(F.col("from_states").isNull() | F.coalesce(F.array_contains("from_states", F.col("state")), F.lit(False)))
     first = hit.groupBy("internal_id", "state").agg(F.min(F.struct("at", "target")).alias("r"))
-    return first.where("r.target <> state").select("internal_id", F.col("r.target").alias("state"))
+    return first.where("not (r.target <=> state)").select("internal_id", F.col("r.target").alias("state"))
 
 
 def retire(entities: DataFrame, deleted: DataFrame) -> DataFrame:

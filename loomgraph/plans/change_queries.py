@@ -90,15 +90,17 @@ def d09(spark, sf_dir):
     return diff.diff_sprints(p, c, detected_at=AT)
 
 
-@registered("d10_identified", f"SELECT DISTINCT dedupe_key, key, kind FROM ({KEYED}) k")
+@registered("d10_identified", f"SELECT DISTINCT substr(sha256(system || chr(31) || concat_ws(chr(31), source, key, kind, coalesce(field_name, chr(0)), coalesce(before, chr(0)), coalesce(after, chr(0)), item_updated_at)), 1, 16) AS dedupe_key, system, key, kind FROM ({EVENTS}) k, (VALUES ('one'), ('two')) s(system)")
 def d10(spark, sf_dir):
-    e = events(spark, sf_dir)
-    return diff.identified(e.unionByName(e.withColumn("detected_at", F.lit("later")))).select("dedupe_key", "key", "kind")
+    """The same events of two trackers, seen twice: only what is seen again goes."""
+    e = events(spark, sf_dir).withColumn("system", F.explode(F.array(F.lit("one"), F.lit("two"))))
+    return diff.identified(e.unionByName(e.withColumn("detected_at", F.lit("later")))).select("dedupe_key", "system", "key", "kind")
 
 
 @registered("d11_watch_filter", f"SELECT kind, bucket = 'tests' AS signalled, count(*) AS n FROM ({EVENTS}) e GROUP BY ALL")
 def d11(spark, sf_dir):
-    return diff.partition_events(events(spark, sf_dir)).groupBy("kind", "signalled").agg(F.count("*").alias("n"))
+    shown = F.concat(F.lit(" "), F.initcap("bucket"))
+    return diff.partition_events(events(spark, sf_dir).withColumn("bucket", shown), (" TESTS ", "test_plans")).groupBy("kind", "signalled").agg(F.count("*").alias("n"))
 
 
 @registered("d12_merged_generation", "SELECT key, status, updated_at FROM gen_cur UNION ALL SELECT key, status, updated_at FROM gen_prev WHERE k NOT IN (SELECT k FROM gen_cur)")
@@ -112,9 +114,13 @@ def d15(spark, sf_dir):
     return diff.cycle_summary(c, diff.partition_events(diff.diff(p, c, detected_at=AT)))
 
 
-@registered("n41_sentences", f"""SELECT key, CASE WHEN kind = 'CREATED' THEN key || ' created' ELSE key || ': ' || field_name || ' ' || coalesce(nullif(before, ''), '(none)') || ' -> ' || coalesce(nullif(after, ''), '(none)') END AS sentence FROM ({EVENTS}) e""")
+_SAID = "coalesce(chr(39) || {0} || chr(39), 'None')"
+
+
+@registered("n41_sentences", f"""SELECT key, key || ' ' || chr(39) || title || chr(39) || CASE WHEN kind = 'CREATED' THEN ' (' || bucket || '): new item' ELSE ': ' || field_name || ' changed from ' || {_SAID.format('before')} || ' to ' || {_SAID.format('after')} END AS sentence,
+rpad(kind, greatest(18, length(kind))::INT, ' ') || ' ' || rpad(key, greatest(14, length(key))::INT, ' ') || ' ' || coalesce(field_name || ': ' || {_SAID.format('before')} || ' -> ' || {_SAID.format('after')}, title) AS line FROM ({EVENTS}) e""")
 def n41(spark, sf_dir):
-    return events(spark, sf_dir).select("key", diff.change_sentence().alias("sentence"))
+    return events(spark, sf_dir).select("key", diff.change_sentence().alias("sentence"), diff.change_summary().alias("line"))
 
 
 @registered("s03_export_summary", """SELECT source, sum(n)::BIGINT AS item_count, list_sort(list(type || '=' || n)) AS by_type, 7 AS state_version FROM (SELECT source, bucket AS type, count(*) AS n FROM gen_cur GROUP BY ALL) GROUP BY source""")
@@ -145,11 +151,17 @@ def s09(spark, sf_dir):
     return io.run_report(e)
 
 
-@registered("s10_languages", """SELECT language, count(*) AS files FROM (SELECT CASE page_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'html' END AS language FROM pages WHERE page_id % 7 <> 0) WHERE language IS NOT NULL GROUP BY language""")
+#: A path for each page: folders, names and extensions by turns, written alike in both engines.
+_EXTENSIONS = (".py", ".TSX", ".html", ".mjs", ".kt", ".sql", ".H", ".cc", ".json", ".dart", "", ".rs")
+_FOLDERS = ("src/x", "a/node_modules/b", "venv/lib", "vendor/y", ".idea", "src/target.d", "build")
+_GRAMMARS = {".py": "python", ".tsx": "tsx", ".mjs": "javascript", ".kt": "kotlin", ".h": "c", ".cc": "cpp", ".dart": "dart", ".rs": "rust"}
+
+
+@registered("s10_languages", f"""SELECT language, count(*) AS files FROM (SELECT {list(_FOLDERS)}[(page_id % {len(_FOLDERS)} + 1)::INT] AS folder, lower({list(_EXTENSIONS)}[(page_id % {len(_EXTENSIONS)} + 1)::INT]) AS ext FROM pages)
+JOIN (VALUES {', '.join(f"('{k}', '{v}')" for k, v in _GRAMMARS.items())}) g(e, language) ON e = ext WHERE NOT list_has_any(string_split(folder, '/'), ['node_modules', 'venv', '.idea', 'build', 'target']) GROUP BY language""")
 def s10(spark, sf_dir):
-    k = F.col("page_id")
-    ext = F.when(k % 4 == 0, ".py").when(k % 4 == 1, ".TS").when(k % 4 == 2, ".html").otherwise(".bin")
-    return io.languages(standin.relation(spark, sf_dir, "pages").select(F.concat(F.when(k % 7 == 0, "a/node_modules/b").otherwise("src/x"), k.cast("string"), ext).alias("path")).withColumn("path", F.when(F.col("path").contains("node_modules"), F.regexp_replace("path", "b(\\d)", "b/$1")).otherwise(F.col("path"))))
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("page_id") % len(xs) + 1).cast("int"))
+    return io.languages(standin.relation(spark, sf_dir, "pages").select(F.concat(pick(_FOLDERS), F.lit("/f"), F.col("page_id").cast("string"), pick(_EXTENSIONS)).alias("path")))
 
 
 @registered("s11_test_report", """SELECT pipeline, count(*) AS total, count(*) FILTER (s = 'PASS') AS passed, count(*) FILTER (s = 'FAIL') AS failed, count(*) FILTER (s = 'TODO') AS skipped, coalesce(list_sort(list(DISTINCT 'p' || partkey || '::run.' || k) FILTER (s = 'FAIL')), []) AS failing FROM (SELECT orderkey AS pipeline, status AS s, partkey, k FROM run) GROUP BY pipeline""")
@@ -214,7 +226,7 @@ def t6(spark, sf_dir):
 @registered("t7_tag_rules", """SELECT 'US-' || lpad((k + 1)::VARCHAR, 6, '0') AS internal_id, CASE WHEN priority = '1-URGENT' AND status <> 'F' THEN 'hot' WHEN priority = '2-HIGH' THEN 'f' END AS state
 FROM gen_prev WHERE k % 3 = 0 AND ((priority = '1-URGENT' AND status <> 'F') OR (priority = '2-HIGH' AND status <> 'F'))""")
 def t7(spark, sf_dir):
-    rules = spark.createDataFrame([(1, "1 urgent", "hot", ["o", "p"]), (2, "2_HIGH", "f", None)], "at int, tag string, target string, from_states array<string>")
+    rules = spark.createDataFrame([(0, "1-urgent", "never", []), (1, "1 urgent", "hot", ["o", "p"]), (2, "2_HIGH", "f", None), (2, "2 high", "", None)], "at int, tag string, target string, from_states array<string>")
     return state.tag_rules(entities(spark, sf_dir), rules)
 
 

@@ -110,7 +110,7 @@ SELECT n.key, n.type, n.title, score, coalesce((SELECT string_agg(k, ',' ORDER B
 FROM {bm25("(SELECT * FROM nodes WHERE list_contains(labels, 'Test'))", 'uid', 'title', ['red', 'widget'])} b JOIN nodes n USING (uid) JOIN ts ON ts.test = n.uid
 WHERE n.uid NOT IN (SELECT start FROM cv WHERE k = '{KEY}') ORDER BY score DESC, n.key LIMIT 50""", q="red widget", key=KEY)
 _ask("k20_story_changes", "story-changes", f"""SELECT 'change' AS relation, changed_at, who, field, before, after, NULL::BOOLEAN AS loaded FROM (SELECT * FROM ({HISTORY}) h WHERE key = 'ORD-7' AND regexp_full_match(field, '.*(click|purch).*', 'i') ORDER BY changed_at DESC, fuid LIMIT 50)
-UNION ALL SELECT 'meta', NULL, NULL, NULL, NULL, NULL, EXISTS (SELECT 1 FROM nodes WHERE list_contains(labels, 'ChangeEvent'))""", key="ORD-7", field_re="(click|purch)")
+UNION ALL SELECT 'meta', NULL, NULL, NULL, NULL, NULL, EXISTS (SELECT 1 FROM nodes WHERE list_contains(labels, 'ChangeEvent'))""", key="ORD-7", field_re=".*(click|purch).*")
 _ask("k21_test_dates", "test-dates", """SELECT count(*) FILTER (list_contains(labels, 'Test')) AS tests, count(created) FILTER (list_contains(labels, 'Test')) AS tests_with_created, count(*) FILTER (list_contains(labels, 'ChangeEvent')) AS change_events,
 count(*) FILTER (list_contains(labels, 'FieldChange') AND regexp_matches(field, '(accept|crit|descr)', 'i')) AS criteria_or_description_edits FROM nodes""")
 

@@ -26,11 +26,13 @@ def _sql_text(name: str, sql: str, table: str, **columns):
 
 
 DECODE = "replace(replace(replace(replace(replace(replace({0}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' ')"
+#: The entities that the pages use, each decoded once.
+ONCE = "regexp_replace(replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', ' '), '&middot;', '·'), '&copy;', '©'), '&amp;?', '&', 'g')"
 COLLAPSE = r"trim(regexp_replace({0}, '[ \t\n\f\r\x0B]+', ' ', 'g'))"
-_sql_text("n07a_html_lines", rf"SELECT page_id, array_to_string(list_filter(list_transform(string_split({DECODE.format(chr(40) + r'''regexp_replace(regexp_replace(html, '<(br\s*/?|/p|/div|/li|/tr|/h[1-6])>', chr(10), 'gi'), '<[^>]*>', '', 'g')''' + chr(41))}, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS body FROM pages",
+_sql_text("n07a_html_lines", rf"SELECT page_id, array_to_string(list_filter(list_transform(string_split({ONCE.format(chr(40) + r'''regexp_replace(regexp_replace(html, '<\s*(br\s*/?|/\s*(div|p|li|h[1-6]|tr))\s*>', chr(10), 'gi'), '<[^>]*>', '', 'g')''' + chr(41))}, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS body FROM pages",
           "pages", page_id="page_id", body=lambda: F.array_join(text.html_lines(F.col("html")), "\n"))
 _sql_text("n07b_wiki_text", f"SELECT page_id, {COLLAPSE.format(DECODE.format(chr(40) + chr(39).join(['regexp_replace(html, ', '<[^>]*>', ', ', ' ', ', ', 'g', ')']) + chr(41)))} AS body FROM pages", "pages", page_id="page_id", body=lambda: text.wiki_text(F.col("html")))
-_sql_text("n07c_tracker_text", f"SELECT page_id, {COLLAPSE.format('regexp_replace(' + DECODE.format('html') + chr(44) + chr(39) + '<[^>]*>' + chr(39) + chr(44) + chr(39) + ' ' + chr(39) + chr(44) + chr(39) + 'g' + chr(39) + ')')} AS body FROM pages", "pages", page_id="page_id", body=lambda: text.tracker_text(F.col("html")))
+_sql_text("n07c_tracker_text", f"SELECT page_id, {COLLAPSE.format('regexp_replace(' + ONCE.format('html') + chr(44) + chr(39) + '<[^>]+>' + chr(39) + chr(44) + chr(39) + ' ' + chr(39) + chr(44) + chr(39) + 'g' + chr(39) + ')')} AS body FROM pages", "pages", page_id="page_id", body=lambda: text.tracker_text(F.col("html")))
 BUL = r"^([-*•‣●◦]|\(?(\d{1,3}|[a-zA-Z])[.)])\s+"
 STRIP = rf"coalesce(nullif(trim(regexp_replace(trim(X), '{BUL}', '')), ''), trim(X))"
 _sql_text("n09_criteria_lines", rf"SELECT k, array_to_string(list_filter(list_transform(string_split('- a ' || title || chr(10) || '  2) ' || status || chr(10) || chr(10) || '* ' || chr(10) || key, chr(10)), lambda x: {STRIP.replace('X', 'x')}), lambda x: x <> ''), '|') AS criteria FROM gen_cur",
@@ -43,6 +45,10 @@ _sql_text("n05_flat_list", "SELECT k, array_to_string(list_sort([x for x in [tri
 _sql_text("n04_current_sprint", "SELECT k, CASE WHEN k % 2 = 0 THEN sprint ELSE 'plain' END AS sprint FROM gen_cur", "gen_cur", k="k", sprint=lambda: text.current_sprint(F.array(F.lit("old"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("com.x.Sprint@1[id=5,name="), "sprint", F.lit(",state=ACTIVE]"))).otherwise("plain"))))
 _sql_text("n13_link_pairs", "SELECT k, array_to_string(list_sort(list_distinct([status || ' -> ' || key, 'Relates -> ' || key, status || ' -> ' || key])), ',') AS links FROM gen_cur", "gen_cur", k="k", links=lambda: F.array_join(text.link_pairs(F.array(
     *[F.struct(F.coalesce(t, F.lit("")).alias("type"), x.alias("key")) for t, x in ((F.col("status"), F.col("key")), (F.lit("Relates"), F.col("key")), (F.col("status"), F.col("key")), (F.lit("x"), F.lit("")))])), ","))
+#: Records of three trackers and of none as they land, by turns.
+_SYSTEM = lambda: F.expr("element_at(array('jira', 'azuredevops', 'gitlab', 'other'), cast(k % 4 + 1 as int))")
+_RECORD = lambda: F.when(F.col("k") % 4 == 0, F.to_json(F.struct(F.struct(F.col("updated_at").alias("updated"), F.struct(F.col("parent").alias("key")).alias("parent")).alias("fields")))).when(
+    F.col("k") % 4 == 1, F.to_json(F.struct(F.struct(F.col("updated_at").alias("System.ChangedDate"), F.col("k").alias("System.Parent")).alias("fields")))).otherwise(F.to_json(F.struct("updated_at", F.struct(F.col("k").alias("iid")).alias("epic"))))
 _TYPE = "element_at(array('Bug', ' STORY ', 'Test Case', 'Plan de Test', 'Weird', ''), cast(k % 6 + 1 as int))"
 _D = "['{}'][(k % 6 + 1)::INT]"
 
@@ -58,29 +64,34 @@ _sql_text("n18_n22_vocabulary", f"""SELECT k, {_pick('bugs', 'user_stories', 'te
           reverse=lambda: vocabulary.link_relation(F.expr("element_at(array('Blocks', 'Tests', 'nope', 'System.LinkTypes.Hierarchy', 'relates', ''), cast(k % 6 + 1 as int))"))[1],
           run_status=lambda: vocabulary.run_status(F.expr("element_at(array('Passed', 'failed', ' ', 'weird', 'Blocked', null), cast(k % 6 + 1 as int))")),
           category=lambda: vocabulary.status_category(F.expr("element_at(array('New', 'doing', 'DONE', 'nope', '', 'Closed'), cast(k % 6 + 1 as int))")))
-_sql_text("n23_relative_path", "SELECT k, CASE k % 3 WHEN 0 THEN 'src/f' || k WHEN 1 THEN '.' ELSE '/other/f' || k END AS path FROM gen_cur", "gen_cur", k="k", path=lambda: text.relative_path(F.when(F.col("k") % 3 == 0, F.concat(F.lit("C:\\Work\\Repo\\src\\f"), "k")).when(F.col("k") % 3 == 1, F.lit("c:/work/repo/")).otherwise(F.concat(F.lit("/other/f"), "k")), "c:/Work/repo"))
+_sql_text("n23_relative_path", "SELECT k, CASE k % 3 WHEN 0 THEN 'src/f' || k WHEN 1 THEN '.' WHEN 2 THEN '/other/f' || k END AS path FROM gen_cur", "gen_cur", k="k", path=lambda: text.relative_path(F.when(F.col("k") % 3 == 0, F.concat(F.lit("C:\\Work\\Repo\\src\\f"), "k")).when(F.col("k") % 3 == 1, F.lit("c:/work/repo/")).otherwise(F.concat(F.lit("\\other\\f"), "k", F.lit("/"))), "c:/Work/repo"))
 _sql_text("n24_uid", "SELECT k, 'jira:site-1:P-Q:issue:' || key || ' x' AS uid FROM gen_cur", "gen_cur", k="k", uid=lambda: text.uid(F.lit("jira"), F.lit("site-1"), text.scope(F.lit(" P:Q ")), F.lit("issue"), F.concat("key", F.lit("   x "))))
 _sql_text("n25_scrubbed", "SELECT k, 'a=' || status || CASE WHEN k % 2 = 0 THEN ';c=x' ELSE '' END AS props FROM gen_cur", "gen_cur", k="k", props=lambda: F.array_join(F.transform(F.array_sort(F.map_entries(text.scrubbed(F.create_map(F.lit("a"), F.concat(F.lit("  "), "status"), F.lit("b"), F.lit("  "), F.lit("c"), F.when(F.col("k") % 2 == 0, "x"))))), lambda e: F.concat_ws("=", e["key"], e["value"])), ";"))
 KEYS = "list_filter(regexp_split_to_array({0}, '[^A-Za-z0-9_-]+'), lambda x: regexp_full_match(x, '[A-Z][A-Z0-9]{{1,9}}-[0-9]{{1,7}}'))"
 SEE = "'see DEM-' || (doc_id % 50) || ', api-2 and X-1 ' || substr(text, 1, 200)"
 _sql_text("n26_issue_keys", f"SELECT doc_id, array_to_string(list_distinct({KEYS.format(SEE)}), ',') AS keys FROM documents", "documents", doc_id="doc_id", keys=lambda: F.array_join(text.issue_keys(F.concat(F.lit("see DEM-"), (F.col("doc_id") % 50).cast("string"), F.lit(", api-2 and X-1 "), F.col("text"))), ","))
-_sql_text("n27_gherkin_steps", "SELECT k, '2:Given ' || key || '|3:Then ok' AS steps FROM gen_cur", "gen_cur", k="k", steps=lambda: F.array_join(F.transform(text.gherkin_steps(F.concat(F.lit("Scenario: x\nGiven "), "key", F.lit(" @a @b\nThen ok\nprose"))), lambda s: F.concat_ws(":", s["position"].cast("string"), s["text"])), "|"))
-_sql_text("n28_preconditions", "SELECT k, 'user ' || key || ' logged in|second' AS pre FROM gen_cur", "gen_cur", k="k", pre=lambda: F.array_join(text.preconditions(F.concat(F.lit("x\nPreconditions:\nuser "), "key", F.lit("\n  logged in\n\nsecond\nGiven y\nz"))), "|"))
-_sql_text("n29_n30_labels", "SELECT k, CASE WHEN k % 2 = 0 THEN status END AS state, CASE WHEN k % 3 = 0 THEN 'plans' WHEN k % 3 = 1 THEN 'sets' END AS collection FROM gen_cur", "gen_cur", k="k",
-          state=lambda: text.label_value(F.when(F.col("k") % 2 == 0, F.array(F.lit("state:"), F.concat(F.lit("State: "), "status"))).otherwise(F.array(F.lit("x"))), "state"),
-          collection=lambda: text.test_collection(F.when(F.col("k") % 3 == 0, F.array(F.lit("Issue"), F.lit("TestPlan"))).otherwise(F.array(F.lit("Issue"))), F.when(F.col("k") % 3 == 1, F.array(F.lit("Test-Set"))).otherwise(F.array(F.lit("y")))))
-_sql_text("n32_xml_steps", "SELECT k, '1:do ' || key || '>see|3:last>' AS steps FROM gen_cur", "gen_cur", k="k", steps=lambda: F.array_join(F.transform(text.xml_steps(F.concat(F.lit("<steps><step id=\"1\"><parameterizedString>&lt;p&gt;do "), "key", F.lit("&lt;/p&gt;</parameterizedString><parameterizedString>see</parameterizedString></step><step></step><step><parameterizedString>last</parameterizedString></step></steps>"))), lambda s: F.concat(s["position"].cast("string"), F.lit(":"), s["action"], F.lit(">"), s["expected"])), "|"))
+_sql_text("n27_gherkin_steps", "SELECT k, '2:Given ' || key || '|3:Then ok @b|5:*' || status AS steps, k % 2 = 0 AS gherkin FROM gen_cur", "gen_cur", k="k", gherkin=lambda: text.is_gherkin(F.when(F.col("k") % 2 == 0, F.concat(F.lit("\n Rule : "), "key")).otherwise(F.concat(F.lit("Rule of thumb applies to "), "key"))), steps=lambda: F.array_join(F.transform(text.gherkin_steps(F.concat(F.lit("Scenario: x\n Given  "), "key", F.lit(" @a\nThen ok @a @b\nprose\n*"), "status")), lambda s: F.concat_ws(":", s["position"].cast("string"), s["text"])), "|"))
+_sql_text("n28_preconditions", "SELECT k, 'user ' || key || '|logged in|second|a ' || status || ' c|one' AS pre FROM gen_cur", "gen_cur", k="k", pre=lambda: F.array_join(text.preconditions(F.concat(F.lit("x\nPreconditions:\nuser "), "key", F.lit("\n  logged in\n\nsecond\nGiven y\nz\n condition : a "), "status", F.lit("\nb\n c\nPRECONDITION: one"))), "|"))
+_sql_text("n29_n30_labels", "SELECT k, CASE WHEN k % 2 = 0 THEN status END AS state, CASE WHEN k % 2 = 0 THEN 'x:' || status END AS run, ['test_plans', 'test_plans', 'preconditions', NULL, 'executions'][(k % 5 + 1)::INT] AS collection FROM gen_cur", "gen_cur", k="k",
+          state=lambda: text.label_value(F.when(F.col("k") % 2 == 0, F.array(F.lit("state:"), F.concat(F.lit("  State: "), "status"))).otherwise(F.array(F.lit("x"))), "state"),
+          run=lambda: text.run_label(F.array(F.lit("run:ORD-0:odd"), F.concat(F.lit(" Run:"), F.lower("key"), F.lit(": x:"), "status")), F.when(F.col("k") % 2 == 0, F.col("key")).otherwise("DEM-1")),
+          collection=lambda: text.test_collection(F.when(F.col("k") % 5 == 0, F.array(F.lit("Issue"), F.lit("TestPlan"))).when(F.col("k") % 5 == 4, F.array(F.lit("TestExecution"))).otherwise(F.array(F.lit("Issue"))), F.array(F.expr("element_at(array('precondition', ' TestPlan', 'Précondition', 'test', 'test-plan'), cast(k % 5 + 1 as int))"))))
+_sql_text("n32_xml_steps", "SELECT k, '1:7:do ' || key || '>see é &lt;|3:9:last>' || status AS steps FROM gen_cur", "gen_cur", k="k", steps=lambda: F.array_join(F.transform(text.xml_steps(F.concat(
+    F.lit("<steps><step id=\"7\"><parameterizedString>&lt;p&gt;do "), "key", F.lit("&lt;/p&gt;</parameterizedString><parameterizedString>see &eacute; &amp;lt;</parameterizedString></step><step><parameterizedString>no id</parameterizedString></step><step id=\"8\"></step><STEP type=\"x\" id=\"9\"><ParameterizedString a=\"b\">last</ParameterizedString><parameterizedstring>"), "status", F.lit("</parameterizedstring></STEP></steps>"))),
+    lambda s: F.concat(s["position"].cast("string"), F.lit(":"), s["step_id"], F.lit(":"), s["action"], F.lit(">"), s["expected"])), "|"))
 _sql_text("n33_n34_steps", "SELECT k, 'act ' || key || ' | d | r' || chr(10) || 'solo' AS steps FROM gen_cur", "gen_cur", k="k", steps=lambda: text.steps_text(text.text_steps(F.concat(F.lit("act "), "key", F.lit("|d | r\n\n solo")))))
 _sql_text("n35_sprint_fields", "SELECT k, CASE WHEN k % 2 = 0 THEN k::VARCHAR END AS sprint_id, NULL::VARCHAR AS goal FROM gen_cur", "gen_cur", k="k", sprint_id=lambda: text.sprint_fields(F.when(F.col("k") % 2 == 0, F.concat(F.lit("S@1[id="), "k", F.lit(",goal=<null>,name=a]"))).otherwise("S@1[name=b]"))["id"], goal=lambda: F.try_element_at(text.sprint_fields(F.concat(F.lit("S@1[id="), "k", F.lit(",goal=<null>]"))), F.lit("goal")))
-_sql_text("n36_project", "SELECT k, CASE WHEN k % 2 = 0 THEN 'ORD' ELSE 'proj' END AS project FROM gen_cur", "gen_cur", k="k", project=lambda: text.project_of(F.when(F.col("k") % 2 == 0, F.col("key")), F.lit("https://host/proj/x")))
+_sql_text("n36_project", "SELECT k, ['ORD', 'proj ' || status, 'group/' || status, NULL, NULL, 'A-B'][(k % 6 + 1)::INT] AS project FROM gen_cur", "gen_cur", k="k", project=lambda: text.project_of(
+    F.expr("element_at(array('jira', 'azuredevops', 'gitlab', 'azuredevops', 'other', 'jira'), cast(k % 6 + 1 as int))"), F.when(F.col("k") % 6 == 5, F.concat(F.lit("A-B-"), "k")).otherwise(F.col("key")),
+    F.expr("element_at(array('', concat('https://host/org/proj ', status, '/_workitems/edit/7'), concat('https://host/group/', status, '/-/issues/4'), 'https://host/org/proj/x', '', ''), cast(k % 6 + 1 as int))")))
+_sql_text("n02_n03_record_fields", "SELECT k, [updated_at, updated_at, updated_at, NULL][(k % 4 + 1)::INT] AS updated, [parent, k::VARCHAR, '&' || k, NULL][(k % 4 + 1)::INT] AS parent FROM gen_cur", "gen_cur", k="k", updated=lambda: text.updated_at(_SYSTEM(), _RECORD()), parent=lambda: text.parent_key(_SYSTEM(), _RECORD()))
 _sql_text("n37_n38_names", "SELECT k, 'src.a' || k || '.C.f' AS qualified_name, k % 3 <> 2 AS own FROM gen_cur", "gen_cur", k="k", qualified_name=lambda: text.qualified_name(F.concat(F.lit("src/a"), "k", F.lit("/__init__.py")), F.array(F.lit("C")), F.lit("f")),
           own=lambda: text.is_self_call(F.expr("element_at(array('f', 'C.f', 'other.f'), cast(k % 3 + 1 as int))"), F.lit("src.C.f")))
 
 
-@registered("n39_unmapped", "SELECT event_type AS type, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY event_type")
+@registered("n39_unmapped", "SELECT event_type AS name, count(*) AS n FROM events WHERE event_type NOT IN ('error', 'click') GROUP BY event_type")
 def n39(spark, sf_dir):
-    known = spark.createDataFrame([("error",)], "type string")
-    return T(spark, sf_dir, "events").select(F.col("event_type").alias("type")).join(F.broadcast(known), "type", "left_anti").groupBy("type").agg(F.count("*").alias("n"))
+    return vocabulary.unmapped(T(spark, sf_dir, "events").withColumn("event_type", F.col("event_type")), "event_type", {"error": "Bug", "click": "Task"})
 
 
 @registered("u1_overrides", "SELECT p_type AS type, CASE WHEN p_type = 'ECONOMY' THEN 'bugs' ELSE 'other' END AS bucket, count(*) AS n FROM part GROUP BY ALL")
@@ -165,7 +176,7 @@ def g09(spark, sf_dir):
 
 
 BUNDLE = "SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'Function' WHEN 1 THEN 'Class' WHEN 2 THEN 'Odd' ELSE 'File' END AS label, p_type AS path, p_name AS name, p_size AS line, row_number() OVER (PARTITION BY p_type, p_name, p_size ORDER BY p_partkey) - 1 AS occurrence FROM part"
-KINDS = {"Function": "fn", "Class": "cls", "File": "file"}
+KINDS = ("Function", "Class", "File")
 
 
 def _bundle(spark, sf_dir):
@@ -174,7 +185,7 @@ def _bundle(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("id"), label.alias("label"), F.col("p_type").alias("path"), F.col("p_name").alias("name"), F.col("p_size").alias("line"), (F.row_number().over(Window.partitionBy("p_type", "p_name", "p_size").orderBy("p_partkey")) - 1).alias("occurrence"))
 
 
-@registered("g01_bundle_nodes", f"SELECT id, CASE label WHEN 'Function' THEN 'fn' WHEN 'Class' THEN 'cls' WHEN 'File' THEN 'file' ELSE 'symbol' END || ':' || path || ':' || name || ':' || line || CASE WHEN occurrence > 0 THEN '~' || occurrence ELSE '' END AS uid, CASE WHEN label = 'Odd' THEN 'CodeSymbol' ELSE label END AS label, CASE WHEN label = 'Odd' THEN label END AS origin_label FROM ({BUNDLE}) b")
+@registered("g01_bundle_nodes", f"SELECT id, CASE label WHEN 'File' THEN 'file:' || path ELSE lower(label) || ':' || path || '#' || name || '@' || line || CASE WHEN occurrence > 0 THEN '~' || occurrence ELSE '' END END AS uid, CASE WHEN label = 'Odd' THEN 'CodeSymbol' ELSE label END AS label, CASE WHEN label = 'Odd' THEN label END AS origin_label FROM ({BUNDLE}) b")
 def g01(spark, sf_dir):
     return graph.map_bundle_nodes(_bundle(spark, sf_dir), KINDS)
 
@@ -272,10 +283,10 @@ def g27(spark, sf_dir):
     return extract.resolve_ids(T(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("numeric_id"), "l_linenumber"), known).groupBy(F.col("l_linenumber").alias("n")).agg(F.count("*").alias("rows"), F.count(F.when(F.col("unresolved"), 1)).alias("unresolved"))
 
 
-@registered("g29_plain_runs", "SELECT status, count(*) AS n FROM (SELECT CASE WHEN k % 3 = 0 THEN 'PASS' WHEN k % 3 = 1 THEN 'FAIL' END AS status FROM req) WHERE status IS NOT NULL GROUP BY status")
+@registered("g29_plain_runs", "SELECT k AS execution, custkey AS test, CASE WHEN k % 3 = 0 THEN 'PASS' WHEN k % 3 = 1 THEN 'FAIL' END AS status FROM req WHERE k % 3 < 2")
 def g29(spark, sf_dir):
-    q = T(spark, sf_dir, "req").select(F.col("k").alias("execution"), F.col("custkey").alias("test"), F.when(F.col("k") % 3 == 0, F.array(F.lit("run:passed"))).otherwise(F.array(F.lit("z"))).alias("execution_tags"), F.when(F.col("k") % 3 == 1, F.array(F.lit("state:failed"))).otherwise(F.array().cast("array<string>")).alias("test_tags"))
-    return extract.plain_runs(q).groupBy("status").agg(F.count("*").alias("n"))
+    q = T(spark, sf_dir, "req").select(F.col("k").alias("execution"), F.col("custkey").alias("test"), F.when(F.col("k") % 3 == 0, F.array(F.lit("run:x:failed"), F.concat(F.lit(" Run:"), "custkey", F.lit(":passed")))).otherwise(F.array(F.lit("z"))).alias("execution_tags"), F.when(F.col("k") % 3 == 1, F.array(F.lit("state:failed"))).otherwise(F.array().cast("array<string>")).alias("test_tags"))
+    return extract.plain_runs(q)
 
 
 @registered("g28_server_runs", "SELECT partkey AS test, count(*) AS n FROM run GROUP BY partkey")

@@ -40,6 +40,8 @@ class Question:
     clamps: Mapping[str, tuple[int, int]] = field(default_factory=dict)
 
     def __call__(self, nodes: DataFrame, edges: DataFrame, ns: str, /, **params: Any) -> DataFrame:
+        # every question takes a limit and a version; those that have no use for them answer in full
+        params = {k: v for k, v in params.items() if k in self.defaults or k not in ("limit", "version")}
         unknown = set(params) - set(self.defaults)
         if unknown:
             raise TypeError(f"{self.name} has no parameter {', '.join(sorted(unknown))}")

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".html": "html", ".json": "json", ".sql": "sql", ".go": "go", ".rs": "rust"}
-SKIPPED = ("node_modules", "build", "dist", "target", "vendor", ".git", "__pycache__")
+#: Grammar of each source-file extension, and folders without sources of one's own: fixed values.
+LANGUAGES = {
+    ".java": "java", ".py": "python", ".ts": "typescript", ".tsx": "tsx", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".kt": "kotlin",
+    ".cs": "csharp", ".go": "go", ".rb": "ruby", ".php": "php", ".scala": "scala", ".rs": "rust", ".c": "c", ".h": "c", ".cpp": "cpp", ".hpp": "cpp", ".cc": "cpp", ".swift": "swift", ".dart": "dart",
+}
+SKIPPED = (".git", "node_modules", "target", "build", "dist", ".venv", "venv", "__pycache__", ".codegraphcontext", ".gradle", ".idea")
 
 
 def read_landing(spark: SparkSession, path: str, system: str, *, limit: int | None = None, stream: bool = False, schema: str | None = None) -> DataFrame:
@@ -82,9 +86,9 @@ def run_report(results: DataFrame) -> DataFrame:
 
 def languages(files: DataFrame, path: str = "path") -> DataFrame:
     """Source files per language by extension, without build and vendor folders."""
-    parts = F.split(F.col(path), "/")
-    kept = files.where(~F.arrays_overlap(parts, F.array(*[F.lit(s) for s in SKIPPED])))
-    ext = F.lower(F.regexp_extract(F.col(path), r"(\.[^./]+)$", 1))
+    folders = F.slice(F.split(F.col(path), "/"), F.lit(1), F.size(F.split(F.col(path), "/")) - 1)
+    kept = files.where(~F.arrays_overlap(folders, F.array(*[F.lit(s) for s in SKIPPED])))
+    ext = F.lower(F.regexp_extract(F.col(path), r"[^./][^/]*(\.[^./]*)$", 1))
     lang = F.try_element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), ext)
     return kept.select(lang.alias("language")).where("language is not null").groupBy("language").agg(F.count("*").alias("files"))
 

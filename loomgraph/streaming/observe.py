@@ -59,7 +59,7 @@ def reconcile(spark: SparkSession, current: DataFrame, *, snapshots: str, genera
 
 def signal_once(events: DataFrame, *, within: str | None = None) -> DataFrame:
     """Each event identity once; with a bound on lateness, state is dropped after it (needs a timestamp column ``seen_at``)."""
-    keyed = events.withColumn("dedupe_key", diff.dedupe_key())
+    keyed = events.withColumn("dedupe_key", diff.dedupe_key(events.columns))
     return keyed.dropDuplicates(["dedupe_key"]) if within is None else keyed.withWatermark("seen_at", within).dropDuplicatesWithinWatermark(["dedupe_key"])
 
 
