@@ -71,6 +71,12 @@ for _axis, _column in AXES.items():
     _by(_axis, _column)
 
 
+def built(nodes: DataFrame, edges: DataFrame, ns: str) -> DataFrame:
+    """The build step of a code graph: its nodes, stored, with the functions' transitive loop depth, so that questions only read it."""
+    depth = with_depths(nodes, edges, ns).select("uid", "tld")
+    return traverse.stored(nodes.join(depth, "uid", "left"), "code-nodes")
+
+
 @ask("complexity-risks", min_alloc=3, limit=50)
 def risks(nodes, edges, ns, min_alloc, limit):
     """Q12: scans, recursion or many allocations in loops, unguarded recursion."""

@@ -89,6 +89,12 @@ def _coloured(colour: DataFrame, e: DataFrame) -> DataFrame:
     return colour.join(into, "node", "left").select("node", F.greatest("colour", seen).alias("colour"), (seen > F.col("colour")).alias("moved"))
 
 
+def siblings(up: DataFrame, stories: DataFrame) -> DataFrame:
+    """``(uid, other, via)``: the other children of the parents of the given nodes ``(uid)``, from ``(child, parent)``."""
+    own = stories.select("uid").distinct().join(up.select(F.col("child").alias("uid"), F.col("parent").alias("via")), "uid")
+    return own.join(up.select(F.col("parent").alias("via"), F.col("child").alias("other")), "via").where("uid <> other").select("uid", "other", "via").distinct()
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """I4: ``(node, component)`` for every node of ``(src, dst)``: components by mutual reachability, named by a member.
 
