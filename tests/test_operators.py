@@ -240,3 +240,30 @@ def test_reconcile(spark, tmp_path):
 def test_people_fall_back_to_names(spark):
     df = spark.createDataFrame([("id1", "Ann"), ("", "Bob"), (None, None)], "a string, n string")
     assert [r.x for r in df.select(extract.person(F.col("a"), F.col("n")).alias("x")).collect()] == ["id1", "name:Bob", None]
+
+
+def test_functions_are_matched_one_to_one(spark):
+    p = spark.createDataFrame([("a", "1", "f", 10, 12), ("a", "2", "g", 10, 30), ("a", "3", "h", 50, 90), ("a", "4", "h", 52, 53)], "path string, pid string, name string, line int, end_line int")
+    # f by name and line; what is then alone on the line; the nearest of the name; the range that holds the line only with the same name
+    e = spark.createDataFrame([("a", "u1", "f", 10, 12), ("a", "u2", "x", 10, 12), ("a", "u3", "h", 51, 60), ("a", "u4", "other", 70, 71), ("a", "u5", "h", 52, 53)], "path string, uid string, name string, line int, end_line int")
+    assert {(r.uid, r.pid, r["rank"]) for r in metrics.match_functions(p, e).collect()} == {("u1", "1", 0), ("u2", "2", 1), ("u3", "3", 2), ("u5", "4", 0)}
+
+
+def test_bundle_identities(spark):
+    rows = [("1", "Repository", "x", "r", None), ("2", "File", "a.py", "a", None), ("3", "Module", None, "os", None), ("4", "Module", None, None, None), ("5", "Odd", None, "n", None), ("6", "Function", "a.py", "f", 3)]
+    found = graph.map_bundle_nodes(spark.createDataFrame(rows, "id string, label string, path string, name string, line int"), ("Repository", "File", "Module", "Function"))
+    assert {(r.id, r.uid, r.label, r.origin_label) for r in found.collect()} == {("1", "repo:.", "Repository", None), ("2", "file:a.py", "File", None), ("3", "module:os", "Module", None), ("5", "odd:n", "CodeSymbol", "Odd"), ("6", "function:a.py#f@3", "Function", None)}
+
+
+def test_rules_need_a_state_they_allow(spark):
+    e = spark.createDataFrame([("1", None, ["a"]), ("2", "x", ["a"]), ("3", "x", ["b"]), ("4", None, ["b"])], "internal_id string, state string, tags array<string>")
+    r = spark.createDataFrame([(1, "a", "go", None), (2, "b", "stop", [])], "at int, tag string, target string, from_states array<string>")
+    assert {tuple(x) for x in state.tag_rules(e, r).collect()} == {("1", "go"), ("2", "go")}
+    assert {tuple(x) for x in state.tag_rules(e, r, creating=True).collect()} == {("1", "go"), ("2", "go"), ("3", "stop"), ("4", "stop")}
+
+
+def test_preconditions_and_quotes(spark):
+    assert one(spark, "Preconditions: logged in\n  as admin\nGiven x\ny", text.preconditions) == ["logged in as admin"]
+    assert one(spark, "text\nConditions:\nfirst\n second\nScenario: z\nthird", text.preconditions) == ["first", "second"]
+    assert not one(spark, "Rule of thumb applies", text.is_gherkin) and one(spark, "Rule: x", text.is_gherkin)
+    assert [one(spark, x, diff.quoted) for x in ("a", "it's", 'it\'s "b"', "a\\b\n", None)] == [repr(x) for x in ("a", "it's", 'it\'s "b"', "a\\b\n", None)]

@@ -8,10 +8,6 @@ import pytest
 from loomgraph.plans import standin
 from loomgraph.plans.queries import ORACLES, QUERIES
 
-#: The same plan as q05, q09 and i5 but for the order; the driver compares them as well.
-SLOW = {"q05_hotspots_all", "q06_by_complexity", "q07_by_cognitive", "q08_by_loop_depth", "q10_by_param_count", "q11_by_max_access_depth", "q12_risks"}
-
-
 @pytest.fixture(scope="module")
 def duck(sf):
     import duckdb
@@ -32,7 +28,7 @@ def plain(v):
     return v.isoformat() if isinstance(v, datetime.datetime) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_twin(spark, duck, sf, name):
     df = QUERIES[name](spark, sf)
     rel = duck.sql(ORACLES[name])
