@@ -215,9 +215,10 @@ def personal_data(docs: DataFrame, *, key: str = "doc_id", text: str = "text", w
     if n:
         told = F.broadcast(told) if n <= FEW_TERMS else told
         hit = rows.select("row_id", F.explode(F.array_distinct(F.transform(words_of(F.col("text")), lambda w: F.lower(w)))).alias("term")).join(told, F.col("term") == F.col("told_term")).select(F.col("row_id").alias("hit_row")).distinct()
+        hit = common.stored(hit, "hit-rows")  # Spark then knows its size: texts stay where they are if it is small
         found = rows.select("row_id", "text").join(hit, F.col("row_id") == F.col("hit_row")).select("row_id", F.explode(located(outside(F.col("text")), WORD, "term")).alias("w"))
         found = found.join(told, F.lower("w.value") == F.col("told_term"))
         added = found.groupBy(F.col("row_id").alias("added_row")).agg(F.collect_list(F.struct(F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("action").alias("kind"), F.lit("").alias("value"))).alias("added"))
-        out = out.join(added, F.col("row_id") == F.col("added_row"), "left")
+        out = out.join(common.stored(added, "added-spans"), F.col("row_id") == F.col("added_row"), "left")
         extra = F.coalesce("added", extra)
     return out.select("doc_id", *own, ordered(F.col("spans"), KINDS).alias("base"), ordered(F.concat("spans", extra), (*KINDS, "generalise", "remove")).alias("spans"))
