@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from array import array
@@ -28,7 +27,7 @@ from loomgraph.llm import common
 from loomgraph.llm.tokencount import byte_symbols
 
 INDEX = "doc_id long, shard int, file string, offset long, length long, local_start long, n_tokens long"
-CACHE_PIECES, CACHE_WORDS = 400_000, 1_000_000
+CACHE_PIECES, CACHE_WORDS = 400_000, 400_000
 #: The byte-level pre-tokenizer's pattern: a fixed value.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 READ_BYTES = 16 << 20
@@ -66,37 +65,56 @@ class Words(dict):
         self.tokenize, self.dtype = tokenizer.model.tokenize, np.dtype(dtype)
         self.symbols = dict(enumerate(byte_symbols()))
 
+    def ids(self, piece: str) -> bytes:
+        found = self.tokenize(piece.encode().decode("latin-1").translate(self.symbols))
+        return array(self.dtype.char, [t.id for t in found]).tobytes()
+
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        found = self.tokenize(piece.encode().decode("latin-1").translate(self.symbols))
-        ids = self[piece] = array(self.dtype.char, [t.id for t in found]).tobytes()
+        ids = self[piece] = self.ids(piece)
         return ids
 
 
+class Uncut(Exception):
+    """What stands between two spaces is no unit: more white space meets a space."""
+
+
 class Pieces(dict):
-    """What stands between two single spaces -> the ids of it with the space before."""
+    """What stands between two single spaces -> the ids of it with the space before.
+
+    When full, all pieces grow old; an old one that is met again is remembered anew, so that only rare ones are lost.
+    """
 
     def __init__(self, words: Words):
         super().__init__()
-        self.words = words
+        self.words, self.space, self.old = words, byte_symbols()[0x20], {}
 
     def __missing__(self, x: str) -> bytes:
+        if not x or x[0].isspace() or x[-1].isspace():
+            raise Uncut
         if len(self) >= CACHE_PIECES:
+            self.old = dict(self)
             self.clear()
-        ids = self[x] = b"".join(map(self.words.__getitem__, PATTERN.findall(" " + x)))
+        ids = self.old.get(x)
+        if ids is not None:
+            pass
+        elif x.isalpha():  # one word to the pre-tokenizer
+            ids = array(self.words.dtype.char, [t.id for t in self.words.tokenize(self.space + x)]).tobytes() if x.isascii() else self.words.ids(" " + x)
+        else:
+            ids = b"".join(map(self.words.__getitem__, PATTERN.findall(" " + x)))
+        self[x] = ids
         return ids
 
 
 class Encoder:
     """Ids of whole texts by the library, as bytes; each distinct piece is encoded once and remembered while there is room.
 
-    Where no two white-space characters meet, the pre-tokenizer never looks across a space, so what stands between spaces is a
+    Where no other white space meets a space, the pre-tokenizer never looks across one, so what stands between spaces is a
     unit; other texts are cut by the pre-tokenizer's pattern. Texts with characters beyond U+024F, whose classes may depend on
     the Unicode version, or with a special token go to the library whole, and so does every text if the file is of another kind.
     """
 
-    DOUBLE = re.compile("\\s\\s")
     #: The kind of file for which pieces are units: fixed values.
     PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
     MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "byte_fallback": False, "ignore_merges": False}
@@ -110,19 +128,26 @@ class Encoder:
         self.pieces = Pieces(self.words)
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
-        known = spec["normalizer"] is None and spec["pre_tokenizer"] == self.PRE_TOKENIZER and all(spec["model"].get(k) == v for k, v in self.MODEL.items())
-        whole = ["[^\\x00-\\x1b\\x20-\\u024f]", *(re.escape(t["content"]) for t in spec["added_tokens"])] if known else ["(?s:.)"]
-        self.library = re.compile("|".join(whole))
+        self.known = spec["normalizer"] is None and spec["pre_tokenizer"] == self.PRE_TOKENIZER and all(spec["model"].get(k) == v for k, v in self.MODEL.items())
+        self.marks = ["\x1c", "\x1d", "\x1e", "\x1f", *(t["content"] for t in spec["added_tokens"])]
+
+    def whole(self, text: str) -> bool:
+        """Whether the library takes the text as it is."""
+        if not self.known or any(x in text for x in self.marks):
+            return True
+        return not text.isascii() and bool(np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2").max() > 0x24F)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.library.search(text):
+        if self.whole(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-        if text[0] != " " and not self.DOUBLE.search(text):
-            first, _, rest = text.partition(" ")
-            head = b"".join(map(self.words.__getitem__, PATTERN.findall(first)))
-            return head + b"".join(map(self.pieces.__getitem__, rest.split(" "))) if _ else head
+        first, _, rest = text.partition(" ")
+        if first and rest and not first[-1].isspace() and "  " not in rest:
+            try:
+                return b"".join(map(self.words.__getitem__, PATTERN.findall(first))) + b"".join(map(self.pieces.__getitem__, rest.split(" ")))
+            except Uncut:
+                pass
         return b"".join(map(self.words.__getitem__, PATTERN.findall(text)))
 
 
