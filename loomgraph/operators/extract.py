@@ -88,6 +88,41 @@ def comment_edges(comments: DataFrame, ns: str) -> DataFrame:
     return a.unionByName(comments.where("author is not null").select(*edge("WRITTEN_BY", _uid(ns, "comment", "id"), _uid(ns, "user", "author"))))
 
 
+def board_nodes(boards: DataFrame, sprints: DataFrame, ns: str) -> DataFrame:
+    """Boards ``(id, name)`` and the sprints ``(board_id, id, name)`` on them, those without any issue too."""
+    b = boards.where("id is not null").select(_uid(ns, "board", "id").alias("uid"), F.lit("Board").alias("label"), "name")
+    s = _on_board(boards, sprints).groupBy("id").agg(F.min("name").alias("name"))
+    return b.unionByName(s.select(_uid(ns, "sprint", "id").alias("uid"), F.lit("Sprint").alias("label"), "name"))
+
+
+def board_edges(boards: DataFrame, sprints: DataFrame, ns: str, project: str | None = None) -> DataFrame:
+    """Sprints on their boards, and boards for the project if one is given."""
+    on = _on_board(boards, sprints).select(*edge("ON_BOARD", _uid(ns, "sprint", "id"), _uid(ns, "board", "board_id")))
+    if not project:
+        return on.distinct()
+    return on.unionByName(boards.where("id is not null").select(*edge("FOR_PROJECT", _uid(ns, "board", "id"), text.uid(F.lit(ns), F.lit("project"), F.lit(project))))).distinct()
+
+
+def _on_board(boards: DataFrame, sprints: DataFrame) -> DataFrame:
+    return sprints.where("id is not null").join(boards.select(F.col("id").alias("board_id")).distinct(), "board_id", "left_semi")
+
+
+def remote_link_nodes(links: DataFrame, ns: str) -> DataFrame:
+    """Links ``(key, id, url, title, ...)`` out of the tracker as nodes with all further columns as their properties; those without id go."""
+    return links.where("id is not null").select(_uid(ns, "remotelink", "id").alias("uid"), F.lit("RemoteLink").alias("label"), F.col("id").cast("string").alias("remote_link_id"), *[c for c in links.columns if c not in ("key", "id")]).distinct()
+
+
+def remote_link_edges(links: DataFrame, ns: str) -> DataFrame:
+    """Issues with their remote links."""
+    return links.where("id is not null").select(*edge("HAS_REMOTE_LINK", _uid(ns, "issue", "key"), _uid(ns, "remotelink", "id"))).distinct()
+
+
+def watcher_edges(watchers: DataFrame, ns: str) -> DataFrame:
+    """Watchers ``(key, account, name)`` of issues; one with neither account nor name goes."""
+    who = watchers.withColumn("who", person(F.col("account"), F.col("name"))).where("who is not null")
+    return who.select(*edge("WATCHED_BY", _uid(ns, "issue", "key"), _uid(ns, "user", "who"))).distinct()
+
+
 def tag_edges(items: DataFrame, ns: str) -> DataFrame:
     """Tags of work items from a ``;``-separated text."""
     rows = items.select("key", F.explode(F.split(F.coalesce("tags", F.lit("")), ";")).alias("v")).where("trim(v) <> ''")
