@@ -32,6 +32,44 @@ def candidates(sketch: DataFrame, *, max_bucket: int = 500) -> DataFrame:
     return s.select("h", F.col("uid").alias("uid_a")).join(s.select("h", F.col("uid").alias("uid_b")), "h").where("uid_a < uid_b").select("uid_a", "uid_b").distinct()
 
 
+def classes(sets: DataFrame) -> DataFrame:
+    """Equal sets as one class: ``(uid, class)`` with the smallest uid of the set."""
+    digest = F.sha2(F.array_join("hashes", ","), 256).alias("digest")
+    least = sets.groupBy(digest).agg(F.min("uid").alias("class"))
+    return sets.select("uid", digest).join(least, "digest").select("uid", "class")
+
+
+def exact_candidates(sets: DataFrame, *, threshold: float = 0.7) -> DataFrame:
+    """C3 without a bucket limit: every pair of sets that can reach the threshold, for one set of each class.
+
+    Sets that reach it share one of their ``n - ceil(threshold * n) + 1`` rarest hashes, so only those are joined, and sizes
+    that are too far apart are left out. Frequent hashes stay out of the join as long as a set has rarer ones.
+    """
+    t = sets.select("uid", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    rare = t.join(t.groupBy("h").agg(F.count("*").alias("times")), "h").groupBy("uid", "n").agg(F.array_sort(F.collect_list(F.struct("times", "h"))).alias("by_rarity"))
+    least = F.ceil(F.col("n") * threshold - 1e-9).cast("int")
+    some = stored(rare.select("uid", "n", F.explode(F.slice("by_rarity", F.lit(1), F.col("n") - least + 1)).alias("x")).select("uid", "n", "x.h"), "prefixes")
+    side = lambda x: some.select("h", F.col("uid").alias(f"uid_{x}"), F.col("n").alias(f"n_{x}"))
+    close = (F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (F.col("n_b") >= F.col("n_a") * threshold - 1e-9)
+    return side("a").join(side("b"), "h").where((F.col("uid_a") < F.col("uid_b")) & close).select("uid_a", "uid_b").distinct()
+
+
+def exact_pairs(fn_tokens: DataFrame, *, threshold: float = 0.7, min_tokens: int = 30, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
+    """All pairs at the threshold, without a limit on buckets or partners: pairs ``(class_a, class_b, jaccard)`` and members ``(uid, class)``.
+
+    Copies are not expanded into pairs: members of one class are equal, and what holds for two classes holds for their members.
+    Members that overlap in one file are left to the caller, who knows which pairs of members are asked for.
+    """
+    sets = stored(shingles(fn_tokens, min_tokens=min_tokens, shingle=shingle), "shingles")
+    members = stored(classes(sets), "classes")
+    one = sets.join(members.select(F.col("class").alias("uid")).distinct(), "uid", "left_semi").select("uid", "hashes")
+    side = lambda x: one.select(F.col("uid").alias(f"uid_{x}"), F.col("hashes").alias(f"hashes_{x}"))
+    p = exact_candidates(one, threshold=threshold).join(side("a"), "uid_a").join(side("b"), "uid_b")
+    both = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    p = p.withColumn("j", both / (F.size("hashes_a") + F.size("hashes_b") - both)).where(F.col("j") >= threshold)
+    return p.select(F.col("uid_a").alias("class_a"), F.col("uid_b").alias("class_b"), F.round("j", 3).alias("jaccard")), members
+
+
 def verified(pairs: DataFrame, sets: DataFrame, *, threshold: float = 0.7) -> DataFrame:
     """Pairs that don't overlap in one file with their exact Jaccard, rounded after the threshold."""
     side = lambda x: sets.select(F.col("uid").alias(f"uid_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("path", "start", "end", "hashes")])

@@ -267,3 +267,46 @@ def test_preconditions_and_quotes(spark):
     assert one(spark, "text\nConditions:\nfirst\n second\nScenario: z\nthird", text.preconditions) == ["first", "second"]
     assert not one(spark, "Rule of thumb applies", text.is_gherkin) and one(spark, "Rule: x", text.is_gherkin)
     assert [one(spark, x, diff.quoted) for x in ("a", "it's", 'it\'s "b"', "a\\b\n", None)] == [repr(x) for x in ("a", "it's", 'it\'s "b"', "a\\b\n", None)]
+
+
+def test_exact_pairs_have_no_bucket_limit(spark):
+    """520 copies of one body, near copies of it and others: every pair of different bodies is found, copies are members."""
+    import random
+
+    from loomgraph.operators import similar
+
+    r = random.Random(3)
+    base = [f"t{r.randint(0, 40)}" for _ in range(80)]
+    bodies = [base]
+    for _ in range(25):
+        near = list(base)
+        for _ in range(r.randint(1, 5)):
+            near[r.randrange(80)] = f"z{r.randint(0, 5)}"
+        bodies.append(near)
+    bodies += [[f"u{r.randint(0, 9)}" for _ in range(r.randint(28, 60))] for _ in range(20)]
+    rows = [(f"f{k:04d}", "p", k, k, b) for k, b in enumerate(bodies)] + [(f"g{k:04d}", "q", k, k, base) for k in range(520)]
+    fns = spark.createDataFrame(rows, "uid string, path string, start int, end int, tokens array<string>")
+    pairs, members = similar.exact_pairs(fns)
+    sets = {u: frozenset(tuple(t[i : i + 5]) for i in range(len(t) - 4)) for u, _, _, _, t in rows if len(t) >= 30}
+    least = {}
+    for u in sorted(sets):
+        least.setdefault(sets[u], u)
+    assert {(m.uid, m["class"]) for m in members.collect()} == {(u, least[v]) for u, v in sets.items()}
+    one = sorted(least.values())
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    want = {(a, b): round(jaccard(a, b), 3) for i, a in enumerate(one) for b in one[i + 1 :] if jaccard(a, b) >= 0.7}
+    got = [((p.class_a, p.class_b), p.jaccard) for p in pairs.collect()]
+    assert len(want) > 20 and dict(got) == want and len(got) == len(want)
+    assert similar.candidates(similar.sketches(similar.shingles(fns))).where("uid_a = 'f0000' and uid_b like 'g%'").isEmpty()
+
+
+def test_issue_relations_of_empty_and_odd_issues(spark):
+    from loomgraph.operators import normalise
+
+    ref = "struct<key:string,id:string,title:string,type:string>"
+    schema = f"key string, type string, url string, links array<struct<link_type:string,inward:boolean,key:string,id:string,title:string,type:string>>, parent {ref}, subtasks array<{ref}>"
+    rows = [("A-1", None, None, None, None, None), ("A-2", "Bug", "https://x/browse/y/browse/A-2", [(" TESTS ", False, "T-1", "1", "t", "Test"), (None, None, "T-2", None, None, None), ("Blocks", True, "", None, None, None)], ("P-1", None, None, None), [(None, None, None, None)])]
+    got = {(r.owner, r.field, r.key, r.url, r.link_type) for r in normalise.issue_relations(spark.createDataFrame(rows, schema)).collect()}
+    base = "https://x/browse/y/browse/"
+    assert got == {("A-2", "raised_by", "T-1", base + "T-1", " TESTS "), ("A-2", "linked_to", "T-2", base + "T-2", ""), ("A-2", "parent", "P-1", base + "P-1", "parent")}
+    assert normalise.issue_relations(spark.createDataFrame([], schema)).isEmpty()
