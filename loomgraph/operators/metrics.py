@@ -1,8 +1,9 @@
 """Function metrics over a table of syntax nodes.
 
 ``ast`` rows are ``(file, fn_uid, node_id, parent_id, type, role, text, start_line, start_byte, ancestors array<struct<type,role>>)``; roles
-come from a dimension ``(lang, type, role)`` joined beforehand: if, elif, else, loop, catch, ternary, case, bool, comprehension, scan, alloc,
-jump, call, return, param, access. All metrics of a function are aggregates of one pass.
+come from a dimension ``(lang, type, role)`` joined beforehand: if, elif, else, condition (of an if or elif), loop, switch, case (but the
+default), catch, ternary, bool, comprehension, clause (of a comprehension), inline and callback (functions inside, handed to an iterating
+call), scan, alloc, jump, call, return, param, access. Metrics of a function are aggregates of its rows.
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DECISIONS = ("if", "elif", "loop", "catch", "ternary", "case", "bool", "comprehension")
-STRUCTURES = ("if", "loop", "catch", "ternary")
+DECISIONS = ("if", "elif", "loop", "catch", "ternary", "case", "bool", "clause")
+STRUCTURES = ("if", "loop", "comprehension", "switch", "catch", "ternary")
 LOOPS = ("loop", "comprehension", "callback")
-NESTING = ("if", "loop", "catch", "ternary", "callback")
+NESTING = (*STRUCTURES, "inline", "callback")
+CONDITIONAL = (*STRUCTURES, "bool")
 
 
 def with_roles(ast: DataFrame, lang_types: DataFrame) -> DataFrame:
@@ -26,7 +28,11 @@ def above(*roles: str) -> Column:
 
 
 def metrics(ast: DataFrame) -> DataFrame:
-    """M1 to M4, M6, M7: one row per function."""
+    """M1 to M4, M6, M7: one row per function.
+
+    A structure costs one more for each that it is in; what stands in a condition is not inside its ``if``. Every call of the function by
+    itself costs one. Recursion is unguarded if no ``if`` with a return starts before the first such call that is under no condition.
+    """
     role = F.col("role")
     is_in = lambda *r: F.coalesce(role.isin(*r), F.lit(False))
     count = lambda c: F.count(F.when(c, 1))
@@ -34,14 +40,28 @@ def metrics(ast: DataFrame) -> DataFrame:
     parent = F.try_element_at("ancestors", F.lit(-1))
     run_start = is_in("bool") & ~F.coalesce((parent["role"] == "bool") & (parent["type"] == F.col("type")), F.lit(False))
     own_call = is_in("call") & F.coalesce(F.col("text") == F.col("fn_name"), F.lit(False))
-    bare = above("if", "loop", "catch", "ternary", "case") == 0
-    cognitive = F.when(is_in(*STRUCTURES), 1 + above(*NESTING)).when(is_in("elif", "else", "jump") | run_start, 1).otherwise(0)
+    bare = above(*CONDITIONAL) - above("condition") == 0
+    cognitive = F.when(is_in(*STRUCTURES), 1 + above(*NESTING) - above("condition")).when(is_in("elif", "else", "jump") | run_start, 1).otherwise(0)
     per = ast.groupBy("fn_uid").agg(
-        (1 + count(is_in(*DECISIONS))).alias("cyclomatic"), (F.sum(cognitive) + F.max(own_call.cast("int"))).alias("cognitive"),
+        (1 + count(is_in(*DECISIONS))).alias("cyclomatic"), (F.sum(cognitive) + count(own_call)).alias("cognitive"),
         F.coalesce(F.max(F.when(is_in(*LOOPS), above(*LOOPS) + 1)), F.lit(0)).alias("loop_depth"), count(is_in("scan") & in_loop).alias("linear_scan_in_loop"), count(is_in("alloc") & in_loop).alias("alloc_in_loop"),
         count(is_in("param") & ~F.coalesce(F.col("text").isin("self", "cls"), F.lit(False))).alias("param_count"), F.bool_or(own_call).alias("recursive"), F.bool_or(own_call & in_loop).alias("recursion_in_loop"),
-        F.min(F.when(own_call & bare, F.col("start_byte"))).alias("first_call"), F.min(F.when(is_in("return") & ~bare, F.col("start_byte"))).alias("first_guard"))
-    return per.withColumn("unguarded_recursion", F.coalesce(F.col("first_call") < F.coalesce("first_guard", F.lit(1 << 31)), F.lit(False))).drop("first_call", "first_guard")
+        F.min(F.when(own_call & bare, F.col("start_byte"))).alias("first_call"))
+    per = per.join(first_guards(ast), "fn_uid", "left")
+    return per.withColumn("unguarded_recursion", F.coalesce(F.col("first_call") <= F.coalesce("first_guard", F.lit(1 << 31)), F.lit(False))).drop("first_call", "first_guard")
+
+
+def first_guards(ast: DataFrame) -> DataFrame:
+    """Where the first ``if`` that holds a return starts: ``(fn_uid, first_guard)``.
+
+    Of the ifs around a return the outermost starts first; it is the last one on its level before the return.
+    """
+    is_if = F.coalesce(F.col("role") == "if", F.lit(False))
+    outer = F.array_position(F.transform("ancestors", lambda a: F.coalesce(a["role"] == "if", F.lit(False))), True) - 1
+    level = F.when(is_if, F.size("ancestors").cast("long")).when((F.col("role") == "return") & (outer >= 0), outer)
+    rows = ast.select("fn_uid", level.alias("level"), "start_byte", is_if.alias("is_if")).where("level is not null")
+    before = F.last(F.when(F.col("is_if"), F.col("start_byte")), ignorenulls=True).over(Window.partitionBy("fn_uid", "level").orderBy("start_byte"))
+    return rows.withColumn("guard", before).where("not is_if").groupBy("fn_uid").agg(F.min("guard").alias("first_guard"))
 
 
 def access_depth(ast: DataFrame) -> DataFrame:
