@@ -164,13 +164,29 @@ def explore(nodes, edges, ns, label, search, limit):
     return a.join(e.agg(F.array_sort(F.collect_set(F.struct("type", F.col("start").alias("source"), F.col("end_uid").alias("target")))).alias("edges")))
 
 
-CONTEXT = ("relation", "via", "key", "type", "status", "title", "description", "run_status", "created")
+CONTEXT = ("relation", "via", "key", "type", "status", "title", "description", "acceptance_criteria", "gherkin", "steps", "run_status", "created", "updated")
+TEST_TEXTS = ("title", "gherkin", "unstructured", "steps_text", "test_steps", "manual_steps", "cucumber_script")
+STEPS = "array<struct<index:bigint,action:string,data:string,expected:string>>"
 
 
-def _item(relation: Column, via: Column, n: DataFrame, **given: Column) -> DataFrame:
-    """Rows of one branch in the shared columns, from a node table."""
-    get = lambda c: given.get(c, F.col(c) if c in n.columns else F.lit(None).cast("string"))
-    return n.select(relation.alias("relation"), via.cast("string").alias("via"), *[get(c).cast("string").alias(c) for c in CONTEXT[2:]])
+def _given(df: DataFrame, *columns: str) -> Column:
+    """The first of the columns that has a value; those that the table lacks are null."""
+    return F.coalesce(*[F.col(c).cast("string") for c in columns if c in df.columns], F.lit(None).cast("string"))
+
+
+def _item(relation: Column, via: Column, n: DataFrame, *more: str, **given: Column) -> DataFrame:
+    """Rows of one branch in the shared columns and some more, from a node table; Gherkin, steps and run only where they are given."""
+    given = {"type": _given(n, "type", "test_type"), "gherkin": F.lit(None), "steps": F.array(), "run_status": F.lit(None)} | given
+    cells = [given.get(c, _given(n, c)).cast(STEPS if c == "steps" else "string").alias(c) for c in CONTEXT[2:]]
+    return n.select(relation.alias("relation"), via.cast("string").alias("via"), *cells, *more)
+
+
+def _steps(nodes: DataFrame, edges: DataFrame, of: DataFrame) -> DataFrame:
+    """``(uid, steps)`` of the given tests, the steps in their order."""
+    has = edges.where("type = 'HAS_STEP'").join(of.select(F.col("uid").alias("start")).distinct(), "start", "left_semi")
+    has = has.select("start", "end_uid", _given(edges, "position").cast("bigint").alias("index"))
+    step = nodes.select(F.col("uid").alias("end_uid"), *[_given(nodes, c).alias(c) for c in ("action", "data", "expected")])
+    return has.join(step, "end_uid").groupBy(F.col("start").alias("uid")).agg(F.array_sort(F.collect_list(F.struct("index", "action", "data", "expected"))).cast(STEPS).alias("steps"))
 
 
 @ask("story-context", requires_one_of=("key",), key=None, limit=50)
@@ -195,12 +211,13 @@ def story_context(nodes, edges, ns, key, limit):
     link = both.where(F.col("link_type").isNotNull()).join(sid, F.col("start") == F.col("story")).select(F.col("end_uid").alias("uid"), F.col("type").alias("rel"), "link_type").join(_issues(n), "uid")
     has = edges.where(F.col("type").isin("HAS_LABEL", "HAS_COMPONENT")).select(F.col("start").alias("item"), F.col("end_uid").alias("tag"))
     tag = has.join(sid, has["item"] == sid["story"]).select("story", "tag")
-    peer = tag.join(has, "tag").where("item <> story").join(n.select(F.col("uid").alias("tag"), F.col("name").alias("tag_name")), "tag").groupBy(F.col("item").alias("uid")).agg(F.array_sort(F.collect_set("tag_name")).alias("tags"))
+    peer = tag.join(has, "tag").where("item <> story").join(n.select(F.col("uid").alias("tag"), _given(n, "name", "path").alias("tag_name")), "tag").groupBy(F.col("item").alias("uid")).agg(F.array_sort(F.collect_set("tag_name")).alias("tags"))
     peer = peer.join(n.where(has_any("labels", REQUIREMENT)), "uid")
     around = sib.select("uid").unionByName(link.select("uid")).unionByName(s.select("uid")).distinct().join(n.select("uid", F.col("key").alias("near")), "uid")
     status = derive.test_status(nodes, edges, ns).select(F.col("test").alias("uid"), "run_status")
     test = of_type(edges, ns, "COVERS").select(F.col("start").alias("test"), F.col("end_uid").alias("uid")).distinct().join(around, "uid").select(F.col("test").alias("uid"), "near")
-    test = test.join(n.where(F.array_contains("labels", "Test")), "uid").join(status, "uid", "left")
+    test = top(test.join(n.where(F.array_contains("labels", "Test")), "uid").join(status, "uid", "left"), limit, asc("key"), asc("near"))
+    test = test.join(_steps(nodes, edges, test), "uid", "left")
     bug = both.join(around, both["end_uid"] == around["uid"]).where("start <> end_uid").select(F.col("start").alias("uid"), "near").distinct().join(n.where(F.array_contains("labels", "Bug")), "uid")
     comment = edges.where("type = 'HAS_COMMENT'").join(sid, F.col("start") == F.col("story")).select(F.col("end_uid").alias("uid")).join(n, "uid")
     page = edges.where("type = 'MENTIONS'").join(sid, F.col("end_uid") == F.col("story")).select(F.col("start").alias("uid")).join(n.where(F.array_contains("labels", "Page")), "uid")
@@ -209,36 +226,42 @@ def story_context(nodes, edges, ns, key, limit):
         _item(F.lit("ancestor"), null, top(ancestor, limit, asc("uid"))),
         _item(F.lit("sibling"), F.col("parent_key"), top(sib, limit, *newest, asc("key"))),
         _item(F.concat(F.lit("link:"), "rel"), F.col("link_type"), top(link, limit, asc("key"), asc("rel"))),
-        _item(F.lit("shared-tag"), F.array_join("tags", ", "), top(peer, limit, F.size("tags").desc(), asc("key"))),
-        _item(F.lit("test"), F.col("near"), top(test, limit, asc("key"), asc("near"))),
+        _item(F.lit("shared-tag"), F.array_join("tags", ", "), top(peer, limit, F.size("tags").desc(), *newest, asc("key"))),
+        _item(F.lit("test"), F.col("near"), test, gherkin=_given(n, "gherkin"), steps=F.coalesce("steps", F.array().cast(STEPS)), run_status=F.col("run_status")),
         _item(F.lit("bug"), F.col("near"), top(bug, limit, asc("key"), asc("near"))),
-        _item(F.lit("comment"), F.col("created"), top(comment, limit, desc("created"), asc("uid")), description=F.col("body"), key=null),
-        _item(F.lit("page"), F.col("url" if "url" in nodes.columns else "title"), top(page, limit, asc("uid"))),
+        _item(F.lit("comment"), F.col("created"), top(comment, limit, desc("created"), asc("uid")), description=F.col("body"), **{c: null for c in ("key", "type", "status", "title", "acceptance_criteria", "updated")}),
+        _item(F.lit("page"), F.col("url" if "url" in nodes.columns else "title"), top(page, limit, asc("uid")), **({"key": F.concat(F.lit("page:"), "page_id")} if "page_id" in nodes.columns else {}), type=F.lit("page"), **{c: null for c in ("description", "acceptance_criteria", "created", "updated")}),
     ]
     return reduce(DataFrame.unionByName, branches)
 
 
+def _searched(df: DataFrame, columns: tuple[str, ...]) -> list[str]:
+    return [c for c in columns if c in df.columns]
+
+
 @ask("similar-issues", requires_one_of=("q",), q="", key=None, limit=50)
 def similar_issues(nodes, edges, ns, q, key, limit):
-    """Requirements whose texts answer a query best, without the story itself."""
+    """Requirements whose title, description or criteria answer a query best, without the story itself, in the columns of a story's context."""
     r = requirements(nodes, ns)
-    found = search.text_search(r, "uid", ["title"], q).join(r, "uid").where(F.col("key") != (key or ""))
-    return top(found, limit, desc("score"), asc("key")).select("key", "type", "status", "title", "score")
+    found = search.text_search(r, "uid", _searched(r, ("title", "description", "acceptance_criteria")), q).join(r, "uid").where(F.col("key") != (key or ""))
+    return _item(F.lit("similar"), F.format_string("%.6f", F.col("score")), top(found, limit, desc("score"), asc("key")), "score")
 
 
 @ask("similar-tests", requires_one_of=("q",), q="", key=None, limit=50)
 def similar_tests(nodes, edges, ns, q, key, limit):
-    """Tests whose texts answer a query best, without those that cover the story, with what they cover and their last run."""
+    """Tests whose title, Gherkin or steps answer a query best, without those that cover the story, with what they cover, their steps and their last run."""
     t = tests(nodes, ns)
     covers = of_type(edges, ns, "COVERS").select(F.col("start").alias("uid"), F.col("end_uid").alias("target")).distinct()
     covers = covers.join(nodes.select(F.col("uid").alias("target"), F.col("key").alias("target_key")), "target")
-    found = search.text_search(t, "uid", ["title"], q)
+    found = search.text_search(t, "uid", _searched(t, TEST_TEXTS), q)
     if key:
         found = found.join(covers.where(F.col("target_key") == key).select("uid"), "uid", "left_anti")
-    found = top(found.join(t, "uid"), limit, desc("score"), asc("key")).select("uid", "key", "type", "title", "score")
-    many = covers.join(F.broadcast(found.select("uid")), "uid", "left_semi").groupBy("uid").agg(F.array_join(F.array_sort(F.collect_set("target_key")), ",").alias("covers"))
+    found = top(found.join(t, "uid"), limit, desc("score"), asc("key"))
+    many = covers.join(found.select("uid"), "uid", "left_semi").groupBy("uid").agg(F.array_join(F.array_sort(F.collect_set("target_key")), ",").alias("covers"))
     status = derive.test_status(nodes, edges, ns).select(F.col("test").alias("uid"), "run_status")
-    return found.join(many, "uid", "left").join(status, "uid", "left").select("key", "type", "title", "score", F.coalesce("covers", F.lit("")).alias("covers"), "run_status")
+    found = found.join(many, "uid", "left").join(_steps(nodes, edges, found), "uid", "left").join(status, "uid", "left").withColumn("covers", F.coalesce("covers", F.lit("")))
+    given = {"acceptance_criteria": F.lit(None), "gherkin": _given(t, "gherkin"), "steps": F.coalesce("steps", F.array().cast(STEPS)), "run_status": F.col("run_status")}
+    return _item(F.lit("similar-test"), F.format_string("%.6f", F.col("score")), found, "score", "covers", **given)
 
 
 @ask("story-changes", requires_one_of=("key",), key=None, field_re=CHANGE_FIELDS, field_ids="", limit=50)
@@ -251,16 +274,17 @@ def story_changes(nodes, edges, ns, key, field_re, field_ids, limit):
     c = top(_changes(nodes, edges, ns).join(F.broadcast(s), "issue").where(picked), limit, desc("changed_at"), asc("change"))
     null = F.lit(None).cast("string")
     loaded = scoped(nodes, ns).where(F.array_contains("labels", "ChangeEvent")).limit(1).agg((F.count("*") > 0).alias("loaded"))
-    meta = loaded.select(F.lit("meta").alias("relation"), null.alias("changed_at"), null.alias("who"), null.alias("field"), null.alias("before"), null.alias("after"), "loaded")
-    return c.select(F.lit("change").alias("relation"), "changed_at", "who", "field", "before", "after", F.lit(None).cast("boolean").alias("loaded")).unionByName(meta)
+    meta = loaded.select(F.lit("meta").alias("relation"), null.alias("at"), null.alias("who"), null.alias("field"), null.alias("field_id"), null.alias("before"), null.alias("after"), "loaded")
+    return c.select(F.lit("change").alias("relation"), F.col("changed_at").alias("at"), "who", "field", "field_id", "before", "after", F.lit(None).cast("boolean").alias("loaded")).unionByName(meta)
 
 
 @ask("test-dates")
 def test_dates(nodes, edges, ns):
-    """Whether dates can be trusted: counts of tests with a creation date, change events, and edits of criteria."""
+    """Whether dates can be trusted: counts of tests with dates and with searchable steps, of change events, and of edits of criteria."""
     n = scoped(nodes, ns)
     is_a = lambda x: F.array_contains("labels", x)
     return n.agg(
         F.count(F.when(is_a("Test"), 1)).alias("tests"), F.count(F.when(is_a("Test"), F.col("created"))).alias("tests_with_created"),
+        F.count(F.when(is_a("Test"), _given(n, "updated"))).alias("tests_with_updated"), F.count(F.when(is_a("Test"), _given(n, "steps_text"))).alias("tests_with_steps_text"),
         F.count(F.when(is_a("ChangeEvent"), 1)).alias("change_events"),
         F.count(F.when(is_a("FieldChange") & full_match(F.col("field"), CHANGE_FIELDS), 1)).alias("criteria_or_description_edits"))

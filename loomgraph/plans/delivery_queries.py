@@ -68,7 +68,7 @@ _ask("k11_workload", "workload", "SELECT u.name AS assignee, n.bucket, count(*)
 _ask("k12_sprint_load", "sprint-load", "SELECT s.name AS sprint, s.status AS state, n.bucket, count(*) AS count FROM edges e JOIN nodes n ON n.uid = e.start JOIN nodes s ON s.uid = e.end_uid WHERE e.type = 'IN_SPRINT' AND is_current GROUP BY ALL")
 _ask("k13_stale", "stale", "SELECT labels, uid, key, last_seen_version AS last_seen FROM nodes WHERE coalesce(last_seen_version, -1) < 5", version=5)
 _ask("k14_stubs", "stubs", "SELECT uid, key, labels FROM nodes WHERE stub")
-HISTORY = """SELECT i.key, e.created AS changed_at, u.name AS who, f.field, f.before, f.after, f.uid AS fuid FROM nodes e JOIN edges x ON x.start = e.uid AND x.type = 'ON' JOIN nodes i ON i.uid = x.end_uid AND list_contains(i.labels, 'Issue')
+HISTORY = """SELECT i.key, e.created AS changed_at, u.name AS who, f.field, f.field_id, f.before, f.after, f.uid AS fuid FROM nodes e JOIN edges x ON x.start = e.uid AND x.type = 'ON' JOIN nodes i ON i.uid = x.end_uid AND list_contains(i.labels, 'Issue')
 JOIN edges c ON c.start = e.uid AND c.type = 'CHANGED' JOIN nodes f ON f.uid = c.end_uid LEFT JOIN (edges b JOIN nodes u ON u.uid = b.end_uid AND b.type = 'BY') ON b.start = e.uid WHERE list_contains(e.labels, 'ChangeEvent')"""
 _ask("k15_history", "history", f"SELECT key, changed_at, who, field, before, after FROM ({HISTORY}) h", limit=None)
 _ask("k15_history_newest", "history", f"SELECT key, changed_at, who, field, before, after FROM ({HISTORY}) h ORDER BY changed_at DESC NULLS FIRST, fuid NULLS LAST LIMIT 50")
@@ -83,17 +83,17 @@ anc AS (SELECT parent AS uid FROM one UNION SELECT up.parent FROM one JOIN up ON
 sib AS (SELECT n.*, p.key AS via FROM one JOIN up ON up.parent = one.parent AND up.child <> one.story JOIN nodes n ON n.uid = up.child JOIN nodes p ON p.uid = one.parent WHERE {REQ.replace('labels', 'n.labels')}),
 tied AS (SELECT start AS a, end_uid AS b, type, link_type FROM edges WHERE link_type IS NOT NULL OR type = 'CHILD_OF' UNION ALL SELECT end_uid, start, type, link_type FROM edges WHERE link_type IS NOT NULL OR type = 'CHILD_OF'),
 li AS (SELECT n.*, t.type AS rel, t.link_type AS lt FROM s JOIN tied t ON t.a = s.uid JOIN nodes n ON n.uid = t.b WHERE t.link_type IS NOT NULL AND list_contains(n.labels, 'Issue')),
-peer AS (SELECT n.uid, n.key, n.type, n.status, n.title, n.created, list_sort(list(DISTINCT g.name)) AS tags FROM s JOIN edges h ON h.start = s.uid AND h.type IN ('HAS_LABEL', 'HAS_COMPONENT') JOIN edges k ON k.end_uid = h.end_uid AND k.type IN ('HAS_LABEL', 'HAS_COMPONENT') AND k.start <> s.uid JOIN nodes n ON n.uid = k.start JOIN nodes g ON g.uid = h.end_uid WHERE {REQ.replace('labels', 'n.labels')} GROUP BY ALL),
+peer AS (SELECT n.uid, n.key, n.type, n.status, n.title, n.description, n.acceptance_criteria, n.created, n.updated, list_sort(list(DISTINCT g.name)) AS tags FROM s JOIN edges h ON h.start = s.uid AND h.type IN ('HAS_LABEL', 'HAS_COMPONENT') JOIN edges k ON k.end_uid = h.end_uid AND k.type IN ('HAS_LABEL', 'HAS_COMPONENT') AND k.start <> s.uid JOIN nodes n ON n.uid = k.start JOIN nodes g ON g.uid = h.end_uid WHERE {REQ.replace('labels', 'n.labels')} GROUP BY ALL),
 near AS (SELECT DISTINCT x.uid, n.key AS near FROM (SELECT uid FROM sib UNION SELECT uid FROM li UNION SELECT uid FROM s) x JOIN nodes n ON n.uid = x.uid)
-SELECT 'self' AS relation, NULL AS via, key, type, status, title, NULL AS description, NULL AS run_status, created FROM s
-UNION ALL (SELECT 'ancestor', NULL, key, type, status, title, NULL, NULL, created FROM nodes WHERE uid IN (SELECT uid FROM anc) ORDER BY uid LIMIT 50)
-UNION ALL (SELECT 'sibling', via, key, type, status, title, NULL, NULL, created FROM sib ORDER BY key LIMIT 50)
-UNION ALL (SELECT 'link:' || rel, lt, key, type, status, title, NULL, NULL, created FROM li ORDER BY key, rel LIMIT 50)
-UNION ALL (SELECT 'shared-tag', array_to_string(tags, ', '), key, type, status, title, NULL, NULL, created FROM peer ORDER BY len(tags) DESC, key LIMIT 50)
-UNION ALL (SELECT 'test', near, t.key, t.type, t.status, t.title, NULL, ts.run_status, t.created FROM (SELECT DISTINCT e.start, near FROM edges e JOIN near ON near.uid = e.end_uid WHERE e.type = 'COVERS') c JOIN nodes t ON t.uid = c.start JOIN ts ON ts.test = t.uid ORDER BY t.key, near LIMIT 50)
-UNION ALL (SELECT 'bug', near, b.key, b.type, b.status, b.title, NULL, NULL, b.created FROM (SELECT DISTINCT a, near FROM tied JOIN near ON near.uid = tied.b WHERE a <> tied.b) x JOIN nodes b ON b.uid = x.a AND list_contains(b.labels, 'Bug') ORDER BY b.key, near LIMIT 50)
-UNION ALL (SELECT 'comment', c.created, NULL, c.type, c.status, c.title, c.body, NULL, c.created FROM s JOIN edges e ON e.start = s.uid AND e.type = 'HAS_COMMENT' JOIN nodes c ON c.uid = e.end_uid ORDER BY c.created DESC, c.uid LIMIT 50)
-UNION ALL (SELECT 'page', g.title, g.key, g.type, g.status, g.title, NULL, NULL, g.created FROM s JOIN edges e ON e.end_uid = s.uid AND e.type = 'MENTIONS' JOIN nodes g ON g.uid = e.start ORDER BY g.uid LIMIT 50)""", key=KEY)
+SELECT 'self' AS relation, NULL AS via, key, type, status, title, description, acceptance_criteria, NULL AS gherkin, []::VARCHAR[] AS steps, NULL AS run_status, created, updated FROM s
+UNION ALL (SELECT 'ancestor', NULL, key, type, status, title, description, acceptance_criteria, NULL, [], NULL, created, updated FROM nodes WHERE uid IN (SELECT uid FROM anc) ORDER BY uid LIMIT 50)
+UNION ALL (SELECT 'sibling', via, key, type, status, title, description, acceptance_criteria, NULL, [], NULL, created, updated FROM sib ORDER BY updated DESC NULLS FIRST, key LIMIT 50)
+UNION ALL (SELECT 'link:' || rel, lt, key, type, status, title, description, acceptance_criteria, NULL, [], NULL, created, updated FROM li ORDER BY key, rel LIMIT 50)
+UNION ALL (SELECT 'shared-tag', array_to_string(tags, ', '), key, type, status, title, description, acceptance_criteria, NULL, [], NULL, created, updated FROM peer ORDER BY len(tags) DESC, updated DESC NULLS FIRST, key LIMIT 50)
+UNION ALL (SELECT 'test', near, t.key, t.type, t.status, t.title, t.description, t.acceptance_criteria, t.gherkin, [], ts.run_status, t.created, t.updated FROM (SELECT DISTINCT e.start, near FROM edges e JOIN near ON near.uid = e.end_uid WHERE e.type = 'COVERS') c JOIN nodes t ON t.uid = c.start JOIN ts ON ts.test = t.uid ORDER BY t.key, near LIMIT 50)
+UNION ALL (SELECT 'bug', near, b.key, b.type, b.status, b.title, b.description, b.acceptance_criteria, NULL, [], NULL, b.created, b.updated FROM (SELECT DISTINCT a, near FROM tied JOIN near ON near.uid = tied.b WHERE a <> tied.b) x JOIN nodes b ON b.uid = x.a AND list_contains(b.labels, 'Bug') ORDER BY b.key, near LIMIT 50)
+UNION ALL (SELECT 'comment', c.created, NULL, NULL, NULL, NULL, c.body, NULL, NULL, [], NULL, c.created, NULL FROM s JOIN edges e ON e.start = s.uid AND e.type = 'HAS_COMMENT' JOIN nodes c ON c.uid = e.end_uid ORDER BY c.created DESC, c.uid LIMIT 50)
+UNION ALL (SELECT 'page', g.title, g.key, 'page', g.status, g.title, NULL, NULL, NULL, [], NULL, NULL, NULL FROM s JOIN edges e ON e.end_uid = s.uid AND e.type = 'MENTIONS' JOIN nodes g ON g.uid = e.start ORDER BY g.uid LIMIT 50)""", key=KEY)
 
 
 def bm25(table: str, uid: str, text: str, q: list[str]) -> str:
@@ -104,14 +104,16 @@ tf AS (SELECT uid, len(w) AS length, term, len(list_filter(w, lambda x: x = term
 SELECT uid, round(sum(ln(1 + (c.n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / c.mean))), 6) AS score FROM tf JOIN df USING (term), c WHERE tf > 0 GROUP BY uid)"""
 
 
-_ask("k18_similar_issues", "similar-issues", f"SELECT key, type, status, title, score FROM {bm25(f'(SELECT * FROM nodes WHERE {REQ})', 'uid', 'title', ['12', '77', 'high', 'urgent'])} b JOIN nodes USING (uid) WHERE key <> '{KEY}' ORDER BY score DESC, key LIMIT 50", q="urgent 77 high 12", key=KEY)
+_ask("k18_similar_issues", "similar-issues", f"""SELECT 'similar' AS relation, printf('%.6f', score) AS via, key, type, status, title, description, acceptance_criteria, NULL AS gherkin, []::VARCHAR[] AS steps, NULL AS run_status, created, updated, score
+FROM {bm25(f'(SELECT * FROM nodes WHERE {REQ})', 'uid', "concat_ws(' ', title, description, acceptance_criteria)", ['12', '77', 'high', 'urgent', 'done'])} b JOIN nodes USING (uid) WHERE key <> '{KEY}' ORDER BY score DESC, key LIMIT 50""", q="urgent 77 high 12 done", key=KEY)
 _ask("k19_similar_tests", "similar-tests", f"""WITH {STATUS}, cv AS (SELECT DISTINCT e.start, n.key AS k FROM edges e JOIN nodes n ON n.uid = e.end_uid WHERE e.type = 'COVERS')
-SELECT n.key, n.type, n.title, score, coalesce((SELECT string_agg(k, ',' ORDER BY k) FROM cv WHERE cv.start = n.uid), '') AS covers, ts.run_status
-FROM {bm25("(SELECT * FROM nodes WHERE list_contains(labels, 'Test'))", 'uid', 'title', ['red', 'widget'])} b JOIN nodes n USING (uid) JOIN ts ON ts.test = n.uid
-WHERE n.uid NOT IN (SELECT start FROM cv WHERE k = '{KEY}') ORDER BY score DESC, n.key LIMIT 50""", q="red widget", key=KEY)
-_ask("k20_story_changes", "story-changes", f"""SELECT 'change' AS relation, changed_at, who, field, before, after, NULL::BOOLEAN AS loaded FROM (SELECT * FROM ({HISTORY}) h WHERE key = 'ORD-7' AND regexp_full_match(field, '.*(click|purch).*', 'i') ORDER BY changed_at DESC, fuid LIMIT 50)
-UNION ALL SELECT 'meta', NULL, NULL, NULL, NULL, NULL, EXISTS (SELECT 1 FROM nodes WHERE list_contains(labels, 'ChangeEvent'))""", key="ORD-7", field_re=".*(click|purch).*")
-_ask("k21_test_dates", "test-dates", """SELECT count(*) FILTER (list_contains(labels, 'Test')) AS tests, count(created) FILTER (list_contains(labels, 'Test')) AS tests_with_created, count(*) FILTER (list_contains(labels, 'ChangeEvent')) AS change_events,
+SELECT 'similar-test' AS relation, printf('%.6f', score) AS via, n.key, n.type, n.status, n.title, n.description, NULL AS acceptance_criteria, n.gherkin, []::VARCHAR[] AS steps, ts.run_status, n.created, n.updated, score, coalesce((SELECT string_agg(k, ',' ORDER BY k) FROM cv WHERE cv.start = n.uid), '') AS covers
+FROM {bm25("(SELECT * FROM nodes WHERE list_contains(labels, 'Test'))", 'uid', "concat_ws(' ', title, gherkin, steps_text)", ['given', 'pack', 'red', 'widget'])} b JOIN nodes n USING (uid) JOIN ts ON ts.test = n.uid
+WHERE n.uid NOT IN (SELECT start FROM cv WHERE k = '{KEY}') ORDER BY score DESC, n.key LIMIT 50""", q="red widget given pack", key=KEY)
+_ask("k20_story_changes", "story-changes", f"""SELECT 'change' AS relation, changed_at AS "at", who, field, field_id, before, after, NULL::BOOLEAN AS loaded FROM (SELECT * FROM ({HISTORY}) h WHERE key = 'ORD-7' AND regexp_full_match(field, '.*(click|purch).*', 'i') ORDER BY changed_at DESC, fuid LIMIT 50)
+UNION ALL SELECT 'meta', NULL, NULL, NULL, NULL, NULL, NULL, EXISTS (SELECT 1 FROM nodes WHERE list_contains(labels, 'ChangeEvent'))""", key="ORD-7", field_re=".*(click|purch).*")
+_ask("k21_test_dates", "test-dates", """SELECT count(*) FILTER (list_contains(labels, 'Test')) AS tests, count(created) FILTER (list_contains(labels, 'Test')) AS tests_with_created,
+count(updated) FILTER (list_contains(labels, 'Test')) AS tests_with_updated, count(steps_text) FILTER (list_contains(labels, 'Test')) AS tests_with_steps_text, count(*) FILTER (list_contains(labels, 'ChangeEvent')) AS change_events,
 count(*) FILTER (list_contains(labels, 'FieldChange') AND regexp_matches(field, '(accept|crit|descr)', 'i')) AS criteria_or_description_edits FROM nodes""")
 
 

@@ -17,6 +17,7 @@ NS, CODE_NS = "shop", "code"
 NODE_COLUMNS = {
     "uid": "string", "key": "string", "title": "string", "name": "string", "type": "string", "status": "string", "status_category": "string", "bucket": "string", "created": "string",
     "started_on": "string", "finished_on": "string", "test_state": "string", "stub": "boolean", "last_seen_version": "bigint", "field": "string", "before": "string", "after": "string", "body": "string",
+    "description": "string", "acceptance_criteria": "string", "gherkin": "string", "steps_text": "string", "updated": "string", "field_id": "string",
 }
 EDGE_COLUMNS = {"type": "string", "start": "string", "end_uid": "string", "link_type": "string", "is_current": "boolean", "position": "bigint"}
 FN_COLUMNS = {
@@ -69,8 +70,10 @@ BASE: dict[str, str] = {
     "usr": "SELECT DISTINCT custkey % 50 AS u FROM {req}",
     "tag": "SELECT DISTINCT c_mktsegment AS name FROM {customer}",
     "nodes": " UNION ALL ".join([
-        _node("ARR('Issue', label)", "req", uid="concat('shop:ord:', k)", key="concat('ORD-', k)", title="concat('Order ', k, ' ', priority)", type="label", status="category", status_category="category", bucket="lower(label)", created="day", last_seen_version="k % 10"),
-        _node("ARR('Issue', 'Test')", "part", uid="concat('shop:prt:', p_partkey)", key="concat('PRT-', p_partkey)", title="p_name", type="p_type", test_state="CASE p_size % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'todo' END", last_seen_version="9", created="CASE WHEN p_size % 2 = 0 THEN '1995-01-01' END"),
+        _node("ARR('Issue', label)", "req", uid="concat('shop:ord:', k)", key="concat('ORD-', k)", title="concat('Order ', k, ' ', priority)", type="label", status="category", status_category="category", bucket="lower(label)", created="day", last_seen_version="k % 10",
+              description="concat('Ordered by ', custkey, ' on ', day)", acceptance_criteria="CASE WHEN k % 3 = 0 THEN concat('Delivered as ', category) END", updated="CASE WHEN k % 4 <> 0 THEN day END"),
+        _node("ARR('Issue', 'Test')", "part", uid="concat('shop:prt:', p_partkey)", key="concat('PRT-', p_partkey)", title="p_name", type="p_type", test_state="CASE p_size % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'todo' END", last_seen_version="9", created="CASE WHEN p_size % 2 = 0 THEN '1995-01-01' END",
+              gherkin="CASE WHEN p_size % 3 = 0 THEN concat('Given ', p_type) END", steps_text="CASE WHEN p_size % 5 <> 0 THEN concat('pack ', p_brand) END", updated="CASE WHEN p_size % 7 = 0 THEN '1996-01-01' END"),
         _node("ARR('TestRun')", "run", uid="concat('shop:run:', k)", status="status", started_on="started", finished_on="finished", last_seen_version="9"),
         _node("ARR('Account')", "customer", uid="concat('shop:cus:', c_custkey)", key="concat('CUS-', c_custkey)", name="c_name", type="'Account'", last_seen_version="9"),
         _node("ARR('Country')", "nation", uid="concat('shop:nat:', n_nationkey)", key="concat('NAT-', n_nationkey)", name="n_name", type="'Country'", stub="n_nationkey % 5 = 0"),
@@ -79,7 +82,7 @@ BASE: dict[str, str] = {
         _node("ARR('Sprint')", "sprint", uid="concat('shop:spr:', custkey, ':', month)", name="concat('Sprint ', month, ' of ', custkey)", status="CASE WHEN is_current THEN 'active' ELSE 'closed' END", last_seen_version="9"),
         _node("ARR('Label')", "tag", uid="concat('shop:tag:', name)", name="name", last_seen_version="9"),
         _node("ARR('ChangeEvent')", "change", uid="concat('shop:evt:', k)", created="moment", last_seen_version="9"),
-        _node("ARR('FieldChange')", "change", uid="concat('shop:fld:', k)", field="field", before="before_value", after="after_value", last_seen_version="9"),
+        _node("ARR('FieldChange')", "change", uid="concat('shop:fld:', k)", field="field", field_id="concat('f-', field)", before="before_value", after="after_value", last_seen_version="9"),
         _node("ARR('Comment')", "conversations", uid="concat('shop:com:', conv_id, ':', turn)", body="text", created="concat('t', turn)", last_seen_version="9"),
         _node("ARR('Page')", "pages", uid="concat('shop:pag:', page_id)", key="concat('page:', page_id)", title="url", type="'page'", last_seen_version="9"),
     ]),
