@@ -5,6 +5,8 @@ Patterns that must equal the vocabulary's are fixed values.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,6 +59,20 @@ def current_sprint(history: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(last, r"\bname=([^,\]]+)", 1), F.lit("")), last)
 
 
+def sprint_of(system: Column, payload: Column, field: str | None = None) -> Column:
+    """The sprint that an item is in, as its system keeps it: the last entry of jira's sprint field (objects, names or legacy texts, one or many), the last part of an
+    azuredevops iteration, a gitlab milestone. Null without one; jira's field has another name on every site, and none is read without it."""
+    get = lambda path: F.nullif(F.get_json_object(payload, path), F.lit(""))
+    none = F.lit(None).cast("string")
+    if field is None:
+        jira = none
+    else:
+        raw = get(f"$.fields['{field}']")
+        last = F.when(raw.rlike(r"(?s)^\s*\["), F.try_element_at(F.from_json(raw, "array<string>"), F.lit(-1))).otherwise(raw)
+        jira = F.when(last.rlike(r"(?s)^\s*\{"), F.nullif(F.get_json_object(last, "$.name"), F.lit(""))).otherwise(current_sprint(F.array(F.nullif(last, F.lit("")))))
+    return F.when(system == "jira", jira).when(system == "azuredevops", leaf(get("$.fields['System.IterationPath']"))).when(system == "gitlab", get("$.milestone.title"))
+
+
 def leaf(c: Column) -> Column:
     r"""Last part of a ``\``-path."""
     return F.substring_index(c, "\\", -1)
@@ -94,8 +110,8 @@ def tracker_text(c: Column) -> Column:
 
 def strip_bullet(c: Column) -> Column:
     """A line without its list marker; unchanged if nothing would remain."""
-    line = F.trim(c)
-    return F.coalesce(F.nullif(F.trim(F.regexp_replace(line, BULLET, "")), F.lit("")), line)
+    line = strip(c)
+    return F.coalesce(F.nullif(strip(F.regexp_replace(line, BULLET, "")), F.lit("")), line)
 
 
 def lines(c: Column) -> Column:
@@ -107,16 +123,19 @@ def criteria_lines(c: Column) -> Column:
     return F.filter(F.transform(lines(c), strip_bullet), lambda x: x != "")
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, also where ``f`` uses it for each element of an array."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def criteria_from_description(c: Column) -> Column:
     """The lines under the first criteria heading up to a short line that ends with a colon, else the list items, else none."""
-    every = criteria_lines(c)
-    section = F.aggregate(
-        every, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, x: F.when((acc["at"] == 0) & x.rlike(CRITERIA), F.struct(F.lit(1).alias("at"), acc["out"].alias("out")))
-        .when((acc["at"] == 1) & x.endswith(":") & (F.length(x) <= 60), F.struct(F.lit(2).alias("at"), acc["out"].alias("out")))
-        .when(acc["at"] == 1, F.struct(acc["at"].alias("at"), F.array_append(acc["out"], x).alias("out"))).otherwise(acc))
-    items = F.transform(F.filter(lines(c), lambda x: F.trim(x).rlike(BULLET)), strip_bullet)
-    return F.when(F.exists(every, lambda x: x.rlike(CRITERIA)), section["out"]).otherwise(items)
+    first = lambda xs, rule: F.array_position(F.transform(xs, rule), F.lit(True)).cast("int")
+    until = lambda rest: once(first(rest, lambda x: x.endswith(":") & (F.length(x) <= 60)), lambda k: F.slice(rest, F.lit(1), F.when(k == 0, F.size(rest)).otherwise(k - 1)))
+    section = lambda every, k: once(F.slice(every, k + 1, F.size(every)), until)
+    items = F.transform(F.filter(lines(c), lambda x: strip(x).rlike(BULLET)), strip_bullet)
+    both = F.struct(criteria_lines(c).alias("every"), items.alias("items"))
+    return once(both, lambda v: once(first(v["every"], lambda x: x.rlike(CRITERIA)), lambda k: F.when(k == 0, v["items"]).otherwise(section(v["every"], k))))
 
 
 def steps_text(steps: Column) -> Column:

@@ -1,7 +1,8 @@
 """Change events from two generations of a snapshot.
 
-Items are rows ``(source, key, title, status, type, assignee, tags array, parent, sprint, bucket, updated_at, details map, relations
-map of arrays)``. One full outer join on (source, key) serves creation, changes and disappearance.
+Items are rows ``(system, source, key, title, status, type, url, assignee, tags array, parent, sprint, bucket, updated_at, details map,
+relations map of arrays)``; what a table of them lacks isn't compared. One full outer join on (system, source, key) serves creation,
+changes and disappearance. Events carry their item's system and URL, and in ``details`` what else they have to say.
 """
 
 from __future__ import annotations
@@ -22,7 +23,13 @@ DETAIL_EVENTS = {
     "precondition": "PRECONDITION_CHANGED", "expected_result": "EXPECTED_RESULT_CHANGED",
 }
 OTHER_DETAIL = "TEST_DETAIL_CHANGED"
-EVENT = ("kind", "source", "key", "title", "bucket", "field_name", "before", "after", "item_updated_at", "detected_at")
+REASON = "no longer matches the configured scope"
+EVENT = ("kind", "system", "source", "key", "title", "bucket", "url", "field_name", "before", "after", "item_updated_at", "detected_at", "details")
+
+
+def identity(*frames: DataFrame) -> list[str]:
+    """What tells items apart: key and source, and the system where all tables have it."""
+    return [*(["system"] if all("system" in f.columns for f in frames) else []), "source", "key"]
 
 
 def text_of(name: str, kind: str) -> Column:
@@ -30,6 +37,9 @@ def text_of(name: str, kind: str) -> Column:
     c = F.col(name)
     if kind.startswith("array"):
         return F.array_join(F.array_sort(F.coalesce(c, F.array().cast("array<string>"))), ", ")
+    if kind.startswith("map<string,array"):  # links in any order, fields without any left out
+        filled = F.map_filter(F.transform_values(c, lambda k, v: F.array_sort(v)), lambda k, v: F.size(v) > 0)
+        return F.to_json(F.array_sort(F.map_entries(F.when(F.size(filled) > 0, filled))))
     if kind.startswith("map"):
         return F.to_json(F.array_sort(F.map_entries(c)))
     return c.cast("string")
@@ -44,15 +54,19 @@ def content_hash(df: DataFrame) -> Column:
 
 def paired(previous: DataFrame, current: DataFrame) -> DataFrame:
     """Both generations of each item side by side, as structs ``was`` and ``now``."""
-    was = previous.select("source", "key", F.struct("*", content_hash(previous).alias("hash")).alias("was"))
-    now = current.select("source", "key", F.struct("*", content_hash(current).alias("hash")).alias("now"))
-    return was.join(now, ["source", "key"], "full_outer")
+    keys = identity(previous, current)
+    was = previous.select(*keys, F.struct("*", content_hash(previous).alias("hash")).alias("was"))
+    now = current.select(*keys, F.struct("*", content_hash(current).alias("hash")).alias("now"))
+    return was.join(now, keys, "full_outer")
 
 
-def _event(kind: Column, item: str, detected_at: str, field: Column | None = None, before: Column | None = None, after: Column | None = None) -> list[Column]:
+def _event(kind: Column, item: str, kinds: dict[str, str], detected_at: str, field: Column | None = None, before: Column | None = None, after: Column | None = None, **details: Column) -> list[Column]:
+    """The columns of an event; ``kinds`` are the item's columns, ``details`` the texts it carries beside them."""
     null = F.lit(None).cast("string")
-    return [kind.alias("kind"), F.col("source"), F.col("key"), F.col(f"{item}.title").alias("title"), F.col(f"{item}.bucket").alias("bucket"), (null if field is None else field).alias("field_name"),
-            (null if before is None else before).alias("before"), (null if after is None else after).alias("after"), F.col(f"{item}.updated_at").alias("item_updated_at"), F.lit(detected_at).alias("detected_at")]
+    own = lambda c: (F.col(f"{item}.{c}") if c in kinds else null).alias(c)
+    said = F.create_map(*[x for k, v in details.items() for x in (F.lit(k), v.cast("string"))]).cast("map<string,string>")
+    return [kind.alias("kind"), own("system"), F.col("source"), F.col("key"), own("title"), own("bucket"), own("url"), (null if field is None else field).alias("field_name"),
+            (null if before is None else before).alias("before"), (null if after is None else after).alias("after"), own("updated_at").alias("item_updated_at"), F.lit(detected_at).alias("detected_at"), said.alias("details")]
 
 
 def diff(previous: DataFrame, current: DataFrame, *, detected_at: str) -> DataFrame:
@@ -63,40 +77,42 @@ def diff(previous: DataFrame, current: DataFrame, *, detected_at: str) -> DataFr
     fields = [c for c in FIELD_EVENTS if c in kinds]
     as_text = lambda side, c: text_of(f"{side}.{c}", kinds[c])
     each = F.explode(F.array(*[F.struct(F.lit(FIELD_EVENTS[c]).alias("k"), F.lit(c).alias("f"), as_text("was", c).alias("b"), as_text("now", c).alias("a")) for c in fields]))
-    moved = changed.select("*", each.alias("x")).where("not (x.b <=> x.a)").select(*_event(F.col("x.k"), "now", detected_at, F.col("x.f"), F.col("x.b"), F.col("x.a")))
-    events = [both.where("was is null").select(*_event(F.lit("CREATED"), "now", detected_at)), moved]
+    moved = changed.select("*", each.alias("x")).where("not (x.b <=> x.a)").select(*_event(F.col("x.k"), "now", kinds, detected_at, F.col("x.f"), F.col("x.b"), F.col("x.a")))
+    events = [both.where("was is null").select(*_event(F.lit("CREATED"), "now", kinds, detected_at)), moved]
     if "details" in kinds:
-        events.append(detail_events(changed, detected_at))
+        events.append(detail_events(changed, kinds, detected_at))
     stamp = both.where("was.hash = now.hash and not (was.updated_at <=> now.updated_at) and coalesce(now.updated_at, '') <> ''")
-    events.append(stamp.select(*_event(F.lit("UPDATED"), "now", detected_at, F.lit("updated_at"), F.col("was.updated_at"), F.col("now.updated_at"))))
+    events.append(stamp.select(*_event(F.lit("UPDATED"), "now", kinds, detected_at, F.lit("updated_at"), F.col("was.updated_at"), F.col("now.updated_at"))))
     return reduce(DataFrame.unionByName, events)
 
 
-def detail_events(changed: DataFrame, detected_at: str) -> DataFrame:
+def detail_events(changed: DataFrame, kinds: dict[str, str], detected_at: str) -> DataFrame:
     """One event per detail label of either generation whose text moved."""
     empty = F.create_map().cast("map<string,string>")
     zipped = F.map_zip_with(F.coalesce("was.details", empty), F.coalesce("now.details", empty), lambda k, b, a: F.struct(b.alias("b"), a.alias("a")))
     rows = changed.select("*", F.explode(F.map_filter(zipped, lambda k, v: ~v["b"].eqNullSafe(v["a"]))).alias("label", "v"))
     kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in DETAIL_EVENTS.items() for x in kv]), F.col("label")), F.lit(OTHER_DETAIL))
-    return rows.select(*_event(kind, "now", detected_at, F.col("label"), F.col("v.b"), F.col("v.a")))
+    return rows.select(*_event(kind, "now", kinds, detected_at, F.col("label"), F.col("v.b"), F.col("v.a"), detail=F.col("label")))
 
 
 def vanished(previous: DataFrame, current: DataFrame, *, incremental: bool = False) -> DataFrame:
     """Items of the previous generation that are gone; none after an incremental read."""
-    gone = previous.join(current.select("source", "key"), ["source", "key"], "left_anti")
+    keys = identity(previous, current)
+    gone = previous.join(current.select(*keys), keys, "left_anti")
     return gone.where("false") if incremental else gone
 
 
 def resolve_vanished(gone: DataFrame, lookup: DataFrame, *, detected_at: str) -> DataFrame:
-    """Events of vanished items from a lookup ``(key, outcome, status)``: deleted, or out of scope with a new status.
+    """Events of vanished items from a lookup ``(key, outcome, status)``, with system or source if keys alone don't tell items apart: deleted, or out of scope with a new status.
 
     An item that exists with the status it had raises nothing, and neither does one that the lookup doesn't know.
     """
-    l = lookup.select("key", F.col("outcome"), F.col("status").alias("found_status"))
-    rows = gone.join(l, "key").select("source", "key", F.struct(*[c for c in gone.columns if c not in ("source", "key")]).alias("item"), "outcome", "found_status")
-    dead = rows.where("outcome = 'missing'").select(*_event(F.lit("DELETED"), "item", detected_at))
+    keys, kinds = [c for c in ("system", "source", "key") if c in lookup.columns and c in gone.columns], dict(gone.dtypes)
+    l = lookup.select(*keys, F.col("outcome"), F.col("status").alias("found_status"))
+    rows = gone.select("*", F.struct(*gone.columns).alias("item")).join(l, keys).select("source", "key", "item", "outcome", "found_status")
+    dead = rows.where("outcome = 'missing'").select(*_event(F.lit("DELETED"), "item", kinds, detected_at, last_known_status=F.col("item.status")))
     left = rows.where("outcome = 'exists' and not (found_status <=> item.status)")
-    return dead.unionByName(left.select(*_event(F.lit("LEFT_SCOPE"), "item", detected_at, F.lit("status"), F.col("item.status"), F.col("found_status"))))
+    return dead.unionByName(left.select(*_event(F.lit("LEFT_SCOPE"), "item", kinds, detected_at, F.lit("status"), F.col("item.status"), F.col("found_status"), reason=F.lit(REASON))))
 
 
 def out_of_scope(gone: DataFrame, project: Column, configured: str, confirmed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -107,19 +123,29 @@ def out_of_scope(gone: DataFrame, project: Column, configured: str, confirmed: D
     return tagged.where("__out").drop("__out"), tagged.where("not __out").drop("__out")
 
 
-def diff_sprints(previous: DataFrame, current: DataFrame, *, detected_at: str) -> DataFrame:
-    """Life of sprints ``(sprint_id, name, state)``: created, started, completed, other change of state, renamed, deleted."""
-    p = previous.select("sprint_id", F.col("name").alias("old_name"), F.lower(F.coalesce("state", F.lit(""))).alias("old"), F.lit(True).alias("was"))
-    c = current.select("sprint_id", "name", F.lower(F.coalesce("state", F.lit(""))).alias("new"), F.lit(True).alias("now"))
+def diff_sprints(previous: DataFrame, current: DataFrame, *, detected_at: str, system: str = "jira", source: str = "") -> DataFrame:
+    """Life of sprints ``(sprint_id, name, state)``, with start and end dates, board and goal where the tables have them: created, started, completed, other change of state, renamed, deleted.
+
+    Events are of ``EVENT``: what a sprint says of itself is that of the later generation that has it, its timestamp the end, else the start.
+    """
+    said = ("name", "state", "end_date", "start_date", "board_id", "goal")
+    null = F.lit(None).cast("string")
+    row = lambda df, to: df.select("sprint_id", F.struct(*[(F.col(c).cast("string") if c in df.columns else null).alias(c) for c in said]).alias(to))
+    both = row(previous, "was").join(row(current, "now"), "sprint_id", "full_outer")
+    state = lambda x: F.lower(F.coalesce(f"{x}.state", F.lit("")))
+    both = both.select("sprint_id", "was", "now", F.coalesce("now", "was").alias("one"), state("was").alias("old"), state("now").alias("new"))
     moved = F.col("old") != F.col("new")
     kind = (F.when(F.col("was").isNull(), "SPRINT_CREATED").when(F.col("now").isNull(), "SPRINT_DELETED").when(moved & (F.col("old") == "future") & (F.col("new") == "active"), "SPRINT_STARTED")
-            .when(moved & (F.col("old") == "active") & (F.col("new") == "closed"), "SPRINT_COMPLETED").when(moved, "SPRINT_STATE_CHANGED").when(~F.col("old_name").eqNullSafe(F.col("name")), "SPRINT_RENAMED"))
-    both = p.join(c, "sprint_id", "full_outer").withColumn("kind", kind).where("kind is not null")
-    lives = F.col("was") & F.col("now")
+            .when(moved & (F.col("old") == "active") & (F.col("new") == "closed"), "SPRINT_COMPLETED").when(moved, "SPRINT_STATE_CHANGED").when(~F.col("was.name").eqNullSafe(F.col("now.name")), "SPRINT_RENAMED"))
+    both = both.withColumn("kind", kind).where("kind is not null")
+    lives = F.col("was").isNotNull() & F.col("now").isNotNull()
+    filled = lambda c: F.nullif(F.col(f"one.{c}"), F.lit(""))
+    details = {"sprint_id": F.col("sprint_id"), "state": F.col("one.state"), "board_id": F.col("one.board_id"), "goal": F.col("one.goal")}
     return both.select(
-        "kind", F.concat(F.lit("sprint:"), "sprint_id").alias("key"), F.coalesce("name", "old_name").alias("title"),
-        F.when(lives & moved, "state").when(lives, "name").alias("field_name"), F.when(lives & moved, F.col("old")).when(lives, F.col("old_name")).alias("before"),
-        F.when(lives & moved, F.col("new")).when(lives, F.col("name")).alias("after"), F.lit(detected_at).alias("detected_at"))
+        "kind", F.lit(system).alias("system"), F.lit(source).alias("source"), F.concat(F.lit("sprint:"), "sprint_id").alias("key"), F.coalesce("one.name", F.lit("")).alias("title"), F.lit("sprints").alias("bucket"), F.lit("").alias("url"),
+        F.when(lives & moved, "state").when(lives, "name").alias("field_name"), F.when(lives & moved, F.col("old")).when(lives, F.col("was.name")).alias("before"),
+        F.when(lives & moved, F.col("new")).when(lives, F.col("now.name")).alias("after"), F.coalesce(filled("end_date"), filled("start_date")).alias("item_updated_at"), F.lit(detected_at).alias("detected_at"),
+        F.create_map(*[x for k, v in details.items() for x in (F.lit(k), v.cast("string"))]).alias("details"))
 
 
 def dedupe_key(columns: list[str]) -> Column:
@@ -141,19 +167,20 @@ def partition_events(events: DataFrame, watched: tuple[str, ...] = ("tests", "te
 
 def merge_generation(previous: DataFrame, current: DataFrame, *, incremental: bool, refreshed: DataFrame | None = None) -> DataFrame:
     """The generation to keep: the current one, or after an incremental read the previous one overlaid by it; refreshed items win."""
-    out = current
-    if incremental:
-        out = previous.join(current.select("source", "key"), ["source", "key"], "left_anti").unionByName(current)
-    if refreshed is not None:
-        out = out.join(refreshed.select("source", "key"), ["source", "key"], "left_anti").unionByName(refreshed)
-    return out
+    def overlaid(under: DataFrame, over: DataFrame) -> DataFrame:
+        keys = identity(under, over)
+        return under.join(over.select(*keys), keys, "left_anti").unionByName(over)
+
+    out = overlaid(previous, current) if incremental else current
+    return out if refreshed is None else overlaid(out, refreshed)
 
 
 def carry_relations(previous: DataFrame, current: DataFrame, link_type: str = "xray") -> DataFrame:
     """When memberships could not be read, relation entries of that kind from the previous generation stay."""
     empty = F.create_map().cast(dict(current.dtypes)["relations"])
-    kept = previous.select("source", "key", F.map_filter(F.transform_values("relations", lambda k, v: F.filter(v, lambda e: e["link_type"] == link_type)), lambda k, v: F.size(v) > 0).alias("kept"))
-    joined = current.join(kept, ["source", "key"], "left")
+    keys = identity(previous, current)
+    kept = previous.select(*keys, F.map_filter(F.transform_values("relations", lambda k, v: F.filter(v, lambda e: e["link_type"] == link_type)), lambda k, v: F.size(v) > 0).alias("kept"))
+    joined = current.join(kept, keys, "left")
     return joined.withColumn("relations", merge_relations(F.coalesce("relations", empty), F.coalesce("kept", empty))).drop("kept")
 
 

@@ -5,12 +5,13 @@ Nodes are ``(uid, label, props map<string,string>)`` without blank properties, e
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions import text, vocabulary
+from loomgraph.functions import rich, text, vocabulary
 from loomgraph.operators.extract import edge, person
 from loomgraph.operators.normalise import detail_text
 
@@ -90,15 +91,22 @@ def _declared_steps(label: str, raw: Column, steps_from_text: bool) -> Column:
     step = lambda action, data=none, expected=none: F.struct(F.nullif(action, F.lit("")).alias("action"), F.nullif(data, F.lit("")).alias("data"), F.nullif(expected, F.lit("")).alias("expected"))
     if label == "cucumber_script":
         return F.transform(text.gherkin_steps(detail_text(raw)), lambda s: step(s["text"]))
+    def detailed(objects: Column, *parts: Callable[[Column], Column]) -> Column:
+        """A step of each object, the parts as texts; they are walked together, outside of the list."""
+        flat = rich.details(F.flatten(F.transform(objects, lambda x: F.array(*[p(x) for p in parts]))))
+        return text.once(flat, lambda d: F.transform(objects, lambda x, i: step(*[F.get(d, len(parts) * i + k) for k in range(len(parts))])))
+
     if label == "manual_steps":
-        def inner(x: Column, name: str) -> Column:
-            fields = F.get_json_object(x, "$.fields")
-            own = F.when(fields.rlike(r"(?s)^\s*\{"), fields).otherwise(x)
-            return detail_text(F.get_json_object(own, f"$['{name}']"))
-
-        return F.transform(_objects(F.get_json_object(raw, "$.steps")), lambda x: step(inner(x, "Action"), inner(x, "Data"), inner(x, "Expected Result")))
-    part = lambda x, *names: detail_text(F.coalesce(*[F.nullif(F.get_json_object(x, f"$.{n}"), F.lit("")) for n in names]))
-    listed = F.transform(_objects(raw), lambda x: step(part(x, "action", "step"), part(x, "data"), part(x, "result", "expectedResult")))
+        def inner(name: str) -> Callable[[Column], Column]:
+            def of(x: Column) -> Column:
+                fields = F.get_json_object(x, "$.fields")
+                return F.get_json_object(F.when(fields.rlike(r"(?s)^\s*\{"), fields).otherwise(x), f"$['{name}']")
+
+            return of
+
+        return detailed(_objects(F.get_json_object(raw, "$.steps")), *map(inner, rich.STEP_PARTS))
+    part = lambda *names: lambda x: F.coalesce(*[F.nullif(F.get_json_object(x, f"$.{n}"), F.lit("")) for n in names])
+    listed = detailed(_objects(raw), part("action", "step"), part("data"), part("result", "expectedResult"))
     lines = F.filter(F.transform(text.lines(F.replace(detail_text(raw), F.lit("|"), F.lit("\n"))), text.strip), lambda x: x != "")
     written = F.transform(lines, lambda x: step(x)) if steps_from_text else F.filter(listed, lambda x: F.lit(False))
     return F.when(F.size(listed) > 0, listed).otherwise(F.coalesce(written, F.array().cast("array<struct<action:string,data:string,expected:string>>")))

@@ -14,27 +14,34 @@ AT = "2031-05-06T07:08:09Z"
 
 
 def generation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A stand-in generation as tracked items."""
-    g = standin.relation(spark, sf_dir, name)
+    """A stand-in generation as tracked items, with their system, details and relations."""
+    g = standin.relation(spark, sf_dir, name.replace("gen_", "item_"))
     details = F.map_filter(F.create_map(F.lit("test_type"), "test_type", F.lit("effort"), "effort"), lambda k, v: v.isNotNull())
-    return g.select("source", "key", "title", "status", "type", "assignee", F.array("status", "priority").alias("tags"), "parent", "sprint", "bucket", "updated_at", details.alias("details"))
+    link = lambda c: F.struct(F.concat(F.lit("ORD-"), c).alias("key"), F.lit("issue").alias("link_type"))
+    relations = F.create_map(F.lit("covers"), F.array(link("r1"), link("r2")), F.lit("blocks"), F.array().cast("array<struct<key:string,link_type:string>>"))
+    return g.select("system", "source", "key", "title", "status", "type", "url", "assignee", F.array("status", "priority").alias("tags"), "parent", "sprint", "bucket", "updated_at", details.alias("details"), relations.alias("relations"))
 
 
 def both(spark, sf_dir):
     return generation(spark, sf_dir, "gen_prev"), generation(spark, sf_dir, "gen_cur")
 
 
+#: What both generations of an item have in common where nothing but the timestamp moved.
 SAME = "p.status = c.status AND p.priority = c.priority AND p.effort IS NOT DISTINCT FROM c.effort"
+UNMOVED = f"{SAME} AND p.title = c.title AND p.assignee = c.assignee AND p.parent IS NOT DISTINCT FROM c.parent AND p.sprint = c.sprint AND k % 19 <> 0"
 TAGS = "array_to_string(list_sort([{0}.status, {0}.priority]), ', ')"
-J = "FROM gen_prev p JOIN gen_cur c USING (k)"
-COLS = "c.source, c.key, c.title, c.bucket"
-EVENTS = f"""SELECT 'CREATED' AS kind, {COLS}, NULL::VARCHAR AS field_name, NULL::VARCHAR AS before, NULL::VARCHAR AS after, c.updated_at AS item_updated_at, '{AT}' AS detected_at FROM gen_cur c WHERE k NOT IN (SELECT k FROM gen_prev)
-UNION ALL SELECT 'STATUS_CHANGED', {COLS}, 'status', p.status, c.status, c.updated_at, '{AT}' {J} WHERE p.status <> c.status
-UNION ALL SELECT 'TAGS_CHANGED', {COLS}, 'tags', {TAGS.format('p')}, {TAGS.format('c')}, c.updated_at, '{AT}' {J} WHERE {TAGS.format('p')} <> {TAGS.format('c')}
-UNION ALL SELECT 'TEST_TYPE_CHANGED', {COLS}, 'test_type', p.test_type, c.test_type, c.updated_at, '{AT}' {J} WHERE p.test_type <> c.test_type
-UNION ALL SELECT 'TEST_DETAIL_CHANGED', {COLS}, 'effort', p.effort, c.effort, c.updated_at, '{AT}' {J} WHERE p.effort IS DISTINCT FROM c.effort
-UNION ALL SELECT 'UPDATED', {COLS}, 'updated_at', p.updated_at, c.updated_at, c.updated_at, '{AT}' {J} WHERE {SAME} AND p.updated_at <> c.updated_at"""
-KEYED = f"SELECT *, substr(sha256(concat_ws(chr(31), source, key, kind, coalesce(field_name, chr(0)), coalesce(before, chr(0)), coalesce(after, chr(0)), item_updated_at)), 1, 16) AS dedupe_key FROM ({EVENTS}) ev"
+LINKS = """'[{{"key":"covers","value":[' || array_to_string(list_sort(['{{"key":"ORD-' || {0}.r1 || '","link_type":"issue"}}', '{{"key":"ORD-' || {0}.r2 || '","link_type":"issue"}}']), ',') || ']}}]'"""
+J = "FROM item_prev p JOIN item_cur c USING (k)"
+COLS = "c.system, c.source, c.key, c.title, c.bucket, c.url"
+_MOVED = "\n".join(f"UNION ALL SELECT '{f.upper()}_CHANGED', {COLS}, '{f}', p.{f}, c.{f}, c.updated_at, '{AT}', '' {J} WHERE p.{f} IS DISTINCT FROM c.{f}" for f in ("status", "title", "assignee", "parent", "sprint"))
+EVENTS = f"""SELECT 'CREATED' AS kind, {COLS}, NULL::VARCHAR AS field_name, NULL::VARCHAR AS before, NULL::VARCHAR AS after, c.updated_at AS item_updated_at, '{AT}' AS detected_at, '' AS details FROM item_cur c WHERE k NOT IN (SELECT k FROM gen_prev)
+{_MOVED}
+UNION ALL SELECT 'TAGS_CHANGED', {COLS}, 'tags', {TAGS.format('p')}, {TAGS.format('c')}, c.updated_at, '{AT}', '' {J} WHERE {TAGS.format('p')} <> {TAGS.format('c')}
+UNION ALL SELECT 'RELATIONS_CHANGED', {COLS}, 'relations', {LINKS.format('p')}, {LINKS.format('c')}, c.updated_at, '{AT}', '' {J} WHERE k % 19 = 0
+UNION ALL SELECT 'TEST_TYPE_CHANGED', {COLS}, 'test_type', p.test_type, c.test_type, c.updated_at, '{AT}', 'detail=test_type' {J} WHERE p.test_type <> c.test_type
+UNION ALL SELECT 'TEST_DETAIL_CHANGED', {COLS}, 'effort', p.effort, c.effort, c.updated_at, '{AT}', 'detail=effort' {J} WHERE p.effort IS DISTINCT FROM c.effort
+UNION ALL SELECT 'UPDATED', {COLS}, 'updated_at', p.updated_at, c.updated_at, c.updated_at, '{AT}', '' {J} WHERE {UNMOVED} AND p.updated_at <> c.updated_at"""
+KEYED = f"SELECT *, substr(sha256(concat_ws(chr(31), system, source, key, kind, coalesce(field_name, chr(0)), coalesce(before, chr(0)), coalesce(after, chr(0)), item_updated_at)), 1, 16) AS dedupe_key FROM ({EVENTS}) ev"
 
 
 def events(spark, sf_dir):
@@ -42,14 +49,19 @@ def events(spark, sf_dir):
     return diff.diff(p, c, detected_at=AT)
 
 
-@registered("d01_content_hash_groups", f"SELECT ({SAME}) AS same, count(*) AS n {J} GROUP BY ALL")
+def said(details: str = "details"):
+    """A map as sorted ``key=value`` texts."""
+    return F.array_join(F.array_sort(F.transform(F.map_entries(details), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
+
+
+@registered("d01_content_hash_groups", f"SELECT ({UNMOVED}) AS same, count(*) AS n {J} GROUP BY ALL")
 def d01(spark, sf_dir):
     return diff.paired(*both(spark, sf_dir)).where("was is not null and now is not null").groupBy((F.col("was.hash") == F.col("now.hash")).alias("same")).agg(F.count("*").alias("n"))
 
 
 @registered("d02_d05_events", EVENTS)
 def d02(spark, sf_dir):
-    return events(spark, sf_dir)
+    return events(spark, sf_dir).withColumn("details", said())
 
 
 @registered("d06_vanished", "SELECT key, status FROM gen_prev WHERE k NOT IN (SELECT k FROM gen_cur)")
@@ -57,13 +69,13 @@ def d06(spark, sf_dir):
     return diff.vanished(*both(spark, sf_dir)).select("key", "status")
 
 
-@registered("d07_resolved", f"""SELECT CASE WHEN k % 3 = 0 THEN 'DELETED' ELSE 'LEFT_SCOPE' END AS kind, key, CASE WHEN k % 3 <> 0 THEN status END AS before, CASE WHEN k % 3 <> 0 THEN 'F' END AS after
-FROM gen_prev WHERE k NOT IN (SELECT k FROM gen_cur) AND k % 3 <> 2 AND (k % 3 = 0 OR status <> 'F')""")
+@registered("d07_resolved", f"""SELECT CASE WHEN k % 3 = 0 THEN 'DELETED' ELSE 'LEFT_SCOPE' END AS kind, key, CASE WHEN k % 3 <> 0 THEN status END AS before, CASE WHEN k % 3 <> 0 THEN 'F' END AS after, system, url, CASE WHEN k % 3 = 0 THEN 'last_known_status=' || status ELSE 'reason=no longer matches the configured scope' END AS details
+FROM item_prev WHERE k NOT IN (SELECT k FROM gen_cur) AND k % 3 <> 2 AND (k % 3 = 0 OR status <> 'F')""")
 def d07(spark, sf_dir):
     gone = diff.vanished(*both(spark, sf_dir))
     k = F.substring("key", 5, 20).cast("long")
     lookup = gone.select("key", F.when(k % 3 == 0, "missing").when(k % 3 == 1, "exists").alias("outcome"), F.lit("F").alias("status")).where("outcome is not null")
-    return diff.resolve_vanished(gone, lookup, detected_at=AT).select("kind", "key", "before", "after")
+    return diff.resolve_vanished(gone, lookup, detected_at=AT).select("kind", "key", "before", "after", "system", "url", said().alias("details"))
 
 
 @registered("d08_out_of_scope", "SELECT key, (k % 5 <> 1 AND k % 2 = 0) AS out FROM gen_prev WHERE k NOT IN (SELECT k FROM gen_cur)")
@@ -74,26 +86,27 @@ def d08(spark, sf_dir):
     return out.select("key", F.lit(True).alias("out")).unionByName(rest.select("key", F.lit(False).alias("out")))
 
 
-SPRINTS = "(SELECT concat(custkey, ':', month) AS sprint_id, concat('S', position) AS name, CASE WHEN is_current THEN 'Active' ELSE 'closed' END AS state, custkey, position FROM sprint)"
+SPRINTS = "(SELECT concat(custkey, ':', month) AS sprint_id, concat('S', position) AS name, CASE WHEN is_current THEN 'Active' ELSE 'closed' END AS state, custkey, position, CASE WHEN position % 2 = 0 THEN month || '-28' END AS end_date, month || '-01' AS start_date FROM sprint)"
 
 
-@registered("d09_sprints", f"""WITH p AS (SELECT sprint_id, name, CASE WHEN custkey % 4 = 0 AND state = 'Active' THEN 'future' WHEN custkey % 4 = 1 AND state = 'closed' THEN 'active' ELSE lower(state) END AS state FROM {SPRINTS} WHERE custkey % 5 <> 0),
-c AS (SELECT sprint_id, CASE WHEN custkey % 6 = 0 THEN name || 'x' ELSE name END AS name, lower(state) AS state FROM {SPRINTS} WHERE custkey % 7 <> 0)
+@registered("d09_sprints", f"""WITH p AS (SELECT sprint_id, name, CASE WHEN custkey % 4 = 0 AND state = 'Active' THEN 'future' WHEN custkey % 4 = 1 AND state = 'closed' THEN 'active' ELSE lower(state) END AS state, CASE WHEN custkey % 4 = 0 AND state = 'Active' THEN 'future' WHEN custkey % 4 = 1 AND state = 'closed' THEN 'active' ELSE state END AS said, end_date, start_date, custkey FROM {SPRINTS} WHERE custkey % 5 <> 0),
+c AS (SELECT sprint_id, CASE WHEN custkey % 6 = 0 THEN name || 'x' ELSE name END AS name, state AS said, lower(state) AS state, end_date, start_date, custkey FROM {SPRINTS} WHERE custkey % 7 <> 0)
 SELECT * FROM (SELECT CASE WHEN p.sprint_id IS NULL THEN 'SPRINT_CREATED' WHEN c.sprint_id IS NULL THEN 'SPRINT_DELETED' WHEN p.state = 'future' AND c.state = 'active' THEN 'SPRINT_STARTED' WHEN p.state = 'active' AND c.state = 'closed' THEN 'SPRINT_COMPLETED'
 WHEN p.state <> c.state THEN 'SPRINT_STATE_CHANGED' WHEN p.name <> c.name THEN 'SPRINT_RENAMED' END AS kind, 'sprint:' || coalesce(c.sprint_id, p.sprint_id) AS key, coalesce(c.name, p.name) AS title,
 CASE WHEN p.state <> c.state THEN 'state' WHEN p.name <> c.name THEN 'name' END AS field_name, CASE WHEN p.state <> c.state THEN p.state WHEN p.name <> c.name THEN p.name END AS before,
-CASE WHEN p.state <> c.state THEN c.state WHEN p.name <> c.name THEN c.name END AS after, '{AT}' AS detected_at FROM p FULL OUTER JOIN c ON p.sprint_id = c.sprint_id) x WHERE kind IS NOT NULL""")
+CASE WHEN p.state <> c.state THEN c.state WHEN p.name <> c.name THEN c.name END AS after, '{AT}' AS detected_at, 'jira' AS system, 's' AS source, 'sprints' AS bucket, '' AS url,
+coalesce(c.end_date, c.start_date, p.end_date, p.start_date) AS item_updated_at, 'board_id=' || coalesce(c.custkey, p.custkey) || ';goal;sprint_id=' || coalesce(c.sprint_id, p.sprint_id) || ';state=' || coalesce(c.said, p.said) AS details FROM p FULL OUTER JOIN c ON p.sprint_id = c.sprint_id) x WHERE kind IS NOT NULL""")
 def d09(spark, sf_dir):
-    s = standin.relation(spark, sf_dir, "sprint").select("custkey", F.concat_ws(":", "custkey", "month").alias("sprint_id"), F.concat(F.lit("S"), "position").alias("name"), F.when(F.col("is_current"), "Active").otherwise("closed").alias("state"))
+    s = standin.relation(spark, sf_dir, "sprint").select("custkey", F.concat_ws(":", "custkey", "month").alias("sprint_id"), F.concat(F.lit("S"), "position").alias("name"), F.when(F.col("is_current"), "Active").otherwise("closed").alias("state"), F.when(F.col("position") % 2 == 0, F.concat("month", F.lit("-28"))).alias("end_date"), F.concat("month", F.lit("-01")).alias("start_date"), F.col("custkey").alias("board_id"))
     p = s.where("custkey % 5 <> 0").withColumn("state", F.when((F.col("custkey") % 4 == 0) & (F.col("state") == "Active"), "future").when((F.col("custkey") % 4 == 1) & (F.col("state") == "closed"), "active").otherwise(F.col("state")))
     c = s.where("custkey % 7 <> 0").withColumn("name", F.when(F.col("custkey") % 6 == 0, F.concat("name", F.lit("x"))).otherwise(F.col("name")))
-    return diff.diff_sprints(p, c, detected_at=AT)
+    return diff.diff_sprints(p, c, detected_at=AT, source="s").withColumn("details", said())
 
 
-@registered("d10_identified", f"SELECT DISTINCT substr(sha256(system || chr(31) || concat_ws(chr(31), source, key, kind, coalesce(field_name, chr(0)), coalesce(before, chr(0)), coalesce(after, chr(0)), item_updated_at)), 1, 16) AS dedupe_key, system, key, kind FROM ({EVENTS}) k, (VALUES ('one'), ('two')) s(system)")
+@registered("d10_identified", f"SELECT dedupe_key, system, key, kind FROM ({KEYED}) k")
 def d10(spark, sf_dir):
-    """The same events of two trackers, seen twice: only what is seen again goes."""
-    e = events(spark, sf_dir).withColumn("system", F.explode(F.array(F.lit("one"), F.lit("two"))))
+    """All events seen twice: what is seen again goes, and the systems are told apart by what the events say themselves."""
+    e = events(spark, sf_dir)
     return diff.identified(e.unionByName(e.withColumn("detected_at", F.lit("later")))).select("dedupe_key", "system", "key", "kind")
 
 

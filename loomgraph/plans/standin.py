@@ -113,6 +113,9 @@ BASE: dict[str, str] = {
         CASE WHEN o_orderkey % 5 = 0 THEN '9-CHANGED' ELSE o_orderpriority END AS priority, concat('CUS-', o_custkey) AS parent, substr({_DATE.format('o_orderdate')}, 1, 7) AS sprint, CASE WHEN o_orderkey % 4 = 0 THEN 'tests' ELSE 'user_stories' END AS bucket,
         CASE WHEN o_orderkey % 3 = 0 THEN '2030-01-01' ELSE {_DATE.format('o_orderdate')} END AS updated_at, CASE WHEN o_orderkey % 5 = 0 THEN '9-CHANGED' ELSE o_orderpriority END AS test_type,
         CASE WHEN o_orderkey % 17 <> 0 THEN CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR(20)) END AS effort FROM {{orders}} WHERE o_orderkey % 11 <> 0""",
+    # the generations as tracked items of three systems, with two links each, told in another order the second time
+    "item_prev": "SELECT source, k, key, title AS title, status, type, assignee AS assignee, priority, parent AS parent, sprint AS sprint, bucket, updated_at, test_type, effort, CASE k % 3 WHEN 0 THEN 'jira' WHEN 1 THEN 'azuredevops' ELSE 'gitlab' END AS system, concat('https://t/browse/', key) AS url, k + 2 AS r1, k + 1 AS r2 FROM {gen_prev}",
+    "item_cur": "SELECT source, k, key, CASE WHEN k % 23 = 0 THEN concat(title, ' (new)') ELSE title END AS title, status, type, CASE WHEN k % 29 = 0 THEN 'someone' ELSE assignee END AS assignee, priority, CASE WHEN k % 37 <> 0 THEN parent END AS parent, CASE WHEN k % 31 = 0 THEN 'next' ELSE sprint END AS sprint, bucket, updated_at, test_type, effort, CASE k % 3 WHEN 0 THEN 'jira' WHEN 1 THEN 'azuredevops' ELSE 'gitlab' END AS system, concat('https://t/browse/', key) AS url, CASE WHEN k % 19 = 0 THEN k + 3 ELSE k + 1 END AS r1, k + 2 AS r2 FROM {gen_cur}",
     # code
     "calls": """SELECT a.l_partkey AS caller, b.l_partkey AS callee, max(a.l_linenumber % 3) AS in_loop_depth, 1 - max(a.l_discount) AS confidence FROM {lineitem} a JOIN {lineitem} b
         ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_quantity >= 44 AND b.l_quantity >= 25 AND a.l_partkey <> b.l_partkey GROUP BY a.l_partkey, b.l_partkey""",

@@ -20,7 +20,7 @@ from loomgraph.sources import io
 
 def newest(items: DataFrame) -> DataFrame:
     """The last observation of each item in a batch, by its own timestamp."""
-    return derive.keep_first(items, ["source", "key"], F.col("updated_at").desc_nulls_last(), F.to_json(F.struct("*")).desc())
+    return derive.keep_first(items, diff.identity(items), F.col("updated_at").desc_nulls_last(), F.to_json(F.struct("*")).desc())
 
 
 def load(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
@@ -44,7 +44,8 @@ def observe(stream: DataFrame, *, snapshots: str, events: str, detected_at: str
         now = newest(items)
         before = load(items.sparkSession, snapshots, batch_id)
         was = now.where("false") if before is None else before
-        diff.identified(diff.diff(was.join(now.select("source", "key"), ["source", "key"], "left_semi"), now, detected_at=detected_at)).write.mode("overwrite").parquet(f"{events}/batch={batch_id}")
+        keys = diff.identity(was, now)
+        diff.identified(diff.diff(was.join(now.select(*keys), keys, "left_semi"), now, detected_at=detected_at)).write.mode("overwrite").parquet(f"{events}/batch={batch_id}")
         diff.merge_generation(was, now, incremental=True).write.mode("overwrite").parquet(f"{snapshots}/generation={batch_id}")
 
     return stream.writeStream.foreachBatch(batch).trigger(availableNow=True)
