@@ -62,12 +62,15 @@ def lookup_frame(spark: SparkSession, shards: list[str], slots: int = SLOTS) ->
 def place(docs: DataFrame, *, key: str = "doc_id", shards: list[str] | None = None, slots: int = SLOTS, slot_column: str = "slot", shard_column: str = "shard") -> DataFrame:
     """Every row with its slot and shard number. Equal keys share a shard; repeated rows and nulls stay; an empty table stays empty.
 
-    The new columns replace columns of the same name. DataFrame functions only; one narrow pass over the input.
+    The new columns replace columns of the same name, every other column stays. DataFrame functions only; one narrow pass over the input.
     """
     docs = docs.drop(slot_column, shard_column)
-    table = lookup_frame(docs.sparkSession, shards or names(SHARDS), slots).toDF("__slot", shard_column)
+    own, taken = "table_slot", {c.lower() for c in (*docs.columns, slot_column, shard_column)}
+    while own in taken:
+        own += "_"
+    table = lookup_frame(docs.sparkSession, shards or names(SHARDS), slots).toDF(own, shard_column)
     placed = docs.withColumn(slot_column, slot_of(F.col(key), slots))
-    return placed.join(F.broadcast(table), placed[slot_column] == table["__slot"]).drop("__slot")
+    return placed.join(F.broadcast(table), placed[slot_column] == table[own]).drop(own)
 
 
 def moved(before: list[str], after: list[str], slots: int = SLOTS) -> float:
