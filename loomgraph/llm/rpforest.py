@@ -31,7 +31,9 @@ SEED = 7
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    """Vectors of length 1; scaled by a power of two first, which is exact, so that squares of very large or small components stay in range."""
+    scaled = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 class Tree:
@@ -149,10 +151,10 @@ def links(vectors: DataFrame, *, cosine: float = COSINE, trees: int = TREES, lea
     common.ship(spark)
     total = vectors.count()
     sample = sample or min(max(total // SHARE, SAMPLE[0]), SAMPLE[1])
-    fit = vectors.orderBy(F.xxhash64("rep")).limit(sample).select("v").collect() if total > sample else vectors.select("v").collect()  # at most `sample` vectors
-    if len(fit) < 2:
+    fit = (vectors.orderBy(F.xxhash64("rep")).limit(sample) if total > sample else vectors).select("v").toArrow()  # at most `sample` vectors
+    if fit.num_rows < 2:
         return spark.createDataFrame([], "a long, b long, n long")
-    grown = spark.sparkContext.broadcast(forest(unit(np.array([r["v"] for r in fit], dtype=np.float64)), total, cosine=cosine, trees=trees, leaf=leaf, spill=spill))
+    grown = spark.sparkContext.broadcast(forest(unit(_vectors(fit.column("v").combine_chunks())), total, cosine=cosine, trees=trees, leaf=leaf, spill=spill))
     kind = np.dtype("f4" if dict(vectors.dtypes)["v"] == "array<float>" else "f8")
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
