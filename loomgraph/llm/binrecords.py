@@ -200,7 +200,7 @@ def write_records(docs: DataFrame, tokenizer_file: str, path: str, *, end_id: in
         if out is not None:
             out.close()
 
-    rows = common.with_columns_kept(docs, key, text).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = common.with_columns_kept(docs, key, text).repartitionByRange("doc_id", F.xxhash64("text"), F.length("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), F.length("text"))
     return common.stored(rows.mapInArrow(run, INDEX), "record-index")
 
 
