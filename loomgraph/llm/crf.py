@@ -5,8 +5,7 @@ it to the next line. Labels exist per document only, so in training every line b
 the mean over its lines, weighted by their length, of the marginal probability of "good" by forward-backward over all lines.
 
 The model is fitted on a bounded sample of rows: at most ``SAMPLE`` labelled documents (the lowest hashes of their ids), each with all
-its lines. In fitting, chains are parted after every ``STRETCH`` lines, so that a very long text is several chains. Scoring reads every
-whole text as one chain; it is one narrow pass with the weights broadcast.
+its lines. Fitting and scoring read every whole text as one chain; scoring is one narrow pass with the weights broadcast.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import common
 
-SAMPLE, STRETCH = 6000, 64
+SAMPLE = 6000
 ROUNDS, RATE, RIDGE = 200, 0.1, 1e-3
 
 _UPPER = bytes(range(0x41, 0x5B))
@@ -107,15 +106,19 @@ class Model:
     def potential(self, features: np.ndarray) -> np.ndarray:
         return ((features - self.mean) / self.scale) @ self.weights
 
+    def marginals(self, lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of "good" of all lines of documents that have some, and the documents' first lines with the end."""
+        starts = common.ragged([len(x) for x in lines])
+        own = np.concatenate([line_features(x) for x in lines])
+        return forward_backward(self.potential(with_neighbours(own, starts)), starts, self.transition)[0], starts
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Quality of each text between 0 and 1; the share of good training documents for a text without a line."""
         lines = [lines_of(t) for t in texts]
         out = np.full(len(texts), self.prior)
         full = [i for i, x in enumerate(lines) if x]
         if full:
-            starts = common.ragged([len(lines[i]) for i in full])
-            own = np.concatenate([line_features(lines[i]) for i in full])
-            good, _, _ = forward_backward(self.potential(with_neighbours(own, starts)), starts, self.transition)
+            good, starts = self.marginals([lines[i] for i in full])
             size = np.array([len(x) for i in full for x in lines[i]], dtype=float)
             out[full] = np.add.reduceat(good * size, starts[:-1]) / np.add.reduceat(size, starts[:-1])
         return np.clip(out, 0.0, 1.0)
@@ -141,8 +144,8 @@ def fit(own: list[np.ndarray], labels: list[int], *, rounds: int = ROUNDS, rate:
     return Model(mean, scale, theta[:-4], theta[-4:].reshape(2, 2), float(np.mean(labels)))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, stretch: int = STRETCH) -> Model:
-    """Fits the model on the whole texts of at most ``sample`` labelled documents; parts of ``stretch`` lines are chains of their own.
+def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
+    """Fits the model on the whole texts of at most ``sample`` labelled documents, one chain each.
 
     Null labels and texts without a line don't count. An id counts once: with its lowest label, and of several texts with the one
     whose features sort first, so nothing depends on the order of rows.
@@ -162,18 +165,41 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     each = rows.mapInArrow(run, "doc_id long, label int, features binary").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("features").alias("features"))
     own, known = [], []
     for r in each.orderBy("doc_id").collect():  # at most `sample` rows
-        f = np.frombuffer(r["features"], np.float32).reshape(-1, len(NAMES)).astype(float)
-        for at in range(0, len(f), stretch):
-            own.append(f[at : at + stretch])
-            known.append(r["label"])
+        own.append(np.frombuffer(r["features"], np.float32).reshape(-1, len(NAMES)).astype(float))
+        known.append(r["label"])
+    own, known = ([x[i] for i in range(len(own)) if len(own[i])] for x in (own, known))
     if not own:
         width = 3 * len(NAMES) - 2 * NEAR + 1
         return Model(np.zeros(width), np.ones(width), np.zeros(width), np.zeros((2, 2)), 0.5)
     return fit(own, known)
 
 
+def line_labels(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The label of every line: ``(doc_id, line, score, good)``, lines counted from 0 with blank ones, which have no label and no row.
+
+    A line is good if its marginal, which its neighbours share in, is 0.5 or more. Texts that are null or have no line give no rows, repeated
+    rows give theirs again; other columns are ignored.
+    """
+    common.ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in common.slices(whole, most=2 << 20):
+                every = [t.split(b"\n") for t in common.texts_of(b.column(1))]
+                full = [i for i, own in enumerate(every) if any(x.strip() for x in own)]
+                if not full:
+                    continue
+                at = [[k for k, x in enumerate(every[i]) if x.strip()] for i in full]
+                good, starts = sent.value.marginals([[every[i][k] for k in own] for i, own in zip(full, at)])
+                ids = b.column(0).take(pa.array(np.repeat(full, np.diff(starts))))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([k for own in at for k in own], pa.int64()), pa.array(good), pa.array(good >= 0.5)], names=["doc_id", "line", "score", "good"])
+
+    return common.with_columns_kept(docs, key, text).mapInArrow(run, "doc_id long, line long, score double, good boolean")
+
+
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, score, predicted)`` of every row. Null and empty texts get the model's prior; other columns are ignored."""
+    """``(doc_id, score, predicted)`` of every row, repeated ones too; an empty table gives none. Null and empty texts get the model's prior; other columns are ignored."""
     common.ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
