@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.llm import common
 
@@ -137,7 +138,10 @@ def identify(docs: DataFrame, found: dict[str, np.ndarray], *, key: str = "doc_i
     common.ship(docs.sparkSession)
     nearest = docs.sparkSession.sparkContext.broadcast(Nearest(found))
     keep = keep or []
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []))
+    once = text in keep and dict(docs.dtypes)[text] == "string"  # a text that is kept travels once, not in the row too
+    others = [c for c in keep if not (once and c == text)]
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")] if others else []))
+    more = ["text"] * once + ["row"] * bool(others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = nearest.value
@@ -145,7 +149,11 @@ def identify(docs: DataFrame, found: dict[str, np.ndarray], *, key: str = "doc_i
             for b in common.slices(whole):
                 got = [of(ranked(codes(p), most)) if (p := letters(t.as_py())) else (UNKNOWN, 0.0) for t in b.column(1)]
                 own = [b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
-                yield pa.RecordBatch.from_arrays(own + ([b.column(2)] if keep else []), names=["doc_id", "lang_pred", "score"] + (["row"] if keep else []))
-
-    schema = "doc_id long, lang_pred string, score double" + (f", row {rows.schema['row'].dataType.simpleString()}" if keep else "")
-    return rows.mapInArrow(run, schema)
+                yield pa.RecordBatch.from_arrays(own + [b.column(c) for c in more], names=["doc_id", "lang_pred", "score", *more])
+
+    kind = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in more])
+    found = rows.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *kind.fields]))
+    if not keep:
+        return found
+    row = F.struct(*[F.col("text").alias(c) if once and c == text else F.col(f"row.`{c}`") for c in keep])
+    return found.select("doc_id", "lang_pred", "score", row.alias("row"))
