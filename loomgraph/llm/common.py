@@ -51,8 +51,23 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dirs[app]
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables within the shared one."""
+    return f"{shared_dir(spark)}/loomgraph/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def close(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application. To be called when their results are written: a result that isn't may still read them."""
+    _delete(spark, run_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -70,9 +85,7 @@ def drop(*tables: DataFrame | None) -> None:
     for t in tables:
         path = t.__dict__.get("_stored_at") if t is not None else None
         if path:
-            spark = t.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(t.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
