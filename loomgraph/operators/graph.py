@@ -1,6 +1,7 @@
 """Building and keeping the property graph: mapping, merging, upserting, pruning.
 
-Emitted node rows are ``(namespace, uid, labels array, props map, stub, seq)``, edge rows ``(namespace, type, start, end_uid, edge_key,
+Properties are texts or typed values (``functions.typed``); every operator here takes either. Emitted node rows are
+``(namespace, uid, labels array, props map, stub, seq)``, edge rows ``(namespace, type, start, end_uid, edge_key,
 props map, seq)``; stored tables have ``last_seen_version`` instead of ``seq``.
 """
 
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.derive import scoped
 
-EMPTY = "map<string,string>"
+
+def _no_props(rows: DataFrame) -> Column:
+    """An empty property map of the kind that the rows have."""
+    return F.create_map().cast(dict(rows.dtypes)["props"])
 
 
 #: Kinds of labels that are known by a path, or by a name, alone: fixed values.
@@ -83,16 +87,18 @@ def merge_props(rows: DataFrame) -> DataFrame:
     cells = rows.select("namespace", "uid", "seq", F.coalesce("stub", F.lit(False)).alias("stub"), F.explode("props").alias("name", "value")).join(first, ["namespace", "uid"], "left")
     before = F.col("r0").isNull() | (F.col("seq") < F.col("r0"))
     rank = F.when(~F.col("stub"), F.struct(F.lit(3).alias("c"), F.col("seq").alias("s"))).when(before, F.struct(F.lit(2).alias("c"), F.col("seq").alias("s"))).otherwise(F.struct(F.lit(1).alias("c"), (-F.col("seq")).alias("s")))
-    return cells.groupBy("namespace", "uid", "name").agg(F.max(F.struct(rank.alias("r"), F.col("value").alias("value"))).alias("m")).select("namespace", "uid", "name", F.col("m.value").alias("value"))
+    order = F.struct(rank.alias("r"), F.col("value").cast("string").alias("shown"))  # typed values have no order of their own
+    return cells.groupBy("namespace", "uid", "name").agg(F.max_by("value", order).alias("value"))
 
 
 def merge_nodes(rows: DataFrame) -> DataFrame:
     """One row per uid: labels in the order first seen, merged properties, stub only if every emission was."""
-    props = merge_props(rows).groupBy("namespace", "uid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("props"))
+    by_name = lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)
+    props = merge_props(rows).groupBy("namespace", "uid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")), by_name)).alias("props"))
     marks = rows.select("namespace", "uid", "seq", F.posexplode("labels").alias("at", "label")).groupBy("namespace", "uid", "label").agg(F.min(F.struct("seq", "at")).alias("w"))
     labels = marks.groupBy("namespace", "uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "label"))), lambda x: x["label"]).alias("labels"))
     base = rows.groupBy("namespace", "uid").agg(F.bool_and(F.coalesce("stub", F.lit(False))).alias("stub"))
-    return base.join(labels, ["namespace", "uid"], "left").join(props, ["namespace", "uid"], "left").withColumn("props", F.coalesce("props", F.create_map().cast(EMPTY)))
+    return base.join(labels, ["namespace", "uid"], "left").join(props, ["namespace", "uid"], "left").withColumn("props", F.coalesce("props", _no_props(rows)))
 
 
 def merge_edges(rows: DataFrame) -> DataFrame:
@@ -117,9 +123,9 @@ def upsert_nodes(nodes: DataFrame, edges: DataFrame, stored: DataFrame, *, versi
     key = ["namespace", "uid"]
     ends = edges.select("namespace", F.col("start").alias("uid")).union(edges.select("namespace", "end_uid")).distinct()
     new = ends.join(nodes.select(*key), key, "left_anti").join(stored.select(*key), key, "left_anti")
-    new = new.select(*key, F.array().cast("array<string>").alias("labels"), F.create_map().cast(EMPTY).alias("props"), F.lit(True).alias("stub"), F.lit(version).alias("last_seen_version"))
+    new = new.select(*key, F.array().cast("array<string>").alias("labels"), _no_props(stored).alias("props"), F.lit(True).alias("stub"), F.lit(version).alias("last_seen_version"))
     n = nodes.select(*key, F.col("labels").alias("n_labels"), F.col("props").alias("n_props"), F.coalesce("stub", F.lit(False)).alias("n_stub"), F.lit(True).alias("seen"))
-    empty_l, empty_p = F.array().cast("array<string>"), F.create_map().cast(EMPTY)
+    empty_l, empty_p = F.array().cast("array<string>"), _no_props(stored)
     old = F.map_filter(F.coalesce("props", empty_p), lambda k, v: ~F.coalesce(F.map_contains_key("n_props", k), F.lit(False)))
     both = stored.join(n, key, "full_outer").select(
         *key, F.array_distinct(F.concat(F.coalesce("labels", empty_l), F.coalesce("n_labels", empty_l))).alias("labels"), F.map_concat(old, F.coalesce("n_props", empty_p)).alias("props"),

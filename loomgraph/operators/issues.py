@@ -1,6 +1,6 @@
 """Issue payloads to nodes with their properties and to edges: issues (G10), declared test details (G17), change history.
 
-Nodes are ``(uid, label, props map<string,string>)`` without blank properties, edges as in ``extract``. Keyless issues go.
+Nodes are ``(uid, labels, props)`` without blank properties, texts or on request (G10) typed ones, edges as in ``extract``. Keyless issues go.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions import rich, text, vocabulary
+from loomgraph.functions import rich, text, typed, vocabulary
 from loomgraph.operators.extract import edge, person
 from loomgraph.operators.normalise import detail_text
 
@@ -42,6 +42,11 @@ def _props(**given: Column) -> Column:
     return text.scrubbed(F.create_map(*[x for k, v in given.items() for x in (F.lit(k), v.cast("string"))]))
 
 
+def _typed(path: str) -> Column:
+    """What a payload has at a path, with its type; the payload is parsed once, as ``parsed``."""
+    return F.try_variant_get("parsed", "$." + path, "variant")
+
+
 def _keyed(issues: DataFrame) -> DataFrame:
     return issues.withColumn("key", text.strip(F.col("key"))).where("key <> ''")
 
@@ -50,23 +55,24 @@ def _uid(ns: str, kind: str, c: Column) -> Column:
     return text.uid(F.lit(ns), F.lit(kind), c)
 
 
-def issue_nodes(issues: DataFrame, ns: str, *, base_url: str = "", buckets: dict[str, str] | None = None, type_labels: dict[str, str] | None = None) -> DataFrame:
+def issue_nodes(issues: DataFrame, ns: str, *, base_url: str = "", buckets: dict[str, str] | None = None, type_labels: dict[str, str] | None = None, types: bool = False) -> DataFrame:
     """Issues ``(key, payload)`` with their scalars, under all their labels, and the nodes that classify them, each once.
 
-    ``label`` is the issue's own label where its type has one; ``labels`` holds all.
+    ``labels`` holds all labels. With ``types`` the properties keep the payload's types: numbers, truth values, lists of labels; else they are texts.
     """
-    i = _keyed(issues)
+    i = _keyed(issues).withColumn("parsed", F.try_parse_json("payload"))
     labels = vocabulary.labels_of_type(F.coalesce(_at("fields.issuetype.name"), F.lit("")), type_labels)
     url = {"url": F.concat(F.lit(base_url.rstrip("/") + "/browse/"), "key")} if base_url else {}
-    rich = {c: detail_text(_at(f"fields.{c}")) for c in ("description", "environment")}
+    prose = {c: detail_text(_at(f"fields.{c}")) for c in ("description", "environment")}
     bucket = vocabulary.bucket(F.coalesce(_at("fields.issuetype.name"), F.lit("")), buckets)
-    own = i.select(_uid(ns, "issue", F.col("key")).alias("uid"), labels.alias("labels"), _props(key=F.col("key"), bucket=bucket, **rich, **{c: _at(p) for c, p in ISSUE_FIELDS.items()}, **url).alias("props"))
-    found = F.explode(F.array(*[F.struct(_at(f"{path}.{ident}").alias("ident"), F.lit(kind).alias("kind"), F.lit(label).alias("label"), _props(**{k: _at(f"{path}.{p}") for k, p in props.items()}).alias("props"))
+    own = i.select(_uid(ns, "issue", F.col("key")).alias("uid"), labels.alias("labels"), typed.made(key=F.col("key"), bucket=bucket, **prose, **{c: _typed(p) for c, p in ISSUE_FIELDS.items()}, **url).alias("props"))
+    found = F.explode(F.array(*[F.struct(_at(f"{path}.{ident}").alias("ident"), F.lit(kind).alias("kind"), F.lit(label).alias("label"), typed.made(**{k: _typed(f"{path}.{p}") for k, p in props.items()}).alias("props"))
                                 for kind, label, path, ident, _, props in KINDS]))
     seen = i.select(found.alias("x")).where("x.ident is not null").select(text.uid(F.lit(ns), F.col("x.kind"), F.col("x.ident")).alias("uid"), F.array("x.label").alias("labels"), F.col("x.props").alias("props"))
     # a project or status is named by many issues: one node each, before anything is shuffled to them
-    shown = F.to_json("props")
-    return own.unionByName(seen.groupBy("uid", "labels").agg(F.max_by("props", shown).alias("props")))
+    shown = F.to_json(typed.texts(F.col("props")))
+    found = own.unionByName(seen.groupBy("uid", "labels").agg(F.max_by("props", shown).alias("props")))
+    return found if types else found.withColumn("props", typed.texts(F.col("props")))
 
 
 def issue_edges(issues: DataFrame, ns: str) -> DataFrame:

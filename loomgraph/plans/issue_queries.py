@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import issues
+from loomgraph.functions import typed
+from loomgraph.operators import graph, issues, traverse
 from loomgraph.plans.more_queries import T
 from loomgraph.plans.registry import registered
 
@@ -40,6 +41,27 @@ def g10_properties(spark, sf_dir):
     return shown(issues.issue_nodes(_payloads(spark, sf_dir), "s", base_url="https://t/"))
 
 
+@registered("g10_typed_properties", """SELECT 's:issue:ORD-' || k AS uid, concat_ws('|', 'bucket:STRING=' || CASE label WHEN 'Bug' THEN 'bugs' WHEN 'Task' THEN 'other' ELSE 'user_stories' END, 'key:STRING=ORD-' || k, 'labels:ARRAY<STRING>=["' || label || '","x"]', 'last:BIGINT=' || (k + 1), 'size:DOUBLE=' || k || '.5', 'stub:BOOLEAN=' || CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END,
+ 'title:STRING=' || CASE WHEN k % 3 = 0 THEN 'new' ELSE 'Order ' || k END, 'type:STRING=' || label, 'vote_count:BIGINT=' || k % 4) AS props FROM req""")
+def g10_typed(spark, sf_dir):
+    """Issues with typed properties, merged with a second emission, stored and overlaid by a third, each with values of its own."""
+    q, k = T(spark, sf_dir, "req"), F.col("k")
+    fields = F.struct(F.concat(F.lit("Order "), k).alias("summary"), F.struct(F.col("label").alias("name")).alias("issuetype"), F.array("label", F.lit("y")).alias("labels"), F.struct((k % 4).alias("votes")).alias("votes"))
+    first = issues.issue_nodes(q.select(F.concat(F.lit("ORD-"), k).alias("key"), F.to_json(F.struct(fields.alias("fields"))).alias("payload")), "s", types=True).where("array_contains(labels, 'Issue')")
+    row = lambda seq: [F.lit("s").alias("namespace"), "uid", "labels", "props", F.lit(False).alias("stub"), F.lit(seq).cast("long").alias("seq")]
+    uid, issue = F.concat(F.lit("s:issue:ORD-"), k).alias("uid"), F.array(F.lit("Issue")).alias("labels")
+    labels = F.array("label", F.lit("x"))
+    second = q.select(uid, issue, typed.made(size=k.cast("decimal(20, 1)") + F.lit(0.5).cast("decimal(2, 1)"), last=k, stub=k % 2 == 0, labels=labels, gone=F.array().cast("array<string>"), blank=F.lit("  ")).alias("props"))
+    merged = graph.merge_nodes(first.select(*row(1)).unionByName(second.select(*row(2))))
+    stored = traverse.stored(merged.withColumn("last_seen_version", F.lit(1)), "typed-nodes")
+    third = q.select(uid, issue, typed.scrubbed(F.create_map(F.lit(" last "), (k + 1).cast("variant"), F.lit("title"), F.when(k % 3 == 0, F.lit(" new ")).cast("variant"))).alias("props")).select(*row(3)).drop("seq")
+    none = spark.createDataFrame([], "namespace string, start string, end_uid string")
+    found = graph.upsert_nodes(third, none, stored, version=2)
+    kind = lambda e: F.when(F.startswith(typed.kind(e["value"]), F.lit("DECIMAL")), "DOUBLE").otherwise(typed.kind(e["value"]))
+    shown = F.transform(F.map_entries("props"), lambda e: F.concat(e["key"], F.lit(":"), kind(e), F.lit("="), e["value"].cast("string")))
+    return found.select("uid", F.array_join(F.array_sort(shown), "|").alias("props"))
+
+
 @registered("g10_issue_classes", """SELECT 'IN_PROJECT' AS type, 's:issue:ORD-' || k AS start, 's:project:ORD' AS end_uid, '' AS edge_key FROM req UNION ALL SELECT 'HAS_TYPE', 's:issue:ORD-' || k, 's:issuetype:i-' || label, '' FROM req
 UNION ALL SELECT 'HAS_STATUS', 's:issue:ORD-' || k, 's:status:i-' || category, '' FROM req UNION ALL SELECT 'HAS_PRIORITY', 's:issue:ORD-' || k, 's:priority:i-' || priority, '' FROM req WHERE k % 5 <> 0
 UNION ALL SELECT 'RESOLVED_AS', 's:issue:ORD-' || k, 's:resolution:1', '' FROM req WHERE category = 'Done' UNION ALL SELECT DISTINCT 'IN_CATEGORY', 's:status:i-' || category, 's:statuscategory:' || length(category), '' FROM req""")

@@ -142,7 +142,7 @@ def _stored(spark, sf_dir):
     """Nodes and edges as stored tables."""
     nodes, edges = standin.delivery(spark, sf_dir)
     n = nodes.select("namespace", "uid", "labels", text.scrubbed(F.create_map(F.lit("key"), "key", F.lit("status"), "status")).alias("props"), "stub", "last_seen_version")
-    return n, edges.select("namespace", "type", "start", "end_uid", F.coalesce("link_type", F.lit("")).alias("edge_key"), F.create_map().cast(graph.EMPTY).alias("props"))
+    return n, edges.select("namespace", "type", "start", "end_uid", F.coalesce("link_type", F.lit("")).alias("edge_key"), F.create_map().cast("map<string,string>").alias("props"))
 
 
 @registered("g06_upserted", """SELECT uid, stub, last_seen_version, status FROM (SELECT uid, stub, CASE WHEN key LIKE 'ORD-%7' THEN 99 ELSE last_seen_version END AS last_seen_version, CASE WHEN key LIKE 'ORD-%7' THEN 'patched' ELSE status END AS status FROM nodes)
