@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text, vocabulary
-from loomgraph.operators import derive, extract, graph, metrics, report, similar, traverse
+from loomgraph.operators import derive, documents, extract, graph, metrics, report, similar, traverse
 from loomgraph.plans import standin
 from loomgraph.plans.change_queries import AT, EVENTS, KEYED, events, generation
 from loomgraph.plans.delivery_queries import COVER, REQ, STATUS
@@ -428,6 +428,34 @@ _report("p6_gaps", report.gaps, f"{GAPS} SELECT gap, key FROM g WHERE gap IS NOT
 _report("p6_totals", report.totals, f"{GAPS} SELECT gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY gap")
 
 
+_QUOTED = "'[\"' || string_agg(DISTINCT {0}, '\",\"' ORDER BY {0}) || '\"]'"
+_FAR = "(SELECT {by} AS uid, " + _QUOTED.format("coalesce(nullif(n.{what}, ''), n.key)") + " AS v FROM edges e JOIN nodes n ON n.uid = e.{other} WHERE e.type = '{t}' GROUP BY {by})"
+
+
+def _members(*names: str):
+    """Members of a document by name, as JSON texts."""
+    return [F.get_json_object("document", f"$.{n}").alias(n) for n in names]
+
+
+registered("p1_requirement_documents", f"""WITH newest AS (SELECT e.end_uid AS uid, max({{'a': coalesce(r.finished_on, ''), 'b': coalesce(r.started_on, ''), 'r': r.uid, 's': r.status}}) AS m FROM edges e JOIN nodes r ON r.uid = e.start WHERE e.type = 'OF_TEST' GROUP BY e.end_uid),
+said AS (SELECT n.uid AS test, coalesce(m.s, upper(n.test_state), 'TODO') AS verdict FROM nodes n LEFT JOIN newest ON newest.uid = n.uid WHERE list_contains(n.labels, 'Test')), links AS (SELECT start AS uid, '[' || string_agg('{{"type":"' || type || '","to":"' || split_part(end_uid, ':', 3) || '","as":"' || link_type || '"}}', ',' ORDER BY type, split_part(end_uid, ':', 3)) || ']' AS v FROM (SELECT DISTINCT type, start, end_uid, link_type FROM edges WHERE type IN ('BLOCKS', 'RELATES_TO', 'DUPLICATES', 'CLONES', 'CAUSES')) GROUP BY start),
+states AS (SELECT end_uid AS uid, count(*) AS n, CASE WHEN bool_or(verdict IN ('FAIL', 'ABORTED')) THEN 'FAIL' WHEN bool_and(verdict = 'PASS') THEN 'OK' ELSE 'NOTRUN' END AS c, {_QUOTED.format("verdict")} AS v FROM (SELECT DISTINCT start, end_uid FROM edges WHERE type = 'COVERS') JOIN said ON test = start GROUP BY end_uid)
+SELECT r.key, '["' || r.type || '"]' AS kind, r.title, r.status, r.created, r.updated, nullif(a.v, '') AS assignee, l.v AS labels, s.v AS sprints, p.v AS parent, c.v AS children, k.v AS links, t.v AS tests,
+'{{"status":"' || coalesce(states.c, 'UNCOVERED') || '","test_count":' || coalesce(states.n, 0) || CASE WHEN states.v IS NULL THEN '' ELSE ',"run_statuses":' || states.v END || '}}' AS coverage, coalesce(d.n, 0)::VARCHAR AS found_by_runs, coalesce(o.n, 0)::VARCHAR AS comment_count, coalesce(h.n, 0)::VARCHAR AS change_count, NULL::VARCHAR AS mentioned_by, NULL::VARCHAR AS priority
+FROM nodes r LEFT JOIN (SELECT start AS uid, min(n.name) AS v FROM edges e JOIN nodes n ON n.uid = e.end_uid WHERE e.type = 'ASSIGNED_TO' GROUP BY start) a ON a.uid = r.uid
+LEFT JOIN {_FAR.format(by='start', other='end_uid', t='HAS_LABEL', what='name')} l ON l.uid = r.uid LEFT JOIN {_FAR.format(by='start', other='end_uid', t='IN_SPRINT', what='name')} s ON s.uid = r.uid LEFT JOIN {_FAR.format(by='start', other='end_uid', t='CHILD_OF', what='key')} p ON p.uid = r.uid
+LEFT JOIN {_FAR.format(by='end_uid', other='start', t='CHILD_OF', what='key')} c ON c.uid = r.uid LEFT JOIN {_FAR.format(by='end_uid', other='start', t='COVERS', what='key')} t ON t.uid = r.uid LEFT JOIN links k ON k.uid = r.uid LEFT JOIN states ON states.uid = r.uid
+LEFT JOIN (SELECT end_uid AS uid, count(*) AS n FROM edges WHERE type = 'FOUND_DEFECT' GROUP BY end_uid) d ON d.uid = r.uid LEFT JOIN (SELECT start AS uid, count(*) AS n FROM edges WHERE type = 'HAS_COMMENT' GROUP BY start) o ON o.uid = r.uid LEFT JOIN (SELECT end_uid AS uid, count(*) AS n FROM edges WHERE type = 'ON' GROUP BY end_uid) h ON h.uid = r.uid WHERE list_has_any(r.labels, ['Story', 'Epic', 'Feature', 'Bug', 'Task', 'Requirement'])""")(
+    lambda spark, sf_dir: documents.requirement_documents(*standin.delivery(spark, sf_dir), standin.NS).select("key", *_members("kind", "title", "status", "created", "updated", "assignee", "labels", "sprints", "parent", "children", "links", "tests", "coverage", "found_by_runs", "comment_count", "change_count", "mentioned_by", "priority")))
+
+registered("p2_test_documents", f"""WITH {STATUS}, defects AS (SELECT start AS uid, {_QUOTED.format("n.key")} AS v FROM edges e JOIN nodes n ON n.uid = e.end_uid WHERE e.type = 'FOUND_DEFECT' GROUP BY start),
+runs AS (SELECT e.end_uid AS uid, r.finished_on, r.started_on, r.uid AS run, '{{"status":"' || r.status || '"' || coalesce(',"started_at":"' || r.started_on || '"', '') || coalesce(',"finished_at":"' || r.finished_on || '"', '') || coalesce(',"defects":' || d.v, '') || '}}' AS doc FROM (SELECT DISTINCT start, end_uid FROM edges WHERE type = 'OF_TEST') e JOIN nodes r ON r.uid = e.start LEFT JOIN defects d ON d.uid = r.uid),
+lists AS (SELECT uid, count(*) AS n, list(doc ORDER BY coalesce(finished_on, '') DESC, coalesce(started_on, '') DESC, run DESC) AS v, list(json_extract_string(doc, '$.status') ORDER BY coalesce(finished_on, '') DESC, coalesce(started_on, '') DESC, run DESC)[1] AS last FROM runs GROUP BY uid)
+SELECT n.key, n.title, nullif(n.gherkin, '') AS gherkin, c.v AS covers, coalesce(last, upper(n.test_state), 'TODO') AS run_status, lists.v[1] AS latest_run, coalesce(lists.n, 0)::VARCHAR AS run_count, '[' || array_to_string(lists.v, ',') || ']' AS runs, NULL::VARCHAR AS steps
+FROM nodes n LEFT JOIN lists ON lists.uid = n.uid LEFT JOIN {_FAR.format(by='start', other='end_uid', t='COVERS', what='key')} c ON c.uid = n.uid WHERE list_contains(n.labels, 'Test')""")(
+    lambda spark, sf_dir: documents.test_documents(*standin.delivery(spark, sf_dir), standin.NS).select("key", *_members("title", "gherkin", "covers", "run_status", "latest_run", "run_count", "runs", "steps")))
+
+
 @registered("p5_delivery", "SELECT r_regionkey AS repo, (SELECT string_agg(n_nationkey, ',' ORDER BY n_name DESC) FROM nation WHERE n_regionkey = r_regionkey) AS pipelines, (SELECT string_agg(n_nationkey, ',' ORDER BY n_name DESC) FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey % 2 = 0) AS merge_requests FROM region")
 def p5(spark, sf_dir):
     n = T(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("repo"), F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("updated"))
