@@ -79,7 +79,8 @@ def copies(docs: DataFrame, *, source: str = "source", text: str = "text", key:
     out = out.select("doc_id", "source", "size", "source_size", "target", crossed.cast("long").alias("copies"), "row_number")
     if not keep:
         return out.drop("row_number")
-    out = common.stored(out, "copies")  # Spark then knows its size: rows stay where they are if it is small
+    # rows meet their numbers by a shuffle at every size: a plan that broadcasts small tables would move nothing there and all texts here
+    out = common.stored(out, "copies").hint("merge")
     return out.join(sized.select("row_number", "row"), "row_number").drop("row_number")
 
 
