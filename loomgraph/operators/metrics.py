@@ -71,35 +71,56 @@ def access_depth(ast: DataFrame) -> DataFrame:
     return ast.groupBy("fn_uid").agg(F.coalesce(F.max(F.when(F.col("role") == "access", run + 1)), F.lit(0)).alias("max_access_depth"))
 
 
+#: Lines that a function may have moved by, lines of the blocks in which ranges meet the lines that they hold, and stretches that a group has at most.
+MOVED, RANGE_BLOCK, TOGETHER = 3, 64, 256
+
+
+def _candidates(parsed: DataFrame, extracted: DataFrame) -> DataFrame:
+    """The pairs that any rule of ``match_functions`` may take, each once. Pairs meet by equal keys only: path and line, or path, name and a line nearby or a block of lines."""
+    p = parsed.select("path", "pid", "name", F.col("line").cast("long").alias("line"), F.greatest(F.col("line"), F.coalesce("end_line", "line")).cast("long").alias("last"))
+    e = extracted.select("path", "uid", F.col("name").alias("e_name"), F.col("line").cast("long").alias("e_line"))
+    here = p.join(e.withColumn("line", F.col("e_line")), ["path", "line"])
+    named = e.withColumn("name", F.col("e_name"))
+    near = p.withColumn("at", F.explode(F.sequence(F.col("line") - MOVED, F.col("line") + MOVED))).join(named.withColumn("at", F.col("e_line")), ["path", "name", "at"])
+    block = lambda c: F.floor(F.col(c) / RANGE_BLOCK)
+    held = p.withColumn("at", F.explode(F.sequence(block("line"), block("last")))).join(named.withColumn("at", block("e_line")), ["path", "name", "at"]).where("e_line between line and last")
+    same, gap = F.coalesce(F.col("name") == F.col("e_name"), F.lit(False)), F.abs(F.col("line") - F.col("e_line"))
+    columns = ["path", "pid", "uid", "line", "e_line", same.alias("same"), gap.alias("gap"), F.col("e_line").between(F.col("line"), F.col("last")).alias("inside")]
+    return here.select(*columns).unionByName(near.select(*columns)).unionByName(held.select(*columns)).distinct()
+
+
 def match_functions(parsed: DataFrame, extracted: DataFrame) -> DataFrame:
     """M9: parsed functions ``(path, pid, name, line, end_line)`` to extracted ones ``(path, uid, name, line, end_line)``, one to one.
 
     Of the parsed functions that are still free: one on the same line with the same name, else the only one on the line, else the nearest of the
-    same name within three lines, else one of the same name whose range contains the line. Choices are made in (line, uid) order
-    inside a file, which is why a file's candidates are handled together.
+    same name within three lines, else one of the same name whose range contains the line. Choices are made in (line, uid) order.
+    A file's pairs are cut into stretches where no pair reaches over: what is chosen in one says nothing of another, so a task holds a
+    number of stretches, however many functions the file has.
     """
-    e = extracted.select("path", "uid", F.col("name").alias("e_name"), F.col("line").alias("e_line"))
-    same, gap = F.coalesce(F.col("name") == F.col("e_name"), F.lit(False)), F.abs(F.col("line") - F.col("e_line"))
-    inside = (F.col("line") <= F.col("e_line")) & (F.col("e_line") <= F.col("end_line"))
-    near = parsed.join(e, "path").where((gap == 0) | (same & ((gap <= 3) | inside)))
-    rows = near.select("path", "pid", "uid", "line", "e_line", same.alias("same"), gap.alias("gap"), inside.alias("inside"))
+    rows = _candidates(parsed, extracted).withColumns({"low": F.least("line", "e_line"), "high": F.greatest("line", "e_line")})
+    order = Window.partitionBy("path").orderBy("low", "high", "pid", "uid")
+    reach = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("cut", F.coalesce((F.col("low") > reach).cast("long"), F.lit(0))).withColumn("stretch", F.floor(F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)) / TOGETHER))
 
     def choose(pdf):
-        taken, out = set(), []
-        for _, uid in sorted(set(zip(pdf["e_line"], pdf["uid"]))):
-            free = pdf[(pdf["uid"] == uid) & ~pdf["pid"].isin(taken)].sort_values(["gap", "line", "pid"])
-            here = free[free["gap"] == 0]
-            steps = (here[here["same"]], here if len(here) == 1 else here[:0], free[free["same"] & (free["gap"] <= 3)], free[free["same"] & free["inside"]].sort_values(["line", "pid"]))
-            for rank, found in enumerate(steps):
-                if len(found):
-                    taken.add(found["pid"].iloc[0])
-                    out.append((found["path"].iloc[0], found["pid"].iloc[0], uid, rank))
-                    break
         import pandas as pd
 
+        taken, out, own = set(), [], {}
+        for r in pdf.sort_values(["e_line", "uid", "gap", "line", "pid"]).itertuples(index=False):
+            own.setdefault((r.e_line, r.uid), []).append(r)
+        for (_, uid), pairs in own.items():
+            free = [r for r in pairs if r.pid not in taken]
+            here = [r for r in free if r.gap == 0]
+            steps = ([r for r in here if r.same], here if len(here) == 1 else [], [r for r in free if r.same and r.gap <= MOVED], sorted((r for r in free if r.same and r.inside), key=lambda r: (r.line, r.pid)))
+            for rank, found in enumerate(steps):
+                if found:
+                    taken.add(found[0].pid)
+                    out.append((found[0].path, found[0].pid, uid, rank))
+                    break
         return pd.DataFrame(out, columns=["path", "pid", "uid", "rank"])
 
-    return rows.groupBy("path").applyInPandas(choose, "path string, pid string, uid string, rank int")
+    chosen = ["path", "pid", "uid", "line", "e_line", "same", "gap", "inside", "stretch"]
+    return rows.select(*chosen).groupBy("path", "stretch").applyInPandas(choose, "path string, pid string, uid string, rank int")
 
 
 def call_depths(calls: DataFrame, sites: DataFrame) -> DataFrame:

@@ -388,6 +388,20 @@ def m9(spark, sf_dir):
     return metrics.match_functions(p.drop("odd"), p.select("path", F.concat(F.lit("u"), "pid").alias("uid"), "name", (F.col("line") + F.col("odd") * 2).alias("line"), "end_line"))
 
 
+_FN = "SELECT p_partkey AS k, p_brand AS path FROM part"
+
+
+@registered("m9_matched_in_files", f"""WITH p AS ({_FN}) SELECT path, CAST(k AS VARCHAR) AS pid, 'u' || k AS uid, CASE k % 5 WHEN 0 THEN 0 WHEN 4 THEN 1 ELSE 2 END AS rank FROM p WHERE k % 5 <> 3
+UNION ALL SELECT p.path, CAST(q.k AS VARCHAR), 'u' || p.k, 1 FROM p JOIN p q ON q.path = p.path AND q.k = p.k + 50 WHERE p.k % 5 = 3""")
+def m9_files(spark, sf_dir):
+    """Parts as functions, a brand's all in one file: in place, moved by two or three lines, moved far away, or renamed."""
+    k = F.col("p_partkey")
+    p = T(spark, sf_dir, "part").select(F.col("p_brand").alias("path"), k.cast("string").alias("pid"), F.concat(F.col("p_name"), k.cast("string")).alias("name"), (k * 4).alias("line"), (k * 4 + F.col("p_size")).alias("end_line"), k.alias("k"))
+    moved = F.when(k % 5 == 1, 2).when(k % 5 == 2, 3).when(k % 5 == 3, 200).otherwise(0)
+    e = p.withColumn("p_partkey", F.col("k")).select("path", F.concat(F.lit("u"), "pid").alias("uid"), F.when(k % 5 == 4, "renamed").otherwise(F.col("name")).alias("name"), (F.col("line") + moved).alias("line"), "end_line")
+    return metrics.match_functions(p.drop("k"), e)
+
+
 @registered("m10_call_depths", "SELECT l_orderkey AS uid, l_linenumber AS line, CASE WHEN l_partkey % 3 = 0 THEN 'x' ELSE 'f' || l_partkey END AS tail, CASE WHEN l_partkey % 3 = 0 THEN max(l_suppkey % 4) OVER (PARTITION BY l_orderkey, l_linenumber) ELSE min_by(l_suppkey % 4, l_suppkey) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey) END AS in_loop_depth FROM lineitem")
 def m10(spark, sf_dir):
     l = T(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("uid"), F.col("l_linenumber").alias("line"), F.concat(F.lit("f"), "l_partkey").alias("name"), (F.col("l_suppkey") % 4).alias("loop"), F.col("l_suppkey").alias("pos"), (F.col("l_partkey") % 3 == 0).alias("other"))
