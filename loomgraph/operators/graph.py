@@ -7,12 +7,15 @@ props map, seq)``; stored tables have ``last_seen_version`` instead of ``seq``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators.derive import scoped
+from loomgraph.operators.traverse import stored
 
 
 def _no_props(rows: DataFrame) -> Column:
@@ -179,3 +182,21 @@ def next_chain(changes: DataFrame) -> DataFrame:
 def ranked_union(sources: list[DataFrame]) -> DataFrame:
     """Emissions of several sources in their order: the source's rank goes before its own sequence."""
     return reduce(DataFrame.unionByName, [s.withColumn("seq", F.col("seq") + F.lit(rank << 40)) for rank, s in enumerate(sources)])
+
+
+def guarded_union(sources: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, DataFrame]:
+    """The ranked union of the sources that could be read, and a report ``(source, ok, item_count, error)`` of all.
+
+    Each source is made and stored under a guard of its own, so what fails in its tasks fails there and the others go on; later ranks stay as they are. The union
+    is None if every source failed. Sources are a handful; their rows are not read here.
+    """
+    parts, report, spark = [], [], SparkSession.active()
+    for rank, (name, make) in enumerate(sources.items()):
+        try:
+            rows = stored(make(), f"source-{rank}")
+            report.append((name, True, rows.count(), None))
+            parts.append(rows.withColumn("seq", F.col("seq") + F.lit(rank << 40)))
+        except (PySparkException, OSError, ValueError) as e:
+            report.append((name, False, 0, f"{type(e).__name__}: {e}".split("\n")[0][:300]))
+    found = reduce(DataFrame.unionByName, parts) if parts else None
+    return found, spark.createDataFrame(report, "source string, ok boolean, item_count long, error string")

@@ -32,6 +32,23 @@ def patches(items: DataFrame, entities: DataFrame, fields: tuple[str, ...]) -> D
     return e.join(i, "external_id").select("internal_id", each.alias("x")).where("not (x.old <=> x.value)").select("internal_id", "x.field", "x.value")
 
 
+def typed_patches(items: DataFrame, entities: DataFrame, fields: tuple[str, ...], *, order: tuple[str, ...] = ("updated_at",)) -> DataFrame:
+    """T4: ``(internal_id, field, value)`` as ``patches``, but fields are compared as the values they are and ``value`` keeps its type: lists, details and relations too.
+
+    Maps are equal if their entries are, in any order; lists if they are in the same order. A null is a value like others, and is given as one. Of several items with
+    one external id the last by ``order`` counts, so an entity gets one patch a field; of entities with one external id each gets its own.
+    """
+    kinds = dict(items.dtypes)
+    nested = lambda f: kinds[f].startswith(("array", "map", "struct"))
+    shown = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    one = items.groupBy("external_id").agg(F.max_by(F.struct(*fields), F.struct(*[c for c in order if c in items.columns], shown.alias("shown"))).alias("i"))
+    compared = lambda side, f: F.array_sort(F.map_entries(f"{side}.{f}")) if kinds[f].startswith("map") else F.col(f"{side}.{f}")
+    value = lambda f: F.to_variant_object(f"i.{f}") if nested(f) else F.col(f"i.{f}").cast("variant")
+    each = F.array(*[F.struct(F.lit(f).alias("field"), compared("e", f).eqNullSafe(compared("i", f)).alias("same"), value(f).alias("value")) for f in fields])
+    rows = entities.select("internal_id", "external_id", F.struct(*fields).alias("e")).join(one, "external_id")
+    return rows.select("internal_id", F.explode(F.filter(each, lambda x: ~x["same"])).alias("x")).select("internal_id", "x.field", "x.value")
+
+
 def to_create(items: DataFrame, entities: DataFrame, *, ready_statuses: tuple[str, ...] = (), ready_tags: tuple[str, ...] = ()) -> DataFrame:
     """T5: items without an entity that are ready: no gate at all, a ready status, or a ready tag."""
     new = items.join(entities.select("external_id"), "external_id", "left_anti")

@@ -217,6 +217,21 @@ def t4(spark, sf_dir):
     return state.patches(items, entities(spark, sf_dir), ("status", "title", "tag"))
 
 
+@registered("t4_typed_patches", """SELECT 'US-' || lpad((k + 1)::VARCHAR, 6, '0') AS internal_id, f.field, CASE f.field WHEN 'status' THEN 'STRING:' || c.status WHEN 'tags' THEN 'ARRAY<STRING>:["' || c.priority || '","x"]' WHEN 'size' THEN 'BIGINT:' || (k + 1)
+  ELSE 'OBJECT<covers: ARRAY<OBJECT<key: STRING>>>:{"covers":[{"key":"' || c.key || '"}]}' END AS value
+FROM gen_prev p JOIN gen_cur c USING (k), (VALUES ('status'), ('tags'), ('size'), ('relations')) f(field) WHERE k % 3 = 0 AND (CASE f.field WHEN 'status' THEN p.status <> c.status WHEN 'tags' THEN p.priority <> c.priority WHEN 'size' THEN k % 2 = 0 ELSE k % 5 = 0 END)""")
+def t4_typed(spark, sf_dir):
+    """Entities of every third order against two observations of each: status, tags, a number and relations, each with its type."""
+    key, k = F.concat(F.lit("ORD-"), "k"), F.col("k")
+    link = lambda c: F.create_map(F.lit("covers"), F.array(F.struct(c.alias("key"))))
+    row = lambda status, size, other: [status.alias("status"), F.array("priority", F.lit("x")).alias("tags"), size.cast("long").alias("size"), link(other).alias("relations")]
+    e = standin.relation(spark, sf_dir, "gen_prev").where("k % 3 = 0").select(F.concat(F.lit("US-"), F.lpad((k + 1).cast("string"), 6, "0")).alias("internal_id"), key.alias("external_id"), *row(F.col("status"), F.when(k % 2 == 0, k).otherwise(k + 1), F.when(k % 5 == 0, F.lit("none")).otherwise(F.col("key"))))
+    now = standin.relation(spark, sf_dir, "gen_cur").select(key.alias("external_id"), F.lit("2").alias("updated_at"), *row(F.col("status"), k + 1, F.col("key")))
+    old = now.withColumns({"updated_at": F.lit("1"), "status": F.lit("old"), "size": F.lit(-1).cast("long")})
+    found = state.typed_patches(old.unionByName(now), e, ("status", "tags", "size", "relations"))
+    return found.select("internal_id", "field", F.concat_ws(":", F.schema_of_variant("value"), F.col("value").cast("string")).alias("value"))
+
+
 def _new(spark, sf_dir):
     items = standin.relation(spark, sf_dir, "gen_cur").select("k", F.col("key").alias("external_id"), "status", F.array("priority").alias("tags"))
     return state.to_create(items, entities(spark, sf_dir), ready_statuses=("P",), ready_tags=("1_urgent",))

@@ -23,18 +23,18 @@ f AS (SELECT n.*, x.tld FROM code_nodes n JOIN (SELECT uid, max(v) AS tld FROM t
 COLS = ", ".join(FUNCTION)
 
 
-_BUILT: dict[tuple[str, str], DataFrame] = {}
+_BUILT: dict[tuple[str, str], tuple[tuple, DataFrame]] = {}
 #: Questions that read transitive loop depths.
 _DEEP = ("complexity-", "loops")
 
 
 def built(spark, sf_dir):
-    """The code graph with stored loop depths, built once per application and folder as an index is."""
+    """The code graph with stored loop depths, built once per application and folder as an index is, and again when the tables have other files."""
     nodes, edges = standin.code(spark, sf_dir)
-    at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _BUILT:
-        _BUILT[at] = code_built(nodes, edges, standin.CODE_NS)
-    return _BUILT[at], edges
+    at, version = (spark.sparkContext.applicationId, sf_dir), standin.version(spark, sf_dir)
+    if _BUILT.get(at, (None,))[0] != version:
+        _BUILT[at] = version, code_built(nodes, edges, standin.CODE_NS)
+    return _BUILT[at][1], edges
 
 
 def _ask(registered_as: str, question: str, sql: str, /, **params):

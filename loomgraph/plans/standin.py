@@ -191,6 +191,16 @@ def code(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return relation(spark, sf_dir, "code_nodes", made), relation(spark, sf_dir, "code_edges", made)
 
 
+def version(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells the state of the input tables: names, sizes and times of their files."""
+    found = []
+    for t in TABLES:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        found += [(t, f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p)] if fs.exists(p) else []
+    return tuple(sorted(found))
+
+
 def with_base(sql: str) -> str:
     """A DuckDB query with the relations that it names put before it."""
     needed: list[str] = []
