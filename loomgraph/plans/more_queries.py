@@ -68,7 +68,7 @@ _sql_text("n23_relative_path", "SELECT k, CASE k % 3 WHEN 0 THEN 'src/f' || k WH
 _sql_text("n24_uid", "SELECT k, 'jira:site-1:P-Q:issue:' || key || ' x' AS uid FROM gen_cur", "gen_cur", k="k", uid=lambda: text.uid(F.lit("jira"), F.lit("site-1"), text.scope(F.lit(" P:Q ")), F.lit("issue"), F.concat("key", F.lit("   x "))))
 _sql_text("n25_scrubbed", "SELECT k, 'a=' || status || CASE WHEN k % 2 = 0 THEN ';c=x' ELSE '' END AS props FROM gen_cur", "gen_cur", k="k", props=lambda: F.array_join(F.transform(F.array_sort(F.map_entries(text.scrubbed(F.create_map(F.lit("a"), F.concat(F.lit("  "), "status"), F.lit("b"), F.lit("  "), F.lit("c"), F.when(F.col("k") % 2 == 0, "x"))))), lambda e: F.concat_ws("=", e["key"], e["value"])), ";"))
 KEYS = "list_filter(regexp_split_to_array({0}, '[^A-Za-z0-9_-]+'), lambda x: regexp_full_match(x, '[A-Z][A-Z0-9]{{1,9}}-[0-9]{{1,7}}'))"
-SEE = "'see DEM-' || (doc_id % 50) || ', api-2 and X-1 ' || substr(text, 1, 200)"
+SEE = "'see DEM-' || (doc_id % 50) || ', api-2 and X-1 ' || text"
 _sql_text("n26_issue_keys", f"SELECT doc_id, array_to_string(list_distinct({KEYS.format(SEE)}), ',') AS keys FROM documents", "documents", doc_id="doc_id", keys=lambda: F.array_join(text.issue_keys(F.concat(F.lit("see DEM-"), (F.col("doc_id") % 50).cast("string"), F.lit(", api-2 and X-1 "), F.col("text"))), ","))
 _sql_text("n27_gherkin_steps", "SELECT k, '2:Given ' || key || '|3:Then ok @b|5:*' || status AS steps, k % 2 = 0 AS gherkin FROM gen_cur", "gen_cur", k="k", gherkin=lambda: text.is_gherkin(F.when(F.col("k") % 2 == 0, F.concat(F.lit("\n Rule : "), "key")).otherwise(F.concat(F.lit("Rule of thumb applies to "), "key"))), steps=lambda: F.array_join(F.transform(text.gherkin_steps(F.concat(F.lit("Scenario: x\n Given  "), "key", F.lit(" @a\nThen ok @a @b\nprose\n*"), "status")), lambda s: F.concat_ws(":", s["position"].cast("string"), s["text"])), "|"))
 _sql_text("n28_preconditions", "SELECT k, 'user ' || key || '|logged in|second|a ' || status || ' c|one' AS pre FROM gen_cur", "gen_cur", k="k", pre=lambda: F.array_join(text.preconditions(F.concat(F.lit("x\nPreconditions:\nuser "), "key", F.lit("\n  logged in\n\nsecond\nGiven y\nz\n condition : a "), "status", F.lit("\nb\n c\nPRECONDITION: one"))), "|"))
@@ -154,20 +154,20 @@ def g06(spark, sf_dir):
     return graph.upsert_nodes(batch, new, stored, version=99).select("uid", "stub", "last_seen_version", F.try_element_at("props", F.lit("status")).alias("status"))
 
 
-@registered("g07_pruned", """WITH gone AS (SELECT uid FROM nodes WHERE coalesce(last_seen_version, -1) < 5) SELECT 'nodes' AS what, count(*) AS n FROM nodes WHERE uid NOT IN (SELECT uid FROM gone)
-UNION ALL SELECT 'edges', count(*) FROM edges WHERE start NOT IN (SELECT uid FROM gone) AND end_uid NOT IN (SELECT uid FROM gone)""")
+@registered("g07_pruned", """WITH gone AS (SELECT uid FROM nodes WHERE coalesce(last_seen_version, -1) < 5) SELECT 'node' AS what, uid, NULL::VARCHAR AS end_uid FROM nodes WHERE uid NOT IN (SELECT uid FROM gone)
+UNION ALL SELECT type, start, end_uid FROM edges WHERE start NOT IN (SELECT uid FROM gone) AND end_uid NOT IN (SELECT uid FROM gone)""")
 def g07(spark, sf_dir):
     n, e = graph.prune(*standin.delivery(spark, sf_dir), standin.NS, version=5)
-    return n.agg(F.count("*").alias("n")).select(F.lit("nodes").alias("what"), "n").unionByName(e.agg(F.count("*").alias("n")).select(F.lit("edges").alias("what"), "n"))
+    return n.select(F.lit("node").alias("what"), "uid", F.lit(None).cast("string").alias("end_uid")).unionByName(e.select(F.col("type").alias("what"), F.col("start").alias("uid"), "end_uid"))
 
 
-@registered("g08_reset", "SELECT 'code' AS namespace, count(*) AS n FROM code_nodes")
+@registered("g08_reset", "SELECT 'code' AS namespace, uid, NULL::VARCHAR AS end_uid FROM code_nodes UNION ALL SELECT 'code', start, end_uid FROM code_edges")
 def g08(spark, sf_dir):
     pick = lambda n: n.select("namespace", "uid")
     (a, x), (b, y) = standin.delivery(spark, sf_dir), standin.code(spark, sf_dir)
     ends = lambda e: e.select("namespace", "start", "end_uid")
-    n, _ = graph.reset(pick(a).unionByName(pick(b)), ends(x).unionByName(ends(y)), standin.NS)
-    return n.groupBy("namespace").agg(F.count("*").alias("n"))
+    n, e = graph.reset(pick(a).unionByName(pick(b)), ends(x).unionByName(ends(y)), standin.NS)
+    return n.withColumn("end_uid", F.lit(None).cast("string")).unionByName(e.select("namespace", F.col("start").alias("uid"), "end_uid"))
 
 
 @registered("g09_counts", "SELECT name, count(*) AS n, 'label' AS what FROM (SELECT unnest(labels) AS name FROM nodes) GROUP BY name UNION ALL SELECT type, count(*), 'relationship' FROM edges GROUP BY type")
@@ -221,11 +221,11 @@ def g13(spark, sf_dir):
     return extract.hierarchy_edges(_issues(spark, sf_dir), "s")
 
 
-@registered("g14_links", "SELECT type, count(*) AS n FROM (SELECT CASE a % 4 WHEN 0 THEN 'BLOCKS' WHEN 1 THEN 'COVERS' WHEN 2 THEN 'LINKED_TO' ELSE 'RELATES_TO' END AS type FROM linked WHERE NOT (a % 4 = 1 AND a % 8 = 1)) GROUP BY type")
+@registered("g14_links", "SELECT DISTINCT CASE a % 4 WHEN 0 THEN 'BLOCKS' WHEN 1 THEN 'COVERS' WHEN 2 THEN 'LINKED_TO' ELSE 'RELATES_TO' END AS type, 's:issue:O-' || CASE WHEN a % 4 = 1 THEN b ELSE a END AS start, 's:issue:O-' || CASE WHEN a % 4 = 1 THEN a ELSE b END AS end_uid, ['Blocks', 'Test', 'odd', 'Relates'][(a % 4 + 1)::INT] AS edge_key FROM linked WHERE NOT (a % 4 = 1 AND a % 8 = 1)")
 def g14(spark, sf_dir):
     l = T(spark, sf_dir, "linked")
     both = lambda out: l.select(F.concat(F.lit("O-"), "a" if out else "b").alias("key"), F.concat(F.lit("O-"), "b" if out else "a").alias("other"), F.element_at(F.array(*[F.lit(x) for x in ("Blocks", "Test", "odd", "Relates")]), (F.col("a") % 4 + 1).cast("int")).alias("link_type"), F.lit(out).alias("outward"), F.when(F.col("a") % 8 == 1, F.array(F.lit("TestSet"))).otherwise(F.array(F.lit("Story"))).alias("own_labels"), F.array(F.lit("Issue")).alias("other_labels"))
-    return extract.link_edges(both(True).unionByName(both(False)), "s").groupBy("type").agg(F.count("*").alias("n"))
+    return extract.link_edges(both(True).unionByName(both(False)), "s")
 
 
 @registered("g15_sprint_history", "SELECT 's:issue:ORD-' || k AS start, 's:sprint:' || CASE WHEN p = 0 THEN 1 ELSE k % 9 END AS end_uid, p AS position, p = 1 AS is_current FROM req, (VALUES (0), (1)) v(p)")
@@ -233,10 +233,10 @@ def g15(spark, sf_dir):
     return extract.sprint_edges(_issues(spark, sf_dir), "s").select("start", "end_uid", "position", "is_current")
 
 
-@registered("g16_comments", "SELECT type, count(*) AS n FROM (SELECT 'HAS_COMMENT' AS type FROM conversations UNION ALL SELECT 'WRITTEN_BY' FROM conversations WHERE role = 'user') GROUP BY type")
+@registered("g16_comments", "SELECT 'HAS_COMMENT' AS type, 's:issue:O-' || conv_id AS start, 's:comment:' || conv_id || '.' || turn AS end_uid FROM conversations UNION ALL SELECT 'WRITTEN_BY', 's:comment:' || conv_id || '.' || turn, 's:user:' || role FROM conversations WHERE role = 'user'")
 def g16(spark, sf_dir):
     c = T(spark, sf_dir, "conversations").select(F.concat(F.lit("O-"), "conv_id").alias("key"), F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.when(F.col("role") == "user", F.col("role")).alias("author"))
-    return extract.comment_edges(c, "s").groupBy("type").agg(F.count("*").alias("n"))
+    return extract.comment_edges(c, "s").select("type", "start", "end_uid")
 
 
 @registered("g18_next_chain", "SELECT issue, 'NEXT' AS type, id AS start, nxt AS end_uid FROM (SELECT user_id AS issue, event_id AS id, lead(event_id) OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y%m%d%H%M%S%f'), event_id::VARCHAR) AS nxt FROM events) WHERE nxt IS NOT NULL")
@@ -257,17 +257,18 @@ def g21(spark, sf_dir):
     return extract.relation_edges(l.unionByName(l.withColumn("url", F.lit("https://x/attachments/7"))), "s").select("type", "start", "end_uid")
 
 
-@registered("g22_suites", "SELECT type, count(*) AS n FROM (SELECT 'HAS_SUITE' AS type FROM nation UNION ALL SELECT 'CHILD_OF' FROM nation WHERE n_nationkey >= 5 UNION ALL SELECT 'CONTAINS' FROM customer) GROUP BY type")
+@registered("g22_suites", "SELECT 'HAS_SUITE' AS type, 's:plan:' || n_regionkey AS start, 's:suite:' || n_nationkey AS end_uid FROM nation UNION ALL SELECT 'CHILD_OF', 's:suite:' || n_nationkey, 's:suite:' || (n_nationkey - 5) FROM nation WHERE n_nationkey >= 5 UNION ALL SELECT 'CONTAINS', 's:suite:' || c_nationkey, 's:issue:' || c_custkey FROM customer")
 def g22(spark, sf_dir):
     n = T(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("plan_id"), F.when(F.col("n_nationkey") >= 5, F.col("n_nationkey") - 5).alias("parent_id"))
     c = T(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("suite_id"), F.col("c_custkey").alias("case_id"))
-    return extract.suites(T(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id")), n, c, "s").groupBy("type").agg(F.count("*").alias("n"))
+    return extract.suites(T(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id")), n, c, "s").select("type", "start", "end_uid")
 
 
-@registered("g23_g26_runs", "SELECT type, count(*) AS n FROM (SELECT unnest(['IN_EXECUTION', 'OF_TEST']) AS type FROM run UNION ALL SELECT 'EXECUTED_BY' FROM run WHERE partkey % 2 = 0 UNION ALL SELECT 'IN_ENVIRONMENT' FROM run WHERE partkey % 3 = 0 UNION ALL SELECT 'FOUND_DEFECT' FROM run WHERE status = 'FAIL') GROUP BY type")
+@registered("g23_g26_runs", """SELECT 'IN_EXECUTION' AS type, 's:run:' || k AS start, 's:execution:' || orderkey AS end_uid FROM run UNION ALL SELECT 'OF_TEST', 's:run:' || k, 's:issue:' || partkey FROM run UNION ALL SELECT 'EXECUTED_BY', 's:run:' || k, 's:user:ann' FROM run WHERE partkey % 2 = 0
+UNION ALL SELECT 'IN_ENVIRONMENT', 's:run:' || k, 's:environment:ci' FROM run WHERE partkey % 3 = 0 UNION ALL SELECT 'FOUND_DEFECT', 's:run:' || k, 's:issue:' || orderkey FROM run WHERE status = 'FAIL'""")
 def g23(spark, sf_dir):
     r = T(spark, sf_dir, "run").select(F.col("orderkey").alias("execution"), F.col("k").alias("id"), F.col("partkey").alias("test"), "status", F.when(F.col("partkey") % 2 == 0, "ann").alias("tester"), F.when(F.col("partkey") % 3 == 0, "ci").alias("environment"), F.when(F.col("status") == "FAIL", F.array(F.col("orderkey").cast("string"))).alias("defects"))
-    return extract.run_edges(r, "s").groupBy("type").agg(F.count("*").alias("n"))
+    return extract.run_edges(r, "s").select("type", "start", "end_uid")
 
 
 @registered("g24_g25_membership", "SELECT 'c' || orderkey AS container, count(*) AS members, bool_or(orderkey % 2 = 0) AS truncated FROM covers GROUP BY orderkey")
@@ -277,10 +278,10 @@ def g24(spark, sf_dir):
     return extract.membership_edges(m, "s").groupBy(F.substring_index("start", ":", -1).alias("container")).agg(F.count("*").alias("members"), F.bool_or("truncated").alias("truncated"))
 
 
-@registered("g27_resolved_ids", "SELECT l.l_linenumber AS n, count(*) AS rows, count(*) FILTER (l_partkey % 2 = 1) AS unresolved FROM lineitem l GROUP BY 1")
+@registered("g27_resolved_ids", "SELECT l_orderkey AS orderkey, l_linenumber AS n, CASE WHEN l_partkey % 2 = 1 THEN 'id:' ELSE 'PRT-' END || l_partkey AS key, l_partkey % 2 = 1 AS unresolved FROM lineitem")
 def g27(spark, sf_dir):
     known = T(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("numeric_id"), F.concat(F.lit("PRT-"), "p_partkey").alias("key"))
-    return extract.resolve_ids(T(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("numeric_id"), "l_linenumber"), known).groupBy(F.col("l_linenumber").alias("n")).agg(F.count("*").alias("rows"), F.count(F.when(F.col("unresolved"), 1)).alias("unresolved"))
+    return extract.resolve_ids(T(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("numeric_id"), "l_orderkey", "l_linenumber"), known).select(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("n"), "key", "unresolved")
 
 
 @registered("g29_plain_runs", "SELECT k AS execution, custkey AS test, CASE WHEN k % 3 = 0 THEN 'PASS' WHEN k % 3 = 1 THEN 'FAIL' END AS status FROM req WHERE k % 3 < 2")
@@ -408,12 +409,12 @@ def m10(spark, sf_dir):
     return metrics.call_depths(l.select("uid", "line", F.when(F.col("other"), "x").otherwise(F.col("name")).alias("tail")), l.select("uid", "line", F.col("name").alias("tail"), "loop", "pos"))
 
 
-@registered("m11_misresolved", "SELECT (SELECT count(*) FROM part WHERE p_size % 4 <> 2) AS kept, (SELECT count(*) FROM part WHERE p_size % 4 IN (0, 1)) AS recursive")
+@registered("m11_misresolved", "SELECT p_partkey AS caller, CASE WHEN p_size % 4 = 3 THEN -1 ELSE p_partkey END AS callee, p_size % 4 IN (0, 1) AS recursive FROM part WHERE p_size % 4 <> 2")
 def m11(spark, sf_dir):
     k = F.col("p_size") % 4
     c = T(spark, sf_dir, "part").select(F.col("p_partkey").alias("caller"), F.when(k == 3, -1).otherwise(F.col("p_partkey")).alias("callee"), F.when(k == 0, "f").when(k == 1, "this.f").otherwise("other.f").alias("call"), F.lit("a.C.f").alias("qualified_name"))
     kept, recursive = metrics.drop_misresolved(c)
-    return kept.agg(F.count("*").alias("kept")).join(F.broadcast(recursive.agg(F.count("*").alias("recursive"))))
+    return kept.join(recursive.select(F.col("uid").alias("caller"), F.lit(True).alias("recursive")), "caller", "left").select("caller", "callee", F.coalesce("recursive", F.lit(False)).alias("recursive"))
 
 
 @registered("m12_metric_coverage", "SELECT p_brand AS lang, count(*) FILTER (p_size % 3 <> 0) AS matched, count(*) FILTER (p_size % 3 = 0) AS unmatched, count(*) FILTER (p_size % 7 = 0) AS parse_errors FROM part GROUP BY p_brand")
