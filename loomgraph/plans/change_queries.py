@@ -177,17 +177,17 @@ def s10(spark, sf_dir):
     return io.languages(standin.relation(spark, sf_dir, "pages").select(F.concat(pick(_FOLDERS), F.lit("/f"), F.col("page_id").cast("string"), pick(_EXTENSIONS)).alias("path")))
 
 
-@registered("s11_test_report", """SELECT pipeline, count(*) AS total, count(*) FILTER (s = 'PASS') AS passed, count(*) FILTER (s = 'FAIL') AS failed, count(*) FILTER (s = 'TODO') AS skipped, coalesce(list_sort(list(DISTINCT 'p' || partkey || '::run.' || k) FILTER (s = 'FAIL')), []) AS failing FROM (SELECT orderkey AS pipeline, status AS s, partkey, k FROM run) GROUP BY pipeline""")
+@registered("s11_test_report", """SELECT pipeline, count(*) AS total, count(*) FILTER (s = 'PASS') AS passed, count(*) FILTER (s = 'FAIL') AS failed, count(*) FILTER (s = 'TODO') AS skipped, coalesce(list_sort(list(DISTINCT 'p' || partkey || '::run.' || k) FILTER (s = 'FAIL')), []) AS failing FROM (SELECT orderkey AS pipeline, status AS s, partkey, k FROM run) GROUP BY pipeline UNION ALL SELECT k, NULL, NULL, NULL, NULL, NULL FROM (SELECT k FROM req WHERE k NOT IN (SELECT orderkey FROM run) UNION ALL SELECT -k FROM req WHERE k <> 0)""")
 def s11(spark, sf_dir):
     r = standin.relation(spark, sf_dir, "run")
     status = F.when(F.col("status") == "PASS", "success").when(F.col("status") == "TODO", "skipped").when(F.col("partkey") % 2 == 0, "failed").otherwise("error")
-    return io.test_report(r.select(F.col("orderkey").alias("pipeline"), F.concat(F.lit("p"), "partkey").alias("suite"), F.lit("run").alias("class"), F.col("k").alias("name"), status.alias("status")))
+    return io.test_report(r.select(F.col("orderkey").alias("pipeline"), F.concat(F.lit("p"), "partkey").alias("suite"), F.lit("run").alias("class"), F.col("k").alias("name"), status.alias("status")), standin.relation(spark, sf_dir, "req").select(F.explode(F.array("k", -F.col("k"))).alias("pipeline")))
 
 
-@registered("s12_discussions", "SELECT conv_id AS discussion, turn AS note, CASE WHEN turn % 2 = 0 THEN 'unknown' ELSE role END AS author, text AS body, false AS resolved FROM conversations WHERE NOT (turn % 3 = 2)")
+@registered("s12_discussions", "SELECT conv_id AS discussion, turn AS note, CASE WHEN turn % 2 = 0 THEN 'unknown' ELSE role END AS author, text AS body, false AS resolved, 't' || turn AS created_at FROM conversations WHERE NOT (turn % 3 = 2)")
 def s12(spark, sf_dir):
     c = standin.relation(spark, sf_dir, "conversations")
-    note = F.struct(F.col("turn").alias("id"), F.col("text").alias("body"), F.when(F.col("turn") % 2 != 0, F.col("role")).alias("author"), (F.col("turn") % 3 == 2).alias("system"), F.lit(None).cast("boolean").alias("resolved"))
+    note = F.struct(F.col("turn").alias("id"), F.col("text").alias("body"), F.when(F.col("turn") % 2 != 0, F.col("role")).alias("author"), (F.col("turn") % 3 == 2).alias("system"), F.lit(None).cast("boolean").alias("resolved"), F.concat(F.lit("t"), "turn").alias("created_at"))
     return io.flatten_discussions(c.groupBy(F.col("conv_id").alias("id")).agg(F.collect_list(note).alias("notes")))
 
 

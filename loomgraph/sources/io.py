@@ -93,17 +93,21 @@ def languages(files: DataFrame, path: str = "path") -> DataFrame:
     return kept.select(lang.alias("language")).where("language is not null").groupBy("language").agg(F.count("*").alias("files"))
 
 
-def test_report(cases: DataFrame) -> DataFrame:
-    """Cases ``(pipeline, suite, class, name, status)`` per pipeline: passed, failed (errors too), skipped, failing names."""
+def test_report(cases: DataFrame, pipelines: DataFrame | None = None) -> DataFrame:
+    """Cases ``(pipeline, suite, class, name, status)`` per pipeline: passed, failed (errors too), skipped, failing names.
+
+    Of ``pipelines``, those without a case have a row of nulls: their report is empty, which isn't the same as one where nothing failed.
+    """
     bad = F.col("status").isin("failed", "error")
     count = lambda c: F.count(F.when(c, 1))
-    return cases.groupBy("pipeline").agg(
+    found = cases.groupBy("pipeline").agg(
         F.count("*").alias("total"), count(F.col("status") == "success").alias("passed"), count(bad).alias("failed"), count(F.col("status") == "skipped").alias("skipped"),
         F.array_sort(F.collect_set(F.when(bad, F.concat(F.col("suite"), F.lit("::"), F.col("class"), F.lit("."), F.col("name"))))).alias("failing"))
+    return found if pipelines is None else pipelines.select("pipeline").distinct().join(found, "pipeline", "left")
 
 
 def flatten_discussions(df: DataFrame, include_system: bool = False) -> DataFrame:
-    """Notes of review threads ``(id, notes array<struct<id,body,author,system,resolved>>)``, system notes dropped by default."""
+    """Notes of review threads ``(id, notes array<struct<id,body,author,created_at,system,resolved>>)``, system notes dropped by default."""
     n = df.select(F.col("id").alias("discussion"), F.explode("notes").alias("n"))
     n = n if include_system else n.where(~F.coalesce("n.system", F.lit(False)))
-    return n.select("discussion", F.col("n.id").alias("note"), F.coalesce("n.author", F.lit("unknown")).alias("author"), F.col("n.body").alias("body"), F.coalesce("n.resolved", F.lit(False)).alias("resolved"))
+    return n.select("discussion", F.col("n.id").alias("note"), F.coalesce("n.author", F.lit("unknown")).alias("author"), F.col("n.body").alias("body"), F.coalesce("n.resolved", F.lit(False)).alias("resolved"), F.col("n.created_at").alias("created_at"))
