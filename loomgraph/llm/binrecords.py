@@ -165,7 +165,8 @@ def _open(uri: str):
 def write_records(docs: DataFrame, tokenizer_file: str, path: str, *, end_id: int = 0, key: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
     """Encodes every whole text, appends ``end_id``, writes shards in ascending id order under ``path`` and returns the stored index.
 
-    ``wide`` takes 4 bytes an id, for vocabularies beyond 65,536. Null ids come first, null and empty texts are just the end id, repeated ids stay as many records. Range partitioning gives
+    ``wide`` takes 4 bytes an id, for vocabularies beyond 65,536. Null ids come first, null and empty texts are just the end id, repeated ids stay as many records, in the order of their texts'
+    hashes, and repeated rows as many equal ones; an empty table writes no shard, and other columns are ignored. Range partitioning gives
     each shard a run of ids of like size. A shard's name is unique to the task attempt and only the attempt whose index rows
     Spark commits is read, so lost executors and speculative attempts leave at most unreferenced files.
     """

@@ -131,7 +131,8 @@ class Nearest:
 def identify(docs: DataFrame, found: dict[str, np.ndarray], *, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, most: int = DOCUMENT) -> DataFrame:
     """``(doc_id, lang_pred, score)`` and columns to keep of every row: the nearest profile over the whole text.
 
-    ``und`` with score 0 for texts that are null or have no letter, or if there are no profiles. The score is the winner's share of
+    ``und`` with score 0 for texts that are null or have no letter, or if there are no profiles. Of profiles equally near the first by name
+    wins. Repeated rows are judged alike and stay, an empty table gives no rows, other columns are ignored. The score is the winner's share of
     the closeness (1 - distance over its maximum) to all languages: 1 / languages if undecided, 1 if only one shares any n-gram,
     0 if none does.
     """

@@ -56,7 +56,8 @@ def copies(docs: DataFrame, *, source: str = "source", text: str = "text", key:
     """Every document with how often the mix takes it: ``(doc_id, source, size, source_size, target, copies)`` and columns to keep.
 
     Null texts have size 0. Sources without words have target 0 and documents with 0 copies. Repeated rows are documents of
-    their own. Kept columns come as one struct ``row``, so their names can't clash.
+    their own; documents of one size are ranked by id, a null one first, then by their place in the table, so ties have an order. An empty table
+    gives no rows; other columns are ignored. Kept columns come as one struct ``row``, so their names can't clash.
     """
     kept = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []
     sized = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(text).alias("size"), F.monotonically_increasing_id().alias("row_number"), *kept)
