@@ -56,19 +56,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rows with any word inside an occurrence of a benchmark window."""
+    """Drops rows with any word inside an occurrence of a benchmark window.
+
+    Null and empty texts have no words and stay, repeated rows are judged alike, rows with one id and different texts each by their own; an empty table stays empty.
+    """
     rows, number = told_apart(docs)
     found = decontam.decontaminate(rows, common.table(spark, sf_dir, "benchmark"), key=number)
     return without(rows, number, found.where(F.size("starts") > 0).select("doc_id"), docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each source's documents as often as its target weight asks, some of them twice or not at all."""
+    """Takes each source's documents as often as its target weight asks, some of them twice or not at all.
+
+    Null is a source like others, null texts have size 0, repeated rows are documents of their own; an empty table stays empty.
+    """
     return mixing.mix(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds every row's slot and shard."""
+    """Adds every row's slot and shard; equal ids share one, null ids too. No row goes, whatever its text."""
     return sharding.place(docs)
 
 
