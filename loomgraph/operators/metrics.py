@@ -76,14 +76,17 @@ MOVED, RANGE_BLOCK, TOGETHER = 3, 64, 256
 
 
 def _candidates(parsed: DataFrame, extracted: DataFrame) -> DataFrame:
-    """The pairs that any rule of ``match_functions`` may take, each once. Pairs meet by equal keys only: path and line, or path, name and a line nearby or a block of lines."""
+    """The pairs that any rule of ``match_functions`` may take, each once. Pairs meet by equal keys only: path and line, or path, name and a line nearby or a block of lines.
+
+    Both sides grow with the code, and files of few megabytes hold millions of functions, so the joins say that neither is to be sent whole.
+    """
     p = parsed.select("path", "pid", "name", F.col("line").cast("long").alias("line"), F.greatest(F.col("line"), F.coalesce("end_line", "line")).cast("long").alias("last"))
     e = extracted.select("path", "uid", F.col("name").alias("e_name"), F.col("line").cast("long").alias("e_line"))
-    here = p.join(e.withColumn("line", F.col("e_line")), ["path", "line"])
-    named = e.withColumn("name", F.col("e_name"))
-    near = p.withColumn("at", F.explode(F.sequence(F.col("line") - MOVED, F.col("line") + MOVED))).join(named.withColumn("at", F.col("e_line")), ["path", "name", "at"])
+    here = p.join(e.withColumn("line", F.col("e_line")).hint("merge"), ["path", "line"])
+    named = lambda at: e.withColumns({"name": F.col("e_name"), "at": at}).hint("merge")
+    near = p.withColumn("at", F.explode(F.sequence(F.col("line") - MOVED, F.col("line") + MOVED))).join(named(F.col("e_line")), ["path", "name", "at"])
     block = lambda c: F.floor(F.col(c) / RANGE_BLOCK)
-    held = p.withColumn("at", F.explode(F.sequence(block("line"), block("last")))).join(named.withColumn("at", block("e_line")), ["path", "name", "at"]).where("e_line between line and last")
+    held = p.withColumn("at", F.explode(F.sequence(block("line"), block("last")))).join(named(block("e_line")), ["path", "name", "at"]).where("e_line between line and last")
     same, gap = F.coalesce(F.col("name") == F.col("e_name"), F.lit(False)), F.abs(F.col("line") - F.col("e_line"))
     columns = ["path", "pid", "uid", "line", "e_line", same.alias("same"), gap.alias("gap"), F.col("e_line").between(F.col("line"), F.col("last")).alias("inside")]
     return here.select(*columns).unionByName(near.select(*columns)).unionByName(held.select(*columns)).distinct()
@@ -102,25 +105,38 @@ def match_functions(parsed: DataFrame, extracted: DataFrame) -> DataFrame:
     reach = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("cut", F.coalesce((F.col("low") > reach).cast("long"), F.lit(0))).withColumn("stretch", F.floor(F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)) / TOGETHER))
 
-    def choose(pdf):
+    def choose(batches):
+        """The choices of stretches that follow each other, rows in the order of choice; of a stretch only what is taken is kept."""
         import pandas as pd
 
-        taken, out, own = set(), [], {}
-        for r in pdf.sort_values(["e_line", "uid", "gap", "line", "pid"]).itertuples(index=False):
-            own.setdefault((r.e_line, r.uid), []).append(r)
-        for (_, uid), pairs in own.items():
+        columns, taken, stretch, pairs = ["path", "pid", "uid", "rank"], set(), None, []
+
+        def chosen():
             free = [r for r in pairs if r.pid not in taken]
             here = [r for r in free if r.gap == 0]
             steps = ([r for r in here if r.same], here if len(here) == 1 else [], [r for r in free if r.same and r.gap <= MOVED], sorted((r for r in free if r.same and r.inside), key=lambda r: (r.line, r.pid)))
             for rank, found in enumerate(steps):
                 if found:
                     taken.add(found[0].pid)
-                    out.append((found[0].path, found[0].pid, uid, rank))
-                    break
-        return pd.DataFrame(out, columns=["path", "pid", "uid", "rank"])
-
-    chosen = ["path", "pid", "uid", "line", "e_line", "same", "gap", "inside", "stretch"]
-    return rows.select(*chosen).groupBy("path", "stretch").applyInPandas(choose, "path string, pid string, uid string, rank int")
+                    return [(found[0].path, found[0].pid, found[0].uid, rank)]
+            return []
+
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if pairs and (r.path, r.stretch, r.e_line, r.uid) != (*stretch, pairs[0].e_line, pairs[0].uid):
+                    out += chosen()
+                    pairs = []
+                if (r.path, r.stretch) != stretch:
+                    stretch, taken = (r.path, r.stretch), set()
+                pairs.append(r)
+            yield pd.DataFrame(out, columns=columns)
+        if pairs:
+            yield pd.DataFrame(chosen(), columns=columns)
+
+    columns, by = ["path", "pid", "uid", "line", "e_line", "same", "gap", "inside", "stretch"], ["e_line", "uid", "gap", "line", "pid"]
+    ordered = rows.select(*columns).repartition("path", "stretch").sortWithinPartitions("path", "stretch", *by)
+    return ordered.mapInPandas(choose, "path string, pid string, uid string, rank int")
 
 
 def call_depths(calls: DataFrame, sites: DataFrame) -> DataFrame:

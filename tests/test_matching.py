@@ -64,3 +64,21 @@ def test_missing_names_and_ends(spark):
     found = metrics.match_functions(spark.createDataFrame(parsed, P), spark.createDataFrame(extracted, E))
     assert {tuple(x) for x in found.collect()} == {("f", "1", "u1", 1), ("f", "2", "u2", 2)}
     assert metrics.match_functions(spark.createDataFrame([], P), spark.createDataFrame(extracted, E)).count() == 0
+
+
+def test_joins_send_no_table_whole(spark):
+    """Compressed files of functions look small to the planner; their tables must meet by a shuffle all the same."""
+    p = spark.range(50).selectExpr("'f' AS path", "string(id) AS pid", "string(id % 7) AS name", "int(id) AS line", "int(id + 3) AS end_line")
+    plan = metrics.match_functions(p, p.withColumnRenamed("pid", "uid"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_many_small_files_are_matched_in_one_pass(spark):
+    """A file is no call of Python of its own: a task walks its files one after the other."""
+    parsed, extracted = [], []
+    for f in range(3000):
+        a, b = random_file(random.Random(f), f"f{f}", 2, ["a", "b"], 4)
+        parsed, extracted = parsed + a, extracted + b
+    found = metrics.match_functions(spark.createDataFrame(parsed, P), spark.createDataFrame(extracted, E))
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(x) for x in found.collect()} == loop(parsed, extracted)
