@@ -191,10 +191,11 @@ def s12(spark, sf_dir):
     return io.flatten_discussions(c.groupBy(F.col("conv_id").alias("id")).agg(F.collect_list(note).alias("notes")))
 
 
-def entities(spark, sf_dir):
-    """State entities: one per third order of the previous generation."""
-    g = standin.relation(spark, sf_dir, "gen_prev").where("k % 3 = 0")
-    return g.select(F.concat(F.lit("US-"), F.lpad((F.col("k") + 1).cast("string"), 6, "0")).alias("internal_id"), F.col("key").alias("external_id"), F.col("key").alias("external_key"), "status", "title", F.col("priority").alias("tag"), F.col("bucket"), F.lower("status").alias("state"), F.array("priority").alias("tags"))
+def entities(spark, sf_dir, *, whole: bool = False):
+    """State entities: one per third order of the previous generation. Their ids have six digits, the first of longer numbers as in the twins, unless ``whole``."""
+    g, number = standin.relation(spark, sf_dir, "gen_prev").where("k % 3 = 0"), (F.col("k") + 1).cast("string")
+    digits = F.when(F.length(number) > 6, number).otherwise(F.lpad(number, 6, "0")) if whole else F.lpad(number, 6, "0")
+    return g.select(F.concat(F.lit("US-"), digits).alias("internal_id"), F.col("key").alias("external_id"), F.col("key").alias("external_key"), "status", "title", F.col("priority").alias("tag"), F.col("bucket"), F.lower("status").alias("state"), F.array("priority").alias("tags"))
 
 
 @registered("t1_rebuilt", "SELECT key, bucket FROM gen_prev WHERE bucket <> 'tests' UNION ALL SELECT key, bucket FROM gen_cur WHERE bucket = 'tests' AND k % 20 <> 0")
@@ -248,7 +249,7 @@ def t5(spark, sf_dir):
 @registered("t6_numbered", f"""WITH n AS ({NEW}), last AS (SELECT max(k + 1) AS m FROM gen_prev WHERE k % 3 = 0) SELECT external_id, 'US-' || CASE WHEN length(i::VARCHAR) < 3 THEN lpad(i::VARCHAR, 3, '0') ELSE i::VARCHAR END AS internal_id
 FROM (SELECT external_id, m + row_number() OVER (ORDER BY substr(md5(external_id), 1, 3), external_id) AS i FROM n, last)""")
 def t6(spark, sf_dir):
-    return state.numbered(_new(spark, sf_dir), entities(spark, sf_dir), "US").select("external_id", "internal_id")
+    return state.numbered(_new(spark, sf_dir), entities(spark, sf_dir, whole=True), "US").select("external_id", "internal_id")
 
 
 @registered("t7_tag_rules", """SELECT 'US-' || lpad((k + 1)::VARCHAR, 6, '0') AS internal_id, CASE WHEN priority = '1-URGENT' AND status <> 'F' THEN 'hot' WHEN priority = '2-HIGH' THEN 'f' END AS state
