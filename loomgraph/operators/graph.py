@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators.derive import scoped
-from loomgraph.operators.traverse import stored
+from loomgraph.operators.traverse import large, stored
 
 
 def _no_props(rows: DataFrame) -> Column:
@@ -87,7 +87,7 @@ def merge_props(rows: DataFrame) -> DataFrame:
     r0, (1, -seq) if from a stub after it; the highest rank wins. So hubs need no list, only partial maxima.
     """
     first = rows.where(~F.coalesce("stub", F.lit(False))).groupBy("namespace", "uid").agg(F.min("seq").alias("r0"))
-    cells = rows.select("namespace", "uid", "seq", F.coalesce("stub", F.lit(False)).alias("stub"), F.explode("props").alias("name", "value")).join(first, ["namespace", "uid"], "left")
+    cells = rows.select("namespace", "uid", "seq", F.coalesce("stub", F.lit(False)).alias("stub"), F.explode("props").alias("name", "value")).join(large(first), ["namespace", "uid"], "left")
     before = F.col("r0").isNull() | (F.col("seq") < F.col("r0"))
     rank = F.when(~F.col("stub"), F.struct(F.lit(3).alias("c"), F.col("seq").alias("s"))).when(before, F.struct(F.lit(2).alias("c"), F.col("seq").alias("s"))).otherwise(F.struct(F.lit(1).alias("c"), (-F.col("seq")).alias("s")))
     order = F.struct(rank.alias("r"), F.col("value").cast("string").alias("shown"))  # typed values have no order of their own
@@ -101,7 +101,7 @@ def merge_nodes(rows: DataFrame) -> DataFrame:
     marks = rows.select("namespace", "uid", "seq", F.posexplode("labels").alias("at", "label")).groupBy("namespace", "uid", "label").agg(F.min(F.struct("seq", "at")).alias("w"))
     labels = marks.groupBy("namespace", "uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "label"))), lambda x: x["label"]).alias("labels"))
     base = rows.groupBy("namespace", "uid").agg(F.bool_and(F.coalesce("stub", F.lit(False))).alias("stub"))
-    return base.join(labels, ["namespace", "uid"], "left").join(props, ["namespace", "uid"], "left").withColumn("props", F.coalesce("props", _no_props(rows)))
+    return base.join(large(labels), ["namespace", "uid"], "left").join(large(props), ["namespace", "uid"], "left").withColumn("props", F.coalesce("props", _no_props(rows)))
 
 
 def merge_edges(rows: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def merge_edges(rows: DataFrame) -> DataFrame:
     key = ["namespace", "type", "start", "end_uid", "edge_key"]
     keyed = rows.withColumn("edge_key", F.coalesce("edge_key", F.lit("")))
     best = keyed.groupBy(*key).agg(F.max("seq").alias("seq"))
-    return keyed.join(best, [*key, "seq"]).dropDuplicates(key)
+    return keyed.join(large(best), [*key, "seq"]).dropDuplicates(key)
 
 
 def closed_labels(labels: Column, vocabulary: tuple[str, ...], fallback: str = "Issue") -> Column:
@@ -125,12 +125,12 @@ def upsert_nodes(nodes: DataFrame, edges: DataFrame, stored: DataFrame, *, versi
     """Stored nodes overlaid by a batch: new properties win, labels add up, the version is stamped; unknown ends of edges become stubs."""
     key = ["namespace", "uid"]
     ends = edges.select("namespace", F.col("start").alias("uid")).union(edges.select("namespace", "end_uid")).distinct()
-    new = ends.join(nodes.select(*key), key, "left_anti").join(stored.select(*key), key, "left_anti")
+    new = ends.join(large(nodes.select(*key)), key, "left_anti").join(large(stored.select(*key)), key, "left_anti")
     new = new.select(*key, F.array().cast("array<string>").alias("labels"), _no_props(stored).alias("props"), F.lit(True).alias("stub"), F.lit(version).alias("last_seen_version"))
     n = nodes.select(*key, F.col("labels").alias("n_labels"), F.col("props").alias("n_props"), F.coalesce("stub", F.lit(False)).alias("n_stub"), F.lit(True).alias("seen"))
     empty_l, empty_p = F.array().cast("array<string>"), _no_props(stored)
     old = F.map_filter(F.coalesce("props", empty_p), lambda k, v: ~F.coalesce(F.map_contains_key("n_props", k), F.lit(False)))
-    both = stored.join(n, key, "full_outer").select(
+    both = stored.join(large(n), key, "full_outer").select(
         *key, F.array_distinct(F.concat(F.coalesce("labels", empty_l), F.coalesce("n_labels", empty_l))).alias("labels"), F.map_concat(old, F.coalesce("n_props", empty_p)).alias("props"),
         F.coalesce(F.col("n_stub") & F.coalesce("stub", F.lit(True)), F.col("stub")).alias("stub"), F.when(F.col("seen"), F.lit(version)).otherwise(F.col("last_seen_version")).alias("last_seen_version"))
     return both.unionByName(new)
@@ -140,7 +140,7 @@ def upsert_edges(edges: DataFrame, stored: DataFrame, *, version: int) -> DataFr
     """Stored edges, those of the batch replaced and stamped."""
     key = ["namespace", "type", "start", "end_uid", "edge_key"]
     fresh = merge_edges(edges).select(*key, "props").withColumn("last_seen_version", F.lit(version))
-    return stored.join(fresh.select(*key), key, "left_anti").unionByName(fresh)
+    return stored.join(large(fresh.select(*key)), key, "left_anti").unionByName(fresh)
 
 
 def _named(ns: str) -> None:
