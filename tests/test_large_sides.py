@@ -19,8 +19,8 @@ def plans(monkeypatch):
 
 
 def test_merged_and_upserted_nodes(spark):
-    rows = spark.range(9).select(F.lit("s").alias("namespace"), F.concat(F.lit("u"), F.col("id") % 5).alias("uid"), F.array(F.lit("A")).alias("labels"), F.create_map(F.lit("k"), F.col("id").cast("string")).alias("props"), F.lit(False).alias("stub"), F.col("id").alias("seq"))
-    edges = spark.range(9).select(F.lit("s").alias("namespace"), F.lit("T").alias("type"), F.concat(F.lit("u"), "id").alias("start"), F.concat(F.lit("x"), F.col("id") * 0).alias("end_uid"), F.lit("").alias("edge_key"), F.create_map(F.lit("k"), F.lit("v")).alias("props"), F.col("id").alias("seq"))
+    rows = spark.range(9).select(F.concat(F.lit("s"), F.shiftright("id", 9)).alias("namespace"), F.concat(F.lit("u"), F.col("id") % 5).alias("uid"), F.array(F.lit("A")).alias("labels"), F.create_map(F.lit("k"), F.col("id").cast("string")).alias("props"), F.lit(False).alias("stub"), F.col("id").alias("seq"))
+    edges = spark.range(9).select(F.concat(F.lit("s"), F.shiftright("id", 9)).alias("namespace"), F.lit("T").alias("type"), F.concat(F.lit("u"), "id").alias("start"), F.concat(F.lit("x"), F.shiftright("id", 9)).alias("end_uid"), F.concat(F.lit("k"), F.shiftright("id", 9)).alias("edge_key"), F.create_map(F.lit("k"), F.lit("v")).alias("props"), F.col("id").alias("seq"))
     stored = rows.where("seq < 3").drop("seq").withColumn("last_seen_version", F.lit(1))
     found = graph.upsert_nodes(graph.merge_nodes(rows), edges, stored, version=2)
     assert "Broadcast" not in plan(found)
