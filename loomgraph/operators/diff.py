@@ -35,13 +35,15 @@ def identity(*frames: DataFrame) -> list[str]:
 def text_of(name: str, kind: str) -> Column:
     """A comparable text of a field: lists sorted, maps by key."""
     c = F.col(name)
+    in_order = lambda v: F.concat(F.sort_array(F.array_compact(v)), F.filter(v, lambda x: x.isNull()))  # as array_sort, which compares by a lambda
     if kind.startswith("array"):
-        return F.array_join(F.array_sort(F.coalesce(c, F.array().cast("array<string>"))), ", ")
+        return F.array_join(F.sort_array(F.coalesce(c, F.array().cast("array<string>"))), ", ")
     if kind.startswith("map<string,array"):  # links in any order, fields without any left out
-        filled = F.map_filter(F.transform_values(c, lambda k, v: F.array_sort(v)), lambda k, v: F.size(v) > 0)
-        return F.to_json(F.array_sort(F.map_entries(F.when(F.size(filled) > 0, filled))))
+        entries = F.filter(F.sort_array(F.map_entries(c)), lambda e: F.size(e["value"]) > 0)
+        filled = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), in_order(e["value"]).alias("value")))
+        return F.nullif(F.to_json(filled), F.lit("[]"))
     if kind.startswith("map"):
-        return F.to_json(F.array_sort(F.map_entries(c)))
+        return F.to_json(F.sort_array(F.map_entries(c)))
     return c.cast("string")
 
 
@@ -69,30 +71,42 @@ def _event(kind: Column, item: str, kinds: dict[str, str], detected_at: str, fie
             (null if before is None else before).alias("before"), (null if after is None else after).alias("after"), own("updated_at").alias("item_updated_at"), F.lit(detected_at).alias("detected_at"), said.alias("details")]
 
 
+def _told(df: DataFrame, kinds: dict[str, str], to: str) -> Column:
+    """What the diff takes of an item, as struct ``to``: its own columns, each compared field as its text, and the hash of those. Texts are made once, before items meet."""
+    compared = [c for c in FIELD_EVENTS if c in kinds]
+    plain = [c for c in ("system", "bucket", "url", "updated_at", "details") if c in kinds and c in df.columns]
+    return F.struct(*plain, *[text_of(c, kinds[c]).alias(c) for c in compared], content_hash(df).alias("hash")).alias(to)
+
+
 def diff(previous: DataFrame, current: DataFrame, *, detected_at: str) -> DataFrame:
-    """Created items, one event per changed field or detail, and updates that moved only the timestamp."""
-    both = paired(previous, current)
-    kinds = dict(current.dtypes)
-    changed = both.where("was.hash <> now.hash")
-    fields = [c for c in FIELD_EVENTS if c in kinds]
-    as_text = lambda side, c: text_of(f"{side}.{c}", kinds[c])
-    each = F.explode(F.array(*[F.struct(F.lit(FIELD_EVENTS[c]).alias("k"), F.lit(c).alias("f"), as_text("was", c).alias("b"), as_text("now", c).alias("a")) for c in fields]))
-    moved = changed.select("*", each.alias("x")).where("not (x.b <=> x.a)").select(*_event(F.col("x.k"), "now", kinds, detected_at, F.col("x.f"), F.col("x.b"), F.col("x.a")))
-    events = [both.where("was is null").select(*_event(F.lit("CREATED"), "now", kinds, detected_at)), moved]
+    """Created items, one event per changed field or detail, and updates that moved only the timestamp.
+
+    Items meet once, and each pair raises all its events in one pass.
+    """
+    keys, kinds = identity(previous, current), dict(current.dtypes)
+    both = previous.select(*keys, _told(previous, kinds, "was")).join(current.select(*keys, _told(current, kinds, "now")), keys, "full_outer").where("now is not null")
+    text = lambda c: F.lit(None).cast("string") if c is None else c.cast("string")
+    raised = lambda kind, field=None, before=None, after=None, detail=None: F.struct(kind.alias("kind"), text(field).alias("field_name"), text(before).alias("before"), text(after).alias("after"), text(detail).alias("detail"))
+    none = F.array().cast("array<struct<kind:string,field_name:string,before:string,after:string,detail:string>>")
+    moved = [F.when(~F.col(f"was.{c}").eqNullSafe(F.col(f"now.{c}")), F.array(raised(F.lit(FIELD_EVENTS[c]), F.lit(c), F.col(f"was.{c}"), F.col(f"now.{c}")))).otherwise(none) for c in FIELD_EVENTS if c in kinds]
     if "details" in kinds:
-        events.append(detail_events(changed, kinds, detected_at))
-    stamp = both.where("was.hash = now.hash and not (was.updated_at <=> now.updated_at) and coalesce(now.updated_at, '') <> ''")
-    events.append(stamp.select(*_event(F.lit("UPDATED"), "now", kinds, detected_at, F.lit("updated_at"), F.col("was.updated_at"), F.col("now.updated_at"))))
-    return reduce(DataFrame.unionByName, events)
+        moved.append(detail_events(raised))
+    changed = F.concat(*moved) if moved else none
+    stamped = ~F.col("was.updated_at").eqNullSafe(F.col("now.updated_at")) & (F.coalesce("now.updated_at", F.lit("")) != "")
+    events = (F.when(F.col("was").isNull(), F.array(raised(F.lit("CREATED")))).when(F.col("was.hash") != F.col("now.hash"), changed)
+              .when(stamped, F.array(raised(F.lit("UPDATED"), F.lit("updated_at"), F.col("was.updated_at"), F.col("now.updated_at")))))
+    rows = both.select("source", "key", "now", F.explode(events).alias("x"))
+    said = F.when(F.col("x.detail").isNull(), F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("detail"), F.col("x.detail")))
+    return rows.select(*_event(F.col("x.kind"), "now", kinds, detected_at, F.col("x.field_name"), F.col("x.before"), F.col("x.after"))[:-1], said.alias("details"))
 
 
-def detail_events(changed: DataFrame, kinds: dict[str, str], detected_at: str) -> DataFrame:
+def detail_events(raised) -> Column:
     """One event per detail label of either generation whose text moved."""
     empty = F.create_map().cast("map<string,string>")
     zipped = F.map_zip_with(F.coalesce("was.details", empty), F.coalesce("now.details", empty), lambda k, b, a: F.struct(b.alias("b"), a.alias("a")))
-    rows = changed.select("*", F.explode(F.map_filter(zipped, lambda k, v: ~v["b"].eqNullSafe(v["a"]))).alias("label", "v"))
-    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in DETAIL_EVENTS.items() for x in kv]), F.col("label")), F.lit(OTHER_DETAIL))
-    return rows.select(*_event(kind, "now", kinds, detected_at, F.col("label"), F.col("v.b"), F.col("v.a"), detail=F.col("label")))
+    entries = F.filter(F.map_entries(zipped), lambda e: ~e["value"]["b"].eqNullSafe(e["value"]["a"]))
+    kind = lambda label: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in DETAIL_EVENTS.items() for x in kv]), label), F.lit(OTHER_DETAIL))
+    return F.transform(entries, lambda e: raised(kind(e["key"]), e["key"], e["value"]["b"], e["value"]["a"], e["key"]))
 
 
 def vanished(previous: DataFrame, current: DataFrame, *, incremental: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import diff, state
+from loomgraph.operators import diff, state, traverse
 from loomgraph.plans import standin
 from loomgraph.plans.registry import registered
 from loomgraph.sources import io
@@ -206,7 +206,7 @@ def t1(spark, sf_dir):
 
 @registered("t3_action_queue", f"SELECT dedupe_key AS action_id, kind, key, 8 AS state_version FROM ({KEYED}) k WHERE bucket = 'tests' AND kind NOT IN ('UPDATED', 'CREATED')")
 def t3(spark, sf_dir):
-    e = diff.identified(events(spark, sf_dir)).where("bucket = 'tests'")
+    e = traverse.stored(diff.identified(events(spark, sf_dir)).where("bucket = 'tests'").select("dedupe_key", "kind", "key"), "events")  # read for the queue and for what is known
     old = lambda kind: e.where(F.col("kind") == kind).select(F.col("dedupe_key").alias("action_id"))
     return state.queue_actions(e, old("UPDATED"), old("CREATED"), version=8)
 
