@@ -48,8 +48,8 @@ def state(spark: SparkSession, path: str, keys: list[str], *, before: int, only:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "__generation").alias("row")).select("row.*")
 
 
-def append(rows: DataFrame, path: str, keys: list[str], *, generation: int, every: int = EVERY) -> None:
-    """Writes a generation's changed rows, one per key; after every ``every``-th generation, the base."""
+def append(rows: DataFrame, path: str, keys: list[str], *, generation: int, every: int = EVERY) -> DataFrame:
+    """Writes a generation's changed rows, one per key, and gives them as stored; after every ``every``-th generation, the base."""
     spark = rows.sparkSession
     rows.write.mode("overwrite").parquet(f"{path}/changes/generation={generation}")
     if (generation + 1) % every == 0:
@@ -60,3 +60,4 @@ def append(rows: DataFrame, path: str, keys: list[str], *, generation: int, ever
                 if older and (g < older[-1] or kind == "changes" and g == older[-1]):
                     p, fs = _folder(spark, f"{path}/{kind}/generation={g}")
                     fs.delete(p, True)
+    return spark.read.schema(rows.schema).parquet(f"{path}/changes/generation={generation}")

@@ -19,8 +19,8 @@ from loomgraph.streaming import log
 
 
 def newest(items: DataFrame) -> DataFrame:
-    """The last observation of each item in a batch, by its own timestamp."""
-    return derive.keep_first(items, diff.identity(items), F.col("updated_at").desc_nulls_last(), F.to_json(F.struct("*")).desc())
+    """The last observation of each item in a batch, by its own timestamp. Items are dealt out first, so that no text of them for ties is shuffled."""
+    return derive.keep_first(items.repartition(*diff.identity(items)), diff.identity(items), F.col("updated_at").desc_nulls_last(), F.to_json(F.struct("*")).desc())
 
 
 ITEM_KEYS, NODE_KEYS = ["source", "key"], ["namespace", "uid"]
@@ -42,18 +42,17 @@ def load(spark: SparkSession, path: str, batch: int, keys: list[str] | None = No
 def observe(stream: DataFrame, *, snapshots: str, events: str, detected_at: str = "", every: int = log.EVERY) -> DataStreamWriter:
     """Each micro-batch is an incremental read: its items are compared with the snapshot, events appended, the snapshot overlaid.
 
-    The snapshot is a log, so a batch reads its own items' rows and writes no others. Events carry their identity and the batch that raised
+    The snapshot is a log, so a batch writes its own items' rows first, reads those back, and what lies before them of the same items. Events carry their identity and the batch that raised
     them; a batch that runs again replaces its own folders, so nothing is signalled twice. A full reconcile is a run of ``reconcile``
     beside the stream.
     """
 
     def batch(items: DataFrame, batch_id: int) -> None:
-        now = newest(items)
-        keys = diff.identity(now)
+        keys = diff.identity(items)
+        now = log.append(newest(items), snapshots, keys, generation=batch_id, every=every)
         before = log.state(items.sparkSession, snapshots, keys, before=batch_id, only=now)
         was = now.where("false") if before is None else before
         diff.identified(diff.diff(was, now, detected_at=detected_at)).write.mode("overwrite").parquet(f"{events}/batch={batch_id}")
-        log.append(now, snapshots, keys, generation=batch_id, every=every)
 
     return stream.writeStream.foreachBatch(batch).trigger(availableNow=True)
 
@@ -65,9 +64,10 @@ def reconcile(spark: SparkSession, current: DataFrame, *, snapshots: str, genera
     return diff.diff(was, current, detected_at=detected_at), diff.vanished(was, current)
 
 
-def signal_once(events: DataFrame, *, within: str | None = None) -> DataFrame:
-    """Each event identity once; with a bound on lateness, state is dropped after it (needs a timestamp column ``seen_at``)."""
+def signal_once(events: DataFrame, *, within: str | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
+    """Each event identity once; with a bound on lateness, state is dropped after it (needs a timestamp column ``seen_at``). ``only`` these columns: others aren't shuffled."""
     keyed = events.withColumn("dedupe_key", diff.dedupe_key(events.columns))
+    keyed = keyed if only is None else keyed.select(*dict.fromkeys((*only, "dedupe_key", *(() if within is None else ("seen_at",)))))
     return keyed.dropDuplicates(["dedupe_key"]) if within is None else keyed.withWatermark("seen_at", within).dropDuplicatesWithinWatermark(["dedupe_key"])
 
 
