@@ -1,8 +1,8 @@
 """The project-state report as nested documents: requirements (P1), tests with their runs (P2), containers with what was run from them.
 
 Each document is one JSON text without empty members: null, blank texts, empty lists and empty objects go, false and 0 are answers and
-stay. What edges say of a node is gathered in one pass: every edge is read from both its ends, gives the facts of ``FACTS`` that its
-type stands for, and facts are grouped per node and name. So one-to-many sides never meet before they are lists, and nothing is multiplied.
+stay. What edges say of a node is gathered in one pass: an edge is read from the ends that a document asks for, gives the facts of ``FACTS``
+that its type stands for, and facts are grouped per node. So one-to-many sides never meet before they are lists, and nothing is multiplied.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators import derive
+from loomgraph.operators import derive, traverse
 from loomgraph.operators.derive import of_type, requirements, scoped, tests
 
 #: Links that a requirement lists; the hierarchy is told as parent and children.
@@ -26,6 +26,10 @@ FACTS = (
     ("test_plans", "PLANS", "end", "TestPlan", "key"), ("contained_tests", "CONTAINS", "start", "Test", "key"), ("planned_tests", "PLANS", "start", "Test", "key"), ("planned_sets", "PLANS", "start", "TestSet", "key"), ("plan_executions", "HAS_EXECUTION", "start", None, "key"),
     ("executed_by", "EXECUTED_BY", "start", None, "name"), ("environments", "IN_ENVIRONMENT", "start", None, "name"), ("defects", "FOUND_DEFECT", "start", None, "key"), ("evidence", "HAS_EVIDENCE", "start", None, "name"),
 )
+P1_FACTS = ("assignee", "reporter", "labels", "components", "fix_versions", "sprints", "parent", "children", "tests")
+RUN_FACTS = ("executed_by", "environments", "defects", "evidence")
+P2_FACTS = ("assignee", "labels", "covers", "preconditions", "test_sets", "test_plans", "executions")
+P3_FACTS = ("assignee", "environments", "planned_tests", "contained_tests", "planned_sets", "plan_executions")
 COUNTS = (("found_by_runs", "FOUND_DEFECT", "end"), ("comment_count", "HAS_COMMENT", "start"), ("attachment_count", "HAS_ATTACHMENT", "start"), ("change_count", "ON", "end"))
 
 
@@ -49,36 +53,45 @@ def document(**members: Column) -> Column:
     return F.to_json(F.struct(*[c.alias(k) for k, c in members.items()]))
 
 
-def ends(nodes: DataFrame, edges: DataFrame, ns: str) -> DataFrame:
-    """Every edge from both its ends: ``(uid, side, type, link_type, far, far_labels, far_key, far_name)``; the far end may be unknown."""
-    e = scoped(edges, ns).select("type", "start", "end_uid", column(edges, "link_type").cast("string").alias("link_type"))
-    both = F.explode(F.array(*[F.struct(F.col(a).alias("uid"), F.lit(side).alias("side"), F.col(b).alias("far")) for a, b, side in (("start", "end_uid", "start"), ("end_uid", "start", "end"))]))
+def sides(edges: DataFrame, ns: str, wanted: set[tuple[str, str]]) -> DataFrame:
+    """Edges from the wanted ends ``(type, side)``: ``(uid, side, type, link_type, far)``. Others are dropped as they are read."""
+    types = {t: [s for s in ("start", "end") if (t, s) in wanted] for t in sorted({t for t, _ in wanted})}
+    e = of_type(edges, ns, *types).select("type", "start", "end_uid", column(edges, "link_type").cast("string").alias("link_type"))
+    x = lambda side: F.struct(F.col("start" if side == "start" else "end_uid").alias("uid"), F.lit(side).alias("side"), F.col("end_uid" if side == "start" else "start").alias("far"))
+    by_sides = {tuple(v): [t for t, w in types.items() if w == v] for v in types.values()}
+    each = F.coalesce(*[F.when(F.col("type").isin(*ts), F.array(*[x(s) for s in v])) for v, ts in by_sides.items()])
+    return e.select("type", "link_type", F.explode(each).alias("x")).select("x.uid", "x.side", "type", "link_type", "x.far")
+
+
+def known(of: DataFrame, nodes: DataFrame, ns: str) -> DataFrame:
+    """Ends of edges with ``(far_labels, far_key, far_name)``; those whose far end is unknown or has neither key nor name are left out."""
     far = scoped(nodes, ns).select(F.col("uid").alias("far"), F.col("labels").alias("far_labels"), text_of(nodes, "key", "source_issue").alias("far_key"), text_of(nodes, *NAMES).alias("far_name"))
-    return e.select("type", "link_type", both.alias("x")).select("x.uid", "x.side", "type", "link_type", "x.far").join(far, "far", "left")
+    return of.join(far.where("far_key is not null or far_name is not null"), "far")
 
 
-def facts(of: DataFrame) -> DataFrame:
-    """``(uid, facts map<string,array<string>>, counts map<string,long>)``: what ``FACTS`` and ``COUNTS`` say of each node, values distinct and sorted."""
-    known = F.create_map(*[x for t in dict.fromkeys((t, s) for _, t, s, _, _ in FACTS) for x in (F.lit(":".join(t)), F.array(*[F.struct(F.lit(n).alias("name"), F.lit(label).cast("string").alias("label"), F.lit(by).alias("by")) for n, ty, s, label, by in FACTS if (ty, s) == t]))])
-    counted = F.create_map(*[F.lit(x) for n, t, s in COUNTS for x in (f"{t}:{s}", n)])
-    rule = F.concat_ws(":", "type", "side")
-    fits = lambda r: r["label"].isNull() | F.coalesce(F.array_contains("far_labels", r["label"]), F.lit(False))
-    cell = lambda name, value, n: F.struct(name.alias("name"), value.cast("string").alias("value"), F.lit(n).cast("long").alias("n"))
-    told = F.transform(F.filter(F.coalesce(F.try_element_at(known, rule), F.array().cast("array<struct<name:string,label:string,by:string>>")), fits), lambda r: cell(r["name"], F.when(r["by"] == "key", F.col("far_key")).otherwise(F.col("far_name")), 0))
-    number = F.try_element_at(counted, rule)
-    rows = of.select("uid", F.explode(F.concat(told, F.when(number.isNotNull(), F.array(cell(number, F.lit(None), 1))).otherwise(F.array().cast("array<struct<name:string,value:string,n:bigint>>")))).alias("x")).select("uid", "x.*").where("value is not null or n > 0")
-    by_name = rows.groupBy("uid", "name").agg(F.array_sort(F.collect_set("value")).alias("values"), F.sum("n").alias("n"))
-    entries = by_name.groupBy("uid").agg(F.collect_list(F.struct("name", "values", "n")).alias("e"))
-    part = lambda keep, value: F.map_from_entries(F.transform(F.filter("e", keep), lambda e: F.struct(e["name"], e[value])))
-    return entries.select("uid", part(lambda e: e["n"] == 0, "values").alias("facts"), part(lambda e: e["n"] > 0, "n").alias("counts"))
+def facts(nodes: DataFrame, edges: DataFrame, ns: str, names: tuple[str, ...], own: DataFrame | None = None) -> DataFrame:
+    """``(uid, fact_<name> array<string>...)``: what the named ``FACTS`` say of each node, values distinct and sorted, null without any. With ``own``, of its nodes only: others' edges go before they meet their far ends."""
+    told = [f for f in FACTS if f[0] in names]
+    of = sides(edges, ns, {(t, s) for _, t, s, _, _ in told})
+    of = known(of if own is None else of.join(own.select("uid").distinct(), "uid", "left_semi"), nodes, ns)
+    rules = {r: [f for f in told if f[1:3] == r] for r in dict.fromkeys(f[1:3] for f in told)}
+    fits = lambda label: F.lit(True) if label is None else F.coalesce(F.array_contains("far_labels", label), F.lit(False))
+    cell = lambda f: F.when(fits(f[3]), F.struct(F.lit(f[0]).alias("name"), F.col(f"far_{f[4]}").alias("value")))
+    each = F.coalesce(*[F.when((F.col("type") == t) & (F.col("side") == s), F.array(*[cell(f) for f in fs])) for (t, s), fs in rules.items()])
+    rows = of.select("uid", F.explode(each).alias("x")).where("x.value is not null")
+    entries = rows.groupBy("uid").agg(F.collect_set("x").alias("e"))
+    values = lambda n: F.array_sort(F.transform(F.filter("e", lambda e: e["name"] == n), lambda e: e["value"]))
+    return entries.select("uid", *[filled(values(n)).alias(f"fact_{n}") for n in names])
 
 
-def _with_facts(nodes: DataFrame, of: DataFrame) -> DataFrame:
-    return nodes.join(facts(of), "uid", "left")
+def counts(edges: DataFrame, ns: str) -> DataFrame:
+    """``(uid, count_<name> long...)``: how many edges ``COUNTS`` counts at each node."""
+    of = sides(edges, ns, {(t, s) for _, t, s in COUNTS})
+    return of.groupBy("uid").agg(*[F.count(F.when((F.col("type") == t) & (F.col("side") == s), 1)).alias(f"count_{n}") for n, t, s in COUNTS])
 
 
 def _list(name: str) -> Column:
-    return F.try_element_at("facts", F.lit(name))
+    return F.col(f"fact_{name}")
 
 
 def _one(name: str) -> Column:
@@ -86,29 +99,29 @@ def _one(name: str) -> Column:
 
 
 def _count(name: str) -> Column:
-    return F.coalesce(F.try_element_at("counts", F.lit(name)), F.lit(0))
+    return F.coalesce(f"count_{name}", F.lit(0))
 
 
 def link_lists(of: DataFrame) -> DataFrame:
     """``(uid, links)``: a node's outward links by type and the far key, which is the last part of its uid, so links out of scope count too; of those told twice the last name stays."""
     far = F.element_at(F.split("far", ":"), -1)
-    rows = of.where((F.col("side") == "start") & F.col("type").isin(*LINKS)).select("uid", "type", far.alias("to"), F.nullif("link_type", F.lit("")).alias("as")).where("to <> ''")
+    rows = of.select("uid", "type", far.alias("to"), F.nullif("link_type", F.lit("")).alias("as")).where("to <> ''")
     each = rows.groupBy("uid", "type", "to").agg(F.max("as").alias("as"))
     return each.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("type", "to", "as"))).alias("links"))
 
 
-def mention_lists(of: DataFrame, nodes: DataFrame) -> DataFrame:
+def mention_lists(of: DataFrame, nodes: DataFrame, ns: str) -> DataFrame:
     """``(uid, mentioned_by)``: the pipelines and merge requests that name a node, by kind and reference."""
-    n = nodes.select(F.col("uid").alias("by"), text_of(nodes, "title", "ref").alias("ref"), text_of(nodes, "status", "state").alias("status"), text_of(nodes, "url").alias("url"))
-    kind = F.get(F.array_intersect(F.array(F.lit("Pipeline"), F.lit("MergeRequest")), "far_labels"), F.lit(0))
-    rows = of.where("side = 'end' and type = 'MENTIONS'").select("uid", F.col("far").alias("by"), kind.alias("kind")).where("kind is not null").join(n, "by")
+    kind = F.get(F.array_intersect(F.array(F.lit("Pipeline"), F.lit("MergeRequest")), "labels"), F.lit(0))
+    n = scoped(nodes, ns).select(F.col("uid").alias("by"), kind.alias("kind"), text_of(nodes, "title", "ref").alias("ref"), text_of(nodes, "status", "state").alias("status"), text_of(nodes, "url").alias("url"))
+    rows = of.select("uid", F.col("far").alias("by")).join(n.where("kind is not null"), "by")
     return rows.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("kind", "ref", "status", "url"))).alias("mentioned_by"))
 
 
 def verdicts(nodes: DataFrame, edges: DataFrame, ns: str) -> DataFrame:
     """``(test, verdict)`` as the documents of tests give it: the status of the newest run by finish, then start, then uid, else the declared state."""
     runs = scoped(nodes, ns).where(F.array_contains("labels", "TestRun")).select(F.col("uid").alias("run"), text_of(nodes, "status").alias("status"), *[F.coalesce(text_of(nodes, c), F.lit("")).alias(c) for c in ("finished_on", "started_on")])
-    of = of_type(edges, ns, "OF_TEST").select(F.col("start").alias("run"), F.col("end_uid").alias("uid")).distinct().join(runs, "run")
+    of = of_type(edges, ns, "OF_TEST").select(F.col("start").alias("run"), F.col("end_uid").alias("uid")).repartition("run").distinct().join(traverse.large(runs), "run")
     newest = of.groupBy("uid").agg(F.max(F.struct("finished_on", "started_on", "run", "status")).alias("m")).select("uid", F.col("m.status").alias("said"))
     return tests(nodes, ns).join(newest, "uid", "left").select(F.col("uid").alias("test"), _verdict(nodes, F.col("said")).alias("verdict"))
 
@@ -119,11 +132,10 @@ def _verdict(nodes: DataFrame, newest: Column) -> Column:
 
 def requirement_documents(nodes: DataFrame, edges: DataFrame, ns: str) -> DataFrame:
     """``(key, document)`` of every requirement that is known and no test: what it is, its people, plans and place in the hierarchy, links, tests with their coverage, and who mentions it."""
-    of = ends(nodes, edges, ns)
     own = requirements(nodes, ns).where(~F.coalesce("stub", F.lit(False)) & ~F.array_contains("labels", "Test"))
     status = verdicts(nodes, edges, ns).select(F.col("test").alias("far"), F.col("verdict").alias("s"))
-    states = of.where("side = 'end' and type = 'COVERS'").select("uid", "far").distinct().join(status, "far").groupBy("uid").agg(F.count("*").alias("test_count"), F.array_sort(F.collect_set("s")).alias("run_statuses"))
-    rows = reduce(lambda a, b: a.join(b, "uid", "left"), [link_lists(of), mention_lists(of, scoped(nodes, ns)), states], _with_facts(own, of))
+    states = sides(edges, ns, {("COVERS", "end")}).select("uid", "far").distinct().join(status, "far").groupBy("uid").agg(F.count("*").alias("test_count"), F.array_sort(F.collect_set("s")).alias("run_statuses"))
+    rows = reduce(lambda a, b: a.join(b, "uid", "left"), [facts(nodes, edges, ns, P1_FACTS), counts(edges, ns), link_lists(sides(edges, ns, {(t, "start") for t in LINKS})), mention_lists(sides(edges, ns, {("MENTIONS", "end")}), nodes, ns), states], own)
     kinds = F.array_sort(F.array_intersect("labels", F.array(*[F.lit(x) for x in derive.REQUIREMENT])))
     said = {n: text_of(nodes, *ps) for n, ps in {"type": ("type", "work_item_type"), "title": ("title",), "status": ("status",), "status_category": ("status_category",), "priority": ("priority",), "severity": ("severity",), "resolution": ("resolution",)}.items()}
     dates = {n: text_of(nodes, p) for n, p in {"created": "created", "updated": "updated", "resolved_at": "resolved_at", "due": "due_date", "url": "url"}.items()}
@@ -135,12 +147,12 @@ def requirement_documents(nodes: DataFrame, edges: DataFrame, ns: str) -> DataFr
         parent=F.slice(_list("parent"), 1, 1), children=_list("children"), links=F.col("links"), tests=_list("tests"), coverage=coverage, **{n: _count(n) for n, _, _ in COUNTS}, mentioned_by=F.col("mentioned_by")).alias("document"))
 
 
-def _runs(nodes: DataFrame, of: DataFrame, ns: str) -> DataFrame:
+def _runs(nodes: DataFrame, edges: DataFrame, ns: str) -> DataFrame:
     """``(uid, run)`` of every run: its state, times, people and what came of it, the steps in their order."""
     step = scoped(nodes, ns).select(F.col("uid").alias("far"), F.coalesce(column(nodes, "index").cast("int"), F.lit(0)).alias("index"), *[text_of(nodes, c).alias(c) for c in ("status", "action", "expected", "actual")])
-    steps = of.where("side = 'start' and type = 'HAS_STEP_RESULT'").select("uid", "far").distinct().join(step, "far").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("index", "far", "status", "action", "expected", "actual"))).alias("steps"))
+    steps = sides(edges, ns, {("HAS_STEP_RESULT", "start")}).select("uid", "far").distinct().join(step, "far").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("index", "far", "status", "action", "expected", "actual"))).alias("steps"))
     told = F.transform("steps", lambda s: F.struct(*[s[c].alias(c) for c in ("index", "status", "action", "expected", "actual")]))
-    runs = _with_facts(scoped(nodes, ns).where(F.array_contains("labels", "TestRun")), of).join(steps, "uid", "left")
+    runs = scoped(nodes, ns).where(F.array_contains("labels", "TestRun")).join(facts(nodes, edges, ns, RUN_FACTS), "uid", "left").join(steps, "uid", "left")
     said = {n: text_of(nodes, p) for n, p in {"id": "run_id", "status": "status", "reported_as": "status_name", "started_at": "started_on", "finished_at": "finished_on"}.items()}
     more = {n: text_of(nodes, p) for n, p in {"comment": "comment", "failure_type": "failure_type", "error": "error_message"}.items()}
     lists = {n: _list(n) for n in ("executed_by", "environments", "defects", "evidence")}
@@ -148,21 +160,20 @@ def _runs(nodes: DataFrame, of: DataFrame, ns: str) -> DataFrame:
     return runs.select("uid", F.struct(*[c.alias(k) for k, c in members.items()]).alias("run"))
 
 
-def run_lists(nodes: DataFrame, edges: DataFrame, ns: str, of: DataFrame, group: str = "OF_TEST") -> DataFrame:
+def run_lists(nodes: DataFrame, edges: DataFrame, ns: str, group: str = "OF_TEST") -> DataFrame:
     """``(uid, runs)``: the runs that point at a node by ``group``, newest first by finish, then start, then uid."""
-    each = of_type(edges, ns, group).select(F.col("start").alias("uid"), F.col("end_uid").alias("of")).distinct().join(_runs(nodes, of, ns), "uid")
+    each = of_type(edges, ns, group).select(F.col("start").alias("uid"), F.col("end_uid").alias("of")).repartition("uid").distinct().join(traverse.large(_runs(nodes, edges, ns)), "uid")
     blank = lambda c: F.coalesce(f"run.{c}", F.lit(""))
-    ordered = F.sort_array(F.collect_list(F.struct(blank("finished_at").alias("a"), blank("started_at").alias("b"), F.col("uid").alias("u"), F.to_json("run").alias("r"), "run")), asc=False)
+    ordered = F.sort_array(F.collect_list(F.struct(blank("finished_at").alias("a"), blank("started_at").alias("b"), F.col("uid").alias("u"), "run")), asc=False)
     return each.groupBy(F.col("of").alias("uid")).agg(F.transform(ordered, lambda x: x["run"]).alias("runs"))
 
 
 def test_documents(nodes: DataFrame, edges: DataFrame, ns: str) -> DataFrame:
     """``(key, document)`` of every test: what it is and covers, the containers that hold it, its steps, and its runs, newest first, with the latest by itself."""
-    of = ends(nodes, edges, ns)
     step = scoped(nodes, ns).select(F.col("uid").alias("far"), F.coalesce(column(nodes, "index").cast("int"), F.lit(0)).alias("index"), *[text_of(nodes, c).alias(c) for c in ("action", "data", "expected")])
-    steps = of.where("side = 'start' and type = 'HAS_STEP'").select("uid", "far").distinct().join(step, "far").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("index", "far", "action", "data", "expected"))).alias("steps"))
+    steps = sides(edges, ns, {("HAS_STEP", "start")}).select("uid", "far").distinct().join(step, "far").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("index", "far", "action", "data", "expected"))).alias("steps"))
     own = tests(nodes, ns).where(~F.coalesce("stub", F.lit(False)))
-    rows = _with_facts(own, of).join(steps, "uid", "left").join(run_lists(nodes, edges, ns, of), "uid", "left")
+    rows = own.join(facts(nodes, edges, ns, P2_FACTS, own), "uid", "left").join(steps, "uid", "left").join(run_lists(nodes, edges, ns), "uid", "left")
     declared = _verdict(nodes, F.get("runs", F.lit(0))["status"])
     said = {n: text_of(nodes, p) for n, p in {"title": "title", "type": "test_type", "status": "status"}.items()}
     told = F.transform("steps", lambda s: F.struct(*[s[c].alias(c) for c in ("index", "action", "data", "expected")]))
@@ -173,10 +184,10 @@ def test_documents(nodes: DataFrame, edges: DataFrame, ns: str) -> DataFrame:
 
 def container_documents(nodes: DataFrame, edges: DataFrame, ns: str, label: str = "TestPlan") -> DataFrame:
     """``(key, document)`` of every test set, plan or execution: its tests and sets, executions, and for an execution its runs by status."""
-    of = ends(nodes, edges, ns)
-    own = _with_facts(scoped(nodes, ns).where(F.array_contains("labels", label) & ~F.coalesce("stub", F.lit(False))), of)
+    own = scoped(nodes, ns).where(F.array_contains("labels", label) & ~F.coalesce("stub", F.lit(False)))
+    own = own.join(facts(nodes, edges, ns, P3_FACTS, own), "uid", "left")
     states = scoped(nodes, ns).where(F.array_contains("labels", "TestRun")).select(F.col("uid").alias("far"), F.coalesce(text_of(nodes, "status"), F.lit("TODO")).alias("s"))
-    n = of.where("side = 'end' and type = 'IN_EXECUTION'").select("uid", "far").distinct().join(states, "far").groupBy("uid", "s").agg(F.count("*").alias("n"))
+    n = sides(edges, ns, {("IN_EXECUTION", "end")}).select("uid", "far").distinct().join(states, "far").groupBy("uid", "s").agg(F.count("*").alias("n"))
     results = n.groupBy("uid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("s", "n")))).alias("results"), F.sum("n").alias("run_count"))
     rows = own.join(results, "uid", "left")
     return rows.select("key", document(
