@@ -41,16 +41,24 @@ def decoded(c: Column) -> Column:
     return c
 
 
+#: What can be a character reference: the rule of the standard library.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
 def unescaped(c: Column) -> Column:
-    """Every named and numeric character reference decoded once. HTML has over 2,000 names, so this asks the standard library, a batch of texts at a time."""
+    """Every named and numeric character reference decoded once. HTML has over 2,000 names, so this asks the standard library, a batch of texts at a time.
+
+    Only the references go to Python: the text between them stays in the JVM, so a worker's memory follows the references, however long texts are.
+    """
 
-    @F.pandas_udf("string")
-    def unescape(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<string>")
+    def unescape(found: pd.Series) -> pd.Series:
         import html
 
-        return texts.map(html.unescape, na_action="ignore")
+        return found.map(lambda xs: [html.unescape(x) for x in xs], na_action="ignore")
 
-    return unescape(c)
+    decoded_ones = unescape(F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0)))
+    return F.array_join(F.zip_with(F.split(c, REFERENCE), decoded_ones, lambda text, x: F.concat(text, F.coalesce(x, F.lit("")))), "")
 
 
 def current_sprint(history: Column) -> Column:
