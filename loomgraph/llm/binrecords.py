@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import struct
 import zlib
 from array import array
@@ -19,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,7 +29,8 @@ from loomgraph.llm import common
 from loomgraph.llm.tokencount import byte_symbols
 
 INDEX = "doc_id long, shard int, file string, offset long, length long, local_start long, n_tokens long"
-CACHE_PIECES, CACHE_WORDS = 400_000, 400_000
+#: Pieces and words that a worker remembers, some 250 bytes each: twice so many pieces, as old ones stay for a while. Marks of pieces met once.
+CACHE_PIECES, CACHE_WORDS, SEEN = 200_000, 60_000, 1 << 22
 #: The byte-level pre-tokenizer's pattern: a fixed value.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 READ_BYTES = 16 << 20
@@ -76,35 +79,46 @@ class Words(dict):
         return ids
 
 
-class Uncut(Exception):
-    """What stands between two spaces is no unit: more white space meets a space."""
-
-
 class Pieces(dict):
     """What stands between two single spaces -> the ids of it with the space before.
 
-    When full, all pieces grow old; an old one that is met again is remembered anew, so that only rare ones are lost.
+    Only what is met twice is remembered. When full, all pieces grow old; an old one that is met again is remembered anew, so that only rare ones are lost.
     """
 
     def __init__(self, words: Words):
         super().__init__()
-        self.words, self.space, self.old = words, byte_symbols()[0x20], {}
+        self.words, self.space, self.old, self.seen = words, byte_symbols()[0x20], {}, bytearray(SEEN)
 
-    def __missing__(self, x: str) -> bytes:
+    def ids(self, x: str) -> bytes | None:
+        """Ids by the library; None if the piece is no unit, as more white space meets a space."""
         if not x or x[0].isspace() or x[-1].isspace():
-            raise Uncut
-        if len(self) >= CACHE_PIECES:
-            self.old = dict(self)
-            self.clear()
-        ids = self.old.get(x)
-        if ids is not None:
-            pass
-        elif x.isalpha():  # one word to the pre-tokenizer
-            ids = array(self.words.dtype.char, [t.id for t in self.words.tokenize(self.space + x)]).tobytes() if x.isascii() else self.words.ids(" " + x)
-        else:
-            ids = b"".join(map(self.words.__getitem__, PATTERN.findall(" " + x)))
-        self[x] = ids
-        return ids
+            return None
+        if x.isalpha():  # one word to the pre-tokenizer
+            return array(self.words.dtype.char, [t.id for t in self.words.tokenize(self.space + x)]).tobytes() if x.isascii() else self.words.ids(" " + x)
+        word = x.rstrip(string.punctuation)
+        if word.isalpha():  # one word and a run of signs
+            return (self.get(word) or self.old.get(word) or self.ids(word)) + self.words[x[len(word) :]]
+        return b"".join(map(self.words.__getitem__, PATTERN.findall(" " + x)))
+
+    def find(self, pieces: list[str], counts: list[int]) -> list[bytes | None]:
+        """Ids of distinct pieces, which stand so many times each in the texts at hand."""
+        found = list(map(self.get, pieces))
+        for i, x in enumerate(pieces):
+            if found[i] is not None:
+                continue
+            ids = found[i] = self.old.get(x)
+            if ids is None:
+                ids = found[i] = self.ids(x)
+                if ids is None:
+                    continue
+                if counts[i] == 1 and not self.seen[h := hash(x) % SEEN]:
+                    self.seen[h] = 1
+                    continue
+            if len(self) >= CACHE_PIECES:
+                self.old, self.seen = dict(self), bytearray(SEEN)
+                self.clear()
+            self[x] = ids
+        return found
 
 
 class Encoder:
@@ -137,19 +151,54 @@ class Encoder:
             return True
         return not text.isascii() and bool(np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2").max() > 0x24F)
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+    def uncut(self, text: str) -> bytes:
+        """Ids of a text that is not cut at spaces."""
         if self.whole(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-        first, _, rest = text.partition(" ")
-        if first and rest and not first[-1].isspace() and "  " not in rest:
-            try:
-                return b"".join(map(self.words.__getitem__, PATTERN.findall(first))) + b"".join(map(self.pieces.__getitem__, rest.split(" ")))
-            except Uncut:
-                pass
         return b"".join(map(self.words.__getitem__, PATTERN.findall(text)))
 
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text. What stands between spaces is looked up once for all the texts, and ids are put together by number."""
+        found: list[bytes] = [b""] * len(texts)
+        at, rests = [], []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            first, _, rest = text.partition(" ")
+            if not first or not rest or first[-1].isspace() or "  " in rest or self.whole(text):
+                found[i] = self.uncut(text)
+            else:
+                at.append(i)
+                rests.append(rest)
+        if not rests:
+            return found
+        cut = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        which = coded.indices.to_numpy()
+        ids = self.pieces.find(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.bincount(which).tolist())
+        bad = [n for n, x in enumerate(ids) if x is None]
+        for n in bad:
+            ids[n] = b""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        starts, known = common.ragged(sizes)[:-1], np.frombuffer(b"".join(ids), self.dtype)
+        ends = common.ragged(sizes[which])
+        put = np.repeat(starts[which] - ends[:-1], sizes[which])
+        put += np.arange(len(put))
+        all_ids = known[put]
+        parts = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        cuts = ends[parts].tolist()
+        odd = np.add.reduceat(np.isin(which, bad), parts[:-1]) if bad else None
+        for k, i in enumerate(at):
+            if odd is not None and odd[k]:
+                found[i] = self.uncut(texts[i])
+            else:
+                first = texts[i].partition(" ")[0]
+                found[i] = b"".join(map(self.words.__getitem__, PATTERN.findall(first))) + all_ids[cuts[k] : cuts[k + 1]].tobytes()
+        return found
+
 
 @lru_cache(maxsize=2)
 def encoder(file: str, dtype: str) -> Encoder:
@@ -190,7 +239,7 @@ def write_records(docs: DataFrame, tokenizer_file: str, path: str, *, end_id: in
                     store.create_dir(place.rpartition("/")[0], recursive=True)
                     out = store.open_output_stream(place)
                 rows = []
-                for i, ids in zip(b.column(0).to_pylist(), map(enc.encode, b.column(1).to_pylist())):
+                for i, ids in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1).to_pylist())):
                     record = frame(ids + tail)
                     out.write(record)
                     n = len(ids) // width + 1

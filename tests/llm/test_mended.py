@@ -79,3 +79,32 @@ def test_tables_of_a_run_can_be_deleted(spark):
     assert os.listdir(folder)
     common.close(spark)
     assert not os.path.exists(folder)
+
+
+def test_pieces_met_once_are_not_remembered():
+    """A worker's memory doesn't grow with the distinct words of its texts: 300,000 words, each met once."""
+    import tracemalloc
+
+    enc = binrecords.Encoder(vocabulary_file("byte_bpe_50k.json"), "<u2")
+    enc.encode("a few words first")
+    tracemalloc.start()
+    for i in range(10):
+        enc.encode(" ".join(f"{'abcdefghij'[i]}{j:x}x" for j in range(30_000)))
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 16_000_000
+
+
+def test_texts_encoded_together(monkeypatch):
+    """Pieces looked up once for all texts, forgotten and met again, give the library's ids for every text."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(binrecords, "CACHE_PIECES", 40)
+    r = random.Random(3)
+    parts = [" ", " ", " ", " ", "  ", "\n", " \n", "\t ", "they're", "don't,", "x", "Übermaß", "été!?", "abc'", "'s", "_a_", "12,5", "...", "ok.", "日本", "<|endoftext|>"]
+    texts = [None, "", " ", "one", " lead", "trail ", "a b", "a \n b", *["".join(r.choice(parts) + r.choice(["", "w" + str(r.randrange(9)), "ab"]) for _ in range(r.randrange(40))) for _ in range(400)]]
+    enc, library = binrecords.Encoder(vocabulary_file("byte_bpe_50k.json"), "<u2"), Tokenizer.from_file(vocabulary_file("byte_bpe_50k.json"))
+    want = [library.encode(x or "", add_special_tokens=False).ids for x in texts]
+    for _ in range(3):
+        assert [np.frombuffer(x, "<u2").tolist() for x in enc.encode_all(texts)] == want
+    assert [np.frombuffer(enc.encode(x), "<u2").tolist() for x in texts] == want
