@@ -24,3 +24,43 @@ def test_calls_are_made_once(spark, monkeypatch):
     own = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1)], "uid string, loop_depth int")
     assert {r.uid: r.tld for r in traverse.transitive_loop_depth(own, calls).collect()} == {"a": 4, "b": 2, "c": 1}
     assert sum("in_loop_depth" in made for _, made in kept) == 1
+
+
+def graph(spark, extra):
+    """A story under an epic, its sibling, tests that cover them and their runs, besides other nodes without a key."""
+    node = lambda uid, label, key=None, **more: {"namespace": "n", "uid": uid, "labels": [label], "key": key, "stub": False} | more
+    edge = lambda type, start, end, link_type=None: ("n", type, start, end, link_type)
+    nodes = [node("e", "Epic", "E"), node("s", "Story", "S"), node("t", "Story", "T", updated="2"), node("b", "Bug", "B", labels=["Issue", "Bug"]), node("x", "Test", "X", title="card"), node("y", "Test", "Y", title="card two"), node("l", "Label", name="tag"),
+             node("r1", "TestRun", status="FAIL", started_on="1"), node("r2", "TestRun", status="PASS", started_on="2"), node("p", "Page", "P", title="page")]
+    nodes += [node(f"z{i}", "TestRun") for i in range(extra)]
+    edges = [edge("CHILD_OF", "s", "e"), edge("CHILD_OF", "t", "e"), edge("CHILD_OF", "b", "z0"), edge("COVERS", "x", "s"), edge("COVERS", "y", "t"), edge("COVERS", "y", "s"), edge("OF_TEST", "r1", "x"), edge("OF_TEST", "r2", "x"), edge("RELATES_TO", "s", "b", "Relates"), edge("HAS_LABEL", "s", "l"), edge("HAS_LABEL", "t", "l"), edge("MENTIONS", "p", "s")]
+    columns = "namespace string, uid string, labels array<string>, key string, stub boolean, title string, type string, name string, status string, updated string, created string, started_on string, finished_on string, test_state string, description string, acceptance_criteria string, body string"
+    return spark.createDataFrame(nodes, columns), spark.createDataFrame(edges, "namespace string, type string, start string, end_uid string, link_type string")
+
+
+def shuffled_rows(spark, df):
+    """Rows that the exchanges of a plan hand on, after it ran."""
+    df.collect()
+
+    def walk(p):
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(p.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(p.plan())
+        own = [p.metrics().apply("shuffleRecordsWritten").value()] if name == "ShuffleExchangeExec" else []
+        kids = p.children()
+        return own + [x for i in range(kids.size()) for x in walk(kids.apply(i))]
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_story_context_leaves_the_nodes_where_they_are(spark):
+    from loomgraph.operators.delivery import DELIVERY
+
+    nodes, edges = graph(spark, 5000)
+    found = DELIVERY.ask("story-context", nodes, edges, "n", key="S")
+    assert max(shuffled_rows(spark, found), default=0) < 1000
+    want = {("self", None, "S", None), ("ancestor", None, "E", None), ("sibling", "E", "T", None), ("link:RELATES_TO", "Relates", "B", None), ("shared-tag", "tag", "T", None), ("test", "S", "X", "PASS"), ("test", "S", "Y", "TODO"), ("test", "T", "Y", "TODO"), ("bug", "S", "B", None), ("page", "page", "P", None)}
+    assert {(r.relation, r.via, r.key, r.run_status) for r in found.collect()} == want
+    assert {(r.relation, r.key) for r in DELIVERY.ask("story-context", nodes, edges, "n", key="S", limit=None).collect()} == {(r.relation, r.key) for r in found.collect()}
