@@ -64,3 +64,13 @@ def test_story_context_leaves_the_nodes_where_they_are(spark):
     want = {("self", None, "S", None), ("ancestor", None, "E", None), ("sibling", "E", "T", None), ("link:RELATES_TO", "Relates", "B", None), ("shared-tag", "tag", "T", None), ("test", "S", "X", "PASS"), ("test", "S", "Y", "TODO"), ("test", "T", "Y", "TODO"), ("bug", "S", "B", None), ("page", "page", "P", None)}
     assert {(r.relation, r.via, r.key, r.run_status) for r in found.collect()} == want
     assert {(r.relation, r.key) for r in DELIVERY.ask("story-context", nodes, edges, "n", key="S", limit=None).collect()} == {(r.relation, r.key) for r in found.collect()}
+
+
+def test_similar_tests_leave_the_nodes_where_they_are(spark):
+    from loomgraph.operators.delivery import DELIVERY
+
+    nodes, edges = graph(spark, 5000)
+    found = DELIVERY.ask("similar-tests", nodes, edges, "n", q="card")
+    assert max(shuffled_rows(spark, found), default=0) < 1000
+    assert {(r.key, r.covers, r.run_status) for r in found.collect()} == {("X", "S", "PASS"), ("Y", "S,T", "TODO")}
+    assert {r.key for r in DELIVERY.ask("similar-tests", nodes, edges, "n", q="card", key="T").collect()} == {"X"}
