@@ -11,16 +11,19 @@ from loomgraph.operators import derive
 from loomgraph.operators.derive import of_type, requirements, scoped, tests
 
 
-def _keys(edges: DataFrame, nodes: DataFrame, by: str, other: str, name: str) -> DataFrame:
-    n = nodes.select(F.col("uid").alias(other), "key")
-    return edges.select(by, other).distinct().join(n, other).groupBy(F.col(by).alias("uid")).agg(F.array_sort(F.collect_set("key")).alias(name))
+def _keys(nodes: DataFrame, **parts: tuple[DataFrame, str, str]) -> DataFrame:
+    """``(uid, name, ...)``: the sorted keys of the nodes at the other ends of some edges, by ``name=(edges, by, other)``. All ends are looked up at once, and only among nodes with a key."""
+    ends = reduce(DataFrame.unionByName, [e.select(F.col(by).alias("uid"), F.col(other).alias("other"), F.lit(name).alias("part")) for name, (e, by, other) in parts.items()])
+    n = nodes.where("key is not null").select(F.col("uid").alias("other"), "key")
+    return ends.join(n, "other").groupBy("uid").agg(*[F.array_sort(F.collect_set(F.when(F.col("part") == name, F.col("key")))).alias(name) for name in parts])
 
 
 def requirement_section(nodes: DataFrame, edges: DataFrame, ns: str) -> DataFrame:
     """Requirements with parent, tests, mentions and coverage; stubs and tests left out."""
     r = requirements(nodes, ns).where(~F.col("stub") & ~F.array_contains("labels", "Test")).select("uid", "key", "title", "type", "status")
     cover = derive.requirement_coverage(nodes, edges, ns).select(F.col("requirement").alias("uid"), F.col("tests").alias("n_tests"), "coverage_status")
-    parts = [_keys(of_type(edges, ns, "CHILD_OF"), nodes, "start", "end_uid", "parents"), _keys(of_type(edges, ns, "COVERS"), nodes, "end_uid", "start", "tests"), _keys(of_type(edges, ns, "MENTIONS"), nodes, "end_uid", "start", "mentioned_by"), cover, derive.defect_counts(edges, ns)]
+    keys = _keys(nodes, parents=(of_type(edges, ns, "CHILD_OF"), "start", "end_uid"), tests=(of_type(edges, ns, "COVERS"), "end_uid", "start"), mentioned_by=(of_type(edges, ns, "MENTIONS"), "end_uid", "start"))
+    parts = [keys, cover, derive.defect_counts(edges, ns)]
     out = reduce(lambda a, b: a.join(b, "uid", "left"), parts, r)
     return out.select("key", "title", "type", "status", *[F.array_join(F.coalesce(c, F.array().cast("array<string>")), ",").alias(c) for c in ("parents", "tests", "mentioned_by")], "n_tests", "coverage_status", F.coalesce("defects", F.lit(0)).alias("defects"))
 

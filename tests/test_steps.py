@@ -74,3 +74,12 @@ def test_similar_tests_leave_the_nodes_where_they_are(spark):
     assert max(shuffled_rows(spark, found), default=0) < 1000
     assert {(r.key, r.covers, r.run_status) for r in found.collect()} == {("X", "S", "PASS"), ("Y", "S,T", "TODO")}
     assert {r.key for r in DELIVERY.ask("similar-tests", nodes, edges, "n", q="card", key="T").collect()} == {"X"}
+
+
+def test_requirement_section_looks_among_nodes_with_keys(spark):
+    from loomgraph.operators import report
+
+    nodes, edges = graph(spark, 5000)
+    found = report.requirement_section(nodes, edges, "n")
+    assert {(r.key, r.parents, r.tests, r.mentioned_by, r.n_tests) for r in found.collect()} == {("E", "", "", "", 0), ("S", "E", "X,Y", "P", 2), ("T", "E", "Y", "", 1), ("B", "", "", "", 0)}
+    assert sum(x > 1000 for x in shuffled_rows(spark, found)) <= 1  # the runs' states, but no keys
