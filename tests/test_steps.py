@@ -83,3 +83,21 @@ def test_requirement_section_looks_among_nodes_with_keys(spark):
     found = report.requirement_section(nodes, edges, "n")
     assert {(r.key, r.parents, r.tests, r.mentioned_by, r.n_tests) for r in found.collect()} == {("E", "", "", "", 0), ("S", "E", "X,Y", "P", 2), ("T", "E", "Y", "", 1), ("B", "", "", "", 0)}
     assert sum(x > 1000 for x in shuffled_rows(spark, found)) <= 1  # the runs' states, but no keys
+
+
+def test_prune_shuffles_only_edges_that_may_go(spark, monkeypatch):
+    from loomgraph.operators import graph as build
+
+    nodes = spark.range(3000).select(F.lit("n").alias("namespace"), F.concat(F.lit("u"), "id").alias("uid"), F.when(F.col("id") < 5, 1).when(F.col("id") < 2998, 9).alias("last_seen_version"))
+    edges = spark.range(3000).select(F.lit("n").alias("namespace"), F.lit("T").alias("type"), F.when(F.col("id") != 7, F.concat(F.lit("u"), "id")).alias("start"), F.concat(F.lit("u"), F.col("id") + 1).alias("end_uid"))
+    want = [None, *sorted(f"u{i}" for i in range(5, 2997) if i != 7)]
+    monkeypatch.setattr(build, "DIGEST_WORDS", 4096)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = build.prune(nodes, edges, "n", version=5)[1]
+        assert sorted([r.start for r in kept.collect()], key=lambda x: (x is not None, x)) == want
+        assert sum(x for x in shuffled_rows(spark, kept) if x < 4096) < 200  # an exchange of the digest has all its words
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(build, "DIGEST_WORDS", 1)  # every edge is in doubt
+    assert sorted([r.start for r in build.prune(nodes, edges, "n", version=5)[1].collect()], key=lambda x: (x is not None, x)) == want
