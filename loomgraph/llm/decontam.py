@@ -1,6 +1,6 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The corpus is cut into segments of whole documents (Arrow batches). Each segment is one row of the stored index: its term
+The corpus is cut into segments of whole documents, of bounded size. Each segment is one row of the stored index: its term
 dictionary, and per term a posting list of (document, position), packed as sorted integers ``document << 32 | position``.
 Only terms that some test item uses are indexed, as no query can ask for others; their distinct words are sent to the tasks. Test
 items are read in blocks of bounded size; each block is sent to all segments, which intersect the offset-adjusted lists of a phrase from its rarest term on.
@@ -21,6 +21,8 @@ from loomgraph.llm import common
 #: Words of a window; test text per block in bytes, the bound on what is sent to the tasks at a time.
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
+#: Text of a segment in bytes; a longer single document is a segment of its own. A segment is one row wherever it is read.
+SEGMENT_BYTES = 4 << 20
 #: A-Z, and what separates words, as for ``common.alnum_words``.
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -55,6 +57,7 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None, *, key: str = "d
     """
     spark = docs.sparkSession
     common.ship(spark)
+    common.bound_batches(spark)
     terms = spark.sparkContext.broadcast(None if vocabulary is None else frozenset(vocabulary))
 
     def segment(b: pa.RecordBatch, wanted: frozenset | None) -> pa.RecordBatch:
@@ -76,7 +79,7 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None, *, key: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in common.slices(b):
+            for part in common.slices(b, most=SEGMENT_BYTES):
                 yield segment(part, terms.value)
 
     index = common.with_columns_kept(docs, key, text).mapInArrow(run, INDEX)
@@ -173,6 +176,7 @@ def phrase_matches(index: DataFrame, rows: list[tuple[str | None, str]], *, size
     matches too unless ``every`` is false: ``(segment, seq, doc_id, n_words, starts, ends, items)`` with the merged word intervals that matched and the
     items that did.
     """
+    common.bound_batches(index.sparkSession)
     block = index.sparkSession.sparkContext.broadcast(Phrases(rows, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

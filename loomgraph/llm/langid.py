@@ -67,6 +67,7 @@ def held_out(key: str = "doc_id", parts: int = 4, part: int = 2):
 def profiles(docs: DataFrame, *, text: str = "text", lang: str = "lang", most: int = PROFILE) -> dict[str, np.ndarray]:
     """The n-grams of each language of ``docs``, most frequent first. Null languages and texts without letters don't count."""
     common.ship(docs.sparkSession)
+    common.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -137,6 +138,7 @@ def identify(docs: DataFrame, found: dict[str, np.ndarray], *, key: str = "doc_i
     0 if none does.
     """
     common.ship(docs.sparkSession)
+    common.bound_batches(docs.sparkSession)
     nearest = docs.sparkSession.sparkContext.broadcast(Nearest(found))
     keep = keep or []
     once = text in keep and dict(docs.dtypes)[text] == "string"  # a text that is kept travels once, not in the row too

@@ -421,6 +421,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     common.ship(spark)
+    common.bound_batches(spark)
     narrow = common.with_columns_kept(docs, key, text)
     sig = common.stored(signatures(narrow, percent), "signatures")
     same = ["d1", "d2", "n_shingles"]

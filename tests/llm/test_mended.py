@@ -4,9 +4,10 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from loomgraph.llm import binrecords, common, crf, langid, rpforest, sharding
+from loomgraph.llm import binrecords, common, crf, decontam, langid, minhash, rpforest, sharding
 from loomgraph.llm.queries import vocabulary_file
 
 
@@ -108,3 +109,32 @@ def test_texts_encoded_together(monkeypatch):
     for _ in range(3):
         assert [np.frombuffer(x, "<u2").tolist() for x in enc.encode_all(texts)] == want
     assert [np.frombuffer(enc.encode(x), "<u2").tolist() for x in texts] == want
+
+
+def test_what_goes_to_python_is_bounded_by_bytes(spark):
+    """A task's texts came in one batch and left as one row of the index, however many bytes they were."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    long = "one two three four five six seven eight nine ten " * 10_000  # half a million bytes
+    docs = spark.createDataFrame([(i, f"own{i} {long}") for i in range(20)] + [(20, "other words"), (21, None)], "doc_id long, text string").withColumn("lang", F.lit("en")).coalesce(1)
+    items = spark.createDataFrame([("a", "own3 one two three four five six seven eight nine"), ("b", "other words")], "item_id string, text string")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    most = (4 << 20) + 3 * len(long)
+    calls = [lambda: langid.profiles(docs), lambda: langid.identify(docs, {}), lambda: minhash.near_duplicates(docs.where("doc_id < 0")), lambda: decontam.build_index(docs, None)]
+    try:
+        for call in calls:
+            spark.conf.unset(key)
+            call()
+            assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) <= most
+        spark.conf.set(key, "1g")  # a session's own bound stays; segments have one beside it
+        index = decontam.build_index(docs, {b"own3", b"one"})
+        assert spark.conf.get(key) == "1g"
+        rows = index.select("doc_ids", F.size("doc_ids").alias("n")).collect()
+        assert sorted(i for r in rows for i in r.doc_ids) == list(range(22)) and max(r.n for r in rows) * len(long) <= most
+        found = {r.doc_id: (len(r.starts), r["items"]) for r in decontam.decontaminate(docs, items).collect()}
+        assert found == {i: (0, []) for i in range(22)} | {3: (1, ["a"]), 20: (1, ["b"])}
+    finally:
+        spark.conf.unset(key)
