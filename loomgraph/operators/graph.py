@@ -87,7 +87,9 @@ def merge_props(rows: DataFrame) -> DataFrame:
     r0, (1, -seq) if from a stub after it; the highest rank wins. So hubs need no list, only partial maxima.
     """
     first = rows.where(~F.coalesce("stub", F.lit(False))).groupBy("namespace", "uid").agg(F.min("seq").alias("r0"))
-    cells = rows.select("namespace", "uid", "seq", F.coalesce("stub", F.lit(False)).alias("stub"), F.explode("props").alias("name", "value")).join(large(first), ["namespace", "uid"], "left")
+    # not explode: Spark would make the properties again to keep empty ones from it
+    cells = rows.select("namespace", "uid", "seq", F.coalesce("stub", F.lit(False)).alias("stub"), F.explode_outer("props").alias("name", "value")).where("name is not null")
+    cells = cells.join(large(first), ["namespace", "uid"], "left")
     before = F.col("r0").isNull() | (F.col("seq") < F.col("r0"))
     rank = F.when(~F.col("stub"), F.struct(F.lit(3).alias("c"), F.col("seq").alias("s"))).when(before, F.struct(F.lit(2).alias("c"), F.col("seq").alias("s"))).otherwise(F.struct(F.lit(1).alias("c"), (-F.col("seq")).alias("s")))
     order = F.struct(rank.alias("r"), F.col("value").cast("string").alias("shown"))  # typed values have no order of their own
@@ -98,7 +100,7 @@ def merge_nodes(rows: DataFrame) -> DataFrame:
     """One row per uid: labels in the order first seen, merged properties, stub only if every emission was."""
     by_name = lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)
     props = merge_props(rows).groupBy("namespace", "uid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")), by_name)).alias("props"))
-    marks = rows.select("namespace", "uid", "seq", F.posexplode("labels").alias("at", "label")).groupBy("namespace", "uid", "label").agg(F.min(F.struct("seq", "at")).alias("w"))
+    marks = rows.select("namespace", "uid", "seq", F.posexplode_outer("labels").alias("at", "label")).where("at is not null").groupBy("namespace", "uid", "label").agg(F.min(F.struct("seq", "at")).alias("w"))
     labels = marks.groupBy("namespace", "uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "label"))), lambda x: x["label"]).alias("labels"))
     base = rows.groupBy("namespace", "uid").agg(F.bool_and(F.coalesce("stub", F.lit(False))).alias("stub"))
     return base.join(large(labels), ["namespace", "uid"], "left").join(large(props), ["namespace", "uid"], "left").withColumn("props", F.coalesce("props", _no_props(rows)))

@@ -66,9 +66,10 @@ def issue_nodes(issues: DataFrame, ns: str, *, base_url: str = "", buckets: dict
     prose = {c: detail_text(_at(f"fields.{c}")) for c in ("description", "environment")}
     bucket = vocabulary.bucket(F.coalesce(_at("fields.issuetype.name"), F.lit("")), buckets)
     own = i.select(_uid(ns, "issue", F.col("key")).alias("uid"), labels.alias("labels"), typed.made(key=F.col("key"), bucket=bucket, **prose, **{c: _typed(p) for c, p in ISSUE_FIELDS.items()}, **url).alias("props"))
-    found = F.explode(F.array(*[F.struct(_at(f"{path}.{ident}").alias("ident"), F.lit(kind).alias("kind"), F.lit(label).alias("label"), typed.made(**{k: _typed(f"{path}.{p}") for k, p in props.items()}).alias("props"))
-                                for kind, label, path, ident, _, props in KINDS]))
-    seen = i.select(found.alias("x")).where("x.ident is not null").select(text.uid(F.lit(ns), F.col("x.kind"), F.col("x.ident")).alias("uid"), F.array("x.label").alias("labels"), F.col("x.props").alias("props"))
+    named = F.explode(F.array(*[F.struct(_at(f"{path}.{ident}").alias("ident"), F.lit(kind).alias("kind"), F.lit(label).alias("label")) for kind, label, path, ident, _, _ in KINDS]))
+    seen = i.select("parsed", named.alias("x")).where("x.ident is not null")  # properties are made of what is named, not of all that could be
+    props = F.coalesce(*[F.when(F.col("x.kind") == kind, typed.made(**{k: _typed(f"{path}.{p}") for k, p in props.items()})) for kind, _, path, _, _, props in KINDS])
+    seen = seen.select(text.uid(F.lit(ns), F.col("x.kind"), F.col("x.ident")).alias("uid"), F.array("x.label").alias("labels"), props.alias("props"))
     # a project or status is named by many issues: one node each, before anything is shuffled to them
     shown = F.to_json(typed.texts(F.col("props")))
     found = own.unionByName(seen.groupBy("uid", "labels").agg(F.max_by("props", shown).alias("props")))

@@ -57,7 +57,7 @@ def g10_typed(spark, sf_dir):
     third = q.select(uid, issue, typed.scrubbed(F.create_map(F.lit(" last "), (k + 1).cast("variant"), F.lit("title"), F.when(k % 3 == 0, F.lit(" new ")).cast("variant"))).alias("props")).select(*row(3)).drop("seq")
     none = spark.createDataFrame([], "namespace string, start string, end_uid string")
     found = graph.upsert_nodes(third, none, stored, version=2)
-    kind = lambda e: F.when(F.startswith(typed.kind(e["value"]), F.lit("DECIMAL")), "DOUBLE").otherwise(typed.kind(e["value"]))
+    kind = lambda e: F.regexp_replace(typed.kind(e["value"]), "^DECIMAL.*", "DOUBLE")
     shown = F.transform(F.map_entries("props"), lambda e: F.concat(e["key"], F.lit(":"), kind(e), F.lit("="), e["value"].cast("string")))
     return found.select("uid", F.array_join(F.array_sort(shown), "|").alias("props"))
 
